@@ -192,10 +192,14 @@ def fuse(hits: DataFrame, rrf_k: int, active: tuple[str, ...] = PATHS, keys: tup
 
 
 def with_fields(rows: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Attach the display columns of the corpus to a small set of keys."""
-    wanted = broadcast_if_small(rows.select("pk").distinct())
-    fields = corpus.select("pk", *FIELDS).join(wanted, "pk", "left_semi")
-    return rows.join(fields, "pk")
+    """Attach the display columns of the corpus."""
+    return rows.join(corpus.select("pk", *FIELDS), "pk")
+
+
+def fields_of(hits: DataFrame, corpus: DataFrame) -> DataFrame:
+    """The display columns of every hit, read from the corpus once for all later steps."""
+    wanted = broadcast_if_small(hits.select("pk").distinct())
+    return cut(corpus.select("pk", *FIELDS).join(wanted, "pk", "left_semi"))
 
 
 def long_enough(content: Column, min_chars: int) -> Column:
@@ -258,6 +262,7 @@ class SearchResult:
     attempts: DataFrame
     hits: DataFrame
     gated: DataFrame
+    fields: DataFrame
 
 
 def evaluate_attempts(hits: DataFrame, corpus: DataFrame, p: SearchParams) -> DataFrame:
@@ -302,7 +307,8 @@ def search(
     """
     if hits is None:
         hits = cut(probe(corpus, postings, queries, query_postings, p.max_depth, seen))
-    gated = cut(evaluate_attempts(hits, corpus, p))
+    fields = fields_of(hits, corpus)
+    gated = cut(evaluate_attempts(hits, fields, p))
     log = attempts_log(gated, p)
     final = broadcast_if_small(log.where("final").select("query_id", "attempt"))
     kept = gated.where("outcome = 'kept'").join(final, ["query_id", "attempt"])
@@ -312,7 +318,7 @@ def search(
         "query_id", "rank", "pk", "chunk_id", "chunk_content", "sample_id", "counselor_id", "term",
         "source_paths", "score_dense", "score_sparse", "rrf",
     )
-    return SearchResult(evidence, path_candidates(hits, evidence, corpus), log, hits, gated)
+    return SearchResult(evidence, path_candidates(hits, evidence, fields), log, hits, gated, fields)
 
 
 def attempts_log(gated: DataFrame, p: SearchParams) -> DataFrame:

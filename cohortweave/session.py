@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,13 +53,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from there.
+    """Write ``df`` as a table in the shared folder and continue from there.
 
-    Survives lost executors, and lets a table that several later steps read
-    be computed once.
+    Survives lost executors, lets a table that several steps read be computed
+    once, and gives the optimizer the table's real size.
     """
-    scratch_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fits_in(df: DataFrame, max_rows: int) -> bool:
@@ -66,6 +69,29 @@ def fits_in(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of the size of ``df``; costs no job."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Broadcast hint behind a row-count check; larger sides shuffle, with AQE skew splitting."""
+    """Let ``df`` be broadcast only when its size is known to be small.
+
+    Below the optimizer's own broadcast threshold nothing needs saying. Above
+    it, the estimate is often far too high, so rows are counted up to a limit.
+    Larger sides shuffle, with adaptive skew splitting.
+    """
+    if planned_bytes(df) <= 10 * 1024 * 1024:
+        return df
     return F.broadcast(df) if fits_in(df, max_rows) else df
+
+
+_STAGED: dict[tuple[str, str], DataFrame] = {}
+
+
+def staged(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived input table, written once per application."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _STAGED:
+        _STAGED[key] = cut(build())
+    return _STAGED[key]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import round6
 from ..session import broadcast_if_small
-from .schemas import CLASSIFIER, COHORT, LABELS
+from .schemas import CLASSIFIER, CLASSIFIER_FIELDS, COHORT, LABELS
 
 CORPUS_FIELDS = ("pk", "sample_id", "counselor_id", "term", "chunk_content", "chunk_seq")
 
@@ -81,7 +81,7 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_classifiers(models: DataFrame, path: str) -> None:
-    models.select(*CLASSIFIER.names).write.mode("overwrite").json(path)
+    models.select(*CLASSIFIER_FIELDS).write.mode("overwrite").json(path)
 
 
 def read_classifiers(spark: SparkSession, path: str) -> DataFrame:
