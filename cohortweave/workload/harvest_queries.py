@@ -1 +1,339 @@
+"""Calibration, radius and cohort queries over all sessions."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.vectors import cosine_distance
+from ..operators import harvest as hv, ratings, reports
+from ..params import HarvestParams
+from ..plans import phases
+from ..session import cut, staged
+from . import tables as t
+from .registry import cte, query
+
+HP = HarvestParams()
+DECOUPLED = HarvestParams(radius_scheme="decoupled")
+
+
+def dist(a: str, b: str) -> str:
+    return f"(1.0 - round(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, list_cosine_similarity({a}, {b}))), 12))"
+
+
+def calibration_ctes(prefix: str, source: str) -> None:
+    cte(
+        f"{prefix}_near",
+        f"""SELECT a.session_id, a.fit_pk, b.fit_pk AS other_pk, {dist('a.span', 'b.span')} AS d,
+        row_number() OVER (PARTITION BY a.session_id, a.fit_pk ORDER BY {dist('a.span', 'b.span')}, b.fit_ord) AS place
+        FROM {source} a JOIN {source} b ON b.session_id = a.session_id AND b.fit_pk <> a.fit_pk""",
+    )
+    cte(
+        f"{prefix}_cal",
+        f"""SELECT p.*, s.T, s.T + p.delta AS T_prime, s.T + s.min_delta AS T_prime_out, s.n_fit FROM
+        (SELECT a.session_id, a.fit_pk, a.fit_ord, a.chunk_id, n.d AS nearest_distance, 1.0 - list_cosine_similarity(a.span, a.chunk) AS delta
+        FROM {source} a LEFT JOIN {prefix}_near n ON n.session_id = a.session_id AND n.fit_pk = a.fit_pk AND n.place = 1) p
+        JOIN (SELECT a.session_id, quantile_cont(n.d, 0.9) AS T, min(1.0 - list_cosine_similarity(a.span, a.chunk)) AS min_delta, count(*) AS n_fit
+        FROM {source} a LEFT JOIN {prefix}_near n ON n.session_id = a.session_id AND n.fit_pk = a.fit_pk AND n.place = 1 GROUP BY a.session_id) s
+        ON s.session_id = p.session_id""",
+    )
+
+
+calibration_ctes("all_anchors", "anchors_t")
+cte(
+    "gate_t",
+    """SELECT *, list_filter([CASE WHEN delta > T THEN 'exceeds_T' END, CASE WHEN delta > cutoff THEN 'exceeds_median_multiple' END], lambda x: x IS NOT NULL) AS reasons,
+    delta > T OR delta > cutoff AS dropped FROM (SELECT c.*, m.median_delta, m.max_delta, 3.0 * greatest(m.median_delta, 0.005) AS cutoff
+    FROM all_anchors_cal c JOIN (SELECT session_id, quantile_cont(delta, 0.5) AS median_delta, max(delta) AS max_delta FROM all_anchors_cal GROUP BY session_id) m
+    ON m.session_id = c.session_id)""",
+)
+cte(
+    "kept_anchors",
+    "SELECT a.* FROM anchors_t a JOIN gate_t g ON g.session_id = a.session_id AND g.fit_pk = a.fit_pk WHERE NOT g.dropped",
+)
+calibration_ctes("kept", "kept_anchors")
+cte(
+    "all_distances",
+    f"""SELECT a.session_id, a.fit_pk, a.fit_ord, a.chunk_id, c.pk, greatest(0.0, {dist('a.span', 'c.dense')}) AS d
+    FROM kept_anchors a CROSS JOIN corpus c""",
+)
+for scheme, radius in (("per_fit", "T_prime"), ("decoupled", "T_prime_out")):
+    cte(
+        f"{scheme}_hits",
+        f"""SELECT x.*, k.{radius} AS radius FROM all_distances x JOIN kept_cal k ON k.session_id = x.session_id AND k.fit_pk = x.fit_pk
+        WHERE x.d <= k.{radius}""",
+    )
+    cte(
+        f"{scheme}_attributed",
+        f"""SELECT h.session_id, h.pk, min(d) AS nearest_fit_distance, count(*)::INTEGER AS qualifying_fit_count,
+        string_agg(h.fit_pk, ',' ORDER BY h.fit_pk) AS qualifying_fit_pks,
+        (list(struct_pack(a := d, b := fit_ord, f := h.fit_pk, l := h.chunk_id, r := radius) ORDER BY d, fit_ord))[1] AS near,
+        bool_or(h.pk IN (SELECT fit_pk FROM kept_anchors k WHERE k.session_id = h.session_id)) AS is_anchor
+        FROM {scheme}_hits h GROUP BY h.session_id, h.pk""",
+    )
+COHORT_SELECT = """session_id, pk, near.f AS nearest_fit_pk, near.l AS nearest_fit_label, near.a AS nearest_fit_distance,
+near.r AS threshold_T_prime, qualifying_fit_count, qualifying_fit_pks"""
+cte("candidates_h", f"SELECT {COHORT_SELECT} FROM per_fit_attributed WHERE NOT is_anchor")
+cte(
+    "cohort_t",
+    """SELECT * FROM candidates_h c WHERE qualifying_fit_count >= 2
+    AND NOT EXISTS (SELECT 1 FROM events_t e WHERE e.session_id = c.session_id AND e.pk = c.pk AND e.rating = 'DISCARD')""",
+)
+
+
+def first_calibration(spark, d):
+    return hv.calibrate(t.anchors(spark, d), HP)
+
+
+def kept(spark, d):
+    return staged(
+        spark, f"kept:{d}", lambda: hv.survivors(t.anchors(spark, d), hv.quality_gate(cut(first_calibration(spark, d)), HP), HP)
+    )
+
+
+def placed(spark, d, p=HP):
+    a = kept(spark, d)
+    return hv.with_radius(a, hv.calibrate(a, p), p)
+
+
+def not_fit(spark, d):
+    return ratings.not_fit_exemplars(t.events(spark, d)).select("session_id", "pk")
+
+
+def harvested(spark, d, p=HP):
+    return phases.run_harvest(
+        t.anchors(spark, d), t.corpus_vectors(spark, d), not_fit(spark, d), ratings.discarded(t.events(spark, d)), p
+    )
+
+
+def cohort(spark, d):
+    """The harvest's output table, as the later phases read it."""
+    return staged(spark, f"cohort:{d}", lambda: harvested(spark, d).cohort)
+
+
+@query(
+    "cosine_distance",
+    "SELECT session_id, fit_pk, round(1.0 - list_cosine_similarity(span, chunk), 6) AS d FROM anchors_t",
+)
+def distances(spark, d):
+    return t.anchors(spark, d).select(
+        "session_id", "fit_pk", cosine_distance(F.col("span"), F.col("chunk")).alias("d")
+    )
+
+
+@query(
+    "anchor_nearest",
+    """SELECT a.session_id, a.fit_pk, a.other_pk AS nearest_pk, round(a.d, 6) AS d1, round(b.d, 6) AS d2 FROM all_anchors_near a
+    JOIN all_anchors_near b ON b.session_id = a.session_id AND b.fit_pk = a.fit_pk AND b.place = 2 WHERE a.place = 1""",
+)
+def anchor_nearest(spark, d):
+    return hv.anchor_nearest(t.anchors(spark, d))
+
+
+CAL = """session_id, fit_pk, fit_ord, chunk_id, round(nearest_distance, 6) AS nearest_distance, round(delta, 6) AS delta, round(T, 6) AS T,
+round(T_prime, 6) AS T_prime, round(T_prime_out, 6) AS T_prime_out, n_fit"""
+
+
+@query("calibration", f"SELECT {CAL} FROM all_anchors_cal")
+def calibration(spark, d):
+    return first_calibration(spark, d)
+
+
+@query(
+    "quality_gate",
+    """SELECT session_id, fit_pk, chunk_id, round(delta, 6) AS delta, round(T, 6) AS T, round(median_delta, 6) AS median_delta, round(cutoff, 6) AS cutoff,
+    median_delta < 0.005 AS floor_applied, median_delta < 0.001 AND max_delta > 0.001 AS bimodal, array_to_string(reasons, ',') AS reasons, dropped,
+    sum((NOT dropped)::INTEGER) OVER (PARTITION BY session_id)::BIGINT AS survivors,
+    bool_or(dropped) OVER (PARTITION BY session_id) AND sum((NOT dropped)::INTEGER) OVER (PARTITION BY session_id) < 15 AS thin FROM gate_t""",
+)
+def quality_gate(spark, d):
+    return hv.quality_gate(first_calibration(spark, d), HP)
+
+
+@query("radius_join", "SELECT session_id, fit_pk, pk, round(d, 6) AS d FROM per_fit_hits")
+def radius_join(spark, d):
+    return hv.radius_join(placed(spark, d), t.corpus_vectors(spark, d))
+
+
+ATTRIBUTED = f"""SELECT session_id, pk, near.f AS nearest_fit_pk, near.l AS nearest_fit_label, round(near.a, 6) AS nearest_fit_distance,
+round(near.r, 6) AS "threshold_T_prime", qualifying_fit_count::BIGINT AS qualifying_fit_count, qualifying_fit_pks"""
+
+
+@query("harvest_attribution", f"{ATTRIBUTED}, is_anchor FROM per_fit_attributed")
+def harvest_attribution(spark, d):
+    return hv.cohort_pass(placed(spark, d), t.corpus_vectors(spark, d))
+
+
+@query("harvest_attribution_decoupled", f"{ATTRIBUTED}, is_anchor FROM decoupled_attributed")
+def harvest_attribution_decoupled(spark, d):
+    a = placed(spark, d, DECOUPLED)
+    return hv.attribute(hv.radius_join(a, t.corpus_vectors(spark, d)), a)
+
+
+@query(
+    "anchor_budget",
+    """SELECT a.session_id, a.fit_pk, least(count(h.pk), 100) AS kept, count(h.pk) AS admitted, count(h.pk) >= 100 AS budget_exhausted
+    FROM kept_anchors a LEFT JOIN per_fit_hits h ON h.session_id = a.session_id AND h.fit_pk = a.fit_pk GROUP BY a.session_id, a.fit_pk""",
+)
+def anchor_budget(spark, d):
+    a = placed(spark, d)
+    return hv.anchor_budget(hv.radius_join(a, t.corpus_vectors(spark, d)), a, 100)
+
+
+@query(
+    "capped_hits",
+    """SELECT session_id, fit_pk, pk, round(d, 6) AS d FROM (SELECT *, row_number() OVER (PARTITION BY session_id, fit_pk ORDER BY d, pk) AS place
+    FROM per_fit_hits) WHERE place <= 100""",
+)
+def capped_hits(spark, d):
+    return hv.cap_hits(cut(hv.radius_join(placed(spark, d), t.corpus_vectors(spark, d))), 100)
+
+
+COHORT_COLUMNS = """session_id, pk, nearest_fit_pk, nearest_fit_label, round(nearest_fit_distance, 6) AS nearest_fit_distance,
+round("threshold_T_prime", 6) AS "threshold_T_prime", qualifying_fit_count::BIGINT AS qualifying_fit_count, qualifying_fit_pks"""
+
+
+@query("frequency_gate", f"SELECT {COHORT_COLUMNS} FROM candidates_h WHERE qualifying_fit_count >= 6")
+def frequency_gate(spark, d):
+    rows = hv.cohort_pass(placed(spark, d), t.corpus_vectors(spark, d)).where("NOT is_anchor").drop("is_anchor")
+    return hv.frequency_gate(rows, 6)
+
+
+@query(
+    "frequency_summary",
+    """SELECT s.session_id, coalesce(k.kept, 0) AS kept, s.total - coalesce(k.kept, 0) AS dropped, coalesce(k.lo, 0)::BIGINT AS count_min,
+    coalesce((k.mid_lo + k.mid_hi) // 2, 0)::BIGINT AS count_median, coalesce(k.hi, 0)::BIGINT AS count_max, s.at_f, s.above_f FROM
+    (SELECT session_id, count(*) AS total, count(*) FILTER (qualifying_fit_count = 6) AS at_f, count(*) FILTER (qualifying_fit_count > 6) AS above_f
+      FROM candidates_h GROUP BY session_id) s LEFT JOIN
+    (SELECT session_id, count(*) AS kept, min(q) AS lo, max(q) AS hi, quantile_disc(q, 0.5) AS mid_lo,
+      (list(q ORDER BY q))[count(*) // 2 + 1] AS mid_hi FROM (SELECT session_id, qualifying_fit_count AS q FROM candidates_h WHERE qualifying_fit_count >= 6)
+      GROUP BY session_id) k ON k.session_id = s.session_id""",
+)
+def frequency_summary(spark, d):
+    rows = hv.cohort_pass(placed(spark, d), t.corpus_vectors(spark, d)).where("NOT is_anchor")
+    return hv.frequency_summary(rows, 6)
+
+
+@query(
+    "cohort_consistency",
+    """SELECT a.session_id, a.fit_pk, a.chunk_id AS fit_chunk_id, coalesce(t.qualifying_fit_count, 0) >= 9 AS own_chunk_retained FROM kept_anchors a
+    LEFT JOIN per_fit_attributed t ON t.session_id = a.session_id AND t.pk = a.fit_pk""",
+)
+def cohort_consistency(spark, d):
+    a = placed(spark, d)
+    return hv.cohort_consistency(hv.cohort_pass(a, t.corpus_vectors(spark, d)), a, 9)
+
+
+@query(
+    "harvest_discard_filter",
+    f"""SELECT {COHORT_COLUMNS} FROM candidates_h c WHERE NOT EXISTS
+    (SELECT 1 FROM events_t e WHERE e.session_id = c.session_id AND e.pk = c.pk AND e.rating = 'DISCARD')""",
+)
+def harvest_discard_filter(spark, d):
+    rows = hv.cohort_pass(placed(spark, d), t.corpus_vectors(spark, d)).where("NOT is_anchor").drop("is_anchor")
+    return hv.drop_discarded(rows, ratings.discarded(t.events(spark, d)))
+
+
+cte("intruders_t", "SELECT c.session_id, c.pk FROM cohort_t c JOIN not_fit_exemplars_t n ON n.session_id = c.session_id AND n.pk = c.pk")
+
+
+@query("not_fit_intrusion", "SELECT session_id, pk FROM intruders_t")
+def not_fit_intrusion(spark, d):
+    return hv.intrusions(cohort(spark, d), not_fit(spark, d))
+
+
+cte(
+    "rest_t",
+    """SELECT i.session_id, i.fit_pk, quantile_cont(n.d, 0.9) AS t_rest FROM kept_anchors i JOIN
+    (SELECT h.session_id, h.fit_pk AS held, n.fit_pk, min(n.d) AS d FROM kept_anchors h JOIN kept_near n ON n.session_id = h.session_id
+      AND n.fit_pk <> h.fit_pk AND n.other_pk <> h.fit_pk GROUP BY 1, 2, 3) n ON n.session_id = i.session_id AND n.held = i.fit_pk
+    GROUP BY i.session_id, i.fit_pk""",
+)
+cte(
+    "loo_t",
+    """WITH cand AS (SELECT r.session_id, r.fit_pk AS held, x.pk, min(x.d) AS d FROM rest_t r
+      JOIN all_distances x ON x.session_id = r.session_id AND x.fit_pk <> r.fit_pk
+      JOIN kept_cal k ON k.session_id = x.session_id AND k.fit_pk = x.fit_pk WHERE x.d <= r.t_rest + k.delta
+      AND NOT EXISTS (SELECT 1 FROM kept_anchors z WHERE z.session_id = r.session_id AND z.fit_pk = x.pk AND z.fit_pk <> r.fit_pk) GROUP BY 1, 2, 3),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY session_id, held ORDER BY d, pk) AS place FROM cand)
+    SELECT a.session_id, a.fit_pk, a.chunk_id AS fit_chunk_id, r.pk IS NOT NULL AS recovered, t.t_rest AS recalibrated_T,
+    r.place AS rank_of_own_pk, r.d AS distance_of_own_pk FROM kept_anchors a JOIN rest_t t ON t.session_id = a.session_id AND t.fit_pk = a.fit_pk
+    LEFT JOIN ranked r ON r.session_id = a.session_id AND r.held = a.fit_pk AND r.pk = a.fit_pk""",
+)
+
+
+@query(
+    "loo_recovery",
+    """SELECT session_id, fit_pk, fit_chunk_id, recovered, round("recalibrated_T", 6) AS "recalibrated_T", rank_of_own_pk,
+    round(distance_of_own_pk, 6) AS distance_of_own_pk FROM loo_t""",
+)
+def loo_recovery(spark, d):
+    return hv.loo_recovery(kept(spark, d), t.corpus_vectors(spark, d), HP)
+
+
+cte(
+    "verdict_t",
+    """SELECT *, CASE WHEN recovered / total >= 0.875 THEN 'HEALTHY' WHEN recovered / total < 0.5 THEN 'FAILED' ELSE 'FLAGGED' END AS verdict FROM
+    (SELECT session_id, count(*) FILTER (recovered) AS recovered, count(*) AS total FROM loo_t GROUP BY session_id)""",
+)
+
+
+@query("loo_verdict", "SELECT * FROM verdict_t")
+def loo_verdict(spark, d):
+    return hv.loo_verdict(hv.loo_recovery(kept(spark, d), t.corpus_vectors(spark, d), HP), HP)
+
+
+@query("harvest", f"SELECT {COHORT_COLUMNS} FROM cohort_t")
+def harvest(spark, d):
+    return harvested(spark, d).cohort
+
+
+@query(
+    "distance_summary",
+    """SELECT session_id, round(min(nearest_fit_distance), 6) AS min, round(quantile_cont(nearest_fit_distance, 0.25), 6) AS p25,
+    round(quantile_cont(nearest_fit_distance, 0.5), 6) AS median, round(quantile_cont(nearest_fit_distance, 0.75), 6) AS p75,
+    round(max(nearest_fit_distance), 6) AS max, count(*) AS n FROM cohort_t GROUP BY session_id""",
+)
+def distance_summary(spark, d):
+    return hv.distance_summary(cohort(spark, d))
+
+
+def meta(spark, d):
+    h = harvested(spark, d)
+    return phases.harvest_record(h, ratings.discarded(t.events(spark, d)))
+
+
+@query(
+    "harvest_meta",
+    """SELECT c.session_id, c.n_fit, c."T", c."T_prime_out", c.deltas, g.n_dropped, l.recovered, l.total, l.verdict, f.kept, f.dropped,
+    x.output_count, x.min, x.max, coalesce(i.pks, '') AS intruder_pks, q.discard_total FROM
+    (SELECT session_id, max(n_fit) AS n_fit, round(max("T"), 6) AS "T", round(max("T_prime_out"), 6) AS "T_prime_out",
+      string_agg(printf('%.6f', round(delta, 6)), ',' ORDER BY fit_ord) AS deltas FROM kept_cal GROUP BY session_id) c
+    JOIN (SELECT session_id, count(*) FILTER (dropped) AS n_dropped FROM gate_t GROUP BY session_id) g ON g.session_id = c.session_id
+    JOIN verdict_t l ON l.session_id = c.session_id
+    JOIN (SELECT session_id, count(*) FILTER (qualifying_fit_count >= 2) AS kept, count(*) FILTER (qualifying_fit_count < 2) AS dropped
+      FROM candidates_h GROUP BY session_id) f ON f.session_id = c.session_id
+    JOIN (SELECT session_id, count(*) AS output_count, round(min(nearest_fit_distance), 6) AS min, round(max(nearest_fit_distance), 6) AS max
+      FROM cohort_t GROUP BY session_id) x ON x.session_id = c.session_id
+    LEFT JOIN (SELECT session_id, string_agg(pk, ',' ORDER BY pk) AS pks FROM intruders_t GROUP BY session_id) i ON i.session_id = c.session_id
+    LEFT JOIN (SELECT session_id, count(DISTINCT pk) AS discard_total FROM events_t WHERE rating = 'DISCARD' GROUP BY session_id) q ON q.session_id = c.session_id""",
+)
+def harvest_meta(spark, d):
+    return meta(spark, d).select(
+        "session_id", "n_fit", F.col("calibration.T").alias("T"), F.col("calibration.T_prime_out").alias("T_prime_out"),
+        F.col("calibration.deltas").alias("deltas"), F.size("quality_gate.dropped").alias("n_dropped"),
+        "loo_recovery.recovered", "loo_recovery.total", "loo_recovery.verdict", "frequency_gate.kept", "frequency_gate.dropped",
+        "output_count", "distance_distribution.min", "distance_distribution.max", "intruder_pks", "discard_total",
+    )
+
+
+@query(
+    "per_anchor_detail",
+    """SELECT k.session_id, k.fit_pk, k.chunk_id, k.fit_ord, round(k.delta, 6) AS span_to_own_chunk_distance, round(k."T_prime", 6) AS "T_prime",
+    l.recovered, round(l."recalibrated_T", 6) AS "recalibrated_T", l.rank_of_own_pk, round(l.distance_of_own_pk, 6) AS distance_of_own_pk,
+    coalesce(b.n, 0) AS total_hits, coalesce(b.n, 0) >= 200000 AS budget_exhausted FROM kept_cal k
+    JOIN loo_t l ON l.session_id = k.session_id AND l.fit_pk = k.fit_pk
+    LEFT JOIN (SELECT session_id, fit_pk, count(*) AS n FROM per_fit_hits GROUP BY 1, 2) b ON b.session_id = k.session_id AND b.fit_pk = k.fit_pk""",
+)
+def per_anchor_detail(spark, d):
+    h = harvested(spark, d)
+    return reports.per_anchor_detail(h.calibration, h.recovery, h.budget)

@@ -1 +1,415 @@
+"""Sampling, judging and verdict-report queries."""
 
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..operators import judging, ratings, reports, sampling
+from ..params import RefineParams
+from ..plans import phases
+from ..session import staged
+from ..sources import logs, stores
+from . import tables as t
+from .harvest_queries import cohort, dist
+from .registry import cte, query
+
+RP = RefineParams(sample_size=100, n_bins=10)
+CHECKS = {"check_0": "a", "check_1": "en", "check_2": "th"}
+
+cte(
+    "binned_t",
+    """SELECT e.*, CASE WHEN total // 10 = 0 THEN 9 ELSE least((place - 1) // (total // 10), 9) END AS decile FROM
+    (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY nearest_fit_distance, pk::VARCHAR) AS place,
+    count(*) OVER (PARTITION BY session_id) AS total FROM cohort_t c
+    WHERE NOT EXISTS (SELECT 1 FROM excluded_t x WHERE x.session_id = c.session_id AND x.pk = c.pk)) e""",
+)
+cte(
+    "edges_t",
+    """SELECT session_id, edge, CASE WHEN edge = 0 THEN lo0 WHEN edge = 10 THEN hi ELSE lows[edge + 1] END AS value FROM
+    (SELECT session_id, list(lo ORDER BY decile) AS lows, min(lo) AS lo0, max(hi) AS hi, unnest(range(0, 11)) AS edge FROM
+    (SELECT session_id, decile, min(nearest_fit_distance) AS lo, max(nearest_fit_distance) AS hi FROM binned_t GROUP BY 1, 2) GROUP BY session_id)""",
+)
+cte("known_t", "SELECT c.session_id, c.pk FROM cohort_t c JOIN labels l ON l.doc_id = c.pk WHERE l.quality = 0")
+cte(
+    "sample_t",
+    """SELECT s.*, CASE WHEN k.pk IS NOT NULL THEN 'auto_drop' ELSE 'selected' END AS arm FROM
+    (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, decile ORDER BY md5('0:' || pk), pk::VARCHAR) AS draw FROM binned_t) WHERE draw <= 10) s
+    LEFT JOIN known_t k ON k.session_id = s.session_id AND k.pk = s.pk""",
+)
+cte(
+    "verdicts_t",
+    """SELECT s.session_id, s.pk, s.decile, s.nearest_fit_distance, s.arm, c.chunk_content,
+    CASE WHEN s.arm = 'auto_drop' THEN 'DROP' WHEN length(c.chunk_content) < 400 THEN 'ERROR' WHEN c.label % 2 = 0 THEN 'KEEP' ELSE 'DROP' END AS verdict,
+    CASE WHEN s.arm = 'auto_drop' THEN 'auto_drop_known_intruder' WHEN length(c.chunk_content) >= 400 AND c.label % 2 = 1 THEN 'check_' || (c.label % 3) END AS failed_check,
+    CASE WHEN s.arm = 'selected' THEN (length(c.chunk_content) % 97)::DOUBLE END AS latency_ms
+    FROM sample_t s JOIN corpus c ON c.pk = s.pk""",
+)
+
+
+def excluded(spark, d):
+    return ratings.rated_exclusion(t.events(spark, d))
+
+
+def known(spark, d):
+    bad = t.load(spark, d, "labels").where("quality = 0").select(F.col("doc_id").alias("pk"))
+    return cohort(spark, d).join(bad, "pk").select("session_id", "pk")
+
+
+def binned(spark, d):
+    return staged(
+        spark, f"binned:{d}", lambda: sampling.decile_bins(sampling.eligible(cohort(spark, d), excluded(spark, d)), RP.n_bins)
+    )
+
+
+def sample(spark, d):
+    return sampling.auto_drop_split(sampling.draw(binned(spark, d), RP), known(spark, d), RP)
+
+
+def verdicts(spark, d):
+    """Judged sample: the verdict is read off the chunk's cluster and length."""
+
+    def build():
+        rows = sample(spark, d).join(t.corpus(spark, d).select("pk", "chunk_content", "label"), "pk")
+        auto, short = F.col("arm") == "auto_drop", F.length("chunk_content") < 400
+        odd = F.col("label") % 2 == 1
+        return rows.select(
+            "session_id", "pk", "decile", "nearest_fit_distance", "arm", "chunk_content",
+            F.when(auto, "DROP").when(short, "ERROR").when(odd, "DROP").otherwise("KEEP").alias("verdict"),
+            F.when(auto, judging.AUTO_DROP)
+            .when(~short & odd, F.concat(F.lit("check_"), F.col("label") % 3))
+            .alias("failed_check"),
+            F.when(~auto, (F.length("chunk_content") % 97).cast("double")).alias("latency_ms"),
+        )
+
+    return staged(spark, f"verdicts:{d}", build)
+
+
+@query(
+    "cohort_scan",
+    """SELECT session_id, pk, nearest_fit_pk, round(nearest_fit_distance, 6) AS nearest_fit_distance, qualifying_fit_count::BIGINT AS qualifying_fit_count,
+    qualifying_fit_pks FROM cohort_t""",
+)
+def cohort_scan(spark, d):
+    from ..session import scratch_path
+
+    path = scratch_path(spark, "cohort")
+    stores.write_cohort(cohort(spark, d), path)
+    return stores.read_cohort(spark, path).select(
+        "session_id", "pk", "nearest_fit_pk", "nearest_fit_distance", "qualifying_fit_count", "qualifying_fit_pks"
+    )
+
+
+@query("training_labels", "SELECT session_id, pk, verdict, (verdict = 'KEEP')::BIGINT AS label FROM verdicts_t WHERE verdict IN ('KEEP', 'DROP')")
+def training_labels(spark, d):
+    from ..operators.modelling import labelled
+
+    return labelled(verdicts(spark, d)).select("session_id", "pk", "verdict", "label")
+
+
+@query("known_intruders", "SELECT session_id, pk FROM known_t WHERE session_id % 4 <> 3")
+def known_intruders(spark, d):
+    packed = known(spark, d).groupBy("session_id").agg(F.collect_list("pk").alias("intruder_pks"))
+    good = F.to_json(F.struct(F.struct("intruder_pks").alias("not_fit_intrusion")))
+    meta = packed.select("session_id", F.when(F.col("session_id") % 4 == 3, "{bad").otherwise(good).alias("meta"))
+    return logs.intruder_list(meta)
+
+
+@query("decile_bins", "SELECT session_id, pk, decile FROM binned_t")
+def decile_bins(spark, d):
+    return sampling.decile_bins(sampling.eligible(cohort(spark, d), excluded(spark, d)), RP.n_bins).select(
+        "session_id", "pk", "decile"
+    )
+
+
+@query("decile_edges", "SELECT session_id, edge, round(value, 6) AS value FROM edges_t")
+def decile_edges(spark, d):
+    return sampling.decile_edges(binned(spark, d), RP.n_bins)
+
+
+@query("stratified_sample", "SELECT session_id, pk, decile, round(nearest_fit_distance, 6) AS nearest_fit_distance FROM sample_t")
+def stratified_sample(spark, d):
+    return sampling.stratified_sample(cohort(spark, d), excluded(spark, d), None, RP)[0].select(
+        "session_id", "pk", "decile", "nearest_fit_distance"
+    )
+
+
+@query("auto_drop_split", "SELECT session_id, pk, arm FROM sample_t")
+def auto_drop_split(spark, d):
+    return sample(spark, d).select("session_id", "pk", "arm")
+
+
+cte(
+    "counts_t",
+    """SELECT session_id, count(*) FILTER (verdict = 'KEEP') AS keep, count(*) FILTER (verdict = 'DROP' AND arm = 'selected') AS drop,
+    count(*) FILTER (verdict = 'ERROR') AS error, count(*) FILTER (arm = 'auto_drop') AS auto_drop FROM verdicts_t GROUP BY session_id""",
+)
+
+
+@query("verdict_counts", "SELECT * FROM counts_t")
+def verdict_counts(spark, d):
+    return reports.verdict_counts(verdicts(spark, d))
+
+
+cte(
+    "rates_t",
+    """SELECT g.session_id, g.decile, count(v.pk) FILTER (v.verdict = 'KEEP') AS keep, count(v.pk) AS decided,
+    count(v.pk) FILTER (v.verdict = 'KEEP') / nullif(count(v.pk), 0) AS keep_rate FROM
+    (SELECT DISTINCT session_id, unnest(range(0, 10)) AS decile FROM verdicts_t) g LEFT JOIN verdicts_t v
+    ON v.session_id = g.session_id AND v.decile = g.decile AND v.verdict <> 'ERROR' AND v.arm = 'selected' GROUP BY 1, 2""",
+)
+
+
+@query("decile_keep_rate", "SELECT session_id, decile, keep, decided, round(keep_rate, 6) AS keep_rate FROM rates_t")
+def decile_keep_rate(spark, d):
+    return reports.decile_keep_rate(verdicts(spark, d), RP.n_bins)
+
+
+@query(
+    "failed_check_hist",
+    """SELECT session_id, failed_check, count(*) AS n FROM verdicts_t WHERE verdict = 'DROP' AND arm = 'selected' AND failed_check IS NOT NULL GROUP BY 1, 2""",
+)
+def failed_check_hist(spark, d):
+    return reports.failed_check_histogram(verdicts(spark, d))
+
+
+cte(
+    "latency_t",
+    """SELECT session_id, n AS count, max(latency_ms) FILTER (place - 1 = round_even(0.5 * (n - 1), 0)) AS p50_ms,
+    max(latency_ms) FILTER (place - 1 = round_even(0.9 * (n - 1), 0)) AS p90_ms,
+    max(latency_ms) FILTER (place - 1 = round_even(0.99 * (n - 1), 0)) AS p99_ms, max(latency_ms) AS max_ms FROM
+    (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY latency_ms, pk) AS place, count(*) OVER (PARTITION BY session_id) AS n
+    FROM verdicts_t WHERE verdict <> 'ERROR' AND latency_ms IS NOT NULL) GROUP BY session_id, n""",
+)
+
+
+@query("latency_summary", "SELECT * FROM latency_t")
+def latency_summary(spark, d):
+    return reports.latency_summary(verdicts(spark, d))
+
+
+@query(
+    "decile_breakdown",
+    """SELECT session_id, decile, count(*) AS n, count(*) FILTER (verdict = 'KEEP') AS keep, count(*) FILTER (verdict = 'DROP') AS drop,
+    count(*) FILTER (verdict = 'ERROR') AS error FROM verdicts_t GROUP BY 1, 2""",
+)
+def decile_breakdown(spark, d):
+    return reports.decile_breakdown(verdicts(spark, d))
+
+
+@query(
+    "projected_total",
+    """SELECT *, sum(projected_keep) OVER (PARTITION BY session_id)::BIGINT AS estimated_total FROM
+    (SELECT r.session_id, r.decile, round(lo.value, 6) AS distance_min, round(hi.value, 6) AS distance_max, coalesce(p.n, 0) AS population,
+    round(r.keep_rate, 6) AS keep_rate, coalesce(round_even(r.keep_rate * coalesce(p.n, 0), 0), 0)::BIGINT AS projected_keep,
+    CASE WHEN r.keep_rate IS NULL THEN 0 ELSE coalesce(p.n, 0) - round_even(r.keep_rate * coalesce(p.n, 0), 0) END::BIGINT AS projected_drop
+    FROM rates_t r LEFT JOIN (SELECT session_id, decile, count(*) AS n FROM binned_t GROUP BY 1, 2) p ON p.session_id = r.session_id AND p.decile = r.decile
+    LEFT JOIN edges_t lo ON lo.session_id = r.session_id AND lo.edge = r.decile LEFT JOIN edges_t hi ON hi.session_id = r.session_id AND hi.edge = r.decile + 1)""",
+)
+def projected_total(spark, d):
+    b = binned(spark, d)
+    return reports.projected_total(verdicts(spark, d), b, sampling.decile_edges(b, RP.n_bins), RP.n_bins)
+
+
+@query(
+    "refine_meta",
+    """SELECT c.session_id, c.keep, c.drop, c.error, c.auto_drop, l.p50_ms, l.p90_ms, l.max_ms, e.decile_boundaries, n.per_decile_count,
+    r.per_decile_keep_rate, f.failed_check_histogram FROM counts_t c JOIN latency_t l ON l.session_id = c.session_id
+    JOIN (SELECT session_id, string_agg(printf('%.6f', round(value, 6)), ',' ORDER BY edge) AS decile_boundaries FROM edges_t GROUP BY 1) e ON e.session_id = c.session_id
+    JOIN (SELECT session_id, string_agg(n, ',' ORDER BY decile) AS per_decile_count FROM
+      (SELECT session_id, decile, count(*) AS n FROM binned_t GROUP BY 1, 2) GROUP BY 1) n ON n.session_id = c.session_id
+    JOIN (SELECT session_id, string_agg(printf('%.6f', round(keep_rate, 6)), ',' ORDER BY decile) AS per_decile_keep_rate FROM rates_t GROUP BY 1) r ON r.session_id = c.session_id
+    LEFT JOIN (SELECT session_id, string_agg(failed_check || '=' || n, ',' ORDER BY failed_check) AS failed_check_histogram FROM
+      (SELECT session_id, failed_check, count(*) AS n FROM verdicts_t WHERE verdict = 'DROP' AND arm = 'selected' GROUP BY 1, 2) GROUP BY 1) f ON f.session_id = c.session_id""",
+)
+def refine_meta(spark, d):
+    b = binned(spark, d)
+    meta = reports.refine_meta(verdicts(spark, d), b, sampling.decile_edges(b, RP.n_bins), RP.n_bins)
+    hist = F.array_join(
+        F.transform(F.map_entries("failed_check_histogram"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ","
+    )
+    rates = F.filter("per_decile_keep_rate", lambda v: v.isNotNull())
+    return meta.select(
+        "session_id", "verdict_counts.keep", "verdict_counts.drop", "verdict_counts.error", "verdict_counts.auto_drop",
+        "latency_summary.p50_ms", "latency_summary.p90_ms", "latency_summary.max_ms", "decile_boundaries", "per_decile_count",
+        rates.alias("per_decile_keep_rate"), hist.alias("failed_check_histogram"),
+    )
+
+
+def content(spark, d):
+    return t.load(spark, d, "documents").select(F.col("doc_id").alias("pk"), F.col("text").alias("original_content"))
+
+
+RULES = f"""CASE {' '.join(f"WHEN NOT contains(lower(text), '{w}') THEN '{c}'" for c, w in CHECKS.items())} END"""
+cte(
+    "judged_t",
+    f"""SELECT s.session_id, s.pk, s.decile, s.arm, CASE WHEN s.arm = 'auto_drop' THEN 'auto_drop_known_intruder' ELSE {RULES} END AS failed_check
+    FROM sample_t s JOIN documents d ON d.doc_id = s.pk""",
+)
+JUDGED = """SELECT session_id, pk, decile, CASE WHEN failed_check IS NULL THEN 'KEEP' ELSE 'DROP' END AS verdict, failed_check,
+CASE WHEN arm = 'selected' THEN '1' END AS evidence_line_indices, CASE WHEN arm = 'selected' THEN 1 ELSE 0 END::BIGINT AS attempts FROM judged_t"""
+JUDGED_COLUMNS = ("session_id", "pk", "decile", "verdict", "failed_check", "evidence_line_indices", "attempts")
+
+
+@query("judge_rules", JUDGED)
+def judge_rules(spark, d):
+    return judging.judge(
+        sample(spark, d), content(spark, d), list(CHECKS), judging.keyword_judge(CHECKS), RP.max_retries
+    ).select(*JUDGED_COLUMNS)
+
+
+def flaky_judge(prompts):
+    """Answers badly for some texts, whatever the attempt."""
+    good = judging.keyword_judge(CHECKS)(prompts)
+    return [None if len(p) % 11 == 0 else ("not json" if len(p) % 7 == 0 else g) for p, g in zip(prompts, good)]
+
+
+@query("judge_sample")
+def judge_sample(spark, d):
+    judged = judging.judge(sample(spark, d), content(spark, d), list(CHECKS), flaky_judge, RP.max_retries)
+    return judging.judge_errors(judged)
+
+
+@query("refine_run", JUDGED)
+def refine_run(spark, d):
+    run = phases.run_refine(
+        cohort(spark, d), excluded(spark, d), known(spark, d), content(spark, d), list(CHECKS), judging.keyword_judge(CHECKS), RP
+    )
+    return run.verdicts.select(*JUDGED_COLUMNS)
+
+
+def long_line_extractor(texts):
+    """The first two lines of at least 40 characters, or an unusable answer when there is none."""
+    out = []
+    for body in texts:
+        hit = [i for i, line in enumerate(body.split("\n")) if len(line) >= 40][:2]
+        out.append(json.dumps(hit) if hit else "none found")
+    return out
+
+
+def extraction(spark, d):
+    rows = t.corpus(spark, d).select("pk", "label", "chunk_content", F.lit("what helps").alias("query"))
+    keyed = rows.withColumn("cache_key", text.cache_key(F.lit("m"), F.lit("v1"), F.col("query"), F.col("chunk_content")))
+    cache = keyed.where("label = 0").select("cache_key", F.array(F.lit(0)).alias("span_line_indices")).dropDuplicates(["cache_key"])
+    return judging.extract_spans(rows, cache, long_line_extractor, "m", "v1")
+
+
+@query(
+    "extract_rules",
+    """WITH r AS (SELECT pk, label, chunk_content, string_split(chunk_content, chr(10)) AS ls FROM corpus),
+    k AS (SELECT chunk_content, bool_or(label = 0) AS cached FROM r GROUP BY 1),
+    s AS (SELECT r.pk, r.ls, CASE WHEN k.cached THEN [0] ELSE ([i - 1 FOR i IN range(1, len(r.ls) + 1) IF length(r.ls[i]) >= 40])[1:2] END AS idx
+      FROM r JOIN k ON k.chunk_content = r.chunk_content)
+    SELECT pk, array_to_string(idx, ',') AS span_line_indices, md5(array_to_string([ls[i + 1] FOR i IN idx], chr(10))) AS span FROM s WHERE len(idx) > 0""",
+)
+def extract_rules(spark, d):
+    return extraction(spark, d)[0].select("pk", "span_line_indices", F.md5("span_text").alias("span"))
+
+
+@query("extract_spans")
+def extract_spans(spark, d):
+    return extraction(spark, d)[1].select("cache_key", "span_line_indices", F.length("span_text").alias("n_chars"))
+
+
+# Rubrics: one per session; odd sessions declare their first check twice.
+cte(
+    "checks_t",
+    """SELECT session_id AS rubric_id, 'check_' || i AS check_id, i AS check_ord FROM (SELECT DISTINCT session_id FROM events_t), range(0, 3) r(i)
+    UNION ALL SELECT DISTINCT session_id, 'check_0', 3 FROM events_t WHERE session_id % 2 = 1""",
+)
+cte(
+    "examples_t",
+    "SELECT n.session_id AS rubric_id, n.pk, n.chunk_content, c.label FROM not_fit_exemplars_t n JOIN corpus c ON c.pk = n.pk",
+)
+
+
+def checks(spark, d):
+    sessions = t.events(spark, d).select(F.col("session_id").alias("rubric_id")).distinct()
+    listed = sessions.select("rubric_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("check_ord")).withColumn(
+        "check_id", F.concat(F.lit("check_"), "check_ord")
+    )
+    twice = sessions.where("rubric_id % 2 = 1").select("rubric_id", F.lit(3).alias("check_ord"), F.lit("check_0").alias("check_id"))
+    return listed.unionByName(twice)
+
+
+def examples(spark, d):
+    rows = ratings.not_fit_exemplars(t.events(spark, d)).select(F.col("session_id").alias("rubric_id"), "pk", "chunk_content")
+    return rows.join(t.corpus(spark, d).select("pk", "label"), "pk").withColumn(
+        "fails", F.array(F.concat(F.lit("check_"), F.col("label") % 4))
+    )
+
+
+@query(
+    "rubric_integrity",
+    """SELECT rubric_id, 'check_' || (label % 4) AS check_id, pk::VARCHAR AS pk, 'unknown_check' AS problem FROM examples_t WHERE label % 4 = 3
+    UNION ALL SELECT rubric_id, check_id, NULL, 'duplicate_check' FROM checks_t GROUP BY 1, 2 HAVING count(*) > 1""",
+)
+def rubric_integrity(spark, d):
+    return judging.rubric_integrity(examples(spark, d), checks(spark, d))
+
+
+@query(
+    "rubric_examples",
+    r"""SELECT rubric_id, pk, coalesce(nullif(array_to_string(([s FOR s IN
+      [regexp_replace(regexp_replace(l, '^\s+', ''), '\s+$', '') FOR l IN string_split(chunk_content, chr(10))] IF s <> ''])[1:3], ' / '), ''), '(empty)') AS span_text,
+    CASE WHEN label <> 5 THEN 'check_' || (label % 4) ELSE 'check_0' END AS fails FROM examples_t""",
+)
+def rubric_examples(spark, d):
+    rows = examples(spark, d)
+    return judging.annotate_not_fits(rows.drop("fails"), rows.where("label <> 5"), checks(spark, d))
+
+
+def rubrics(spark, d):
+    per = t.events(spark, d).select("session_id").distinct()
+    return per.select(
+        "session_id", (1 + F.col("session_id") % 3).cast("int").alias("rubric_version"),
+        F.sha2(F.concat(F.lit("rubric of session "), F.col("session_id").cast("string")), 256).alias("prompt_sha256"),
+    )
+
+
+@query(
+    "rubric_pin",
+    "SELECT DISTINCT session_id, 1 + session_id % 3 AS rubric_version, sha256('rubric of session ' || session_id) AS prompt_sha256 FROM events_t",
+)
+def rubric_pin(spark, d):
+    return rubrics(spark, d)
+
+
+def diverse_sql(items: str, k: int, prefix: str) -> str:
+    """Farthest-first picks, one step at a time."""
+    parts = [
+        f"{prefix}1 AS (SELECT grp, ord, vec, 1 AS pick FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY ord) AS n FROM {items}) WHERE n = 1)"
+    ]
+    for i in range(1, k):
+        parts.append(
+            f"""{prefix}{i + 1} AS (SELECT * FROM {prefix}{i} UNION ALL SELECT grp, ord, vec, {i + 1} FROM
+            (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY d DESC, ord) AS n FROM
+            (SELECT a.grp, a.ord, a.vec, round(min({dist('a.vec', 'p.vec')}), 11) AS d FROM {items} a JOIN {prefix}{i} p ON p.grp = a.grp
+            WHERE NOT EXISTS (SELECT 1 FROM {prefix}{i} q WHERE q.grp = a.grp AND q.ord = a.ord) GROUP BY a.grp, a.ord, a.vec)) WHERE n = 1)"""
+        )
+    return ", ".join(parts)
+
+
+@query(
+    "diverse_select",
+    f"""WITH items AS (SELECT session_id AS grp, fit_ord AS ord, span AS vec FROM anchors_t), {diverse_sql('items', 4, 'p')}
+    SELECT grp AS session_id, ord, pick::BIGINT AS pick FROM p4""",
+)
+def diverse_select(spark, d):
+    items = t.anchors(spark, d).select("session_id", F.col("fit_ord").alias("ord"), F.col("span").alias("vec"))
+    return sampling.diverse(items, 4).select("session_id", "ord", "pick")
+
+
+@query(
+    "exemplar_cap",
+    f"""WITH items AS (SELECT a.session_id * 100 + c.label AS grp, a.fit_ord AS ord, a.span AS vec FROM anchors_t a JOIN corpus c ON c.pk = a.fit_pk),
+    sizes AS (SELECT grp, count(*) AS n FROM items GROUP BY grp), big AS (SELECT i.* FROM items i JOIN sizes s ON s.grp = i.grp WHERE s.n > 3),
+    {diverse_sql('big', 3, 'p')} SELECT i.grp, i.ord FROM items i JOIN sizes s ON s.grp = i.grp WHERE s.n <= 3 UNION ALL SELECT grp, ord FROM p3""",
+)
+def exemplar_cap(spark, d):
+    items = t.anchors(spark, d).join(t.corpus(spark, d).select(F.col("pk").alias("fit_pk"), "label"), "fit_pk").select(
+        (F.col("session_id") * 100 + F.col("label")).alias("grp"), F.col("fit_ord").alias("ord"), F.col("span").alias("vec")
+    )
+    return sampling.exemplar_cap(items, 3, group="grp").select("grp", "ord")

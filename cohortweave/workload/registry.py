@@ -63,7 +63,7 @@ def tidy(df: DataFrame) -> DataFrame:
         elif isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
             col = F.round(col.cast("double"), 6)
         elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.DoubleType, T.FloatType)):
-            col = F.array_join(F.transform(col, lambda v: F.format_number(v, "0.000000")), ",")
+            col = F.array_join(F.transform(col, lambda v: F.format_string("%.6f", v)), ",")
         elif isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, (T.StructType, T.ArrayType)):
             col = F.array_join(col.cast("array<string>"), ",")
         elif isinstance(kind, (T.StructType, T.MapType, T.ArrayType)):
