@@ -1 +1,506 @@
+"""Classifier, threshold, projection and export queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import vectors
+from ..operators import evaluation as ev, modelling as md, reports, sampling
+from ..params import ApplyParams
+from ..plans import phases
+from ..session import cut, scratch_path, staged
+from ..sources import stores
+from . import tables as t
+from .harvest_queries import cohort
+from .refine_queries import rubrics, verdicts
+from .registry import cte, query
+from .sessions_queries import timing
+
+AP = ApplyParams(embedding_dim=64)
+S = t.SESSION_SIZE
+
+# Held-out scores of every labelled document, five repeats, by a fixed formula.
+cte(
+    "pool_t",
+    f"""SELECT doc_id // {S} AS session_id, doc_id AS pk, quality AS label, rep, ((doc_id * 37 + rep * 11) % 101) / 100.0::DOUBLE AS p_keep
+    FROM labels, range(1, 6) r(rep)""",
+)
+cte("scored_t", f"SELECT doc_id // {S} AS session_id, doc_id AS pk, quality AS label, (doc_id * 37 % 101) / 100.0::DOUBLE AS p_keep FROM labels")
+
+
+def pool(spark, d):
+    rows = t.load(spark, d, "labels").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(5))))
+    return rows.select(
+        F.floor(F.col("doc_id") / S).alias("session_id"), F.col("doc_id").alias("pk"), F.col("quality").alias("label"), "rep",
+        (((F.col("doc_id") * 37 + F.col("rep") * 11) % 101) / 100.0).alias("p_keep"),
+    )
+
+
+def scored(spark, d):
+    return t.load(spark, d, "labels").select(
+        F.floor(F.col("doc_id") / S).alias("session_id"), F.col("doc_id").alias("pk"), F.col("quality").alias("label"),
+        ((F.col("doc_id") * 37 % 101) / 100.0).alias("p_keep"),
+    )
+
+
+RATES = "coalesce(tp / nullif(tp + fp, 0), 0.0)", "coalesce(tp / nullif(tp + fn, 0), 0.0)"
+COUNTS = """count(*) FILTER (p_keep >= {0} AND label = 1) AS tp, count(*) FILTER (p_keep >= {0} AND label <> 1) AS fp,
+count(*) FILTER (p_keep < {0} AND label = 1) AS fn, count(*) FILTER (p_keep < {0} AND label <> 1) AS tn"""
+
+
+@query("confusion", f"SELECT session_id, {COUNTS.format(0.7)} FROM scored_t GROUP BY session_id")
+def confusion(spark, d):
+    return ev.confusion(scored(spark, d), 0.7)
+
+
+@query(
+    "confusion_from_rates",
+    f"SELECT session_id, {COUNTS.format(0.7)} FROM scored_t GROUP BY session_id HAVING count(*) FILTER (label = 1) > 0",
+)
+def confusion_from_rates(spark, d):
+    rates = ev.precision_recall_at(scored(spark, d), 0.7)
+    sizes = scored(spark, d).groupBy("session_id").agg(
+        F.count_if(F.col("label") == 1).alias("keep_n"), F.count_if(F.col("label") != 1).alias("drop_n")
+    )
+    return ev.confusion_from_rates(rates.join(sizes, "session_id")).select("session_id", "tp", "fp", "fn", "tn")
+
+
+@query(
+    "pr_at_threshold",
+    f"SELECT session_id, round({RATES[0]}, 6) AS precision, round({RATES[1]}, 6) AS recall FROM (SELECT session_id, {COUNTS.format(0.7)} FROM pool_t GROUP BY session_id)",
+)
+def pr_at_threshold(spark, d):
+    return ev.precision_recall_at(pool(spark, d), 0.7)
+
+
+cte(
+    "curve_t",
+    """SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY threshold) - 1 AS position, count(*) OVER (PARTITION BY session_id) AS points,
+    threshold, at_pos / at_n AS precision, coalesce(at_pos / nullif(all_pos, 0), 1.0) AS recall FROM
+    (SELECT session_id, threshold, sum(n) OVER w AS at_n, sum(pos) OVER w AS at_pos, sum(pos) OVER (PARTITION BY session_id) AS all_pos FROM
+    (SELECT session_id, p_keep AS threshold, count(*) AS n, sum(label) AS pos FROM pool_t GROUP BY 1, 2)
+    WINDOW w AS (PARTITION BY session_id ORDER BY threshold DESC))""",
+)
+cte(
+    "thin_t",
+    "SELECT * FROM curve_t WHERE points <= 30 OR position % greatest(1, points // 30) = 0 OR position = points - 1",
+)
+
+
+@query(
+    "pr_curve",
+    "SELECT session_id, position, threshold, round(precision, 6) AS precision, round(recall, 6) AS recall FROM thin_t",
+)
+def pr_curve(spark, d):
+    return ev.pr_curve(pool(spark, d), 30)
+
+
+cte("chosen_t", "SELECT session_id, min(threshold) FILTER (precision >= 0.87) AS threshold FROM curve_t GROUP BY session_id")
+
+
+@query("threshold_select", "SELECT session_id, threshold FROM chosen_t")
+def threshold_select(spark, d):
+    return ev.select_threshold(pool(spark, d), 0.87)
+
+
+@query(
+    "cv_precision",
+    """SELECT session_id, round(avg(p), 6) AS cv_precision_mean, round(stddev_pop(p), 6) AS cv_precision_std FROM
+    (SELECT o.session_id, o.rep, coalesce(count(*) FILTER (p_keep >= coalesce(c.threshold, 0.7) AND label = 1)
+      / nullif(count(*) FILTER (p_keep >= coalesce(c.threshold, 0.7)), 0), 0.0) AS p
+    FROM pool_t o JOIN chosen_t c ON c.session_id = o.session_id GROUP BY 1, 2) GROUP BY session_id""",
+)
+def cv_precision(spark, d):
+    p = pool(spark, d)
+    return ev.cv_precision(p, ev.select_threshold(p, 0.87), 0.7)
+
+
+@query(
+    "per_row_p",
+    f"""WITH held AS (SELECT * FROM pool_t WHERE pk NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))
+    SELECT l.doc_id // {S} AS session_id, l.doc_id AS pk, round(coalesce(m.p, f.p), 6) AS p_keep FROM labels l
+    LEFT JOIN (SELECT pk, avg(p_keep) AS p FROM held GROUP BY pk) m ON m.pk = l.doc_id
+    LEFT JOIN (SELECT session_id, avg(p_keep) AS p FROM held GROUP BY session_id) f ON f.session_id = l.doc_id // {S}""",
+)
+def per_row_p(spark, d):
+    rows = scored(spark, d).select("session_id", "pk")
+    toxic = t.load(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("pk"))
+    return ev.per_row_p(rows, pool(spark, d).join(toxic, "pk", "left_anti"))
+
+
+@query(
+    "threshold_suggestions",
+    """WITH f AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) AS f1 FROM thin_t),
+    picks AS (SELECT session_id, 'max_f1' AS label, (list(position ORDER BY f1 DESC, position))[1] AS at FROM f GROUP BY 1
+      UNION ALL SELECT session_id, 'p90', coalesce(min(position) FILTER (precision >= 0.9), max(position)) FROM f GROUP BY 1
+      UNION ALL SELECT session_id, 'p95', coalesce(min(position) FILTER (precision >= 0.95), max(position)) FROM f GROUP BY 1)
+    SELECT p.session_id, p.label, least(1.0, greatest(0.0, floor(f.threshold * 100 + 0.5) / 100)) AS tau, round(f.precision, 6) AS precision,
+    round(f.recall, 6) AS recall, round(f.f1, 6) AS f1 FROM picks p JOIN f ON f.session_id = p.session_id AND f.position = p.at""",
+)
+def threshold_suggestions(spark, d):
+    return ev.threshold_suggestions(ev.pr_curve(pool(spark, d), 30))
+
+
+@query(
+    "score_hist",
+    """SELECT g.session_id, g.bin, count(s.pk) FILTER (s.label = 1) AS pos, count(s.pk) FILTER (s.label <> 1) AS neg FROM
+    (SELECT DISTINCT session_id, unnest(range(0, 25)) AS bin FROM scored_t) g LEFT JOIN scored_t s ON s.session_id = g.session_id
+    AND least(24, greatest(0, floor(s.p_keep * 25))) = g.bin GROUP BY 1, 2""",
+)
+def score_hist(spark, d):
+    return ev.score_histogram(scored(spark, d))
+
+
+cte(
+    "cohort_scored",
+    """SELECT c.session_id, c.pk, c.nearest_fit_distance, (c.pk * 37 % 101) / 100.0::DOUBLE AS p_keep,
+    CASE WHEN n // 10 = 0 THEN 9 ELSE least((place - 1) // (n // 10), 9) END AS decile FROM
+    (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY nearest_fit_distance, pk::VARCHAR) AS place, count(*) OVER (PARTITION BY session_id) AS n
+    FROM cohort_t) c""",
+)
+PROJECTION = """SELECT g.session_id, g.decile, round(count(s.pk) FILTER (s.p_keep >= {0}) / nullif(count(s.pk), 0), 6) AS keep_rate, g.keep, g.total - g.keep AS drop, g.total FROM
+(SELECT session_id, count(*) FILTER (p_keep >= {0}) AS keep, count(*) AS total, unnest(range(0, 10)) AS decile FROM cohort_scored GROUP BY session_id) g
+LEFT JOIN cohort_scored s ON s.session_id = g.session_id AND s.decile = g.decile GROUP BY ALL"""
+
+
+def scored_cohort(spark, d):
+    return cohort(spark, d).select(
+        "session_id", "pk", "nearest_fit_distance", ((F.col("pk") * 37 % 101) / 100.0).alias("p_keep")
+    )
+
+
+@query("cohort_projection", PROJECTION.format(0.6))
+def cohort_projection(spark, d):
+    return ev.project(sampling.decile_bins(scored_cohort(spark, d), 10), 0.6)
+
+
+@query("calibrate", PROJECTION.format(0.52))
+def calibrate(spark, d):
+    return phases.apply_calibrate(scored_cohort(spark, d), 0.52, AP)[0]
+
+
+@query(
+    "borderline",
+    """SELECT session_id, pk, p_keep FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY md5('0:' || pk), pk) AS d FROM
+    (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY abs(p_keep - 0.7), pk) AS place, count(*) OVER (PARTITION BY session_id) AS n
+    FROM cohort_scored WHERE p_keep BETWEEN 0.7 - 0.05 AND 0.7 + 0.05) WHERE n <= 10 OR place <= greatest(30, n // 2)) WHERE d <= 10""",
+)
+def borderline(spark, d):
+    return sampling.borderline(scored_cohort(spark, d), 0.7).select("session_id", "pk", "p_keep")
+
+
+# Training frame of the judged sample.
+cte(
+    "train_t",
+    """SELECT v.session_id, v.pk, (v.verdict = 'KEEP')::INTEGER AS label, v.decile, v.nearest_fit_distance, c.dense
+    FROM verdicts_t v JOIN corpus c ON c.pk = v.pk WHERE v.verdict IN ('KEEP', 'DROP')""",
+)
+cte(
+    "scaler_t",
+    """SELECT session_id, avg(nearest_fit_distance) AS scaler_mean, greatest(stddev_pop(nearest_fit_distance), 1e-12) AS scaler_scale
+    FROM train_t GROUP BY session_id""",
+)
+cte(
+    "models_t",
+    """SELECT q.query_id AS session_id, list_append(q.dense, 0.5::DOUBLE) AS coef, 0.1::DOUBLE * q.query_id AS intercept, s.scaler_mean, s.scaler_scale
+    FROM queries_t q JOIN scaler_t s ON s.session_id = q.query_id""",
+)
+cte(
+    "labelled_t",
+    """SELECT c.session_id, c.pk, c.nearest_fit_distance, 1.0 / (1.0 + exp(-(list_dot_product(list_append(v.dense, (c.nearest_fit_distance - m.scaler_mean) / m.scaler_scale), m.coef)
+    + m.intercept))) AS p_keep FROM cohort_t c JOIN corpus v ON v.pk = c.pk JOIN models_t m ON m.session_id = c.session_id""",
+)
+
+
+def training_rows(spark, d):
+    return md.with_embeddings(md.labelled(verdicts(spark, d)), t.corpus_vectors(spark, d)).select(
+        "session_id", "pk", "label", "decile", "nearest_fit_distance", "dense"
+    )
+
+
+def frame(spark, d):
+    def build():
+        rows = training_rows(spark, d)
+        return md.feature_frame(rows, md.fit_scaler(rows))
+
+    return staged(spark, f"frame:{d}", build)
+
+
+def fixed_models(spark, d):
+    """Classifiers with given weights: the session's query vector, 0.5 for the distance."""
+    scaler = md.fit_scaler(training_rows(spark, d))
+    return t.queries(spark, d).select(
+        F.col("query_id").alias("session_id"), F.array_append("dense", F.lit(0.5)).alias("coef"),
+        (F.lit(0.1) * F.col("query_id")).alias("intercept"), F.array(F.lit(0), F.lit(1)).alias("classes"),
+    ).join(scaler, "session_id")
+
+
+@query(
+    "training_frame",
+    "SELECT session_id, pk, label::BIGINT AS label, decile, round(nearest_fit_distance, 6) AS nearest_fit_distance, round(list_sum(dense), 6) AS total FROM train_t",
+)
+def training_frame(spark, d):
+    return training_rows(spark, d).withColumn("total", F.aggregate("dense", F.lit(0.0), lambda s, x: s + x)).drop("dense")
+
+
+@query(
+    "cohort_frame",
+    """SELECT session_id, count(*) AS cohort_rows, count(*) FILTER (pk IN (SELECT pk FROM corpus WHERE label <> 9)) AS with_vector,
+    count(*) FILTER (pk NOT IN (SELECT pk FROM corpus WHERE label <> 9)) AS dropped FROM cohort_t GROUP BY session_id""",
+)
+def cohort_frame(spark, d):
+    store = t.load(spark, d, "embeddings").where("label <> 9").select(
+        F.col("vec_id").alias("pk"), F.col("embedding").cast("array<double>").alias("dense")
+    )
+    rows = cohort(spark, d)
+    have = md.with_embeddings(rows, store).groupBy("session_id").agg(F.count("*").alias("with_vector"))
+    gone = md.missing_embeddings(rows, store).groupBy("session_id").agg(F.count("*").alias("dropped"))
+    total = rows.groupBy("session_id").agg(F.count("*").alias("cohort_rows"))
+    return total.join(have, "session_id", "left").join(gone, "session_id", "left").fillna(0)
+
+
+@query(
+    "class_balance",
+    """SELECT session_id, count(*) FILTER (label = 1) AS keep, count(*) FILTER (label = 0) AS drop,
+    least(count(*) FILTER (label = 1), count(*) FILTER (label = 0)) >= 5 AS enough FROM train_t GROUP BY session_id""",
+)
+def class_balance(spark, d):
+    return md.require_balance(frame(spark, d), AP.n_splits)
+
+
+@query("fit_scaler", "SELECT session_id, round(scaler_mean, 6) AS scaler_mean, round(scaler_scale, 6) AS scaler_scale FROM scaler_t")
+def fit_scaler(spark, d):
+    return md.fit_scaler(training_rows(spark, d))
+
+
+@query(
+    "stack_features",
+    """SELECT t.session_id, t.pk, len(t.dense) + 1 AS dim, round((t.nearest_fit_distance - s.scaler_mean) / s.scaler_scale, 6) AS scaled
+    FROM train_t t JOIN scaler_t s ON s.session_id = t.session_id""",
+)
+def stack_features(spark, d):
+    rows = training_rows(spark, d)
+    return md.feature_frame(rows, md.fit_scaler(rows)).select(
+        "session_id", "pk", F.size("features").alias("dim"), F.element_at("features", -1).alias("scaled")
+    )
+
+
+@query("score_params", "SELECT session_id, pk, round(p_keep, 6) AS p_keep FROM labelled_t")
+def score_params(spark, d):
+    return phases.score_cohort(cohort(spark, d), t.corpus_vectors(spark, d), fixed_models(spark, d), 0.7).select(
+        "session_id", "pk", "p_keep"
+    )
+
+
+@query(
+    "apply_labels",
+    "SELECT session_id, pk, CASE WHEN p_keep >= 0.6 THEN 'KEEP' ELSE 'DROP' END AS verdict, round(p_keep, 6) AS p_keep FROM labelled_t",
+)
+def apply_labels(spark, d):
+    path = scratch_path(spark, "labels")
+    stores.write_labels(phases.score_cohort(cohort(spark, d), t.corpus_vectors(spark, d), fixed_models(spark, d), 0.6), path)
+    return stores.read_labels(spark, path)
+
+
+def pinned_models(spark, d):
+    pins = rubrics(spark, d)
+    return fixed_models(spark, d).withColumn("threshold", 0.5 + F.col("session_id") * 0.01).join(pins, "session_id")
+
+
+@query(
+    "reuse_classifier",
+    """SELECT session_id, pk, CASE WHEN p_keep >= 0.5 + session_id * 0.01::DOUBLE THEN 'KEEP' ELSE 'DROP' END AS verdict, round(p_keep, 6) AS p_keep FROM labelled_t""",
+)
+def reuse_classifier(spark, d):
+    return phases.apply_reuse(
+        cohort(spark, d), t.corpus_vectors(spark, d), pinned_models(spark, d), rubrics(spark, d), AP
+    ).select("session_id", "pk", "verdict", "p_keep")
+
+
+@query(
+    "rubric_pin_guard",
+    """SELECT session_id, session_id % 4 NOT IN (1, 2) AS accepted, CASE session_id % 4 WHEN 1 THEN 'prompt_sha256' WHEN 2 THEN 'rubric_version' END AS mismatch FROM models_t""",
+)
+def rubric_pin_guard(spark, d):
+    current = rubrics(spark, d).select(
+        "session_id",
+        F.when(F.col("session_id") % 4 == 1, "other").otherwise(F.col("prompt_sha256")).alias("prompt_sha256"),
+        F.when(F.col("session_id") % 4 == 2, F.col("rubric_version") + 1).otherwise(F.col("rubric_version")).alias("rubric_version"),
+    )
+    return md.pin_guard(pinned_models(spark, d), current)
+
+
+cte("taus_t", f"SELECT DISTINCT doc_id // {S} AS session_id, 0.3 + 0.1 * (doc_id // {S} % 4) AS threshold FROM labels")
+cte(
+    "final_t",
+    """SELECT p.session_id, x.threshold, coalesce(count(*) FILTER (p_keep >= x.threshold AND label = 1) / nullif(count(*) FILTER (p_keep >= x.threshold), 0), 0.0) AS precision,
+    coalesce(count(*) FILTER (p_keep >= x.threshold AND label = 1) / nullif(count(*) FILTER (label = 1), 0), 0.0) AS recall
+    FROM pool_t p JOIN (SELECT session_id, threshold::DOUBLE + 0.005 AS threshold FROM taus_t) x ON x.session_id = p.session_id GROUP BY 1, 2""",
+)
+
+
+def finals(spark, d):
+    taus = scored(spark, d).select("session_id").distinct().withColumn(
+        "threshold", 0.3 + 0.1 * (F.col("session_id") % 4) + 0.005
+    )
+    return ev.final_metrics(pool(spark, d), taus)
+
+
+@query(
+    "final_metrics",
+    "SELECT session_id, round(threshold, 6) AS threshold, round(precision, 6) AS precision, round(recall, 6) AS recall FROM final_t",
+)
+def final_metrics(spark, d):
+    return finals(spark, d)
+
+
+@query(
+    "precision_bar",
+    """SELECT session_id, round(precision, 6) AS precision, CASE WHEN precision >= 0.85 THEN 'agree' ELSE 'refused' END AS operator_decision FROM final_t""",
+)
+def precision_bar(spark, d):
+    return md.precision_bar(finals(spark, d), 0.85).select("session_id", "precision", "operator_decision")
+
+
+cte(
+    "folds_t",
+    """SELECT session_id, rep, pk, label, (row_number() OVER (PARTITION BY session_id, rep, label ORDER BY md5('0:' || rep || ':' || pk), pk) - 1) % 5 AS fold
+    FROM train_t, range(1, 6) r(rep)""",
+)
+
+
+@query("kfold_assign", "SELECT session_id, rep, pk, label::BIGINT AS label, fold FROM folds_t")
+def kfold_assign(spark, d):
+    rows = frame(spark, d).select("session_id", "pk", "label")
+    return md.kfold_assign(rows, AP.n_splits, AP.n_repeats, AP.seed).select("session_id", "rep", "pk", "label", "fold")
+
+
+@query(
+    "kfold_pool",
+    "SELECT session_id, rep, fold, count(*) AS n, sum(label)::BIGINT AS keep, true AS proper FROM folds_t GROUP BY 1, 2, 3",
+)
+def kfold_pool(spark, d):
+    held = md.kfold_pool(frame(spark, d), AP)
+    return held.groupBy("session_id", "rep", "fold").agg(
+        F.count("*").alias("n"), F.sum("label").alias("keep"), F.bool_and(F.col("p_keep").between(1e-9, 1 - 1e-9)).alias("proper")
+    )
+
+
+@query(
+    "train_lr",
+    """SELECT session_id, count(*) AS n_train, sum(label)::BIGINT AS n_keep, count(*) - sum(label)::BIGINT AS n_drop, true AS optimal FROM train_t GROUP BY session_id""",
+)
+def train_lr(spark, d):
+    """The fitted weights make the gradient of the penalised, balanced loss vanish."""
+    rows = frame(spark, d)
+    models = cut(md.train(rows))
+    joined = rows.join(models, "session_id")
+    p = vectors.logistic(F.col("features"), F.col("coef"), F.col("intercept"))
+    share = F.when(F.col("label") == 1, F.col("n_train") / (2 * F.col("n_keep"))).otherwise(F.col("n_train") / (2 * F.col("n_drop")))
+    pulled = joined.select(
+        "session_id", "n_train", "n_keep", "n_drop", (share * (p - F.col("label"))).alias("g"),
+        F.posexplode(F.array_append("features", F.lit(1.0))).alias("i", "x"),
+        F.array_append("coef", F.col("intercept")).alias("w"),
+    )
+    grads = pulled.groupBy("session_id", "n_train", "n_keep", "n_drop", "i").agg(
+        (F.sum(F.col("g") * F.col("x")) + F.first(F.element_at("w", F.col("i") + 1))).alias("grad")
+    )
+    return grads.groupBy("session_id", "n_train", "n_keep", "n_drop").agg((F.max(F.abs("grad")) < 1e-6).alias("optimal"))
+
+
+@query("classifier_roundtrip", "SELECT session_id, len(coef) AS dim, true AS same FROM models_t")
+def classifier_roundtrip(spark, d):
+    path = scratch_path(spark, "classifier")
+    models = pinned_models(spark, d).withColumn("n_train", F.lit(1).cast("long")).withColumn(
+        "n_keep", F.lit(1).cast("long")
+    ).withColumn("n_drop", F.lit(0).cast("long"))
+    stores.write_classifiers(models, path)
+    back = md.checked_models(stores.read_classifiers(spark, path), AP.embedding_dim)
+    both = back.alias("b").join(models.alias("m"), "session_id")
+    same = (F.col("b.coef") == F.col("m.coef")) & (F.col("b.intercept") == F.col("m.intercept")) & (
+        F.col("b.threshold") == F.col("m.threshold")
+    )
+    return both.select("session_id", F.size("b.coef").alias("dim"), same.alias("same"))
+
+
+def applied(spark, d):
+    return phases.apply_train(verdicts(spark, d), t.corpus_vectors(spark, d), AP)
+
+
+@query(
+    "apply_run",
+    """SELECT c.session_id, c.n AS total, t.n AS training_n FROM (SELECT session_id, count(*) AS n FROM cohort_t GROUP BY 1) c
+    JOIN (SELECT session_id, count(*) AS n FROM train_t GROUP BY 1) t ON t.session_id = c.session_id""",
+)
+def apply_run(spark, d):
+    a = applied(spark, d)
+    scores = cut(phases.score_cohort(cohort(spark, d), t.corpus_vectors(spark, d), a.models, 0.52))
+    labels, _ = phases.apply_finalize(a, scores, 0.52, AP, allow_low_precision=True)
+    return labels.groupBy("session_id").agg(F.count("*").alias("total")).join(
+        a.models.select("session_id", F.col("n_train").alias("training_n")), "session_id"
+    )
+
+
+@query("apply_meta")
+def apply_meta(spark, d):
+    a = applied(spark, d)
+    scores = cut(phases.score_cohort(cohort(spark, d), t.corpus_vectors(spark, d), a.models, 0.52))
+    labels, decision = phases.apply_finalize(a, scores, 0.52, AP, allow_low_precision=True)
+    return reports.apply_meta(cohort(spark, d), labels, a.frame, decision, a.models)
+
+
+# Export: keys carry user and counselor ids, some are malformed; Spanish texts are missing from the store.
+KEY = "CASE WHEN d.source LIKE '%5' THEN 'x' || d.doc_id ELSE (d.doc_id * 7) || '-' || (d.doc_id % 13) || '-' || d.doc_id || '-pre-p' END"
+cte(
+    "export_t",
+    rf"""SELECT c.session_id, {KEY} AS pk, CASE WHEN c.p_keep >= 0.5 THEN 'KEEP' ELSE 'DROP' END AS label,
+    CASE WHEN d.source LIKE '%5' THEN '' ELSE (d.doc_id * 7)::VARCHAR END AS user_id, CASE WHEN d.source LIKE '%5' THEN '' ELSE (d.doc_id % 13)::VARCHAR END AS counselor_id,
+    CASE WHEN d.lang = 'es' THEN '' ELSE d.text END AS original_content, d.lang = 'es' AS missing FROM cohort_scored c JOIN documents d ON d.doc_id = c.pk""",
+)
+
+
+def export(spark, d):
+    docs = t.load(spark, d, "documents")
+    key = F.when(F.col("source").like("%5"), F.concat(F.lit("x"), "doc_id")).otherwise(
+        F.concat_ws("-", (F.col("doc_id") * 7).cast("string"), (F.col("doc_id") % 13).cast("string"), F.col("doc_id").cast("string"), F.lit("pre"), F.lit("p"))
+    )
+    keyed = docs.select("doc_id", key.alias("key"), "lang", "text")
+    labels = scored_cohort(spark, d).join(keyed, F.col("pk") == F.col("doc_id")).select(
+        "session_id", F.col("key").alias("pk"), md.verdict_at(F.col("p_keep"), F.lit(0.5)).alias("verdict")
+    )
+    content = keyed.select(F.col("key").alias("pk"), F.when(F.col("lang") != "es", F.col("text")).alias("original_content"))
+    return reports.labelled_export(labels, content)
+
+
+@query(
+    "labelled_export",
+    "SELECT session_id, pk, user_id, counselor_id, md5(original_content) AS content, label, missing FROM export_t",
+)
+def labelled_export(spark, d):
+    return export(spark, d).withColumn("content", F.md5("original_content")).drop("original_content")
+
+
+@query("export_csv", "SELECT user_id, counselor_id, md5(original_content) AS content, label FROM export_t")
+def export_csv(spark, d):
+    path = scratch_path(spark, "export")
+    stores.write_export(export(spark, d), path)
+    back = spark.read.option("multiLine", True).csv(
+        path, header=True, escape='"', schema="user_id STRING, counselor_id STRING, original_content STRING, label STRING"
+    )
+    return back.select(
+        F.coalesce("user_id", F.lit("")).alias("user_id"), F.coalesce("counselor_id", F.lit("")).alias("counselor_id"),
+        F.md5(F.coalesce("original_content", F.lit(""))).alias("content"), "label",
+    )
+
+
+@query(
+    "export_metadata",
+    """SELECT e.session_id, coalesce(t.session_start, '') AS session_start, coalesce(t.session_end, '') AS session_end, e.n_chunks_total, e.n_keep, e.n_drop,
+    round(f.threshold, 6) AS threshold, round(f.precision, 6) AS precision_at_threshold, e.n_missing_content FROM
+    (SELECT session_id, count(*) AS n_chunks_total, count(*) FILTER (label = 'KEEP') AS n_keep, count(*) FILTER (label = 'DROP') AS n_drop,
+    count(*) FILTER (missing) AS n_missing_content FROM export_t GROUP BY session_id) e LEFT JOIN timing_t t ON t.session_id = e.session_id
+    LEFT JOIN final_t f ON f.session_id = e.session_id""",
+)
+def export_metadata(spark, d):
+    metrics = finals(spark, d).select("session_id", "threshold", F.col("precision").alias("precision_at_threshold"))
+    return reports.export_metadata(export(spark, d), timing(spark, d), metrics)
