@@ -93,9 +93,9 @@ def union_spans(left: Column, right: Column) -> Column:
 
 
 def merged_reason(left: Column, right: Column) -> Column:
-    """Reasons of the sources that answered, joined by `` | ``."""
-    texts = F.filter(F.array(left, right), lambda r: r.isNotNull() & (r != ""))
-    return F.array_join(texts, " | ")
+    """Both reasons labelled by source, or the one of the source that answered."""
+    both = F.concat(F.lit("[primary] "), left, F.lit(" || [secondary] "), right)
+    return F.when(left.isNotNull() & right.isNotNull(), both).otherwise(F.coalesce(left, right))
 
 
 def json_body(raw: Column) -> Column:

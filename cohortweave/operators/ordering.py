@@ -83,7 +83,9 @@ def quantiles(
         return df.groupBy(*keys).agg(
             *[F.percentile(value, F.lit(q)).alias(name) for name, q in points.items()], F.count(value).alias("n")
         )
-    ranked = prefix(df.where(F.col(value).isNotNull()), keys, [F.col(value).asc()], small_group=small_group)
+    # The tie column lets a run of equal values spread over several ranges.
+    present = df.where(F.col(value).isNotNull()).select(*keys, value, F.monotonically_increasing_id().alias("_tie"))
+    ranked = prefix(present, keys, [F.col(value).asc(), F.col("_tie").asc()], small_group=small_group)
     sizes = df.groupBy(*keys).agg(F.count(value).alias("n"))
     marks = sizes.select(
         *keys,
