@@ -99,7 +99,9 @@ def against(
     left = large.withColumn("_slice", F.pmod(F.xxhash64(slice_key), F.lit(n_slices)).cast("int")).withColumn(
         "_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
     )
-    right = bounded.withColumn("_block", F.pmod(F.xxhash64(*block_key), F.lit(n_blocks)).cast("int")).withColumn(
+    # Fresh column identities, so that a table can meet itself.
+    fresh = bounded.select(*[F.col(c).alias(c) for c in bounded.columns])
+    right = fresh.withColumn("_block", F.pmod(F.xxhash64(*block_key), F.lit(n_blocks)).cast("int")).withColumn(
         "_slice", F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1)))
     )
 
