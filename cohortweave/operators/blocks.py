@@ -21,7 +21,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 # 64 MiB of 1024-d doubles.
 MAX_BLOCK_ROWS = 8192
-ROWS_PER_SLICE = 500_000
+ROWS_PER_SLICE = 50_000
+# Entries of one rows-by-block distance matrix (32 MiB of doubles).
+MAX_CELLS = 4_000_000
 # Distances are compared on this grid so that block shapes cannot change a result.
 GRID = 12
 
@@ -61,6 +63,14 @@ def similarities(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
     return np.round(np.clip(rows @ others.T, -1.0, 1.0), GRID)
 
 
+def pieces(batches: Batches, width: int) -> Batches:
+    """The batches, sliced so that rows times ``width`` stays within one matrix."""
+    step = max(1, MAX_CELLS // max(1, width))
+    for rows in batches:
+        for start in range(0, rows.num_rows, step):
+            yield rows.slice(start, step)
+
+
 def groups(keys: np.ndarray) -> Iterator[tuple[object, np.ndarray]]:
     """Key values with the row positions they occupy, in input order."""
     for key in dict.fromkeys(keys.tolist()):
@@ -126,30 +136,95 @@ def nearest_rows(queries: pa.Table, schema: pa.Schema):
     targets = unit(matrix(queries["dense"]))
 
     def run(batches: Batches) -> Batches:
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0))] * len(ids)
-        for rows in batches:
-            if rows.num_rows == 0:
-                continue
-            keys = values(rows.column("pk"))
-            sims = similarities(unit(matrix(rows.column("dense"))), targets)
-            for j, k in enumerate(depth):
-                score, pk = best[j]
-                floor = score[-1] if len(score) == k else -np.inf
-                new = np.flatnonzero(sims[:, j] >= floor)
-                score = np.concatenate([score, sims[new, j]])
-                pk = np.concatenate([pk.astype(keys.dtype), keys[new]])
-                order = np.lexsort((pk, -score))[:k]
-                best[j] = (score[order], pk[order])
-        sizes = [len(score) for score, _ in best]
+        top = RunningTop(ids, depth)
+        for rows in pieces(batches, len(ids)):
+            top.add(values(rows.column("pk")), similarities(unit(matrix(rows.column("dense"))), targets))
+        yield from top.rows(schema)
+
+    return run
+
+
+class RunningTop:
+    """The best ``depth`` rows of every query so far; ties go to the smaller key."""
+
+    def __init__(self, ids: np.ndarray, depth: np.ndarray) -> None:
+        self.ids, self.depth = ids, depth
+        self.best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0))] * len(ids)
+        self.floor = np.full(len(ids), -np.inf)
+
+    def add(self, keys: np.ndarray, scores: np.ndarray, above: float = -np.inf) -> None:
+        """Offer rows; scores at or below ``above`` are no hits."""
+        better = (scores >= self.floor) & (scores > above)
+        for j in np.flatnonzero(better.any(axis=0)):
+            score, pk = self.best[j]
+            new = np.flatnonzero(better[:, j])
+            score = np.concatenate([score, scores[new, j]])
+            pk = np.concatenate([pk, keys[new]]) if len(pk) else keys[new]
+            order = np.lexsort((pk, -score))[: self.depth[j]]
+            self.best[j] = (score[order], pk[order])
+            if len(order) == self.depth[j]:
+                self.floor[j] = score[order[-1]]
+
+    def rows(self, schema: pa.Schema) -> Batches:
+        sizes = [len(score) for score, _ in self.best]
         if sum(sizes):
-            pks = np.concatenate([pk for (_, pk), n in zip(best, sizes) if n])
-            yield batch(
-                [np.repeat(ids, sizes).tolist(), pks.tolist(), np.concatenate([s for s, _ in best])], schema
-            )
+            pks = np.concatenate([pk for _, pk in self.best if len(pk)])
+            scores = np.concatenate([score for score, _ in self.best])
+            yield batch([np.repeat(self.ids, sizes).tolist(), pks.tolist(), scores], schema)
+
+
+def matching_rows(queries: pa.Table, schema: pa.Schema):
+    """Running top ``depth`` rows per query by inner product of (terms, weights) vectors."""
+    ids = values(queries["query_id"])
+    depth = values(queries["depth"]).astype(int)
+    flat = queries.select(["terms", "weights"]).combine_chunks()
+    terms = pc.list_flatten(flat["terms"]).combine_chunks()
+    owner = values(pc.list_parent_indices(flat["terms"]))
+    weight = values(pc.list_flatten(flat["weights"]))
+    vocabulary = pc.unique(terms)
+    slot = values(pc.index_in(terms, value_set=vocabulary))
+    by_slot = np.argsort(slot, kind="stable")
+    starts = np.searchsorted(slot[by_slot], np.arange(len(vocabulary) + 1))
+
+    def run(batches: Batches) -> Batches:
+        top = RunningTop(ids, depth)
+        for rows in pieces(batches, len(ids)):
+            lists = rows.column("terms")
+            found = pc.index_in(lists.flatten(), value_set=vocabulary)
+            known = np.flatnonzero(values(found.is_valid()))
+            where = values(found.fill_null(-1))[known]
+            row = values(pc.list_parent_indices(lists))[known]
+            w = values(rows.column("weights").flatten())[known]
+            # Every matched term meets the queries that have it, a bounded number at a time.
+            fan = starts[where + 1] - starts[where]
+            total, count = np.zeros(rows.num_rows * len(ids)), np.zeros(rows.num_rows * len(ids), dtype=np.int64)
+            for at in _runs(fan):
+                hit = by_slot[np.repeat(starts[where[at]], fan[at]) + _ramp(fan[at])]
+                cells = np.repeat(row[at], fan[at]) * len(ids) + owner[hit]
+                total += np.bincount(cells, np.repeat(w[at], fan[at]) * weight[hit], len(total))
+                count += np.bincount(cells, minlength=len(count))
+            scores = np.where(count > 0, total, -np.inf).reshape(rows.num_rows, len(ids))
+            top.add(values(rows.column("pk")), scores, above=-np.inf)
+        yield from top.rows(schema)
 
     return run
 
 
+def _runs(fan: np.ndarray) -> Iterator[slice]:
+    """Consecutive slices whose fans add up to about one matrix."""
+    part = np.cumsum(fan) // MAX_CELLS
+    edges = np.flatnonzero(np.diff(part)) + 1
+    for lo, hi in zip([0, *edges], [*edges, len(fan)]):
+        if hi > lo:
+            yield slice(lo, hi)
+
+
+def _ramp(lengths: np.ndarray) -> np.ndarray:
+    """0, 1, .. for every run of the given lengths."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
+
+
 def _anchor_side(anchors: pa.Table):
     order = pc.sort_indices(anchors, sort_keys=[("session_id", "ascending"), ("fit_ord", "ascending")])
     anchors = anchors.take(order)
@@ -164,9 +239,7 @@ def radius_rows(anchors: pa.Table, schema: pa.Schema):
     radius = values(anchors["radius"])
 
     def run(batches: Batches) -> Batches:
-        for rows in batches:
-            if rows.num_rows == 0:
-                continue
+        for rows in pieces(batches, len(fit)):
             keys = values(rows.column("pk"))
             dist = np.maximum(0.0, 1.0 - similarities(unit(matrix(rows.column("dense"))), spans))
             r, c = np.nonzero(dist <= radius + 10.0**-GRID)
@@ -184,9 +257,7 @@ def cohort_rows(anchors: pa.Table, schema: pa.Schema):
     radius = values(anchors["radius"])
 
     def run(batches: Batches) -> Batches:
-        for rows in batches:
-            if rows.num_rows == 0:
-                continue
+        for rows in pieces(batches, len(fit)):
             keys = values(rows.column("pk"))
             dist_all = np.maximum(0.0, 1.0 - similarities(unit(matrix(rows.column("dense"))), spans))
             for session, cols in sessions:
@@ -223,6 +294,38 @@ def cohort_rows(anchors: pa.Table, schema: pa.Schema):
     return run
 
 
+def scored_rows(f: int) -> Kernel:
+    """Admission, frequency gate and classifier score of every row, in one pass.
+
+    The bounded side carries each session's classifier on its anchors.
+    """
+
+    def kernel(anchors: pa.Table, schema: pa.Schema):
+        anchors, spans, sessions = _anchor_side(anchors)
+        fit, radius = values(anchors["fit_pk"]), values(anchors["radius"])
+        coef, intercept = matrix(anchors["coef"]), values(anchors["intercept"])
+        mean, scale = values(anchors["scaler_mean"]), values(anchors["scaler_scale"])
+
+        def run(batches: Batches) -> Batches:
+            for rows in pieces(batches, len(fit)):
+                keys, raw = values(rows.column("pk")), matrix(rows.column("dense"))
+                dist_all = np.maximum(0.0, 1.0 - similarities(unit(raw), spans))
+                for session, cols in sessions:
+                    inside = dist_all[:, cols] <= radius[cols] + 10.0**-GRID
+                    hit = np.flatnonzero((inside.sum(axis=1) >= f) & ~np.isin(keys, fit[cols]))
+                    if len(hit) == 0:
+                        continue
+                    near = np.where(inside[hit], dist_all[np.ix_(hit, cols)], np.inf).min(axis=1)
+                    at = cols[0]
+                    z = raw[hit] @ coef[at, :-1] + coef[at, -1] * ((near - mean[at]) / scale[at]) + intercept[at]
+                    p = 1.0 / (1.0 + np.exp(-z))
+                    yield batch([[session] * len(hit), keys[hit].tolist(), near, p], schema)
+
+        return run
+
+    return kernel
+
+
 def nearest_anchors(anchors: pa.Table, schema: pa.Schema):
     """The two closest other anchors of the same session, per anchor."""
     anchors, spans, _ = _anchor_side(anchors)
@@ -231,9 +334,7 @@ def nearest_anchors(anchors: pa.Table, schema: pa.Schema):
     ords = values(anchors["fit_ord"])
 
     def run(batches: Batches) -> Batches:
-        for rows in batches:
-            if rows.num_rows == 0:
-                continue
+        for rows in pieces(batches, len(fit)):
             own_session, own_fit = values(rows.column("session_id")), values(rows.column("fit_pk"))
             dist = 1.0 - similarities(unit(matrix(rows.column("span"))), spans)
             other = (own_session[:, None] == session[None, :]) & (own_fit[:, None] != fit[None, :])
@@ -289,9 +390,7 @@ def closer_rows(anchors: pa.Table, schema: pa.Schema):
     def run(batches: Batches) -> Batches:
         beaten = np.zeros(len(fit), dtype=np.int64)
         eps = 10.0**-GRID
-        for rows in batches:
-            if rows.num_rows == 0:
-                continue
+        for rows in pieces(batches, len(fit)):
             keys = values(rows.column("pk"))
             dist_all = np.maximum(0.0, 1.0 - similarities(unit(matrix(rows.column("dense"))), spans))
             for _, cols in sessions:

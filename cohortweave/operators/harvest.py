@@ -20,6 +20,7 @@ from .blocks import (
     held_out_quantiles,
     nearest_anchors,
     radius_rows,
+    scored_rows,
 )
 from .ordering import five_number, prefix
 
@@ -187,6 +188,29 @@ def cohort_pass(anchors: DataFrame, corpus: DataFrame, max_rows: int = MAX_BLOCK
     )
 
 
+def score_pass(
+    anchors: DataFrame, models: DataFrame, corpus: DataFrame, f: int, max_rows: int = MAX_BLOCK_ROWS // 2
+) -> DataFrame:
+    """Distance and ``p_keep`` of every row at least ``f`` anchors admit, map-only.
+
+    The same rows as joining the gated cohort back to its vectors and scoring
+    it, without moving a vector; also fits a stream of new chunks.
+    """
+    sid, fit, pk = _types(anchors, corpus)
+    side = anchors.select(SID, FIT, "fit_ord", "span", "radius").join(
+        broadcast_if_small(models.select(SID, "coef", "intercept", "scaler_mean", "scaler_scale")), SID
+    )
+    return against(
+        corpus.select("pk", "dense"),
+        side,
+        scored_rows(f),
+        f"{SID} {sid}, pk {pk}, nearest_fit_distance double, p_keep double",
+        slice_key="pk",
+        block_key=[SID],
+        max_rows=max_rows,
+    )
+
+
 def attribute(hits: DataFrame, anchors: DataFrame) -> DataFrame:
     """Nearest anchor (raw distance, earliest on ties) and the admitting set of each row."""
     named = hits.join(
@@ -289,16 +313,14 @@ def _own_distances(anchors: DataFrame, held: DataFrame, max_rows: int) -> DataFr
     def own_rows(block, schema):
         import numpy as np
 
-        from .blocks import GRID, batch, matrix, similarities, unit, values
+        from .blocks import GRID, batch, matrix, pieces, similarities, unit, values
 
         spans = unit(matrix(block["span"]))
         session, other = values(block[SID]), values(block[FIT])
         delta = values(block["delta"])
 
         def run(batches):
-            for rows in batches:
-                if rows.num_rows == 0:
-                    continue
+            for rows in pieces(batches, len(other)):
                 s, f = values(rows.column(SID)), values(rows.column(FIT))
                 dist = np.maximum(0.0, 1.0 - similarities(unit(matrix(rows.column("chunk"))), spans))
                 limit = values(rows.column("t_rest"))[:, None] + delta[None, :] + 10.0**-GRID

@@ -64,11 +64,13 @@ def judge(
     checks: Sequence[str],
     answerer: Answerer,
     max_retries: int = 2,
+    callers: int = 16,
 ) -> DataFrame:
     """A verdict per sampled row; unusable answers become ERROR rows, never failures.
 
     Rows whose answer is rejected are asked again, up to ``max_retries`` times.
     Each round is written out before it is used, so no answer is asked for twice.
+    ``callers`` is how many tasks call the judge side by side.
     """
     known = F.array(*[F.lit(c) for c in checks])
     rows = sample.join(content.select("pk", F.col("original_content").alias("chunk_content")), "pk", "left")
@@ -101,7 +103,7 @@ def judge(
     ).withColumn("spent_ms", F.lit(0.0))
     done = [auto, empty]
     for attempt in range(1, max_retries + 2):
-        answered = cut(parse_verdicts(ask(pending, "prompt", answerer), known))
+        answered = cut(parse_verdicts(ask(pending.repartition(callers), "prompt", answerer), known))
         answered = answered.withColumn("spent_ms", F.col("spent_ms") + F.col("call_ms"))
         ok = answered.where("breach IS NULL")
         good = ok.select(

@@ -37,7 +37,7 @@ def labelled(verdicts: DataFrame) -> DataFrame:
 
 def with_embeddings(rows: DataFrame, corpus: DataFrame) -> DataFrame:
     """Rows that have a vector; the others are dropped (see ``missing_embeddings``)."""
-    return rows.join(corpus.select("pk", "dense"), "pk")
+    return rows.join(corpus.select("pk", F.col("dense").cast("array<double>").alias("dense")), "pk")
 
 
 def missing_embeddings(rows: DataFrame, corpus: DataFrame) -> DataFrame:

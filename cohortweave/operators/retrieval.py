@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..params import PATHS, SearchParams
 from ..session import broadcast_if_small, cut
-from .blocks import MAX_BLOCK_ROWS, against, nearest_rows
+from .blocks import MAX_BLOCK_ROWS, against, matching_rows, nearest_rows
 
 FIELDS = ("sample_id", "counselor_id", "term", "chunk_content", "chunk_seq")
 
@@ -35,6 +35,15 @@ def unseen(rows: DataFrame, seen: DataFrame | None) -> DataFrame:
     return rows.join(broadcast_if_small(seen.select("query_id", "pk").distinct()), ["query_id", "pk"], "left_anti")
 
 
+def _with_depth(queries: DataFrame, limit: int, seen: DataFrame | None) -> DataFrame:
+    if seen is None:
+        return queries.withColumn("depth", F.lit(limit))
+    shown = seen.groupBy("query_id").agg(F.countDistinct("pk").alias("shown"))
+    return queries.join(shown, "query_id", "left").withColumn(
+        "depth", (F.lit(limit) + F.coalesce("shown", F.lit(0))).cast("int")
+    ).drop("shown")
+
+
 def dense_topk(
     corpus: DataFrame,
     queries: DataFrame,
@@ -47,14 +56,7 @@ def dense_topk(
     Each query asks for as many extra rows as it has seen ones, so removing
     those afterwards leaves the exact unseen top.
     """
-    q = queries.select("query_id", "dense")
-    if seen is None:
-        q = q.withColumn("depth", F.lit(limit))
-    else:
-        shown = seen.groupBy("query_id").agg(F.countDistinct("pk").alias("shown"))
-        q = q.join(shown, "query_id", "left").withColumn(
-            "depth", (F.lit(limit) + F.coalesce("shown", F.lit(0))).cast("int")
-        ).drop("shown")
+    q = _with_depth(queries.select("query_id", "dense"), limit, seen)
     types = dict(corpus.dtypes) | {"query_id": dict(q.dtypes)["query_id"]}
     near = against(
         corpus.select("pk", "dense"),
@@ -69,9 +71,35 @@ def dense_topk(
 
 
 def sparse_topk(
+    corpus: DataFrame,
+    queries: DataFrame,
+    limit: int,
+    seen: DataFrame | None = None,
+    max_rows: int = MAX_BLOCK_ROWS,
+) -> DataFrame:
+    """Exact inner-product top ``limit`` per query over shared terms, map-only until the final pick.
+
+    Both sides hold a vector per row as ``terms`` and ``weights`` lists. Queries
+    without terms simply have no hits.
+    """
+    q = _with_depth(queries.select("query_id", "terms", "weights"), limit, seen)
+    types = dict(corpus.dtypes) | {"query_id": dict(q.dtypes)["query_id"]}
+    near = against(
+        corpus.select("pk", "terms", "weights"),
+        q,
+        matching_rows,
+        f"query_id {types['query_id']}, pk {types['pk']}, score double",
+        slice_key="pk",
+        block_key=["query_id"],
+        max_rows=max_rows,
+    )
+    return _top(unseen(near, seen), limit).select("query_id", F.lit("sparse").alias("path"), "pk", "score", "rank")
+
+
+def sparse_topk_postings(
     postings: DataFrame, query_postings: DataFrame, limit: int, seen: DataFrame | None = None
 ) -> DataFrame:
-    """Exact inner-product top ``limit`` per query over shared terms."""
+    """The same from inverted postings (pk, term, weight)."""
     q = query_postings.select("query_id", "term", F.col("weight").alias("query_weight"))
     scores = (
         postings.select("pk", "term", "weight")
@@ -82,33 +110,38 @@ def sparse_topk(
     return _top(unseen(scores, seen), limit).select("query_id", F.lit("sparse").alias("path"), "pk", "score", "rank")
 
 
+def sparse_vectors(postings: DataFrame, key: str) -> DataFrame:
+    """Postings gathered into one (terms, weights) vector per ``key``; a text's vocabulary bounds it."""
+    pairs = F.array_sort(F.collect_list(F.struct("term", "weight")))
+    return postings.groupBy(key).agg(pairs.alias("_v")).select(
+        key, F.col("_v.term").alias("terms"), F.col("_v.weight").alias("weights")
+    )
+
+
 def probe(
-    corpus: DataFrame,
-    postings: DataFrame,
+    dense: DataFrame,
+    sparse: DataFrame,
     queries: DataFrame,
-    query_postings: DataFrame,
     limit: int,
     seen: DataFrame | None = None,
 ) -> DataFrame:
-    """Hits of both paths, unfused: (query_id, path, pk, score, rank)."""
-    return dense_topk(corpus, queries, limit, seen).unionByName(sparse_topk(postings, query_postings, limit, seen))
+    """Hits of both paths, unfused: (query_id, path, pk, score, rank).
+
+    ``dense`` is (pk, dense), ``sparse`` is (pk, terms, weights) - two
+    projections of the corpus, so that each path reads only its own columns.
+    """
+    return dense_topk(dense, queries, limit, seen).unionByName(sparse_topk(sparse, queries, limit, seen))
 
 
 def probe_stats(
     hits: DataFrame,
     queries: DataFrame,
-    query_postings: DataFrame | None = None,
     seen: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per (query, path), also for paths without hits."""
-    grid = queries.select("query_id", F.explode(F.array(*[F.lit(p) for p in PATHS])).alias("path"))
-    if query_postings is not None:
-        alive = query_postings.select("query_id").distinct().withColumn("has_terms", F.lit(True))
-        grid = grid.join(alive, "query_id", "left").withColumn(
-            "skipped", (F.col("path") == "sparse") & F.col("has_terms").isNull()
-        ).drop("has_terms")
-    else:
-        grid = grid.withColumn("skipped", F.lit(False))
+    """One row per (query, path), also for paths without hits; a query without terms skips the sparse path."""
+    empty = F.coalesce(F.size("terms"), F.lit(0)) <= 0
+    grid = queries.select("query_id", empty.alias("_e"), F.explode(F.array(*[F.lit(p) for p in PATHS])).alias("path"))
+    grid = grid.withColumn("skipped", (F.col("path") == "sparse") & F.col("_e")).drop("_e")
     if seen is not None:
         shown = seen.groupBy("query_id").agg(F.countDistinct("pk").alias("filtered_by_seen"))
         grid = grid.join(shown, "query_id", "left")
@@ -293,9 +326,8 @@ def path_candidates(hits: DataFrame, evidence: DataFrame, corpus: DataFrame) ->
 
 def search(
     corpus: DataFrame,
-    postings: DataFrame,
+    sparse: DataFrame,
     queries: DataFrame,
-    query_postings: DataFrame,
     seen: DataFrame | None = None,
     p: SearchParams = SearchParams(),
     hits: DataFrame | None = None,
@@ -306,7 +338,7 @@ def search(
     probe of that depth may be passed in instead.
     """
     if hits is None:
-        hits = cut(probe(corpus, postings, queries, query_postings, p.max_depth, seen))
+        hits = cut(probe(corpus, sparse, queries, p.max_depth, seen))
     fields = fields_of(hits, corpus)
     gated = cut(evaluate_attempts(hits, fields, p))
     log = attempts_log(gated, p)

@@ -31,7 +31,7 @@ def anchor_inputs(
         ready = ratings.convergence(events, p).where("converged").select(SID)
         fits = fits.join(ready, SID, "left_semi")
     fits = cut(fits)
-    vectors = corpus.select("pk", F.col("dense").alias("chunk")).join(
+    vectors = corpus.select("pk", F.col("dense").cast("array<double>").alias("chunk")).join(
         broadcast_if_small(fits.select("pk").distinct()), "pk", "left_semi"
     )
     return fits.join(vectors, "pk").join(spans, [SID, "pk"]).select(
@@ -139,8 +139,7 @@ def run_refine(
     p: RefineParams = RefineParams(),
 ) -> Refine:
     """Draw a distance-stratified sample and have it judged."""
-    sample, binned = sampling.stratified_sample(cohort, exclude, intruders, p)
-    binned = cut(binned)
+    binned = cut(sampling.decile_bins(sampling.eligible(cohort, exclude), p.n_bins))
     sample = cut(sampling.auto_drop_split(sampling.draw(binned, p), intruders, p))
     verdicts = judging.judge(sample, content, checks, answerer, p.max_retries)
     return Refine(sample, binned, sampling.decile_edges(binned, p.n_bins), verdicts)

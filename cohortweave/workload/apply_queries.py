@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import evaluation as ev, modelling as md, reports, sampling
+from ..operators import evaluation as ev, harvest as hv, modelling as md, ratings, reports, sampling
 from ..params import ApplyParams
 from ..plans import phases
 from ..session import cut, scratch_path, staged
 from ..sources import stores
 from . import tables as t
-from .harvest_queries import cohort
+from .harvest_queries import HP, cohort, placed
 from .refine_queries import rubrics, verdicts
 from .registry import cte, query
 from .sessions_queries import timing
@@ -250,7 +250,7 @@ def training_frame(spark, d):
 )
 def cohort_frame(spark, d):
     store = t.load(spark, d, "embeddings").where("label <> 9").select(
-        F.col("vec_id").alias("pk"), F.col("embedding").cast("array<double>").alias("dense")
+        F.col("vec_id").alias("pk"), F.col("embedding").alias("dense")
     )
     rows = cohort(spark, d)
     have = md.with_embeddings(rows, store).groupBy("session_id").agg(F.count("*").alias("with_vector"))
@@ -292,6 +292,12 @@ def score_params(spark, d):
     )
 
 
+@query("score_pass", "SELECT session_id, pk, round(nearest_fit_distance, 6) AS nearest_fit_distance, round(p_keep, 6) AS p_keep FROM labelled_t")
+def score_pass(spark, d):
+    rows = hv.score_pass(placed(spark, d), fixed_models(spark, d), t.corpus_vectors(spark, d), HP.anchor_frequency_gate)
+    return hv.drop_discarded(rows, ratings.discarded(t.events(spark, d)))
+
+
 @query(
     "apply_labels",
     "SELECT session_id, pk, CASE WHEN p_keep >= 0.6 THEN 'KEEP' ELSE 'DROP' END AS verdict, round(p_keep, 6) AS p_keep FROM labelled_t",

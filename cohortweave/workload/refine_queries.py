@@ -7,13 +7,13 @@ import json
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import judging, ratings, reports, sampling
+from ..operators import harvest as hv, judging, ratings, reports, sampling
 from ..params import RefineParams
 from ..plans import phases
 from ..session import staged
 from ..sources import logs, stores
 from . import tables as t
-from .harvest_queries import cohort, dist
+from .harvest_queries import cohort, dist, not_fit
 from .registry import cte, query
 
 RP = RefineParams(sample_size=100, n_bins=10)
@@ -109,12 +109,13 @@ def training_labels(spark, d):
     return labelled(verdicts(spark, d)).select("session_id", "pk", "verdict", "label")
 
 
-@query("known_intruders", "SELECT session_id, pk FROM known_t WHERE session_id % 4 <> 3")
+@query("known_intruders", "SELECT session_id, pk FROM intruders_t")
 def known_intruders(spark, d):
-    packed = known(spark, d).groupBy("session_id").agg(F.collect_list("pk").alias("intruder_pks"))
-    good = F.to_json(F.struct(F.struct("intruder_pks").alias("not_fit_intrusion")))
-    meta = packed.select("session_id", F.when(F.col("session_id") % 4 == 3, "{bad").otherwise(good).alias("meta"))
-    return logs.intruder_list(meta)
+    found = hv.intrusions(cohort(spark, d), not_fit(spark, d))
+    packed = found.groupBy("session_id").agg(F.collect_list("pk").alias("intruder_pks"))
+    good = packed.select("session_id", F.to_json(F.struct(F.struct("intruder_pks").alias("not_fit_intrusion"))).alias("meta"))
+    bad = packed.select("session_id", F.explode(F.array(F.lit("{bad"), F.lit("{}"), F.lit(None))).alias("meta"))
+    return logs.intruder_list(good.unionByName(bad))
 
 
 @query("decile_bins", "SELECT session_id, pk, decile FROM binned_t")

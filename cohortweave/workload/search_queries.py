@@ -83,18 +83,13 @@ pool_sql("deep", "'dense', 'sparse'", DEEP.min_survivors)
 pool_sql("single", "'dense'", P.min_survivors)
 
 
-def hits(spark, d, with_seen=True):
+def hits(spark, d):
     """Both paths at the deepest attempt, probed once."""
-    return rt.probe(
-        t.corpus_vectors(spark, d), t.postings(spark, d), t.queries(spark, d), t.query_postings(spark, d), P.max_depth,
-        t.seen(spark, d) if with_seen else None,
-    )
+    return rt.probe(t.corpus_vectors(spark, d), t.sparse(spark, d), t.queries(spark, d), P.max_depth, t.seen(spark, d))
 
 
 def result(spark, d, p=P):
-    return rt.search(
-        t.corpus(spark, d), t.postings(spark, d), t.queries(spark, d), t.query_postings(spark, d), t.seen(spark, d), p
-    )
+    return rt.search(t.corpus(spark, d), t.sparse(spark, d), t.queries(spark, d), t.seen(spark, d), p)
 
 
 @query(
@@ -152,21 +147,23 @@ def dense_topk(spark, d):
     return rt.dense_topk(t.corpus_vectors(spark, d), t.queries(spark, d), P.per_path_limit)
 
 
-@query(
-    "sparse_topk",
-    """SELECT query_id, path, pk, score, rank FROM (SELECT query_id, 'sparse' AS path, pk, score,
-    row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pk) AS rank FROM sparse_all) WHERE rank <= 20""",
-)
+SPARSE_TOPK = """SELECT query_id, path, pk, score, rank FROM (SELECT query_id, 'sparse' AS path, pk, score,
+row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pk) AS rank FROM sparse_all) WHERE rank <= 20"""
+
+
+@query("sparse_topk", SPARSE_TOPK)
 def sparse_topk(spark, d):
-    return rt.sparse_topk(t.postings(spark, d), t.query_postings(spark, d), P.per_path_limit)
+    return rt.sparse_topk(t.sparse(spark, d), t.queries(spark, d), P.per_path_limit)
+
+
+@query("sparse_topk_postings", SPARSE_TOPK)
+def sparse_topk_postings(spark, d):
+    return rt.sparse_topk_postings(t.postings(spark, d), t.query_postings(spark, d), P.per_path_limit)
 
 
 @query("seen_exclusion", "SELECT query_id, path, pk, round(score, 6) AS score, rank FROM hits_t WHERE rank <= 20")
 def seen_exclusion(spark, d):
-    return rt.probe(
-        t.corpus_vectors(spark, d), t.postings(spark, d), t.queries(spark, d), t.query_postings(spark, d),
-        P.per_path_limit, t.seen(spark, d),
-    )
+    return rt.probe(t.corpus_vectors(spark, d), t.sparse(spark, d), t.queries(spark, d), P.per_path_limit, t.seen(spark, d))
 
 
 @query("probe_only", "SELECT query_id, path, pk, round(score, 6) AS score, rank FROM hits_t")
@@ -188,7 +185,7 @@ cte(
 
 def stats(spark, d):
     found = hits(spark, d).where(F.col("rank") <= P.per_path_limit)
-    return rt.probe_stats(found, t.queries(spark, d), t.query_postings(spark, d), t.seen(spark, d))
+    return rt.probe_stats(found, t.queries(spark, d), t.seen(spark, d))
 
 
 @query("probe_stats", "SELECT * FROM probe_stats_t")

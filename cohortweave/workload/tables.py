@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators.retrieval import sparse_vectors
 from ..session import staged
 from .registry import cte
 
@@ -65,10 +66,11 @@ cte(
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
-    """The (pk, dense) side of the corpus on its own, for scans that need no text."""
-    return load(spark, d, "embeddings").select(
-        F.col("vec_id").alias("pk"), F.col("embedding").cast("array<double>").alias("dense")
-    )
+    """The (pk, dense) side of the corpus on its own, for scans that need no text.
+
+    Vectors stay single precision until they are computed with.
+    """
+    return load(spark, d, "embeddings").select(F.col("vec_id").alias("pk"), F.col("embedding").alias("dense"))
 
 
 def corpus_vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -211,9 +213,15 @@ cte(
 )
 
 
+@stage
+def sparse(spark: SparkSession, d: str) -> DataFrame:
+    """The sparse vector of every chunk: its words and how often they occur."""
+    return sparse_vectors(postings(spark, d), "pk")
+
+
 @stage
 def queries(spark: SparkSession, d: str) -> DataFrame:
-    """One query per session: its earliest-keyed FIT chunk."""
+    """One query per session: its earliest-keyed FIT chunk, with both vectors."""
     seed = (
         load(spark, d, "labels")
         .where("quality = 1 AND toxic = 0")
@@ -222,7 +230,8 @@ def queries(spark: SparkSession, d: str) -> DataFrame:
         .groupBy(F.floor(F.col("pk") / SESSION_SIZE).alias("query_id"))
         .agg(F.min("pk").alias("pk"))
     )
-    return seed.join(corpus_vectors(spark, d), "pk").select("query_id", "pk", "dense")
+    both = seed.join(corpus_vectors(spark, d), "pk").join(sparse(spark, d), "pk", "left")
+    return both.select("query_id", "pk", F.col("dense").cast("array<double>").alias("dense"), "terms", "weights")
 
 
 cte(
@@ -233,12 +242,9 @@ cte(
 )
 
 
-@stage
 def query_postings(spark: SparkSession, d: str) -> DataFrame:
-    words = corpus(spark, d).join(queries(spark, d).select("query_id", "pk"), "pk").select(
-        "query_id", F.explode(text.terms(F.col("chunk_content"))).alias("term")
-    )
-    return words.groupBy("query_id", "term").agg(F.count("*").cast("double").alias("weight"))
+    q = queries(spark, d).select("query_id", F.explode(F.arrays_zip("terms", "weights")).alias("v"))
+    return q.select("query_id", F.col("v.terms").alias("term"), F.col("v.weights").alias("weight"))
 
 
 cte("query_postings_t", "SELECT q.query_id, p.term, p.weight FROM queries_t q JOIN postings p ON p.pk = q.pk")

@@ -4,10 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortweave.operators import harvest as hv, modelling as md, ordering, retrieval as rt
+from cohortweave.operators import blocks, harvest as hv, modelling as md, ordering, retrieval as rt
 from cohortweave.params import ApplyParams
 from cohortweave.plans import phases
 from cohortweave.workload import tables as t
+from cohortweave.workload.apply_queries import fixed_models
 from cohortweave.workload.harvest_queries import HP, placed
 
 
@@ -44,6 +45,32 @@ def test_fragmented_topk(spark, sf_dir, vecs):
     same(rt.dense_topk(vecs, q, 15, seen), rt.dense_topk(vecs.repartition(3), q, 15, seen, max_rows=1))
 
 
+def test_sparse_forms(spark, sf_dir):
+    q, rows, seen = t.queries(spark, sf_dir), t.sparse(spark, sf_dir), t.seen(spark, sf_dir)
+    plain = rt.sparse_topk(rows, q, 15, seen)
+    same(plain, rt.sparse_topk(rows.repartition(3), q, 15, seen, max_rows=1))
+    same(plain, rt.sparse_topk_postings(t.postings(spark, sf_dir), t.query_postings(spark, sf_dir), 15, seen))
+
+
+def test_small_matrices_change_nothing(spark, sf_dir, vecs, monkeypatch):
+    q, rows, a = t.queries(spark, sf_dir), t.sparse(spark, sf_dir), placed(spark, sf_dir)
+    want = rt.sparse_topk(rows, q, 15).collect(), rt.dense_topk(vecs, q, 15).collect()
+    cohort = hv.cohort_pass(a, vecs).count()
+    monkeypatch.setattr(blocks, "MAX_CELLS", 150)
+    assert (rt.sparse_topk(rows, q, 15).collect(), rt.dense_topk(vecs, q, 15).collect()) == want
+    assert hv.cohort_pass(a, vecs).count() == cohort
+
+
+def test_score_pass_equals_joining_back(spark, sf_dir, vecs):
+    models = fixed_models(spark, sf_dir)
+    passed = hv.score_pass(placed(spark, sf_dir), models, vecs, 2)
+    rows = hv.cohort_pass(placed(spark, sf_dir), vecs).where("NOT is_anchor AND qualifying_fit_count >= 2")
+    same(
+        passed,
+        phases.score_cohort(rows, vecs, models, 0.5).select("session_id", "pk", "nearest_fit_distance", "p_keep"),
+    )
+
+
 def test_fragmented_nearest_and_recovery(spark, sf_dir, vecs):
     a = t.anchors(spark, sf_dir)
     same(hv.anchor_nearest(a), hv.anchor_nearest(a, max_rows=5))
