@@ -1,4 +1,4 @@
-"""Vector expressions on ARRAY<DOUBLE> columns."""
+"""Vector expressions on array columns, computed in double precision."""
 
 from __future__ import annotations
 
@@ -8,8 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def doubles(a: Column) -> Column:
+    """Single-precision vectors are widened before anything is computed with them."""
+    return a.cast("array<double>")
+
+
 def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return F.aggregate(F.zip_with(doubles(a), doubles(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
 def norm(a: Column) -> Column:
@@ -43,7 +48,7 @@ def similarity_to_distance(sim: Column) -> Column:
 
 def l2_normalise(a: Column) -> Column:
     size = norm(a)
-    return F.transform(a, lambda x: x / F.when(size == 0, 1.0).otherwise(size))
+    return F.transform(doubles(a), lambda x: x / F.when(size == 0, 1.0).otherwise(size))
 
 
 def scale(value: Column, mean: Column, spread: Column) -> Column:
@@ -51,7 +56,7 @@ def scale(value: Column, mean: Column, spread: Column) -> Column:
 
 
 def stack(vector: Column, scaled: Column) -> Column:
-    return F.concat(vector, F.array(scaled))
+    return F.concat(doubles(vector), F.array(scaled))
 
 
 def logistic(features: Column, coef: Column, intercept: Column) -> Column:
