@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import seeded_order
 from ..functions.vectors import cosine_similarity, l2_normalise
 from ..params import RefineParams
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, cut
 from .ordering import bin_edges, equal_count_bins, prefix
 
 SID = "session_id"
@@ -74,7 +74,7 @@ def stratified_sample(
     p: RefineParams = RefineParams(),
 ) -> tuple[DataFrame, DataFrame]:
     """The drawn sample and the binned eligible cohort it came from."""
-    binned = decile_bins(eligible(cohort, exclude), p.n_bins)
+    binned = cut(decile_bins(eligible(cohort, exclude), p.n_bins))
     return auto_drop_split(draw(binned, p), intruders, p), binned
 
 

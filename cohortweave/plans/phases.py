@@ -139,8 +139,8 @@ def run_refine(
     p: RefineParams = RefineParams(),
 ) -> Refine:
     """Draw a distance-stratified sample and have it judged."""
-    binned = cut(sampling.decile_bins(sampling.eligible(cohort, exclude), p.n_bins))
-    sample = cut(sampling.auto_drop_split(sampling.draw(binned, p), intruders, p))
+    sample, binned = sampling.stratified_sample(cohort, exclude, intruders, p)
+    sample = cut(sample)
     verdicts = judging.judge(sample, content, checks, answerer, p.max_retries)
     return Refine(sample, binned, sampling.decile_edges(binned, p.n_bins), verdicts)
 

@@ -37,7 +37,7 @@ def scratch_root(spark: SparkSession) -> str:
     is made and installed as the checkpoint directory.
     """
     sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
     current = sc._jsc.sc().getCheckpointDir()

@@ -11,6 +11,9 @@ TABLES = (
 ).split()
 
 
+KINDS = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 def duck(sf_dir: str):
     import duckdb
 
@@ -58,11 +61,12 @@ def compare(spark, con, name, fn, sql, sf_dir):
             same = p == q or (isinstance(p, (int, float)) and isinstance(q, (int, float)) and abs(p - q) <= 1.5e-6)
             if not same:
                 return f"VALUE {c}: {p!r} != {q!r} in {str(x)[:300]} / {str(y)[:300]}", spent, False
-    types = [f"{f.name}:{f.dataType.simpleString()}" for f in df.schema]
-    kinds = {c[0]: str(c[1]) for c in cur.description}
-    odd = [t for t in types if kinds[t.split(":")[0]] not in ("NUMBER", "STRING", "BIGINT", "DOUBLE", "VARCHAR", "BOOLEAN", "bool")]
-    exact = a == b
-    return f"ok n={len(a)}{'' if exact else ' (rounding)'}{' types ' + str([(t, kinds[t.split(':')[0]]) for t in odd]) if odd else ''}", spent, True
+    duck_types = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    spark_types = {f.name: KINDS.get(f.dataType.simpleString()) for f in df.schema}
+    odd = {c: (spark_types[c], duck_types[c]) for c in cols if spark_types[c] != duck_types[c]}
+    if odd:
+        return f"TYPES {odd}", spent, False
+    return f"ok n={len(a)}{'' if a == b else ' (rounding)'}", spent, True
 
 
 def main(argv: list[str]) -> None:
