@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine_distance
 from ..params import HarvestParams
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, narrowed
 from .blocks import (
     MAX_BLOCK_ROWS,
     against,
@@ -370,7 +370,8 @@ def loo_recovery(
         SID, FIT, "fit_ord", "chunk_id", "span", "chunk",
         cosine_distance(F.col("span"), F.col("chunk")).alias("delta"),
     ).join(t_rest, [SID, FIT])
-    own = _own_distances(side, side.join(corpus.select(F.col("pk").alias(FIT)), FIT, "left_semi"), max_rows)
+    present = narrowed(corpus.select(F.col("pk").alias(FIT)), side, FIT)
+    own = _own_distances(side, side.join(present, FIT, "left_semi"), max_rows)
     full = side.join(own, [SID, FIT], "left")
     counted = against(
         corpus.select("pk", "dense"),

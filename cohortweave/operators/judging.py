@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
-from ..session import broadcast_if_small, cut
+from ..session import broadcast_if_small, cut, narrowed
 
 Answerer = Callable[[list[str]], list[str | None]]
 AUTO_DROP = "auto_drop_known_intruder"
@@ -73,7 +73,8 @@ def judge(
     ``callers`` is how many tasks call the judge side by side.
     """
     known = F.array(*[F.lit(c) for c in checks])
-    rows = sample.join(content.select("pk", F.col("original_content").alias("chunk_content")), "pk", "left")
+    texts = narrowed(content, sample).select("pk", F.col("original_content").alias("chunk_content"))
+    rows = sample.join(texts, "pk", "left")
     rows = rows.withColumn("chunk_content", F.coalesce("chunk_content", F.lit("")))
     blank = [
         F.lit(None).cast("array<int>").alias("evidence_line_indices"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors
 from ..functions.text import seeded_order
 from ..params import ApplyParams
-from ..session import broadcast_if_small, cut
+from ..session import broadcast_if_small, cut, narrowed
 from .ordering import largest_group, prefix
 
 SID = "session_id"
@@ -36,12 +36,17 @@ def labelled(verdicts: DataFrame) -> DataFrame:
 
 
 def with_embeddings(rows: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Rows that have a vector; the others are dropped (see ``missing_embeddings``)."""
-    return rows.join(corpus.select("pk", F.col("dense").cast("array<double>").alias("dense")), "pk")
+    """Rows that have a vector; the others are dropped (see ``missing_embeddings``).
+
+    Few rows fetch their vectors in one scan; many rows shuffle them, where
+    ``harvest.score_pass`` scores a whole cohort without doing so.
+    """
+    vecs = narrowed(corpus, rows).select("pk", F.col("dense").cast("array<double>").alias("dense"))
+    return rows.join(vecs, "pk")
 
 
 def missing_embeddings(rows: DataFrame, corpus: DataFrame) -> DataFrame:
-    return rows.join(corpus.select("pk"), "pk", "left_anti")
+    return rows.join(narrowed(corpus.select("pk"), rows), "pk", "left_anti")
 
 
 def feature_frame(rows: DataFrame, scaler: DataFrame) -> DataFrame:

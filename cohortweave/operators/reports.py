@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, narrowed
 from .judging import AUTO_DROP
 from .ordering import prefix
 
@@ -111,7 +111,8 @@ def projected_total(verdicts: DataFrame, binned: DataFrame, edges: DataFrame, n_
 def labelled_export(labels: DataFrame, content: DataFrame) -> DataFrame:
     """Export rows: ids read from the key, original text ("" when missing), label."""
     key = F.col("pk").cast("string")
-    return labels.join(content.where("original_content IS NOT NULL"), "pk", "left").select(
+    texts = narrowed(content.where("original_content IS NOT NULL"), labels)
+    return labels.join(texts, "pk", "left").select(
         SID,
         "pk",
         text.key_user(key).alias("user_id"),

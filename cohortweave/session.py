@@ -86,6 +86,18 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if fits_in(df, max_rows) else df
 
 
+def narrowed(table: DataFrame, keys: DataFrame, on: str = "pk", max_rows: int = 200_000) -> DataFrame:
+    """``table`` cut down to the wanted keys while it is scanned, when those are few.
+
+    Keeps a large table from being shuffled for a join with a small one in
+    which it cannot be the streamed side.
+    """
+    wanted = keys.select(on).distinct()
+    if not fits_in(wanted, max_rows):
+        return table
+    return table.join(F.broadcast(wanted), on, "left_semi")
+
+
 _STAGED: dict[tuple[str, str], DataFrame] = {}
 
 

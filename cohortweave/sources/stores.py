@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import round6
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, narrowed
 from .schemas import CLASSIFIER, CLASSIFIER_FIELDS, COHORT, LABELS
 
 CORPUS_FIELDS = ("pk", "sample_id", "counselor_id", "term", "chunk_content", "chunk_seq")
@@ -33,7 +33,7 @@ def content_lookup(content: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def missing_keys(table: DataFrame, keys: DataFrame) -> DataFrame:
-    return keys.select("pk").distinct().join(table.select("pk"), "pk", "left_anti")
+    return keys.select("pk").distinct().join(narrowed(table.select("pk"), keys), "pk", "left_anti")
 
 
 def checked_cohort(cohort: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import ratings, retrieval as rt
 from ..params import SearchParams
+from ..session import cut
 from ..sources import stores
 from . import tables as t
 from .registry import cte, query
@@ -235,8 +236,8 @@ def rrf_fuse(spark, d):
 )
 def evidence_assembly(spark, d):
     pool = rt.fuse(hits(spark, d).where(F.col("rank") <= P.per_path_limit), P.rrf_k)
-    pool = pool.where(F.col("fused_rank") <= max(2 * P.top_k, P.per_path_limit))
-    return rt.with_fields(pool, t.corpus(spark, d)).select(
+    pool = cut(pool.where(F.col("fused_rank") <= max(2 * P.top_k, P.per_path_limit)))
+    return rt.with_fields(pool, rt.fields_of(pool, t.corpus(spark, d))).select(
         "query_id", "fused_rank", "pk", text.display_id(F.col("sample_id"), F.col("chunk_seq"), F.col("pk")).alias("chunk_id"),
         "sample_id", "counselor_id", "term", "source_paths", "score_dense", "score_sparse",
     )
@@ -254,8 +255,8 @@ def short_chunk_gate(spark, d):
 
 def first_attempt(spark, d, p=P):
     pool = rt.fuse(hits(spark, d).where(F.col("rank") <= p.per_path_limit), p.rrf_k, p.active_paths)
-    pool = pool.where(F.col("fused_rank") <= max(2 * p.top_k, p.per_path_limit))
-    return rt.gate(rt.with_fields(pool, t.corpus(spark, d)), p)
+    pool = cut(pool.where(F.col("fused_rank") <= max(2 * p.top_k, p.per_path_limit)))
+    return rt.gate(rt.with_fields(pool, rt.fields_of(pool, t.corpus(spark, d))), p)
 
 
 @query(
