@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine_distance
 from ..params import HarvestParams
-from ..session import broadcast_if_small, narrowed
+from ..session import broadcast_if_small, cut, narrowed
 from .blocks import (
     MAX_BLOCK_ROWS,
     against,
@@ -366,13 +366,15 @@ def loo_recovery(
         block_key=[SID],
         max_rows=max_rows * 64,
     )
-    side = anchors.select(
-        SID, FIT, "fit_ord", "chunk_id", "span", "chunk",
-        cosine_distance(F.col("span"), F.col("chunk")).alias("delta"),
-    ).join(t_rest, [SID, FIT])
+    side = cut(
+        anchors.select(
+            SID, FIT, "fit_ord", "chunk_id", "span", "chunk",
+            cosine_distance(F.col("span"), F.col("chunk")).alias("delta"),
+        ).join(t_rest, [SID, FIT])
+    )
     present = narrowed(corpus.select(F.col("pk").alias(FIT)), side, FIT)
     own = _own_distances(side, side.join(present, FIT, "left_semi"), max_rows)
-    full = side.join(own, [SID, FIT], "left")
+    full = cut(side.join(own, [SID, FIT], "left"))
     counted = against(
         corpus.select("pk", "dense"),
         full.select(SID, FIT, "fit_ord", "span", "delta", "t_rest", "own_distance"),

@@ -228,6 +228,10 @@ def frame(spark, d):
 
 def fixed_models(spark, d):
     """Classifiers with given weights: the session's query vector, 0.5 for the distance."""
+    return staged(spark, f"models:{d}", lambda: _fixed_models(spark, d))
+
+
+def _fixed_models(spark, d):
     scaler = md.fit_scaler(training_rows(spark, d))
     return t.queries(spark, d).select(
         F.col("query_id").alias("session_id"), F.array_append("dense", F.lit(0.5)).alias("coef"),
