@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..session import broadcast_if_small, cut
 
 # A group up to this size is ordered by one window task.
-SMALL_GROUP = 1_000_000
+SMALL_GROUP = 250_000
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:

@@ -45,25 +45,26 @@ def session_turns(log: DataFrame) -> DataFrame:
     return turns.withColumn("turn", F.coalesce("turn", fail("turn record without an integer turn", "int")))
 
 
+def _legacy() -> dict[str, Column]:
+    """Where a turn still names the removed retrieval path."""
+    no = F.lit(False)
+    scored = F.exists("results", lambda r: F.coalesce(F.map_contains_key(r["scores"], LEGACY_PATH), no))
+    return {
+        "active_paths": F.coalesce(F.array_contains("config.active_paths", LEGACY_PATH), no),
+        "scores": F.coalesce(scored, no),
+        "candidates": F.coalesce(F.map_contains_key("per_path_candidates", LEGACY_PATH), no),
+    }
+
+
 def legacy_offences(turns: DataFrame) -> DataFrame:
     """Turns per session that still name the removed retrieval path, by place."""
-    in_active = F.coalesce(F.array_contains("config.active_paths", LEGACY_PATH), F.lit(False))
-    in_scores = F.coalesce(
-        F.exists("results", lambda r: F.coalesce(F.map_contains_key(r["scores"], LEGACY_PATH), F.lit(False))), F.lit(False)
-    )
-    in_candidates = F.coalesce(F.map_contains_key("per_path_candidates", LEGACY_PATH), F.lit(False))
-    return turns.groupBy("session_id").agg(
-        F.count_if(in_active).alias("active_paths"),
-        F.count_if(in_scores).alias("scores"),
-        F.count_if(in_candidates).alias("candidates"),
-    )
+    return turns.groupBy("session_id").agg(*[F.count_if(hit).alias(name) for name, hit in _legacy().items()])
 
 
 def reject_legacy(turns: DataFrame) -> DataFrame:
-    bad = (
-        F.coalesce(F.array_contains("config.active_paths", LEGACY_PATH), F.lit(False))
-        | F.coalesce(F.map_contains_key("per_path_candidates", LEGACY_PATH), F.lit(False))
-    )
+    """The turns again; one that names the removed retrieval path is an error."""
+    places = _legacy()
+    bad = places["active_paths"] | places["scores"] | places["candidates"]
     return turns.withColumn("turn", F.when(~bad, F.col("turn")).otherwise(fail("legacy retrieval path in log", "int")))
 
 

@@ -8,8 +8,8 @@ GROUPS = ("search", "sessions", "harvest", "refine", "apply", "scalars", "live")
 
 
 def load_all():
-    from .registry import QUERIES, SQL
+    from .registry import QUERIES, SQL, compose
 
     for group in GROUPS:
         import_module(f"{__name__}.{group}_queries")
-    return QUERIES, SQL
+    return QUERIES, {name: compose(sql) for name, sql in SQL.items()}

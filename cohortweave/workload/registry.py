@@ -20,18 +20,18 @@ def cte(name: str, body: str) -> None:
 
 
 def compose(select: str) -> str:
-    """Prefix ``select`` with the common table expressions it needs."""
-    needed: set[str] = set()
+    """Prefix ``select`` with the common table expressions it needs, each after those it uses."""
+    ordered: list[str] = []
 
-    def visit(text: str) -> None:
+    def visit(text: str, skip: str = "") -> None:
         for name in CTES:
-            if name not in needed and re.search(rf"\b{name}\b", text):
-                needed.add(name)
-                visit(CTES[name])
+            if name != skip and name not in ordered and re.search(rf"\b{name}\b", text):
+                visit(CTES[name], name)
+                ordered.append(name)
 
-    visit(select)
     select = select.strip()
-    parts = [f"{name} AS MATERIALIZED ({CTES[name]})" for name in CTES if name in needed]
+    visit(select)
+    parts = [f"{name} AS MATERIALIZED ({CTES[name]})" for name in ordered]
     if not parts:
         return select
     if select.upper().startswith("WITH "):
@@ -46,7 +46,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
         QUERIES[name] = run
         if sql is not None:
-            SQL[name] = compose(sql.strip())
+            SQL[name] = sql
         return fn
 
     return register
