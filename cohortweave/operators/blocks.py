@@ -376,6 +376,25 @@ def held_out_quantiles(q: float) -> Kernel:
     return kernel
 
 
+def own_distances(anchors: pa.Table, schema: pa.Schema):
+    """Each held-out anchor's own chunk: the nearest other anchor whose recalibrated radius admits it."""
+    spans = unit(matrix(anchors["span"]))
+    session, other = values(anchors["session_id"]), values(anchors["fit_pk"])
+    delta = values(anchors["delta"])
+
+    def run(batches: Batches) -> Batches:
+        for rows in pieces(batches, len(other)):
+            own_session, own_fit = values(rows.column("session_id")), values(rows.column("fit_pk"))
+            dist = np.maximum(0.0, 1.0 - similarities(unit(matrix(rows.column("chunk"))), spans))
+            limit = values(rows.column("t_rest"))[:, None] + delta[None, :] + 10.0**-GRID
+            ok = (own_session[:, None] == session[None, :]) & (own_fit[:, None] != other[None, :]) & (dist <= limit)
+            best = np.where(ok, dist, np.inf).min(axis=1)
+            hit = np.isfinite(best)
+            yield batch([own_session[hit].tolist(), own_fit[hit].tolist(), best[hit]], schema)
+
+    return run
+
+
 def closer_rows(anchors: pa.Table, schema: pa.Schema):
     """How many rows beat each held-out anchor's own chunk, without that anchor.
 

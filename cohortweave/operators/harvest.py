@@ -19,6 +19,7 @@ from .blocks import (
     cohort_rows,
     held_out_quantiles,
     nearest_anchors,
+    own_distances,
     radius_rows,
     scored_rows,
 )
@@ -309,32 +310,10 @@ def intrusions(cohort: DataFrame, not_fit: DataFrame) -> DataFrame:
 def _own_distances(anchors: DataFrame, held: DataFrame, max_rows: int) -> DataFrame:
     """Each held-out anchor's own chunk against the other anchors' recalibrated radii."""
     sid, fit, _ = _types(anchors)
-
-    def own_rows(block, schema):
-        import numpy as np
-
-        from .blocks import GRID, batch, matrix, pieces, similarities, unit, values
-
-        spans = unit(matrix(block["span"]))
-        session, other = values(block[SID]), values(block[FIT])
-        delta = values(block["delta"])
-
-        def run(batches):
-            for rows in pieces(batches, len(other)):
-                s, f = values(rows.column(SID)), values(rows.column(FIT))
-                dist = np.maximum(0.0, 1.0 - similarities(unit(matrix(rows.column("chunk"))), spans))
-                limit = values(rows.column("t_rest"))[:, None] + delta[None, :] + 10.0**-GRID
-                ok = (s[:, None] == session[None, :]) & (f[:, None] != other[None, :]) & (dist <= limit)
-                best = np.where(ok, dist, np.inf).min(axis=1)
-                hit = np.isfinite(best)
-                yield batch([s[hit].tolist(), f[hit].tolist(), best[hit]], schema)
-
-        return run
-
     found = against(
         held.select(SID, FIT, "chunk", "t_rest"),
         anchors.select(SID, FIT, "span", "delta"),
-        own_rows,
+        own_distances,
         f"{SID} {sid}, {FIT} {fit}, own_distance double",
         slice_key=FIT,
         block_key=[SID, FIT],

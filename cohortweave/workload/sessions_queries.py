@@ -521,7 +521,7 @@ def artifacts(spark, d):
         F.col("artifact") == "phase3.meta", F.when(F.col("session_id") % 6 == 3, "abort").otherwise("agree")
     )
     return rows.where(F.col("session_id") % 6 >= F.col("least")).select(
-        "session_id", "artifact", t._stamp(F.col("session_id"), F.col("at")).alias("ts"), decision.alias("operator_decision")
+        "session_id", "artifact", t.iso_time(F.col("session_id"), F.col("at")).alias("ts"), decision.alias("operator_decision")
     )
 
 

@@ -181,7 +181,7 @@ def turns(spark: SparkSession, d: str) -> DataFrame:
     return per.select(
         "session_id",
         "turn",
-        _stamp(F.col("session_id"), F.col("turn")).alias("timestamp"),
+        iso_time(F.col("session_id"), F.col("turn")).alias("timestamp"),
         F.concat(F.lit("scope"), F.col("session_id") % 3).alias("scope"),
         F.concat(F.lit("query of session "), F.col("session_id")).alias("query"),
         (F.col("turn") % 3 == 0).alias("audit_turn"),
@@ -194,9 +194,11 @@ def turns(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _stamp(session, turn):
-    seconds = F.lit(1735689600) + session * 86400 + turn * 600
-    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+def iso_time(session, turn):
+    """ISO time of a session's turn, whatever the session time zone: one day per session, ten minutes per turn."""
+    start = F.to_timestamp_ntz(F.lit("2025-01-01 00:00:00"))
+    at = start + F.make_dt_interval(session.cast("int"), F.lit(0), turn.cast("int") * 10, F.lit(0))
+    return F.concat(F.translate(at.cast("string"), " ", "T"), F.lit("Z"))
 
 
 def stamp_sql(session: str, turn: str) -> str:
