@@ -102,7 +102,8 @@ def borderline(
 def diverse(items: DataFrame, k: int, group: str = SID, ord_col: str = "ord", vector: str = "vec") -> DataFrame:
     """Farthest-first choice of ``k`` items per group, starting at the lowest ``ord``.
 
-    ``k`` is small: each step is one aggregation that carries the picks so far.
+    ``k`` is small: each step is one aggregation that carries the picks so far, one
+    row per group, so a hot group is pre-aggregated where its items are read.
     Groups of at most ``k`` items come back whole.
     """
     if k <= 0:
@@ -123,10 +124,8 @@ def diverse(items: DataFrame, k: int, group: str = SID, ord_col: str = "ord", ve
                 F.max_by(F.struct(F.col(ord_col).alias("o"), F.col("_u").alias("u")), F.when(open_, weight)).alias("_new"),
             )
         )
-        picks = grown.select(
-            group,
-            F.when(F.col("_new").isNull(), F.col("picks")).otherwise(F.concat("picks", F.array("_new"))).alias("picks"),
-        )
+        more = F.when(F.col("_new").isNull(), F.col("picks")).otherwise(F.concat("picks", F.array("_new")))
+        picks = cut(grown.select(group, more.alias("picks")))
     chosen = picks.select(group, F.posexplode("picks").alias("_i", "_q")).select(
         group, F.col("_q.o").alias(ord_col), (F.col("_i") + 1).alias("pick")
     )
