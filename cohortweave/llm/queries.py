@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: One module per operator; each has QUERIES and SQL.
-MODULES = ("quality_query", "secret_query", "bpe_query")
+MODULES = ("packing_query", "bpe_query", "secret_query", "quality_query")
 
 
 def load_all():
