@@ -25,6 +25,7 @@ class Pattern:
     least: int = 1
     most: int | None = None
     needles: tuple[str, ...] = ()
+    context: int = 0  # code points kept from the gaps to either side of a match
 
 
 def _may_match(text: Column, p: Pattern) -> Column:
@@ -39,8 +40,11 @@ def scanned(df: DataFrame, text: Column, patterns: tuple[Pattern, ...]) -> DataF
     out = df.withColumn("scan_", F.coalesce(text, F.lit("")))
     for p in patterns:
         body = F.col("scan_")
+        beside = lambda g, n=p.context: F.struct(
+            F.length(g).alias("n"), F.right(g, F.lit(n)).alias("before"), F.left(g, F.lit(n)).alias("after")
+        )
         found = F.struct(
-            F.transform(F.split(body, p.regex, -1), lambda g: F.length(g)).alias("gaps"),
+            F.transform(F.split(body, p.regex, -1), beside).alias("gaps"),
             F.regexp_extract_all(body, F.lit(p.regex), F.lit(0)).alias("hits"),
             F.transform(F.regexp_extract_all(body, F.lit(p.regex), F.lit(p.value)), lambda v: F.length(v)).alias("sizes"),
         )
@@ -49,7 +53,7 @@ def scanned(df: DataFrame, text: Column, patterns: tuple[Pattern, ...]) -> DataF
 
 
 def placed(scan: DataFrame, patterns: tuple[Pattern, ...], rid: str = "rid") -> DataFrame:
-    """Rows (rid, kind, ord, start, end, hit): every match of every pattern; places in code points, end exclusive."""
+    """Rows (rid, kind, ord, start, end, hit, before, after): every match of every pattern; places in code points, end exclusive."""
     parts = []
     for i, p in enumerate(patterns):
         m = F.col(f"m_{p.kind}")
@@ -60,15 +64,17 @@ def placed(scan: DataFrame, patterns: tuple[Pattern, ...], rid: str = "rid") ->
                 F.lit(i).alias("ord"),
                 F.lit(p.least).alias("least_"),
                 F.lit(p.most if p.most is not None else 2**31 - 1).alias("most_"),
-                F.posexplode(F.arrays_zip(m["gaps"].alias("gap"), m["hits"].alias("hit"), m["sizes"].alias("size"))).alias("i_", "x"),
+                F.posexplode(
+                    F.arrays_zip(m["gaps"].alias("gap"), m["hits"].alias("hit"), m["sizes"].alias("size"), F.slice(m["gaps"], 2, F.size(m["hits"])).alias("next"))
+                ).alias("i_", "x"),
             )
         )
     rows = reduce(DataFrame.unionByName, parts).filter(F.col("x.hit").isNotNull())
-    rows = rows.select(rid, "kind", "ord", "least_", "most_", "i_", F.col("x.gap").alias("gap_"), F.col("x.hit").alias("hit"), F.col("x.size").alias("size_"))
+    rows = rows.select(rid, "kind", "ord", "least_", "most_", "i_", F.col("x.gap").alias("gap_"), F.col("x.hit").alias("hit"), F.col("x.size").alias("size_"), F.col("x.next.after").alias("after"))
     so_far = Window.partitionBy(rid, "ord").orderBy("i_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("end", F.sum(F.col("gap_") + F.length("hit")).over(so_far))
+    rows = rows.withColumn("end", F.sum(F.col("gap_.n") + F.length("hit")).over(so_far))
     return rows.filter(F.col("size_").between(F.col("least_"), F.col("most_"))).select(
-        rid, "kind", "ord", (F.col("end") - F.length("hit")).cast("long").alias("start"), F.col("end").cast("long").alias("end"), "hit"
+        rid, "kind", "ord", (F.col("end") - F.length("hit")).cast("long").alias("start"), F.col("end").cast("long").alias("end"), "hit", F.col("gap_.before").alias("before"), "after"
     )
 
 
