@@ -5,7 +5,18 @@ from __future__ import annotations
 from importlib import import_module
 
 #: One module per operator; each has QUERIES and SQL.
-MODULES = ("packing_query", "lattice_query", "bpe_query", "secret_query", "substring_query", "personal_query", "warc_query", "jaccard_query", "quality_query")
+MODULES = (
+    "packing_query",
+    "lattice_query",
+    "bpe_query",
+    "secret_query",
+    "substring_query",
+    "personal_query",
+    "lines_query",
+    "warc_query",
+    "jaccard_query",
+    "quality_query",
+)
 
 
 def load_all():
