@@ -236,7 +236,8 @@ def _region_links(members: DataFrame, sets: DataFrame, options: Options) -> Data
 
 
 def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None, options: Options = Options()) -> DataFrame:
-    """Per document: ``row_`` (columns ``keep``, all by default), n_shingles, component_id, and ``rid``, ``class_`` (rows of equal sets)."""
+    """Per document: ``row_`` (columns ``keep``, all by default), n_shingles, component_id, and ``kept``: one row of each component (of
+    the smallest id; of rows with that id, one)."""
     spark = docs.sparkSession
     keep = docs.columns if keep is None else keep
     row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row_")
@@ -304,9 +305,10 @@ def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: li
     # Rows of a class, classes of a component; ids are summed up before they are shuffled.
     resolved = classes.join(roots, "node", "left").select("h", "g", "n_shingles", "node", F.coalesce("root", "node").alias("root_"))
     placed = may.select("rid", "id_", "h", "g", "n_shingles").join(resolved, ["h", "g", "n_shingles"])
-    placed = save(placed.select("rid", "id_", F.col("node").alias("class_"), "root_"), "placed")
-    least = placed.groupBy("root_").agg(F.min("id_").alias("least_"))
-    placed = placed.join(least, "root_").select("rid", "class_", "least_")
+    placed = save(placed.select("rid", "id_", "root_"), "placed")
+    first = F.min(F.struct(F.col("id_").isNull().alias("without"), "id_", "rid"))
+    least = placed.groupBy("root_").agg(F.min("id_").alias("least_"), first.getField("rid").alias("keeper_"))
+    placed = placed.join(least, "root_").select("rid", "least_", (F.col("rid") == F.col("keeper_")).alias("kept_"))
     return rows.select("row_", "id_", "n_shingles", "rid").join(placed, "rid", "left").select(
-        "row_", "n_shingles", F.coalesce("least_", "id_").alias("component_id"), "rid", F.coalesce("class_", "rid").alias("class_"), F.col("least_").isNotNull().alias("grouped_")
+        "row_", "n_shingles", F.coalesce("least_", "id_").alias("component_id"), F.coalesce("kept_", F.lit(True)).alias("kept")
     )
