@@ -23,9 +23,17 @@ def path_ord(path: Column) -> Column:
     return F.when(path == PATHS[0], 0).otherwise(1)
 
 
+#: Parts in which a query's hits are ranked before the final rank, so that no task ranks what all tasks found.
+RANK_PARTS = 32
+
+
 def _top(scores: DataFrame, limit: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("pk"))
-    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    best = (F.col("score").desc(), F.col("pk"))
+    part = Window.partitionBy("query_id", "_part").orderBy(*best)
+    parts = scores.withColumn("_part", F.pmod(F.xxhash64("pk"), F.lit(RANK_PARTS)))
+    parts = parts.withColumn("_nth", F.row_number().over(part)).where(F.col("_nth") <= limit).drop("_part", "_nth")
+    whole = Window.partitionBy("query_id").orderBy(*best)
+    return parts.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= limit)
 
 
 def unseen(rows: DataFrame, seen: DataFrame | None) -> DataFrame:
@@ -205,7 +213,7 @@ def fuse(hits: DataFrame, rrf_k: int, active: tuple[str, ...] = PATHS, keys: tup
     paths are kept for reading but add nothing to the fused score.
     """
     live = F.col("path").isin(*active)
-    place = path_ord(F.col("path")) * 1_000_000 + F.col("rank")
+    place = F.struct(path_ord(F.col("path")).alias("o"), "rank")
     per = hits.groupBy(*keys, "pk").agg(
         F.sum(F.when(live, 1.0 / (F.lit(rrf_k) + F.col("rank")))).alias("rrf"),
         F.min(F.when(live, place)).alias("_first"),
@@ -331,14 +339,17 @@ def search(
     seen: DataFrame | None = None,
     p: SearchParams = SearchParams(),
     hits: DataFrame | None = None,
+    dense: DataFrame | None = None,
 ) -> SearchResult:
     """Hybrid search with auto-deepening for many queries at once.
 
+    Vectors are read from ``dense`` (pk, dense), or from the corpus when they stand there.
+
     The corpus is ranked once to the deepest attempt; ``hits`` of an earlier
     probe of that depth may be passed in instead.
     """
     if hits is None:
-        hits = cut(probe(corpus, sparse, queries, p.max_depth, seen))
+        hits = cut(probe(corpus if dense is None else dense, sparse, queries, p.max_depth, seen))
     fields = fields_of(hits, corpus)
     gated = cut(evaluate_attempts(hits, fields, p))
     log = attempts_log(gated, p)

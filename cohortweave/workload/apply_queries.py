@@ -193,7 +193,7 @@ def borderline(spark, d):
 cte(
     "train_t",
     """SELECT v.session_id, v.pk, (v.verdict = 'KEEP')::INTEGER AS label, v.decile, v.nearest_fit_distance, c.dense
-    FROM verdicts_t v JOIN corpus c ON c.pk = v.pk WHERE v.verdict IN ('KEEP', 'DROP')""",
+    FROM verdicts_t v JOIN vectors_t c ON c.pk = v.pk WHERE v.verdict IN ('KEEP', 'DROP')""",
 )
 cte(
     "scaler_t",
@@ -208,12 +208,12 @@ cte(
 cte(
     "labelled_t",
     """SELECT c.session_id, c.pk, c.nearest_fit_distance, 1.0 / (1.0 + exp(-(list_dot_product(list_append(v.dense, (c.nearest_fit_distance - m.scaler_mean) / m.scaler_scale), m.coef)
-    + m.intercept))) AS p_keep FROM cohort_t c JOIN corpus v ON v.pk = c.pk JOIN models_t m ON m.session_id = c.session_id""",
+    + m.intercept))) AS p_keep FROM cohort_t c JOIN vectors_t v ON v.pk = c.pk JOIN models_t m ON m.session_id = c.session_id""",
 )
 
 
 def training_rows(spark, d):
-    return md.with_embeddings(md.labelled(verdicts(spark, d)), t.corpus_vectors(spark, d)).select(
+    return md.with_embeddings(md.labelled(verdicts(spark, d)), t.vectors(spark, d)).select(
         "session_id", "pk", "label", "decile", "nearest_fit_distance", "dense"
     )
 
@@ -249,8 +249,8 @@ def training_frame(spark, d):
 
 @query(
     "cohort_frame",
-    """SELECT session_id, count(*) AS cohort_rows, count(*) FILTER (pk IN (SELECT pk FROM corpus WHERE label <> 9)) AS with_vector,
-    count(*) FILTER (pk NOT IN (SELECT pk FROM corpus WHERE label <> 9)) AS dropped FROM cohort_t GROUP BY session_id""",
+    """SELECT session_id, count(*) AS cohort_rows, count(*) FILTER (pk IN (SELECT vec_id FROM embeddings WHERE label <> 9)) AS with_vector,
+    count(*) FILTER (pk NOT IN (SELECT vec_id FROM embeddings WHERE label <> 9)) AS dropped FROM cohort_t GROUP BY session_id""",
 )
 def cohort_frame(spark, d):
     store = t.load(spark, d, "embeddings").where("label <> 9").select(
@@ -291,14 +291,14 @@ def stack_features(spark, d):
 
 @query("score_params", "SELECT session_id, pk, round(p_keep, 6) AS p_keep FROM labelled_t")
 def score_params(spark, d):
-    return phases.score_cohort(cohort(spark, d), t.corpus_vectors(spark, d), fixed_models(spark, d), 0.7).select(
+    return phases.score_cohort(cohort(spark, d), t.vectors(spark, d), fixed_models(spark, d), 0.7).select(
         "session_id", "pk", "p_keep"
     )
 
 
 @query("score_pass", "SELECT session_id, pk, round(nearest_fit_distance, 6) AS nearest_fit_distance, round(p_keep, 6) AS p_keep FROM labelled_t")
 def score_pass(spark, d):
-    rows = hv.score_pass(placed(spark, d), fixed_models(spark, d), t.corpus_vectors(spark, d), HP.anchor_frequency_gate)
+    rows = hv.score_pass(placed(spark, d), fixed_models(spark, d), t.vectors(spark, d), HP.anchor_frequency_gate)
     return hv.drop_discarded(rows, ratings.discarded(t.events(spark, d)))
 
 
@@ -308,7 +308,7 @@ def score_pass(spark, d):
 )
 def apply_labels(spark, d):
     path = scratch_path(spark, "labels")
-    stores.write_labels(phases.score_cohort(cohort(spark, d), t.corpus_vectors(spark, d), fixed_models(spark, d), 0.6), path)
+    stores.write_labels(phases.score_cohort(cohort(spark, d), t.vectors(spark, d), fixed_models(spark, d), 0.6), path)
     return stores.read_labels(spark, path)
 
 
@@ -323,7 +323,7 @@ def pinned_models(spark, d):
 )
 def reuse_classifier(spark, d):
     return phases.apply_reuse(
-        cohort(spark, d), t.corpus_vectors(spark, d), pinned_models(spark, d), rubrics(spark, d), AP
+        cohort(spark, d), t.vectors(spark, d), pinned_models(spark, d), rubrics(spark, d), AP
     ).select("session_id", "pk", "verdict", "p_keep")
 
 
@@ -434,7 +434,7 @@ def classifier_roundtrip(spark, d):
 
 
 def applied(spark, d):
-    return phases.apply_train(verdicts(spark, d), t.corpus_vectors(spark, d), AP)
+    return phases.apply_train(verdicts(spark, d), t.vectors(spark, d), AP)
 
 
 @query(
@@ -444,7 +444,7 @@ def applied(spark, d):
 )
 def apply_run(spark, d):
     a = applied(spark, d)
-    scores = cut(phases.score_cohort(cohort(spark, d), t.corpus_vectors(spark, d), a.models, 0.52))
+    scores = cut(phases.score_cohort(cohort(spark, d), t.vectors(spark, d), a.models, 0.52))
     labels, _ = phases.apply_finalize(a, scores, 0.52, AP, allow_low_precision=True)
     return labels.groupBy("session_id").agg(F.count("*").alias("total")).join(
         a.models.select("session_id", F.col("n_train").alias("training_n")), "session_id"
@@ -454,7 +454,7 @@ def apply_run(spark, d):
 @query("apply_meta")
 def apply_meta(spark, d):
     a = applied(spark, d)
-    scores = cut(phases.score_cohort(cohort(spark, d), t.corpus_vectors(spark, d), a.models, 0.52))
+    scores = cut(phases.score_cohort(cohort(spark, d), t.vectors(spark, d), a.models, 0.52))
     labels, decision = phases.apply_finalize(a, scores, 0.52, AP, allow_low_precision=True)
     return reports.apply_meta(cohort(spark, d), labels, a.frame, decision, a.models)
 

@@ -54,7 +54,7 @@ calibration_ctes("kept", "kept_anchors")
 cte(
     "all_distances",
     f"""SELECT a.session_id, a.fit_pk, a.fit_ord, a.chunk_id, c.pk, greatest(0.0, {dist('a.span', 'c.dense')}) AS d
-    FROM kept_anchors a CROSS JOIN corpus c""",
+    FROM kept_anchors a CROSS JOIN vectors_t c""",
 )
 for scheme, radius in (("per_fit", "T_prime"), ("decoupled", "T_prime_out")):
     cte(
@@ -101,7 +101,7 @@ def not_fit(spark, d):
 
 def harvested(spark, d, p=HP):
     return phases.run_harvest(
-        t.anchors(spark, d), t.corpus_vectors(spark, d), not_fit(spark, d), ratings.discarded(t.events(spark, d)), p
+        t.anchors(spark, d), t.vectors(spark, d), not_fit(spark, d), ratings.discarded(t.events(spark, d)), p
     )
 
 
@@ -151,7 +151,7 @@ def quality_gate(spark, d):
 
 @query("radius_join", "SELECT session_id, fit_pk, pk, round(d, 6) AS d FROM per_fit_hits")
 def radius_join(spark, d):
-    return hv.radius_join(placed(spark, d), t.corpus_vectors(spark, d))
+    return hv.radius_join(placed(spark, d), t.vectors(spark, d))
 
 
 ATTRIBUTED = f"""SELECT session_id, pk, near.f AS nearest_fit_pk, near.l AS nearest_fit_label, round(near.a, 6) AS nearest_fit_distance,
@@ -160,13 +160,13 @@ round(near.r, 6) AS "threshold_T_prime", qualifying_fit_count::BIGINT AS qualify
 
 @query("harvest_attribution", f"{ATTRIBUTED}, is_anchor FROM per_fit_attributed")
 def harvest_attribution(spark, d):
-    return hv.cohort_pass(placed(spark, d), t.corpus_vectors(spark, d))
+    return hv.cohort_pass(placed(spark, d), t.vectors(spark, d))
 
 
 @query("harvest_attribution_decoupled", f"{ATTRIBUTED}, is_anchor FROM decoupled_attributed")
 def harvest_attribution_decoupled(spark, d):
     a = placed(spark, d, DECOUPLED)
-    return hv.attribute(hv.radius_join(a, t.corpus_vectors(spark, d)), a)
+    return hv.attribute(hv.radius_join(a, t.vectors(spark, d)), a)
 
 
 @query(
@@ -176,7 +176,7 @@ def harvest_attribution_decoupled(spark, d):
 )
 def anchor_budget(spark, d):
     a = placed(spark, d)
-    return hv.anchor_budget(hv.radius_join(a, t.corpus_vectors(spark, d)), a, 100)
+    return hv.anchor_budget(hv.radius_join(a, t.vectors(spark, d)), a, 100)
 
 
 @query(
@@ -185,7 +185,7 @@ def anchor_budget(spark, d):
     FROM per_fit_hits) WHERE place <= 100""",
 )
 def capped_hits(spark, d):
-    return hv.cap_hits(cut(hv.radius_join(placed(spark, d), t.corpus_vectors(spark, d))), 100)
+    return hv.cap_hits(cut(hv.radius_join(placed(spark, d), t.vectors(spark, d))), 100)
 
 
 COHORT_COLUMNS = """session_id, pk, nearest_fit_pk, nearest_fit_label, round(nearest_fit_distance, 6) AS nearest_fit_distance,
@@ -194,7 +194,7 @@ round("threshold_T_prime", 6) AS "threshold_T_prime", qualifying_fit_count::BIGI
 
 @query("frequency_gate", f"SELECT {COHORT_COLUMNS} FROM candidates_h WHERE qualifying_fit_count >= 6")
 def frequency_gate(spark, d):
-    rows = hv.cohort_pass(placed(spark, d), t.corpus_vectors(spark, d)).where("NOT is_anchor").drop("is_anchor")
+    rows = hv.cohort_pass(placed(spark, d), t.vectors(spark, d)).where("NOT is_anchor").drop("is_anchor")
     return hv.frequency_gate(rows, 6)
 
 
@@ -209,7 +209,7 @@ def frequency_gate(spark, d):
       GROUP BY session_id) k ON k.session_id = s.session_id""",
 )
 def frequency_summary(spark, d):
-    rows = hv.cohort_pass(placed(spark, d), t.corpus_vectors(spark, d)).where("NOT is_anchor")
+    rows = hv.cohort_pass(placed(spark, d), t.vectors(spark, d)).where("NOT is_anchor")
     return hv.frequency_summary(rows, 6)
 
 
@@ -220,7 +220,7 @@ def frequency_summary(spark, d):
 )
 def cohort_consistency(spark, d):
     a = placed(spark, d)
-    return hv.cohort_consistency(hv.cohort_pass(a, t.corpus_vectors(spark, d)), a, 9)
+    return hv.cohort_consistency(hv.cohort_pass(a, t.vectors(spark, d)), a, 9)
 
 
 @query(
@@ -229,7 +229,7 @@ def cohort_consistency(spark, d):
     (SELECT 1 FROM events_t e WHERE e.session_id = c.session_id AND e.pk = c.pk AND e.rating = 'DISCARD')""",
 )
 def harvest_discard_filter(spark, d):
-    rows = hv.cohort_pass(placed(spark, d), t.corpus_vectors(spark, d)).where("NOT is_anchor").drop("is_anchor")
+    rows = hv.cohort_pass(placed(spark, d), t.vectors(spark, d)).where("NOT is_anchor").drop("is_anchor")
     return hv.drop_discarded(rows, ratings.discarded(t.events(spark, d)))
 
 
@@ -267,7 +267,7 @@ cte(
     round(distance_of_own_pk, 6) AS distance_of_own_pk FROM loo_t""",
 )
 def loo_recovery(spark, d):
-    return hv.loo_recovery(kept(spark, d), t.corpus_vectors(spark, d), HP)
+    return hv.loo_recovery(kept(spark, d), t.vectors(spark, d), HP)
 
 
 cte(
@@ -279,7 +279,7 @@ cte(
 
 @query("loo_verdict", "SELECT * FROM verdict_t")
 def loo_verdict(spark, d):
-    return hv.loo_verdict(hv.loo_recovery(kept(spark, d), t.corpus_vectors(spark, d), HP), HP)
+    return hv.loo_verdict(hv.loo_recovery(kept(spark, d), t.vectors(spark, d), HP), HP)
 
 
 @query("harvest", f"SELECT {COHORT_COLUMNS} FROM cohort_t")

@@ -19,7 +19,7 @@ DEEP = SearchParams(min_survivors=9)
 DENSE_ONLY = SearchParams(active_paths=("dense",))
 
 SIM = "round(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, list_cosine_similarity(q.dense, c.dense))), 12)"
-cte("dense_all", f"SELECT q.query_id, c.pk, {SIM} AS score FROM queries_t q CROSS JOIN corpus c")
+cte("dense_all", f"SELECT q.query_id, c.pk, {SIM} AS score FROM queries_t q CROSS JOIN vectors_t c")
 cte(
     "sparse_all",
     """SELECT q.query_id, p.pk, sum(q.weight * p.weight) AS score FROM query_postings_t q JOIN postings p ON p.term = q.term
@@ -86,11 +86,11 @@ pool_sql("single", "'dense'", P.min_survivors)
 
 def hits(spark, d):
     """Both paths at the deepest attempt, probed once."""
-    return rt.probe(t.corpus_vectors(spark, d), t.sparse(spark, d), t.queries(spark, d), P.max_depth, t.seen(spark, d))
+    return rt.probe(t.vectors(spark, d), t.sparse(spark, d), t.queries(spark, d), P.max_depth, t.seen(spark, d))
 
 
 def result(spark, d, p=P):
-    return rt.search(t.corpus(spark, d), t.sparse(spark, d), t.queries(spark, d), t.seen(spark, d), p)
+    return rt.search(t.corpus(spark, d), t.sparse(spark, d), t.queries(spark, d), t.seen(spark, d), p, dense=t.vectors(spark, d))
 
 
 @query(
@@ -145,7 +145,7 @@ def content_lookup(spark, d):
     row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pk) AS rank FROM dense_all) WHERE rank <= 20""",
 )
 def dense_topk(spark, d):
-    return rt.dense_topk(t.corpus_vectors(spark, d), t.queries(spark, d), P.per_path_limit)
+    return rt.dense_topk(t.vectors(spark, d), t.queries(spark, d), P.per_path_limit)
 
 
 SPARSE_TOPK = """SELECT query_id, path, pk, score, rank FROM (SELECT query_id, 'sparse' AS path, pk, score,
@@ -164,7 +164,7 @@ def sparse_topk_postings(spark, d):
 
 @query("seen_exclusion", "SELECT query_id, path, pk, round(score, 6) AS score, rank FROM hits_t WHERE rank <= 20")
 def seen_exclusion(spark, d):
-    return rt.probe(t.corpus_vectors(spark, d), t.sparse(spark, d), t.queries(spark, d), P.per_path_limit, t.seen(spark, d))
+    return rt.probe(t.vectors(spark, d), t.sparse(spark, d), t.queries(spark, d), P.per_path_limit, t.seen(spark, d))
 
 
 @query("probe_only", "SELECT query_id, path, pk, round(score, 6) AS score, rank FROM hits_t")
@@ -372,4 +372,4 @@ def extraction_drop(spark, d):
     JOIN (SELECT counselor_id, count(*) FILTER (idx IS NULL) AS dropped FROM r GROUP BY 1) x ON x.counselor_id = g.counselor_id""",
 )
 def span_hist(spark, d):
-    return rt.span_histogram(with_spans(t.corpus(spark, d).drop("dense")), ("counselor_id",))
+    return rt.span_histogram(with_spans(t.corpus(spark, d)), ("counselor_id",))

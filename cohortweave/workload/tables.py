@@ -42,39 +42,43 @@ def load(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
+def kind(pk):
+    """A digit per chunk by which the queries tell cases apart."""
+    return F.pmod(pk * 7, F.lit(10)).cast("int")
+
+
+KIND_SQL = "({} * 7 % 10)::INTEGER"
+
+
 def corpus(spark: SparkSession, d: str) -> DataFrame:
-    docs = load(spark, d, "documents")
-    emb = load(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
-    return docs.join(emb, "doc_id").select(
+    """The texts: every document is a chunk."""
+    return load(spark, d, "documents").select(
         F.col("doc_id").alias("pk"),
         F.col("source").alias("sample_id"),
         F.col("lang").alias("counselor_id"),
         F.lit(TERM).alias("term"),
         F.col("text").alias("chunk_content"),
         F.col("doc_id").cast("int").alias("chunk_seq"),
-        F.col("embedding").cast("array<double>").alias("dense"),
-        "label",
+        kind(F.col("doc_id")).alias("label"),
     )
 
 
 cte(
     "corpus",
-    f"""SELECT d.doc_id AS pk, d.source AS sample_id, d.lang AS counselor_id, '{TERM}' AS term, d.text AS chunk_content,
-    d.doc_id::INTEGER AS chunk_seq, e.embedding::DOUBLE[] AS dense, e.label AS label
-    FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id""",
+    f"""SELECT doc_id AS pk, source AS sample_id, lang AS counselor_id, '{TERM}' AS term, text AS chunk_content,
+    doc_id::INTEGER AS chunk_seq, {KIND_SQL.format("doc_id")} AS label FROM documents""",
 )
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
-    """The (pk, dense) side of the corpus on its own, for scans that need no text.
+    """The vectors: every embedding, of the chunk with its id if there is one.
 
-    Vectors stay single precision until they are computed with.
+    They stay single precision until they are computed with.
     """
     return load(spark, d, "embeddings").select(F.col("vec_id").alias("pk"), F.col("embedding").alias("dense"))
 
 
-def corpus_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return vectors(spark, d).join(load(spark, d, "documents").select(F.col("doc_id").alias("pk")), "pk", "left_semi")
+cte("vectors_t", "SELECT vec_id AS pk, embedding::DOUBLE[] AS dense FROM embeddings")
 
 
 @stage
@@ -93,7 +97,7 @@ cte(
 
 def _rated(spark: SparkSession, d: str) -> DataFrame:
     labels = load(spark, d, "labels").withColumnRenamed("doc_id", "pk")
-    rows = corpus(spark, d).drop("dense").join(labels, "pk")
+    rows = corpus(spark, d).join(labels, "pk")
     rating = F.when(F.col("toxic") == 1, "DISCARD").when(F.col("quality") == 1, "FIT").otherwise("NOT_FIT")
     n_lines = F.size(text.lines(F.col("chunk_content")))
     take = F.least(n_lines, (1 + F.col("pk") % 3).cast("int"))
@@ -232,15 +236,15 @@ def queries(spark: SparkSession, d: str) -> DataFrame:
         .groupBy(F.floor(F.col("pk") / SESSION_SIZE).alias("query_id"))
         .agg(F.min("pk").alias("pk"))
     )
-    both = seed.join(corpus_vectors(spark, d), "pk").join(sparse(spark, d), "pk", "left")
+    both = seed.join(vectors(spark, d), "pk").join(sparse(spark, d), "pk", "left")
     return both.select("query_id", "pk", F.col("dense").cast("array<double>").alias("dense"), "terms", "weights")
 
 
 cte(
     "queries_t",
     """SELECT q.query_id, q.pk, c.dense FROM
-    (SELECT session_id AS query_id, min(pk) AS pk FROM rated_first WHERE rating = 'FIT' GROUP BY session_id) q
-    JOIN corpus c ON c.pk = q.pk""",
+    (SELECT session_id AS query_id, min(pk) AS pk FROM rated_first WHERE rating = 'FIT' AND pk IN (SELECT pk FROM vectors_t)
+    GROUP BY session_id) q JOIN vectors_t c ON c.pk = q.pk""",
 )
 
 
@@ -264,7 +268,7 @@ cte("seen_t", "SELECT DISTINCT session_id AS query_id, pk FROM events_t WHERE tu
 def spans(spark: SparkSession, d: str) -> DataFrame:
     """Span vectors: the chunk vector with its leading components zeroed, more of them for some."""
     emb = load(spark, d, "embeddings")
-    zeroed = F.when(F.col("label") == 2, ZEROED_HARD).otherwise(ZEROED)
+    zeroed = F.when(kind(F.col("vec_id")) == 2, ZEROED_HARD).otherwise(ZEROED)
     return emb.select(
         F.floor(F.col("vec_id") / SESSION_SIZE).alias("session_id"),
         F.col("vec_id").alias("pk"),
@@ -276,7 +280,7 @@ def spans(spark: SparkSession, d: str) -> DataFrame:
 def anchors(spark: SparkSession, d: str) -> DataFrame:
     from ..plans.phases import anchor_inputs
 
-    return anchor_inputs(events(spark, d), spans(spark, d), corpus_vectors(spark, d), allow_unconverged=True)
+    return anchor_inputs(events(spark, d), spans(spark, d), vectors(spark, d), allow_unconverged=True)
 
 
 cte(
@@ -296,5 +300,5 @@ cte(
     "anchors_t",
     f"""SELECT f.session_id, f.pk AS fit_pk, f.fit_ord, f.chunk_id, c.dense AS chunk,
     list_transform(c.dense, lambda x, i: CASE WHEN i <= CASE WHEN f.label = 2 THEN {ZEROED_HARD} ELSE {ZEROED} END THEN 0.0::DOUBLE ELSE x END) AS span
-    FROM anchor_fits_t f JOIN corpus c ON c.pk = f.pk""",
+    FROM anchor_fits_t f JOIN vectors_t c ON c.pk = f.pk""",
 )
