@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 VERDICT_KEYS = ("verdict", "evidence_line_indices", "failed_check", "reason")
 
@@ -105,39 +104,65 @@ def json_body(raw: Column) -> Column:
     return F.when(cleaned.startswith("{"), cleaned).otherwise(cutout)
 
 
-VERDICT_TYPE = T.StructType(
-    [
-        T.StructField("verdict", T.StringType()),
-        T.StructField("evidence_line_indices", T.ArrayType(T.IntegerType())),
-        T.StructField("failed_check", T.StringType()),
-        T.StructField("reason", T.StringType()),
-    ]
-)
+def strict_object(body: Column) -> Column:
+    """The JSON object that ``body`` is, as a variant; null when it is anything else or anything follows it."""
+    alone = F.size(F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<string>", {"allowSingleQuotes": "false"})) == 1
+    return F.when(alone & F.json_object_keys(body).isNotNull(), F.try_parse_json(body))
 
 
-def salvage(indices: Column, cap: int = 3) -> Column:
-    """Over-long index lists keep their first ``cap`` distinct entries, sorted."""
-    ints = F.filter(indices, lambda i: i.isNotNull())
-    return F.when(F.size(indices) <= cap, indices).otherwise(F.array_sort(F.slice(F.array_distinct(ints), 1, cap)))
+def _kind(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value), F.lit("MISSING"))
 
 
-def contract_breach(parsed: Column, body: Column, text: Column, checks: Column) -> Column:
+def _lax_int(value: Column) -> Column:
+    """An index as an int: whole numbers, also as text or with a zero fraction; null for anything else."""
+    number, words = F.try_variant_get(value, "$", "double"), F.try_variant_get(value, "$", "string")
+    whole = _kind(value).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|BOOLEAN)") & (number == F.floor(number))
+    spelled = (_kind(value) == "STRING") & words.rlike(r"^\s*[+-]?[0-9]{1,9}(\.0+)?\s*$")
+    return F.when(whole & (F.abs(number) < 2**31), number.cast("int")).when(spelled, F.trim(words).cast("double").cast("int"))
+
+
+def evidence_indices(parsed: Column, cap: int = 3) -> Column:
+    """The evidence list as ints, null if an entry is none. Longer lists keep their first ``cap`` distinct ints, sorted."""
+    raw = F.try_variant_get(parsed, "$.evidence_line_indices", "array<variant>")
+    ints = F.transform(F.filter(raw, lambda v: _kind(v) == "BIGINT"), lambda v: F.try_variant_get(v, "$", "int"))
+    lax = F.transform(raw, _lax_int)
+    return F.when(F.size(raw) > cap, F.array_sort(F.slice(F.array_distinct(ints), 1, cap))).otherwise(
+        F.when(~F.exists(lax, lambda i: i.isNull()), lax)
+    )
+
+
+def verdict_fields(parsed: Column) -> Column:
+    """The fields of a parsed verdict; texts only where they are texts."""
+    part = lambda name: F.try_variant_get(parsed, f"$.{name}", "variant")
+    words = lambda name: F.when(_kind(part(name)) == "STRING", F.try_variant_get(parsed, f"$.{name}", "string"))
+    odd = ~_kind(part("failed_check")).isin("STRING", "VOID", "MISSING") | ~_kind(part("reason")).isin("STRING", "MISSING")
+    return F.struct(
+        words("verdict").alias("verdict"),
+        evidence_indices(parsed).alias("evidence_line_indices"),
+        words("failed_check").alias("failed_check"),
+        F.coalesce(words("reason"), F.lit("")).alias("reason"),
+        F.coalesce(odd, F.lit(False)).alias("odd"),
+    )
+
+
+def contract_breach(fields: Column, body: Column, text: Column, checks: Column) -> Column:
     """Why a parsed verdict is unacceptable, or null when it is fine."""
-    idx = parsed["evidence_line_indices"]
+    idx = fields["evidence_line_indices"]
     n = F.size(lines(text))
     known = F.array(*[F.lit(k) for k in VERDICT_KEYS])
-    keys = F.json_object_keys(body)
     return (
-        F.when(keys.isNull(), "invalid_json")
-        .when(F.size(F.array_except(keys, known)) > 0, "unknown_key")
-        .when(parsed["verdict"].isNull() | ~parsed["verdict"].isin("KEEP", "DROP"), "bad_verdict")
+        F.when(strict_object(body).isNull(), "invalid_json")
+        .when(F.size(F.array_except(F.json_object_keys(body), known)) > 0, "unknown_key")
+        .when(fields["verdict"].isNull() | ~fields["verdict"].isin("KEEP", "DROP"), "bad_verdict")
+        .when(fields["odd"], "bad_type")
         .when(idx.isNull() | (F.size(idx) < 1) | (F.size(idx) > 3), "evidence_length")
         .when(~F.forall(idx, lambda i: (i >= 1) & (i <= n)), "evidence_range")
         .when(~ascending_unique(idx), "evidence_order")
-        .when((parsed["verdict"] == "KEEP") & parsed["failed_check"].isNotNull(), "keep_with_check")
-        .when((parsed["verdict"] == "DROP") & parsed["failed_check"].isNull(), "drop_without_check")
-        .when((parsed["verdict"] == "DROP") & ~F.array_contains(checks, parsed["failed_check"]), "unknown_check")
-        .when(F.length(F.coalesce(parsed["reason"], F.lit(""))) > 500, "reason_too_long")
+        .when((fields["verdict"] == "KEEP") & fields["failed_check"].isNotNull(), "keep_with_check")
+        .when((fields["verdict"] == "DROP") & fields["failed_check"].isNull(), "drop_without_check")
+        .when((fields["verdict"] == "DROP") & ~F.array_contains(checks, fields["failed_check"]), "unknown_check")
+        .when(F.length(fields["reason"]) > 500, "reason_too_long")
     )
 
 

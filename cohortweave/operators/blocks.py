@@ -1,9 +1,9 @@
 """Vector theta joins: a large side scanned once against a bounded side.
 
-The bounded side (queries, anchors) is read with a row limit. Within the
-limit it is broadcast and the large side is streamed past it, map-only.
-Beyond the limit both sides are cut by hash into fragments and every fragment
-pair meets once in a co-grouped task, which is exact for any size or skew.
+The bounded side (queries, anchors) is measured. Within a limit of rows and bytes it is
+broadcast and the large side is streamed past it. Beyond the limit it is written as blocks to the
+shared folder, which tasks read one after the other. Either way the large side is read once,
+where it is, and not shuffled.
 """
 
 from __future__ import annotations
@@ -14,13 +14,18 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-# 64 MiB of 1024-d doubles.
+from ..session import measured, scratch_path
+
+# 64 MiB of 1024-d doubles; and of anything else.
 MAX_BLOCK_ROWS = 8192
+MAX_BLOCK_BYTES = 64 * 1024 * 1024
 ROWS_PER_SLICE = 50_000
 # Entries of one rows-by-block distance matrix (32 MiB of doubles).
 MAX_CELLS = 4_000_000
@@ -83,20 +88,21 @@ def against(
     kernel: Kernel,
     schema: T.StructType | str,
     *,
-    slice_key: str,
     block_key: list[str],
     max_rows: int = MAX_BLOCK_ROWS,
 ) -> DataFrame:
-    """Run ``kernel(bounded rows)`` over every row of ``large``.
+    """Run ``kernel(bounded rows)`` over every row of ``large``, which never moves and may be a stream.
 
-    In the fragmented form the kernel sees a part of either side at a time, so
-    its output must be mergeable; rows sharing ``block_key`` stay together.
+    Above ``max_rows`` or ``MAX_BLOCK_BYTES`` the bounded side is cut into blocks in the shared
+    folder, and each task holds a slice of its rows against one block after the other. The kernel
+    then sees a part of either side at a time, so its output must be mergeable; rows sharing
+    ``block_key`` stay together.
     """
     out = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow_out = to_arrow_schema(out)
-    head = bounded.limit(max_rows + 1).toArrow()
-    if head.num_rows <= max_rows:
-        shared = large.sparkSession.sparkContext.broadcast(head)
+    n, size = measured(bounded)
+    if n <= max_rows and size <= MAX_BLOCK_BYTES:
+        shared = large.sparkSession.sparkContext.broadcast(bounded.toArrow())
 
         def run(batches: Batches) -> Batches:
             if shared.value.num_rows:
@@ -104,23 +110,40 @@ def against(
 
         return large.mapInArrow(run, out)
 
-    n_blocks = math.ceil(bounded.count() / max_rows)
-    n_slices = max(1, math.ceil(large.count() / ROWS_PER_SLICE))
-    left = large.withColumn("_slice", F.pmod(F.xxhash64(slice_key), F.lit(n_slices)).cast("int")).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    )
-    # Fresh column identities, so that a table can meet itself.
-    fresh = bounded.select(*[F.col(c).alias(c) for c in bounded.columns])
-    right = fresh.withColumn("_block", F.pmod(F.xxhash64(*block_key), F.lit(n_blocks)).cast("int")).withColumn(
-        "_slice", F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1)))
-    )
-
-    def pair(rows: pa.Table, block: pa.Table) -> pa.Table:
-        if rows.num_rows == 0 or block.num_rows == 0:
-            return arrow_out.empty_table()
-        return pa.Table.from_batches(list(kernel(block, arrow_out)(iter(rows.to_batches()))), arrow_out)
-
-    return left.groupBy("_slice", "_block").cogroup(right.groupBy("_slice", "_block")).applyInArrow(pair, out)
+    n_blocks = max(math.ceil(n / max_rows), math.ceil(size / MAX_BLOCK_BYTES))
+    path = scratch_path(bounded.sparkSession, "blocks")
+    bounded.repartition(n_blocks, *block_key).write.parquet(path)
+
+    def run_blocks(batches: Batches) -> Batches:
+        store, root = shared_files(path)
+        files = sorted(f.path for f in store.get_file_info(fs.FileSelector(root)) if f.base_name.startswith("part-"))
+        for rows in slices(batches):
+            for file in files:
+                block = pq.read_table(file, filesystem=store)
+                if block.num_rows:
+                    yield from kernel(block, arrow_out)(iter(rows))
+
+    return large.mapInArrow(run_blocks, out)
+
+
+def shared_files(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system by which a task reaches a path of the shared folder."""
+    if path.startswith("file:/"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def slices(batches: Batches) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in groups of at most about ROWS_PER_SLICE rows and MAX_BLOCK_BYTES."""
+    held, rows, size = [], 0, 0
+    for part in batches:
+        held.append(part)
+        rows, size = rows + part.num_rows, size + part.nbytes
+        if rows >= ROWS_PER_SLICE or size >= MAX_BLOCK_BYTES:
+            yield held
+            held, rows, size = [], 0, 0
+    if held:
+        yield held
 
 
 def batch(columns: list, schema: pa.Schema) -> pa.RecordBatch:

@@ -75,9 +75,11 @@ def full_curve(pool: DataFrame, keys: tuple[str, ...] = (SID,)) -> DataFrame:
     )
 
 
-def pr_curve(pool: DataFrame, max_points: int = 100, keys: tuple[str, ...] = (SID,)) -> DataFrame:
-    """The curve thinned to about ``max_points``; its last point always stays."""
+def pr_curve(pool: DataFrame, max_points: int | None = None, keys: tuple[str, ...] = (SID,)) -> DataFrame:
+    """The curve; for plots, thinned to about ``max_points``, its last point always staying."""
     full = full_curve(pool, keys)
+    if max_points is None:
+        return full.drop("points")
     step = F.greatest(F.lit(1), F.floor(F.col("points") / max_points))
     thin = (F.col("points") <= max_points) | (F.col("position") % step == 0) | (F.col("position") == F.col("points") - 1)
     return full.where(thin).drop("points")

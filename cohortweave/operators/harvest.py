@@ -6,8 +6,11 @@ operator works on all sessions at once.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.vectors import cosine_distance
 from ..params import HarvestParams
@@ -33,19 +36,24 @@ def _types(anchors: DataFrame, corpus: DataFrame | None = None) -> tuple[str, st
     return kinds[SID], kinds[FIT], dict(corpus.dtypes)["pk"] if corpus is not None else kinds[FIT]
 
 
-def anchor_nearest(anchors: DataFrame, max_rows: int = MAX_BLOCK_ROWS) -> DataFrame:
+def _within_sessions(rows: DataFrame, others: DataFrame, kernel, schema: str) -> DataFrame:
+    """``kernel`` over the rows of a session and the others of the same session: an equi-join, one rater's work per group."""
+    out = to_arrow_schema(T.StructType.fromDDL(schema))
+    fresh = others.select(*[F.col(c).alias(c) for c in others.columns])  # so that a table can meet itself
+
+    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
+        if left.num_rows == 0 or right.num_rows == 0:
+            return out.empty_table()
+        return pa.Table.from_batches(list(kernel(right, out)(iter(left.to_batches()))), out)
+
+    return rows.groupBy(SID).cogroup(fresh.groupBy(SID)).applyInArrow(pair, schema)
+
+
+def anchor_nearest(anchors: DataFrame) -> DataFrame:
     """Distance of each anchor's span to its closest and second closest other span."""
     sid, fit, _ = _types(anchors)
     side = anchors.select(SID, FIT, "fit_ord", "span")
-    near = against(
-        side,
-        side,
-        nearest_anchors,
-        f"{SID} {sid}, {FIT} {fit}, other_pk {fit}, other_ord long, d double",
-        slice_key=FIT,
-        block_key=[SID, FIT],
-        max_rows=max_rows,
-    )
+    near = _within_sessions(side, side, nearest_anchors, f"{SID} {sid}, {FIT} {fit}, other_pk {fit}, other_ord long, d double")
     two = near.groupBy(SID, FIT).agg(
         F.slice(F.array_sort(F.collect_list(F.struct("d", "other_ord", "other_pk"))), 1, 2).alias("near")
     )
@@ -164,7 +172,6 @@ def radius_join(anchors: DataFrame, corpus: DataFrame, max_rows: int = MAX_BLOCK
         anchors.select(SID, FIT, "fit_ord", "span", "radius"),
         radius_rows,
         f"{SID} {sid}, {FIT} {fit}, pk {pk}, d double",
-        slice_key="pk",
         block_key=[SID, FIT],
         max_rows=max_rows,
     )
@@ -183,7 +190,6 @@ def cohort_pass(anchors: DataFrame, corpus: DataFrame, max_rows: int = MAX_BLOCK
         cohort_rows,
         f"{SID} {sid}, pk {pk}, nearest_fit_pk {fit}, nearest_fit_label string, nearest_fit_distance double, "
         f"threshold_T_prime double, qualifying_fit_count int, qualifying_fit_pks array<{fit}>, is_anchor boolean",
-        slice_key="pk",
         block_key=[SID],
         max_rows=max_rows,
     )
@@ -206,7 +212,6 @@ def score_pass(
         side,
         scored_rows(f),
         f"{SID} {sid}, pk {pk}, nearest_fit_distance double, p_keep double",
-        slice_key="pk",
         block_key=[SID],
         max_rows=max_rows,
     )
@@ -237,15 +242,16 @@ def attribute(hits: DataFrame, anchors: DataFrame) -> DataFrame:
     )
 
 
-def anchor_budget(hits: DataFrame, anchors: DataFrame, max_k: int) -> DataFrame:
-    """Admitted rows per anchor and whether the budget ran out."""
+def anchor_budget(hits: DataFrame, anchors: DataFrame, max_k: int | None = None) -> DataFrame:
+    """Admitted rows per anchor and, where there is a budget, whether it ran out."""
+    admitted = F.coalesce("admitted", F.lit(0))
     per = hits.groupBy(SID, FIT).agg(F.count("*").alias("admitted"))
     return anchors.select(SID, FIT).join(per, [SID, FIT], "left").select(
         SID,
         FIT,
-        F.least(F.coalesce("admitted", F.lit(0)), F.lit(max_k)).alias("kept"),
-        F.coalesce("admitted", F.lit(0)).alias("admitted"),
-        (F.coalesce("admitted", F.lit(0)) >= max_k).alias("budget_exhausted"),
+        (admitted if max_k is None else F.least(admitted, F.lit(max_k))).alias("kept"),
+        admitted.alias("admitted"),
+        (F.lit(False) if max_k is None else admitted >= max_k).alias("budget_exhausted"),
     )
 
 
@@ -307,17 +313,14 @@ def intrusions(cohort: DataFrame, not_fit: DataFrame) -> DataFrame:
     )
 
 
-def _own_distances(anchors: DataFrame, held: DataFrame, max_rows: int) -> DataFrame:
+def _own_distances(anchors: DataFrame, held: DataFrame) -> DataFrame:
     """Each held-out anchor's own chunk against the other anchors' recalibrated radii."""
     sid, fit, _ = _types(anchors)
-    found = against(
+    found = _within_sessions(
         held.select(SID, FIT, "chunk", "t_rest"),
         anchors.select(SID, FIT, "span", "delta"),
         own_distances,
         f"{SID} {sid}, {FIT} {fit}, own_distance double",
-        slice_key=FIT,
-        block_key=[SID, FIT],
-        max_rows=max_rows,
     )
     return found.groupBy(SID, FIT).agg(F.min("own_distance").alias("own_distance"))
 
@@ -335,15 +338,9 @@ def loo_recovery(
     every task only counts the rows that come before the own chunk.
     """
     sid, fit, _ = _types(anchors)
-    nearest = anchor_nearest(anchors, max_rows) if nearest is None else nearest
-    t_rest = against(
-        anchors.select(SID, FIT),
-        nearest,
-        held_out_quantiles(p.t_quantile),
-        f"{SID} {sid}, {FIT} {fit}, t_rest double",
-        slice_key=FIT,
-        block_key=[SID],
-        max_rows=max_rows * 64,
+    nearest = anchor_nearest(anchors) if nearest is None else nearest
+    t_rest = _within_sessions(
+        anchors.select(SID, FIT), nearest, held_out_quantiles(p.t_quantile), f"{SID} {sid}, {FIT} {fit}, t_rest double"
     )
     side = cut(
         anchors.select(
@@ -352,14 +349,13 @@ def loo_recovery(
         ).join(t_rest, [SID, FIT])
     )
     present = narrowed(corpus.select(F.col("pk").alias(FIT)), side, FIT)
-    own = _own_distances(side, side.join(present, FIT, "left_semi"), max_rows)
+    own = _own_distances(side, side.join(present, FIT, "left_semi"))
     full = cut(side.join(own, [SID, FIT], "left"))
     counted = against(
         corpus.select("pk", "dense"),
         full.select(SID, FIT, "fit_ord", "span", "delta", "t_rest", "own_distance"),
         closer_rows,
         f"{SID} {sid}, {FIT} {fit}, closer long",
-        slice_key="pk",
         block_key=[SID],
         max_rows=max_rows,
     )

@@ -26,34 +26,53 @@ AUTO_DROP = "auto_drop_known_intruder"
 
 def parse_verdicts(raw: DataFrame, checks: Column, answer: str = "raw", content: str = "chunk_content") -> DataFrame:
     """Add the parsed verdict fields and ``breach`` (null when the verdict is acceptable)."""
-    body = text.json_body(F.col(answer))
-    rows = raw.withColumn("_body", body).withColumn("_p", F.from_json("_body", text.VERDICT_TYPE))
-    salvaged = F.struct(
-        F.col("_p.verdict").alias("verdict"),
-        text.salvage(F.col("_p.evidence_line_indices")).alias("evidence_line_indices"),
-        F.col("_p.failed_check").alias("failed_check"),
-        F.coalesce(F.col("_p.reason"), F.lit("")).alias("reason"),
-    )
-    rows = rows.withColumn("_p", salvaged)
+    rows = raw.withColumn("_body", text.json_body(F.col(answer)))
+    rows = rows.withColumn("_p", text.verdict_fields(text.strict_object(F.col("_body"))))
     breach = F.when(F.coalesce(F.length("_body"), F.lit(0)) == 0, "no_json").otherwise(
         text.contract_breach(F.col("_p"), F.col("_body"), F.col(content), checks)
     )
-    return rows.withColumn("breach", breach).select("*", "_p.*").drop("_p", "_body")
+    return rows.withColumn("breach", breach).select("*", "_p.*").drop("_p", "_body", "odd")
+
+
+#: Prompts of one call; a call that fails is repeated prompt by prompt.
+PROMPTS_PER_CALL = 32
+
+
+def answers_of(prompts: list[str], answerer: Answerer) -> tuple[list[str | None], list[str | None], list[float]]:
+    """Answers, error texts and milliseconds per prompt; a failing service is data, not a failed job."""
+    answers: list[str | None] = []
+    errors: list[str | None] = []
+    spent: list[float] = []
+    for at in range(0, len(prompts), PROMPTS_PER_CALL):
+        part, start = prompts[at : at + PROMPTS_PER_CALL], time.perf_counter()
+        try:
+            found, failed = list(answerer(part)), [None] * len(part)
+            if len(found) != len(part):
+                raise ValueError(f"{len(found)} answers to {len(part)} prompts")
+        except Exception as whole:
+            found, failed = [], []
+            for prompt in part:
+                try:
+                    found.append(answerer([prompt])[0] if len(part) > 1 else None)
+                    failed.append(None if len(part) > 1 else str(whole))
+                except Exception as single:
+                    found.append(None)
+                    failed.append(str(single))
+        answers += found
+        errors += failed
+        spent += [(time.perf_counter() - start) * 1000.0 / len(part)] * len(part)
+    return answers, errors, spent
 
 
 def ask(rows: DataFrame, prompt: str, answerer: Answerer) -> DataFrame:
-    """Add ``raw`` and ``call_ms`` by calling ``answerer`` on each batch of prompts."""
-    schema = T.StructType([*rows.schema.fields, T.StructField("raw", T.StringType()), T.StructField("call_ms", T.DoubleType())])
+    """Add ``raw``, ``call_error`` and ``call_ms`` by calling ``answerer`` on slices of prompts."""
+    added = (T.StructField("raw", T.StringType()), T.StructField("call_error", T.StringType()), T.StructField("call_ms", T.DoubleType()))
+    schema = T.StructType([*rows.schema.fields, *added])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            start = time.perf_counter()
-            try:
-                answers = answerer(pdf[prompt].tolist())
-            except Exception:  # a failing service is data, not a failed job
-                answers = [None] * len(pdf)
-            spent = (time.perf_counter() - start) * 1000.0 / max(1, len(pdf))
-            yield pdf.assign(raw=answers, call_ms=spent)
+            answers, errors, spent = answers_of(pdf[prompt].tolist(), answerer)
+            yield pdf.assign(raw=answers, call_error=errors, call_ms=spent)
 
     return rows.mapInPandas(run, schema)
 
@@ -121,7 +140,7 @@ def judge(
                     *rows.columns,
                     F.lit("ERROR").alias("verdict"),
                     *blank,
-                    F.when(api, "api_error").otherwise(F.concat(F.lit("schema_validation_failed: "), "breach")).alias("reason"),
+                    F.when(api, F.coalesce("call_error", F.lit("api_error"))).otherwise(F.concat(F.lit("schema_validation_failed: "), "breach")).alias("reason"),
                     F.lit(attempt).alias("attempts"),
                     F.round("spent_ms", 2).alias("latency_ms"),
                     F.when(api, "api").otherwise("parse").alias("error_kind"),

@@ -4,20 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..functions.text import seeded_order
 from ..params import ApplyParams
-from ..session import broadcast_if_small, cut, narrowed
-from .ordering import largest_group, prefix
+from ..session import broadcast_if_small, narrowed
+from .ordering import prefix
 
 SID = "session_id"
 # A training set up to this many rows is fitted inside one task.
-LOCAL_FIT_ROWS = 20_000
 
 
 def fit_scaler(frame: DataFrame) -> DataFrame:
@@ -76,36 +73,18 @@ def _newton(x: np.ndarray, y: np.ndarray, tol: float = 1e-10, steps: int = 100)
     return w
 
 
-def train_distributed(frame: DataFrame) -> tuple[list[float], float]:
-    """The same objective with Spark ML over one large training set.
+def bounded(frame: DataFrame, max_rows: int) -> DataFrame:
+    """At most ``max_rows`` labelled rows per session: a fixed sample, the first by a hash of their key.
 
-    Spark ML leaves the intercept unpenalised and zeroes constant columns, so a
-    constant 1 is appended and half the rows are mirrored (features negated,
-    label flipped), which keeps the loss and makes that column vary.
+    Only what a classifier is fitted to and evaluated on is bounded, and reported as ``n_train``; cohorts are scored whole.
     """
-    counts = {r["label"]: r["n"] for r in frame.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    n = sum(counts.values())
-    sign = F.when(F.pmod(F.xxhash64("pk"), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    rows = frame.select(
-        array_to_vector(F.transform(vectors.stack(F.col("features"), F.lit(1.0)), lambda v: v * sign)).alias("features"),
-        F.when(sign > 0, F.col("label")).otherwise(1 - F.col("label")).cast("double").alias("label"),
-        F.when(F.col("label") == 1, n / (2.0 * counts[1])).otherwise(n / (2.0 * counts[0])).alias("weight"),
-    )
-    model = LogisticRegression(
-        weightCol="weight", fitIntercept=False, standardization=False, regParam=1.0 / n, elasticNetParam=0.0,
-        maxIter=1000, tol=1e-12,
-    ).fit(rows)
-    weights = model.coefficients.toArray().tolist()
-    return weights[:-1], weights[-1]
-
+    w = Window.partitionBy(SID).orderBy(seeded_order(0, F.col("pk")), "pk")
+    return frame.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= max_rows).drop("_nth")
 
-def train(frame: DataFrame, local_rows: int = LOCAL_FIT_ROWS) -> DataFrame:
-    """One classifier per session: (session_id, coef, intercept, n_train, n_keep, n_drop).
 
-    Sessions with a bounded training set are fitted side by side in tasks,
-    larger ones one after the other with Spark ML.
-    """
-    spark = frame.sparkSession
+def train(frame: DataFrame, max_rows: int = ApplyParams().max_fit_rows) -> DataFrame:
+    """One classifier per session, side by side: (session_id, coef, intercept, n_train, n_keep, n_drop)."""
+    frame = bounded(frame, max_rows)
     sid = dict(frame.dtypes)[SID]
     schema = f"{SID} {sid}, coef array<double>, intercept double, n_train long, n_keep long, n_drop long"
     sizes = frame.groupBy(SID).agg(F.count("*").alias("_n"), F.countDistinct("label").alias("_classes"))
@@ -128,16 +107,7 @@ def train(frame: DataFrame, local_rows: int = LOCAL_FIT_ROWS) -> DataFrame:
         )
 
     columns = (SID, "pk", "label", "features")
-    out = frame.where(F.col("_n") <= local_rows).select(*columns).groupBy(SID).applyInPandas(fit, schema)
-    if largest_group(frame, [SID]) <= local_rows:
-        return out
-    rows = []
-    for r in sizes.where(F.col("_n") > local_rows).toLocalIterator():
-        part = cut(frame.where(F.col(SID) == r[SID]).select(*columns))
-        coef, intercept = train_distributed(part)
-        keep = part.where("label = 1").count()
-        rows.append((r[SID], coef, intercept, r["_n"], keep, r["_n"] - keep))
-    return out.unionByName(spark.createDataFrame(rows, schema))
+    return frame.select(*columns).groupBy(SID).applyInPandas(fit, schema)
 
 
 def kfold_assign(frame: DataFrame, n_splits: int, n_repeats: int, seed: int) -> DataFrame:
@@ -148,56 +118,31 @@ def kfold_assign(frame: DataFrame, n_splits: int, n_repeats: int, seed: int) ->
     return placed.withColumn("fold", ((F.col("_place") - 1) % n_splits).cast("int")).drop("_place")
 
 
-def kfold_pool(frame: DataFrame, p: ApplyParams = ApplyParams(), local_rows: int = LOCAL_FIT_ROWS) -> DataFrame:
+def kfold_pool(frame: DataFrame, p: ApplyParams = ApplyParams()) -> DataFrame:
     """Held-out predictions: (session_id, rep, fold, pk, label, p_keep), every row once per repeat.
 
-    All (session, repeat, fold) fits run side by side; a fold whose training
-    part has one class only is skipped.
+    Repeats run side by side, with the folds of one inside its task; a fold whose
+    training part has one class only is skipped.
     """
     sid, pk = dict(frame.dtypes)[SID], dict(frame.dtypes)["pk"]
-    assigned = cut(
-        kfold_assign(frame.select(SID, "pk", "label", "features"), p.n_splits, p.n_repeats, p.seed).withColumnRenamed(
-            "fold", "held_fold"
-        )
-    )
+    rows = bounded(frame.select(SID, "pk", "label", "features"), p.max_fit_rows)
+    assigned = kfold_assign(rows, p.n_splits, p.n_repeats, p.seed)
     schema = f"{SID} {sid}, rep int, fold int, pk {pk}, label int, p_keep double"
-    runs = assigned.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(p.n_splits - 1))))
-    sizes = assigned.where("rep = 1").groupBy(SID).agg(F.count("*").alias("_n"))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    def folds(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pk")
-        held = (pdf["held_fold"] == pdf["fold"]).to_numpy()
-        y = pdf["label"].to_numpy()
-        out = pdf.loc[held, [SID, "rep", "fold", "pk", "label"]]
-        if len(set(y[~held])) < 2 or not held.any():
-            return out.iloc[:0].assign(p_keep=pd.Series(dtype=float))
+        y, fold = pdf["label"].to_numpy(), pdf["fold"].to_numpy()
         x = np.vstack(pdf["features"].to_list())
-        w = _newton(x[~held], y[~held])
-        return out.assign(p_keep=1.0 / (1.0 + np.exp(-(x[held] @ w[:-1] + w[-1]))))
-
-    if largest_group(assigned.where("rep = 1"), [SID]) <= local_rows:
-        return runs.groupBy(SID, "rep", "fold").applyInPandas(one, schema)
-    bounded = runs.join(broadcast_if_small(sizes.where(F.col("_n") <= local_rows)), SID).drop("_n")
-    out = bounded.groupBy(SID, "rep", "fold").applyInPandas(one, schema)
-    for r in sizes.where(F.col("_n") > local_rows).toLocalIterator():
-        whole = assigned.where(F.col(SID) == r[SID])
-        for rep in range(1, p.n_repeats + 1):
-            for fold in range(p.n_splits):
-                part = whole.where(F.col("rep") == rep)
-                fit_on = part.where(F.col("held_fold") != fold)
-                if fit_on.select("label").distinct().count() < 2:
-                    continue
-                coef, intercept = train_distributed(fit_on)
-                scored = part.where(F.col("held_fold") == fold).select(
-                    SID,
-                    "rep",
-                    F.lit(fold).alias("fold"),
-                    "pk",
-                    "label",
-                    vectors.logistic(F.col("features"), vectors.literal_vector(coef), F.lit(intercept)).alias("p_keep"),
-                )
-                out = out.unionByName(scored)
-    return out
+        p_keep = np.full(len(pdf), np.nan)
+        for k in range(p.n_splits):
+            held = fold == k
+            if held.any() and len(set(y[~held])) == 2:
+                w = _newton(x[~held], y[~held])
+                p_keep[held] = 1.0 / (1.0 + np.exp(-(x[held] @ w[:-1] + w[-1])))
+        out = pdf[[SID, "rep", "fold", "pk", "label"]].assign(p_keep=p_keep)
+        return out[~np.isnan(p_keep)]
+
+    return assigned.groupBy(SID, "rep").applyInPandas(folds, schema)
 
 
 def require_balance(frame: DataFrame, n_splits: int) -> DataFrame:
@@ -219,7 +164,7 @@ def score(frame: DataFrame, models: DataFrame, tau: float | None = None) -> Data
     """
     limit = F.lit(tau) if tau is not None else F.col("threshold")
     wanted = [SID, "coef", "intercept"] + ([] if tau is not None else ["threshold"])
-    joined = frame.join(broadcast_if_small(models.select(*wanted), 2_000), SID)
+    joined = frame.join(broadcast_if_small(models.select(*wanted)), SID)
     return (
         joined.withColumn("p_keep", vectors.logistic(F.col("features"), F.col("coef"), F.col("intercept")))
         .withColumn("verdict", verdict_at(F.col("p_keep"), limit))

@@ -10,14 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..params import PATHS, HarvestParams
+from ..params import PATHS, HarvestParams, RatingParams
 from .retrieval import path_ord
 
 BUCKETS = ("dense_only", "sparse_only", "multi_path")
-COMPRESS_ABOVE = 8
-RECENT_TURNS = 5
-PRIOR_SPANS = 5
-TREND_BAND = 0.005
+SHOWN = RatingParams()
 
 
 def sequence_no() -> Column:
@@ -238,8 +235,8 @@ def precision_trend(events: DataFrame) -> DataFrame:
         .withColumn(
             "direction",
             F.when(F.col("previous").isNull(), "first")
-            .when(step > TREND_BAND, "improved")
-            .when(step < -TREND_BAND, "degraded")
+            .when(step > SHOWN.trend_band, "improved")
+            .when(step < -SHOWN.trend_band, "degraded")
             .otherwise("unchanged"),
         )
     )
@@ -249,13 +246,13 @@ def turn_window(turns: DataFrame) -> DataFrame:
     """Which past turns a long session shows in full: all, or the last five once there are many."""
     newest = Window.partitionBy("session_id").orderBy(F.col("turn").desc())
     all_turns = Window.partitionBy("session_id")
-    few = F.count("*").over(all_turns) + 1 <= COMPRESS_ABOVE
+    few = F.count("*").over(all_turns) + 1 <= SHOWN.compress_above
     return turns.select(
-        "session_id", "turn", (few | (F.row_number().over(newest) <= RECENT_TURNS)).alias("in_full")
+        "session_id", "turn", (few | (F.row_number().over(newest) <= SHOWN.recent_turns)).alias("in_full")
     )
 
 
-def prior_spans(events: DataFrame, cap: int = PRIOR_SPANS) -> DataFrame:
+def prior_spans(events: DataFrame, cap: int = SHOWN.prior_spans) -> DataFrame:
     """The last non-empty FIT spans of each session, in session order."""
     spans = events.where((F.col("rating") == "FIT") & (F.length("span_text") > 0)).withColumn("seq", sequence_no())
     w = Window.partitionBy("session_id").orderBy(F.col("seq").desc())

@@ -71,7 +71,6 @@ def dense_topk(
         q,
         nearest_rows,
         f"query_id {types['query_id']}, pk {types['pk']}, score double",
-        slice_key="pk",
         block_key=["query_id"],
         max_rows=max_rows,
     )
@@ -97,7 +96,6 @@ def sparse_topk(
         q,
         matching_rows,
         f"query_id {types['query_id']}, pk {types['pk']}, score double",
-        slice_key="pk",
         block_key=["query_id"],
         max_rows=max_rows,
     )
@@ -315,9 +313,9 @@ def evaluate_attempts(hits: DataFrame, corpus: DataFrame, p: SearchParams) -> Da
     return gate(with_fields(pool, corpus), p, keys)
 
 
-def path_candidates(hits: DataFrame, evidence: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Each path's top three outside the evidence, one per sample and none of an evidence sample."""
-    top = hits.where(F.col("rank") <= 3).select("query_id", "path", F.col("rank").alias("rank_in_path"), "pk", "score")
+def path_candidates(hits: DataFrame, evidence: DataFrame, corpus: DataFrame, best: int = SearchParams().candidates_per_path) -> DataFrame:
+    """Each path's ``best`` first outside the evidence, one per sample and none of an evidence sample."""
+    top = hits.where(F.col("rank") <= best).select("query_id", "path", F.col("rank").alias("rank_in_path"), "pk", "score")
     outside = with_fields(top.join(evidence.select("query_id", "pk"), ["query_id", "pk"], "left_anti"), corpus)
     fresh = outside.join(evidence.select("query_id", "sample_id").distinct(), ["query_id", "sample_id"], "left_anti")
     w = Window.partitionBy("query_id", "path", "sample_id").orderBy("rank_in_path")
@@ -361,7 +359,7 @@ def search(
         "query_id", "rank", "pk", "chunk_id", "chunk_content", "sample_id", "counselor_id", "term",
         "source_paths", "score_dense", "score_sparse", "rrf",
     )
-    return SearchResult(evidence, path_candidates(hits, evidence, fields), log, hits, gated, fields)
+    return SearchResult(evidence, path_candidates(hits, evidence, fields, p.candidates_per_path), log, hits, gated, fields)
 
 
 def attempts_log(gated: DataFrame, p: SearchParams) -> DataFrame:

@@ -22,9 +22,10 @@ class SearchParams:
     active_paths: tuple[str, ...] = PATHS
     min_chunk_chars: int = 50
     max_attempts: int = 3
+    candidates_per_path: int = 3
 
     def __post_init__(self) -> None:
-        for name in ("rrf_k", "per_path_limit", "top_k", "min_survivors", "max_attempts"):
+        for name in ("rrf_k", "per_path_limit", "top_k", "min_survivors", "max_attempts", "candidates_per_path"):
             _need(getattr(self, name) >= 1, f"{name} must be positive")
         _need(self.min_survivors <= self.top_k, "min_survivors must not exceed top_k")
         _need(len(self.active_paths) > 0, "active_paths must not be empty")
@@ -42,7 +43,7 @@ class HarvestParams:
     min_fit: int = 15
     min_not_fit: int = 3
     precision_at_k: float = 0.8
-    max_k: int = 200_000
+    max_k: int | None = None  # rows per anchor; none: all
     s2c_outlier_multiple: float = 3.0
     radius_scheme: str = "per_fit"
     anchor_frequency_gate: int = 2
@@ -54,13 +55,24 @@ class HarvestParams:
     failed_share: float = 8 / 16
 
     def __post_init__(self) -> None:
-        for name in ("min_fit", "min_not_fit", "max_k", "anchor_frequency_gate"):
+        for name in ("min_fit", "min_not_fit", "anchor_frequency_gate"):
             _need(getattr(self, name) >= 1, f"{name} must be positive")
+        _need(self.max_k is None or self.max_k >= 1, "max_k must be positive")
         _need(0.0 <= self.precision_at_k <= 1.0, "precision_at_k must be in [0, 1]")
         _need(self.s2c_outlier_multiple > 1.0, "s2c_outlier_multiple must exceed 1")
         _need(self.radius_scheme in RADIUS_SCHEMES, f"radius_scheme must be among {RADIUS_SCHEMES}")
 
 
+@dataclass(frozen=True)
+class RatingParams:
+    """How much of a session is shown again, and how large a change of precision counts as a trend."""
+
+    compress_above: int = 8
+    recent_turns: int = 5
+    prior_spans: int = 5
+    trend_band: float = 0.005
+
+
 @dataclass(frozen=True)
 class RefineParams:
     sample_size: int = 500
@@ -92,6 +104,7 @@ class ApplyParams:
     n_bins: int = 10
     band: float = 0.05
     borderline_k: int = 10
+    max_fit_rows: int = 20_000  # labelled rows of a session that a classifier is fitted to
 
     def __post_init__(self) -> None:
         _need(0.0 <= self.confidence_threshold <= 1.0, "confidence_threshold must be in [0, 1]")
@@ -99,3 +112,4 @@ class ApplyParams:
         _need(self.n_splits >= 2, "n_splits must be at least 2")
         _need(self.n_repeats >= 1, "n_repeats must be at least 1")
         _need(self.embedding_dim >= 1, "embedding_dim must be positive")
+        _need(self.max_fit_rows >= 2, "max_fit_rows must be at least 2")

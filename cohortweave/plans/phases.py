@@ -54,16 +54,16 @@ class Harvest:
     intruders: DataFrame
 
 
-def attributed_pass(anchors: DataFrame, corpus: DataFrame, max_k: int) -> tuple[DataFrame, DataFrame]:
+def attributed_pass(anchors: DataFrame, corpus: DataFrame, max_k: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Attributed admissions and per-anchor budgets, from one pass over the corpus.
 
-    Only when some anchor admits more than ``max_k`` rows is the capped form
-    (ranked hits, then regrouped) used instead.
+    A caller who sets ``max_k`` gets the capped form (ranked hits, then regrouped)
+    where some anchor admits more.
     """
     rows = cut(hv.cohort_pass(anchors, corpus))
     hits = rows.select(SID, "pk", F.explode("qualifying_fit_pks").alias("fit_pk"))
     budget = cut(hv.anchor_budget(hits, anchors, max_k))
-    if budget.where(F.col("admitted") > max_k).isEmpty():
+    if max_k is None or budget.where(F.col("admitted") > max_k).isEmpty():
         return rows, budget
     capped = hv.cap_hits(cut(hv.radius_join(anchors, corpus)), max_k)
     return cut(hv.attribute(capped, anchors)), budget
@@ -163,7 +163,7 @@ def apply_train(verdicts: DataFrame, corpus: DataFrame, p: ApplyParams = ApplyPa
     thin = modelling.require_balance(frame, p.n_splits).where("NOT enough").select(SID).limit(5).collect()
     if thin:
         raise ValueError(f"too few rows of one class for {p.n_splits} folds: sessions {[r[SID] for r in thin]}")
-    models = cut(modelling.train(frame).join(broadcast_if_small(scaler), SID))
+    models = cut(modelling.train(frame, p.max_fit_rows).join(broadcast_if_small(scaler), SID))
     pool = cut(modelling.kfold_pool(frame, p))
     metrics = evaluation.evaluate(pool, p.confidence_threshold, p.min_precision)
     return Applied(frame, scaler, models, pool, metrics)

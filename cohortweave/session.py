@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def build_session(app: str = "cohortweave", cpus: int | None = None, **conf: str) -> SparkSession:
@@ -33,18 +36,23 @@ def build_session(app: str = "cohortweave", cpus: int | None = None, **conf: str
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a laptop) a fresh local folder
-    is made and installed as the checkpoint directory.
+    Only a local session without it (tests, a laptop) gets a fresh local folder: on a
+    cluster every machine would write to its own disk.
     """
-    sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return sc._jsc.sc().getCheckpointDir().get()
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master or 'the cluster'} share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
+    return _LOCAL[app]
+
+
+_LOCAL: dict[str, str] = {}
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -74,26 +82,49 @@ def planned_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+#: The most that is broadcast, measured.
+BROADCAST_BYTES = 32 * 1024 * 1024
+
+
+def _width(column: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType)):
+            return F.coalesce(F.octet_length(F.to_json(column)), F.lit(0)) + 16
+        return 8 * F.greatest(F.coalesce(F.size(column), F.lit(0)), F.lit(0)) + 16
+    if isinstance(kind, (T.StructType, T.MapType)):
+        return F.coalesce(F.octet_length(F.to_json(column)), F.lit(0)) + 16
+    return F.lit(8)
+
+
+def measured(df: DataFrame) -> tuple[int, int]:
+    """Rows and bytes of ``df`` in memory, summed by Spark."""
+    row = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(8))
+    n, size = df.agg(F.count(F.lit(1)), F.sum(row.cast("long"))).first()
+    return n, size or 0
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
     """Let ``df`` be broadcast only when its size is known to be small.
 
     Below the optimizer's own broadcast threshold nothing needs saying. Above
-    it, the estimate is often far too high, so rows are counted up to a limit.
+    it, the estimate is often far too high, so the size is measured.
     Larger sides shuffle, with adaptive skew splitting.
     """
     if planned_bytes(df) <= 10 * 1024 * 1024:
         return df
-    return F.broadcast(df) if fits_in(df, max_rows) else df
+    return F.broadcast(df) if measured(df)[1] <= BROADCAST_BYTES else df
 
 
-def narrowed(table: DataFrame, keys: DataFrame, on: str = "pk", max_rows: int = 200_000) -> DataFrame:
+def narrowed(table: DataFrame, keys: DataFrame, on: str = "pk") -> DataFrame:
     """``table`` cut down to the wanted keys while it is scanned, when those are few.
 
     Keeps a large table from being shuffled for a join with a small one in
     which it cannot be the streamed side.
     """
     wanted = keys.select(on).distinct()
-    if not fits_in(wanted, max_rows):
+    if measured(wanted)[1] > BROADCAST_BYTES:
         return table
     return table.join(F.broadcast(wanted), on, "left_semi")
 

@@ -81,18 +81,12 @@ cte(
     (SELECT session_id, p_keep AS threshold, count(*) AS n, sum(label) AS pos FROM pool_t GROUP BY 1, 2)
     WINDOW w AS (PARTITION BY session_id ORDER BY threshold DESC))""",
 )
-cte(
-    "thin_t",
-    "SELECT * FROM curve_t WHERE points <= 30 OR position % greatest(1, points // 30) = 0 OR position = points - 1",
-)
-
-
 @query(
     "pr_curve",
-    "SELECT session_id, position, threshold, round(precision, 6) AS precision, round(recall, 6) AS recall FROM thin_t",
+    "SELECT session_id, position, threshold, round(precision, 6) AS precision, round(recall, 6) AS recall FROM curve_t",
 )
 def pr_curve(spark, d):
-    return ev.pr_curve(pool(spark, d), 30)
+    return ev.pr_curve(pool(spark, d))
 
 
 cte("chosen_t", "SELECT session_id, min(threshold) FILTER (precision >= 0.87) AS threshold FROM curve_t GROUP BY session_id")
@@ -130,7 +124,7 @@ def per_row_p(spark, d):
 
 @query(
     "threshold_suggestions",
-    """WITH f AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) AS f1 FROM thin_t),
+    """WITH f AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) AS f1 FROM curve_t),
     picks AS (SELECT session_id, 'max_f1' AS label, (list(position ORDER BY f1 DESC, position))[1] AS at FROM f GROUP BY 1
       UNION ALL SELECT session_id, 'p90', coalesce(min(position) FILTER (precision >= 0.9), max(position)) FROM f GROUP BY 1
       UNION ALL SELECT session_id, 'p95', coalesce(min(position) FILTER (precision >= 0.95), max(position)) FROM f GROUP BY 1)
@@ -138,7 +132,7 @@ def per_row_p(spark, d):
     round(f.recall, 6) AS recall, round(f.f1, 6) AS f1 FROM picks p JOIN f ON f.session_id = p.session_id AND f.position = p.at""",
 )
 def threshold_suggestions(spark, d):
-    return ev.threshold_suggestions(ev.pr_curve(pool(spark, d), 30))
+    return ev.threshold_suggestions(ev.pr_curve(pool(spark, d)))
 
 
 @query(

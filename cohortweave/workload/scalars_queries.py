@@ -166,21 +166,38 @@ def sparse_keys(spark, d):
     )
 
 
-# Raw judge answers of every kind, by the chunk's cluster.
+# Raw judge answers of every kind, by the chunk's id and length, citing its own lines.
+KIND = "(label + 10 * (length(chunk_content) % 2))"
+
+
 def answers(spark, d):
+    lines = F.size(text.lines(F.col("chunk_content")))
+    made = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    keep = '{"verdict": "KEEP", "evidence_line_indices": '
     kinds = {
-        0: '{"verdict": "KEEP", "evidence_line_indices": [1], "failed_check": null, "reason": "fine"}',
-        1: '<think>maybe {"x": 1}</think>\n {"verdict": "DROP", "evidence_line_indices": [1], "failed_check": "check_1"} ',
-        2: 'Sure: {"verdict": "KEEP", "evidence_line_indices": [1], "reason": "ok"} done',
-        3: '{"verdict": "KEEP", "evidence_line_indices": [1], "score": 3}',
-        4: '{"verdict": "KEEP", "evidence_line_indices": [3, 1, 3, 2, 9]}',
-        5: '{"verdict": "KEEP", "evidence_line_indices": [999]}',
-        6: '{"verdict": "KEEP", "evidence_line_indices": [1], "failed_check": "check_1"}',
-        7: '{"verdict": "DROP", "evidence_line_indices": [1]}',
-        8: '{"verdict": "DROP", "evidence_line_indices": [1], "failed_check": "check_9"}',
-        9: "no json here",
+        0: made(keep, '[1], "failed_check": null, "reason": "fine"}'),
+        1: made('<think>maybe {"x": 1}</think>\n {"verdict": "DROP", "evidence_line_indices": [1], "failed_check": "check_1"} '),
+        2: made("Sure: ", keep, '[1], "reason": "ok ', F.col("pk"), '"} done'),
+        3: made(keep, '[1], "score": 3}'),
+        4: made(keep, "[3, 1, 3, 2, 9]}"),
+        5: made(keep, "[999999]}"),
+        6: made(keep, '[1], "failed_check": "check_1"}'),
+        7: made('{"verdict": "DROP", "evidence_line_indices": [1]}'),
+        8: made('{"verdict": "DROP", "evidence_line_indices": [1], "failed_check": "check_9"}'),
+        9: made("no json here"),
+        10: made(keep, "[1]} trailing words"),
+        11: made(keep, "[1]}", keep, "[1]}"),
+        12: made("{'verdict': 'KEEP', 'evidence_line_indices': [1]}"),
+        13: made(keep, '[1], "reason": 5}'),
+        14: made(keep, "[", lines, ".0]}"),
+        15: made(keep, '["', lines, '"]}'),
+        16: made(keep, '["a", 1, 2, 3]}'),
+        17: made(keep, "[", lines, "]}"),
+        18: made(keep, "[", lines + 1, "]}"),
+        19: made(keep, '[1], "reason": "', F.repeat(F.lit("x"), 501), '"}'),
     }
-    raw = F.element_at(F.create_map(*[x for k, v in kinds.items() for x in (F.lit(k), F.lit(v))]), F.col("label"))
+    kind = F.expr(KIND)
+    raw = F.coalesce(*[F.when(kind == k, v) for k, v in kinds.items()])
     return t.corpus(spark, d).select("pk", "chunk_content", "label", raw.alias("raw"))
 
 
@@ -190,9 +207,9 @@ def parsed(spark, d):
 
 @query(
     "verdict_parse",
-    """SELECT pk, CASE WHEN label IN (1, 7, 8) THEN 'DROP' WHEN label <> 9 THEN 'KEEP' END AS verdict,
-    CASE WHEN label IN (1, 6) THEN 'check_1' WHEN label = 8 THEN 'check_9' END AS failed_check,
-    CASE label WHEN 0 THEN 'fine' WHEN 2 THEN 'ok' ELSE '' END AS reason FROM corpus""",
+    f"""SELECT pk, CASE WHEN {KIND} IN (1, 7, 8) THEN 'DROP' WHEN {KIND} NOT IN (9, 10, 11, 12) THEN 'KEEP' END AS verdict,
+    CASE WHEN {KIND} IN (1, 6) THEN 'check_1' WHEN {KIND} = 8 THEN 'check_9' END AS failed_check,
+    CASE {KIND} WHEN 0 THEN 'fine' WHEN 2 THEN 'ok ' || pk WHEN 19 THEN repeat('x', 501) ELSE '' END AS reason FROM corpus""",
 )
 def verdict_parse(spark, d):
     return parsed(spark, d).select("pk", "verdict", "failed_check", "reason")
@@ -200,9 +217,11 @@ def verdict_parse(spark, d):
 
 @query(
     "verdict_contract",
-    """SELECT pk, CASE WHEN label = 3 THEN 'unknown_key' WHEN label = 4 AND len(string_split(chunk_content, chr(10))) < 3 THEN 'evidence_range'
-    WHEN label = 5 THEN 'evidence_range' WHEN label = 6 THEN 'keep_with_check' WHEN label = 7 THEN 'drop_without_check'
-    WHEN label = 8 THEN 'unknown_check' WHEN label = 9 THEN 'no_json' END AS breach FROM corpus""",
+    f"""SELECT pk, CASE WHEN {KIND} = 3 THEN 'unknown_key'
+    WHEN {KIND} IN (4, 16) AND len(string_split(chunk_content, chr(10))) < 3 THEN 'evidence_range'
+    WHEN {KIND} IN (5, 18) THEN 'evidence_range' WHEN {KIND} = 6 THEN 'keep_with_check' WHEN {KIND} = 7 THEN 'drop_without_check'
+    WHEN {KIND} = 8 THEN 'unknown_check' WHEN {KIND} = 9 THEN 'no_json' WHEN {KIND} IN (10, 11, 12) THEN 'invalid_json'
+    WHEN {KIND} = 13 THEN 'bad_type' WHEN {KIND} = 19 THEN 'reason_too_long' END AS breach FROM corpus""",
 )
 def verdict_contract(spark, d):
     return parsed(spark, d).select("pk", "breach")
@@ -210,7 +229,9 @@ def verdict_contract(spark, d):
 
 @query(
     "evidence_salvage",
-    "SELECT pk, CASE label WHEN 4 THEN '1,2,3' WHEN 5 THEN '999' WHEN 9 THEN NULL ELSE '1' END AS evidence FROM corpus",
+    f"""SELECT pk, CASE WHEN {KIND} IN (4, 16) THEN '1,2,3' WHEN {KIND} = 5 THEN '999999' WHEN {KIND} IN (9, 10, 11, 12) THEN NULL
+    WHEN {KIND} IN (14, 15, 17) THEN len(string_split(chunk_content, chr(10)))::VARCHAR
+    WHEN {KIND} = 18 THEN (len(string_split(chunk_content, chr(10))) + 1)::VARCHAR ELSE '1' END AS evidence FROM corpus""",
 )
 def evidence_salvage(spark, d):
     return parsed(spark, d).select("pk", F.col("evidence_line_indices").alias("evidence"))

@@ -115,7 +115,7 @@ def test_reuse_needs_the_same_rubric(spark, sf_dir):
     other = rubrics(spark, sf_dir).withColumn("rubric_version", F.col("rubric_version") + 1)
     with pytest.raises(Exception, match="rubric_version"):
         phases.apply_reuse(
-            cohort(spark, sf_dir), t.corpus_vectors(spark, sf_dir), pinned_models(spark, sf_dir), other, AP
+            cohort(spark, sf_dir), t.vectors(spark, sf_dir), pinned_models(spark, sf_dir), other, AP
         ).collect()
 
 
@@ -132,5 +132,5 @@ def test_low_precision_needs_the_override(spark):
 
 def test_dry_run_stops_before_the_corpus_pass(spark, sf_dir):
     nothing = spark.createDataFrame([], "session_id long, pk long")
-    h = phases.run_harvest(t.anchors(spark, sf_dir), t.corpus_vectors(spark, sf_dir), nothing, nothing, dry_run=True)
+    h = phases.run_harvest(t.anchors(spark, sf_dir), t.vectors(spark, sf_dir), nothing, nothing, dry_run=True)
     assert h.cohort.count() == 0 and h.verdict.count() > 0
