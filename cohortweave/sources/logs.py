@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..params import PATHS
-from .schemas import DETAILS_LOG, TURN_LOG
+from .schemas import DETAILS_LOG, KEY, turn_log
 
 LEGACY_PATH = "bm25"
 
@@ -21,13 +21,13 @@ def _with_session(df: DataFrame) -> DataFrame:
     return df.select(*[c for c in df.columns if c != "session_id"], F.coalesce("session_id", name).alias("session_id"))
 
 
-def read_turn_log(spark: SparkSession, path: str) -> DataFrame:
+def read_turn_log(spark: SparkSession, path: str, key: str = KEY) -> DataFrame:
     """All lines of the turn logs; malformed lines fail, blank ones are skipped.
 
     The log is append-only with growing turns and markers after their turn, so
     ``line_no`` restores the written order.
     """
-    raw = spark.read.schema(TURN_LOG).option("mode", "FAILFAST").json(path)
+    raw = spark.read.schema(turn_log(key)).option("mode", "FAILFAST").json(path)
     return with_line_no(_with_session(raw))
 
 
@@ -163,6 +163,12 @@ def model_drift(pins: DataFrame, current: DataFrame) -> DataFrame:
     )
 
 
+def require_no_drift(drift: DataFrame) -> DataFrame:
+    """``model_drift`` rows; one whose model has changed is an error."""
+    what = F.concat_ws(" ", F.lit("embedding model of session"), F.col("session_id").cast("string"), F.lit("changed from"), "recorded_model_id", F.lit("to"), "current_model_id")
+    return drift.withColumn("status", F.when(F.col("status") == "drift", F.raise_error(what).cast("string")).otherwise(F.col("status")))
+
+
 def turn_records(rows: DataFrame, candidates: DataFrame, turns: DataFrame, metrics: DataFrame) -> DataFrame:
     """One nested record per turn, ready to be appended to the log."""
     score_map = F.create_map(F.lit("dense"), F.col("score_dense"), F.lit("sparse"), F.col("score_sparse"))
@@ -189,9 +195,9 @@ def turn_records(rows: DataFrame, candidates: DataFrame, turns: DataFrame, metri
     )
 
 
-def intruder_list(meta: DataFrame) -> DataFrame:
+def intruder_list(meta: DataFrame, key: str = KEY) -> DataFrame:
     """Known intruders out of harvest meta records given as JSON text; absent or corrupt gives none."""
-    parsed = F.from_json("meta", "not_fit_intrusion STRUCT<intruder_pks: ARRAY<BIGINT>>")
+    parsed = F.from_json("meta", f"not_fit_intrusion STRUCT<intruder_pks: ARRAY<{key}>>")
     return meta.select("session_id", F.explode(parsed["not_fit_intrusion"]["intruder_pks"]).alias("pk"))
 
 

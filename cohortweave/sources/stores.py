@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import round6
 from ..session import broadcast_if_small, narrowed
-from .schemas import CLASSIFIER, CLASSIFIER_FIELDS, COHORT, LABELS
+from . import schemas
+from .schemas import CLASSIFIER_FIELDS, KEY
 
 CORPUS_FIELDS = ("pk", "sample_id", "counselor_id", "term", "chunk_content", "chunk_seq")
 
@@ -45,8 +46,12 @@ def checked_cohort(cohort: DataFrame) -> DataFrame:
     return cohort.withColumn("nearest_fit_distance", distance)
 
 
-def read_cohort(spark: SparkSession, path: str) -> DataFrame:
-    return checked_cohort(spark.read.schema(COHORT).option("mode", "FAILFAST").json(path))
+def read_cohort(spark: SparkSession, path: str, key: str = KEY, session: str = KEY) -> DataFrame:
+    """A written cohort; an empty one is an error."""
+    cohort = spark.read.schema(schemas.cohort(key, session)).option("mode", "FAILFAST").json(path)
+    if cohort.isEmpty():
+        raise ValueError(f"the cohort in {path} is empty")
+    return checked_cohort(cohort)
 
 
 def write_cohort(cohort: DataFrame, path: str) -> None:
@@ -76,16 +81,16 @@ def write_labels(labels: DataFrame, path: str) -> None:
     labels.select("session_id", "pk", "verdict", round6(F.col("p_keep")).alias("p_keep")).write.mode("overwrite").json(path)
 
 
-def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(LABELS).option("mode", "FAILFAST").json(path)
+def read_labels(spark: SparkSession, path: str, key: str = KEY, session: str = KEY) -> DataFrame:
+    return spark.read.schema(schemas.labels(key, session)).option("mode", "FAILFAST").json(path)
 
 
 def write_classifiers(models: DataFrame, path: str) -> None:
     models.select(*CLASSIFIER_FIELDS).write.mode("overwrite").json(path)
 
 
-def read_classifiers(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CLASSIFIER).option("mode", "FAILFAST").json(path)
+def read_classifiers(spark: SparkSession, path: str, session: str = KEY) -> DataFrame:
+    return spark.read.schema(schemas.classifier(session)).option("mode", "FAILFAST").json(path)
 
 
 def write_export(export: DataFrame, path: str) -> None:

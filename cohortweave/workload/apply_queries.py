@@ -303,7 +303,7 @@ def score_pass(spark, d):
 def apply_labels(spark, d):
     path = scratch_path(spark, "labels")
     stores.write_labels(phases.score_cohort(cohort(spark, d), t.vectors(spark, d), fixed_models(spark, d), 0.6), path)
-    return stores.read_labels(spark, path)
+    return stores.read_labels(spark, path, "BIGINT", "BIGINT")
 
 
 def pinned_models(spark, d):
@@ -419,7 +419,7 @@ def classifier_roundtrip(spark, d):
         "n_keep", F.lit(1).cast("long")
     ).withColumn("n_drop", F.lit(0).cast("long"))
     stores.write_classifiers(models, path)
-    back = md.checked_models(stores.read_classifiers(spark, path), AP.embedding_dim)
+    back = md.checked_models(stores.read_classifiers(spark, path, "BIGINT"), AP.embedding_dim)
     both = back.alias("b").join(models.alias("m"), "session_id")
     same = (F.col("b.coef") == F.col("m.coef")) & (F.col("b.intercept") == F.col("m.intercept")) & (
         F.col("b.threshold") == F.col("m.threshold")
@@ -508,3 +508,33 @@ def export_csv(spark, d):
 def export_metadata(spark, d):
     metrics = finals(spark, d).select("session_id", "threshold", F.col("precision").alias("precision_at_threshold"))
     return reports.export_metadata(export(spark, d), timing(spark, d), metrics)
+
+
+@query(
+    "string_keys",
+    f"""SELECT 's-' || (doc_id // {S}) AS session_id, '64094054-' || doc_id || '-pre-p' AS pk,
+    CASE WHEN quality = 1 THEN 'KEEP' ELSE 'DROP' END AS verdict, (doc_id % 100) / 100.0::DOUBLE AS p_keep,
+    (doc_id % 7) / 8.0::DOUBLE AS nearest_fit_distance, '64094054-' || (doc_id - doc_id % {S}) || '-pre-p' AS fits
+    FROM labels""",
+)
+def string_keys(spark, d):
+    """Opaque text keys through written cohorts and labels."""
+    name = lambda doc: F.concat(F.lit("64094054-"), doc.cast("string"), F.lit("-pre-p"))
+    doc = F.col("doc_id")
+    rows = t.load(spark, d, "labels").select(
+        F.concat(F.lit("s-"), F.floor(doc / S).cast("string")).alias("session_id"),
+        name(doc).alias("pk"),
+        name(doc - doc % S).alias("nearest_fit_pk"),
+        F.lit("x").alias("nearest_fit_label"),
+        ((doc % 7) / 8.0).alias("nearest_fit_distance"),
+        F.lit(0.9).alias("threshold_T_prime"),
+        F.lit(1).alias("qualifying_fit_count"),
+        F.array(name(doc - doc % S)).alias("qualifying_fit_pks"),
+        F.when(F.col("quality") == 1, "KEEP").otherwise("DROP").alias("verdict"),
+        ((doc % 100) / 100.0).alias("p_keep"),
+    )
+    cohort_path, labels_path = scratch_path(spark, "cohort"), scratch_path(spark, "labels")
+    stores.write_cohort(rows, cohort_path)
+    stores.write_labels(rows, labels_path)
+    back = stores.read_cohort(spark, cohort_path).join(stores.read_labels(spark, labels_path), ["session_id", "pk"])
+    return back.select("session_id", "pk", "verdict", "p_keep", "nearest_fit_distance", F.element_at("qualifying_fit_pks", 1).alias("fits"))

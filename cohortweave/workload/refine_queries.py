@@ -97,7 +97,7 @@ def cohort_scan(spark, d):
 
     path = scratch_path(spark, "cohort")
     stores.write_cohort(cohort(spark, d), path)
-    return stores.read_cohort(spark, path).select(
+    return stores.read_cohort(spark, path, "BIGINT", "BIGINT").select(
         "session_id", "pk", "nearest_fit_pk", "nearest_fit_distance", "qualifying_fit_count", "qualifying_fit_pks"
     )
 
@@ -115,7 +115,7 @@ def known_intruders(spark, d):
     packed = found.groupBy("session_id").agg(F.collect_list("pk").alias("intruder_pks"))
     good = packed.select("session_id", F.to_json(F.struct(F.struct("intruder_pks").alias("not_fit_intrusion"))).alias("meta"))
     bad = packed.select("session_id", F.explode(F.array(F.lit("{bad"), F.lit("{}"), F.lit(None))).alias("meta"))
-    return logs.intruder_list(good.unionByName(bad))
+    return logs.intruder_list(good.unionByName(bad), "BIGINT")
 
 
 @query("decile_bins", "SELECT session_id, pk, decile FROM binned_t")
@@ -246,11 +246,12 @@ def content(spark, d):
 RULES = f"""CASE {' '.join(f"WHEN NOT contains(lower(text), '{w}') THEN '{c}'" for c, w in CHECKS.items())} END"""
 cte(
     "judged_t",
-    f"""SELECT s.session_id, s.pk, s.decile, s.arm, CASE WHEN s.arm = 'auto_drop' THEN 'auto_drop_known_intruder' ELSE {RULES} END AS failed_check
-    FROM sample_t s JOIN documents d ON d.doc_id = s.pk""",
+    f"""SELECT s.session_id, s.pk, s.decile, s.arm, s.arm = 'selected' AND coalesce(text, '') = '' AS blank,
+    CASE WHEN s.arm = 'auto_drop' THEN 'auto_drop_known_intruder' WHEN coalesce(text, '') <> '' THEN {RULES} END AS failed_check
+    FROM sample_t s LEFT JOIN documents d ON d.doc_id = s.pk""",
 )
-JUDGED = """SELECT session_id, pk, decile, CASE WHEN failed_check IS NULL THEN 'KEEP' ELSE 'DROP' END AS verdict, failed_check,
-CASE WHEN arm = 'selected' THEN '1' END AS evidence_line_indices, CASE WHEN arm = 'selected' THEN 1 ELSE 0 END::BIGINT AS attempts FROM judged_t"""
+JUDGED = """SELECT session_id, pk, decile, CASE WHEN blank THEN 'ERROR' WHEN failed_check IS NULL THEN 'KEEP' ELSE 'DROP' END AS verdict, failed_check,
+CASE WHEN arm = 'selected' AND NOT blank THEN '1' END AS evidence_line_indices, CASE WHEN arm = 'selected' AND NOT blank THEN 1 ELSE 0 END::BIGINT AS attempts FROM judged_t"""
 JUDGED_COLUMNS = ("session_id", "pk", "decile", "verdict", "failed_check", "evidence_line_indices", "attempts")
 
 

@@ -84,7 +84,7 @@ def log_paths(spark, d):
 
 
 def turn_log(spark, d):
-    return session_frame(logs.read_turn_log(spark, log_paths(spark, d)[0]))
+    return session_frame(logs.read_turn_log(spark, log_paths(spark, d)[0], "BIGINT"))
 
 
 def read_details(spark, d):

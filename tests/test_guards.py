@@ -92,6 +92,30 @@ def test_cohort_needs_distances(spark, tmp_path):
         stores.read_cohort(spark, path).collect()
 
 
+def test_empty_cohorts_and_drifted_models_fail(spark, tmp_path):
+    (tmp_path / "j").mkdir()
+    with pytest.raises(Exception, match="empty"):
+        stores.read_cohort(spark, write(tmp_path / "j", "", name="x.json"))
+    pins = spark.createDataFrame([("s", "c", "old")], "session_id string, collection string, embed_model_id string")
+    now = lambda model: spark.createDataFrame([("c", model)], "collection string, current_model_id string")
+    assert logs.require_no_drift(logs.model_drift(pins, now("old"))).first()["status"] == "match"
+    with pytest.raises(Exception, match="changed from old to new"):
+        logs.require_no_drift(logs.model_drift(pins, now("new"))).collect()
+
+
+def test_calls_fail_prompt_by_prompt():
+    from cohortweave.operators.judging import answers_of
+
+    def fussy(prompts):
+        if any("bad" in p for p in prompts):
+            raise RuntimeError("no answer to bad")
+        return [p.upper() for p in prompts]
+
+    answers, errors, spent = answers_of(["a", "bad", "c"] + ["d"] * 40, fussy)
+    assert answers[:3] == ["A", None, "C"] and errors[:3] == [None, "no answer to bad", None] and answers[3:] == ["D"] * 40
+    assert len(spent) == 43
+
+
 def test_strict_span_text(spark):
     df = spark.createDataFrame([("a\nb", [0, 5])], "body string, idx array<int>")
     assert df.select(text.span_text(F.col("body"), F.col("idx"))).first()[0] == "a"
