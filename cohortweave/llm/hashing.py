@@ -39,13 +39,53 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def windows(hashes: np.ndarray, size: int, which: int = 0) -> np.ndarray:
-    """One hash per run of ``size`` consecutive words; empty where there are fewer words."""
+    """One hash per run of ``size`` consecutive words; empty where there are fewer words.
+
+    Runs are put together from runs of powers of two, so the work grows with the logarithm of ``size``.
+    """
     n = len(hashes) - size + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
-    out = np.zeros(n, dtype=np.uint64)
-    factor, base = 1, BASES[which]
-    for j in range(size):
-        out += hashes[j : j + n] * np.uint64(factor)
-        factor = factor * base & _MASK
-    return mixed(out)
+    out, done, power, factor, part = np.zeros(n, dtype=np.uint64), 0, 1, BASES[which], hashes
+    while True:
+        if size & power:
+            out += part[done : done + n] * np.uint64(pow(BASES[which], done, 1 << 64))
+            done += power
+        power *= 2
+        if power > size:
+            return mixed(out)
+        part = part[: len(part) - power // 2] + part[power // 2 :] * np.uint64(factor)
+        factor = factor * factor & _MASK
+
+
+class Texts:
+    """Words of some texts in one array, and the windows that lie within a text."""
+
+    def __init__(self, texts: list[bytes], size: int):
+        self.words = [t.split() for t in texts]
+        self.counts = np.array([len(w) for w in self.words], dtype=np.int64)
+        self.starts = np.cumsum(self.counts) - self.counts
+        self.hashes = word_hashes([w for ws in self.words for w in ws])
+        self.size = size
+        left = np.repeat(self.starts + self.counts, self.counts) - np.arange(len(self.hashes))
+        self.at = np.flatnonzero(left >= size)  # of windows, in the array of all words
+
+    def windows(self, which: int = 0) -> np.ndarray:
+        every = windows(self.hashes, self.size, which)
+        return every[self.at] if len(self.at) else every[:0]
+
+    def text_of(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts + self.counts, at, side="right")
+
+
+def parts(texts: list[bytes], most: int = 2 << 20) -> list[slice]:
+    """Slices of about ``most`` bytes of texts (one text at least)."""
+    out, first, held = [], 0, 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= most:
+            out.append(slice(first, i + 1))
+            first, held = i + 1, 0
+    if first < len(texts):
+        out.append(slice(first, len(texts)))
+    return out

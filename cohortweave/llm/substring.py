@@ -44,8 +44,17 @@ def _keys(docs: DataFrame, text: str, doc_id: str) -> list:
     ]
 
 
-def _words(text: pa.Scalar) -> list[bytes]:
-    return text.as_buffer().to_pybytes().split() if text.is_valid else []
+def _texts(batch: pa.RecordBatch) -> list[bytes]:
+    return batch.column("text_").cast(pa.binary()).to_pylist()
+
+
+def _packed(e: np.ndarray) -> bytes:
+    return b"".join(e[f].tobytes() for f in ENTRY.names)
+
+
+def _unpacked(data: bytes) -> list[np.ndarray]:
+    n = len(data) // ENTRY.itemsize
+    return [np.frombuffer(data, kind, n, at * n) for kind, at in (("<u8", 0), ("<u4", 8), ("<i8", 12), ("<u4", 20))]
 
 
 def firsts(source: DataFrame, bits, size: int, buckets: int) -> DataFrame:
@@ -61,20 +70,22 @@ def firsts(source: DataFrame, bits, size: int, buckets: int) -> DataFrame:
             bucket = (every["h"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
             edges = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
             used = np.flatnonzero(np.diff(edges))
-            # Columns are kept apart: those other than the hashes are dense when compressed.
-            data = [b"".join(every[f][edges[b] : edges[b + 1]].tobytes() for f in ENTRY.names) for b in used]
+            data = [_packed(every[edges[b] : edges[b + 1]]) for b in used]
             return pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(data, pa.binary())], ["bucket", "data"])
 
         for batch in batches:
-            for id_, text in zip(batch.column("id_").to_pylist(), batch.column("text_")):
-                words = hashing.word_hashes(_words(text))
-                h = hashing.windows(words, size)
-                at = np.flatnonzero(repeated(rows, h)) if len(h) else h
-                if not len(at):
+            ids, texts = np.asarray(batch.column("id_")), _texts(batch)
+            for part in hashing.parts(texts):
+                own = hashing.Texts(texts[part], size)
+                h = own.windows()
+                use = np.flatnonzero(repeated(rows, h))
+                if not len(use):
                     continue
+                at = own.at[use]
+                of = own.text_of(at)
                 found = np.empty(len(at), dtype=ENTRY)
-                found["h"], found["g"] = h[at], hashing.windows(words, size, 1)[at] >> np.uint64(32)
-                found["doc"], found["start"] = id_, at
+                found["h"], found["g"] = h[use], own.windows(1)[use] >> np.uint64(32)
+                found["doc"], found["start"] = ids[part][of], at - own.starts[of]
                 held.append(found)
                 count += len(at)
                 if count >= FLUSH:
@@ -105,12 +116,7 @@ def firsts(source: DataFrame, bits, size: int, buckets: int) -> DataFrame:
                     if held:
                         yield from closed()
                     current, held = bucket, []
-                n, at, columns = len(data) // ENTRY.itemsize, 0, []
-                for f in ENTRY.names:
-                    kind = ENTRY[f]
-                    columns.append(np.frombuffer(data, dtype=kind, count=n, offset=at))
-                    at += n * kind.itemsize
-                held.append(columns)
+                held.append(_unpacked(data))
         if held:
             yield from closed()
 
@@ -127,8 +133,9 @@ def deduplicated(docs: DataFrame, size: int = 20, text: str = "text", doc_id: st
     windows = chars // CHARS_PER_WORD
 
     def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for x in batch.column("text_"):
-            yield hashing.windows(hashing.word_hashes(_words(x)), size)
+        texts = _texts(batch)
+        for part in hashing.parts(texts):
+            yield hashing.Texts(texts[part], size).windows()
 
     bits = spark.sparkContext.broadcast(sketch(source.select("text_"), hashes, fitting(windows), "repeated"))
     places = firsts(source, bits, size, max(64, windows // BUCKET))
@@ -141,22 +148,22 @@ def deduplicated(docs: DataFrame, size: int = 20, text: str = "text", doc_id: st
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, kept = [], [], []
-            for text_, parts in zip(batch.column("text_"), batch.column("firsts_")):
-                words = _words(text_)
-                h = hashing.windows(hashing.word_hashes(words), size)
-                gone = np.zeros(len(words) + 1, dtype=np.int64)
-                if len(h):
-                    later = repeated(bits.value, h)
-                    if parts.is_valid:
-                        for p in parts.as_py():
-                            later[np.frombuffer(p, dtype="<u4")] = False
-                    at = np.flatnonzero(later)
-                    np.add.at(gone, at, 1)
-                    np.add.at(gone, at + size, -1)
-                stay = np.cumsum(gone)[: len(words)] == 0
-                n_words.append(len(words))
-                n_removed.append(len(words) - int(stay.sum()))
-                kept.append(b" ".join(compress(words, stay.tolist())).decode("utf-8"))
+            texts, firsts_ = _texts(batch), batch.column("firsts_").to_pylist()
+            for part in hashing.parts(texts):
+                own = hashing.Texts(texts[part], size)
+                later = np.zeros(len(own.hashes), dtype=bool)
+                later[own.at[repeated(bits.value, own.windows())]] = True
+                for start, places in zip(own.starts, firsts_[part]):
+                    for p in places or ():
+                        later[start + np.frombuffer(p, dtype="<u4")] = False
+                at = np.flatnonzero(later)
+                gone = np.bincount(at, minlength=len(later) + 1) - np.bincount(at + size, minlength=len(later) + 1)
+                stay = np.cumsum(gone)[: len(later)] == 0
+                for words, start in zip(own.words, own.starts):
+                    left = stay[start : start + len(words)]
+                    n_words.append(len(words))
+                    n_removed.append(len(words) - int(left.sum()))
+                    kept.append(b" ".join(words if left.all() else compress(words, left.tolist())).decode("utf-8"))
             columns = [batch.column("row_"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
