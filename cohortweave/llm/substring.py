@@ -48,13 +48,27 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return batch.column("text_").cast(pa.binary()).to_pylist()
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers as planes of bytes: those that are mostly zero compress to almost nothing."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _unplaned(data: bytes, n: int, kind) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(-1, n).T).view(kind).ravel()
+
+
 def _packed(e: np.ndarray) -> bytes:
-    return b"".join(e[f].tobytes() for f in ENTRY.names)
+    """Entries by document and place: hashes as they are, the rest as differences."""
+    e = e[np.lexsort((e["start"], e["doc"]))]
+    doc, start = np.diff(e["doc"], prepend=np.int64(0)), np.diff(e["start"].astype(np.int32), prepend=np.int32(0))
+    return e["h"].tobytes() + e["g"].tobytes() + _planes(doc) + _planes(start)
 
 
 def _unpacked(data: bytes) -> list[np.ndarray]:
     n = len(data) // ENTRY.itemsize
-    return [np.frombuffer(data, kind, n, at * n) for kind, at in (("<u8", 0), ("<u4", 8), ("<i8", 12), ("<u4", 20))]
+    h, g = np.frombuffer(data, "<u8", n), np.frombuffer(data, "<u4", n, 8 * n)
+    doc, start = np.cumsum(_unplaned(data[12 * n : 20 * n], n, "<i8")), np.cumsum(_unplaned(data[20 * n :], n, "<i4"), dtype=np.int32)
+    return [h, g, doc, start.astype(np.uint32)]
 
 
 def firsts(source: DataFrame, bits, size: int, buckets: int) -> DataFrame:
