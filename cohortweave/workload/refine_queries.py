@@ -268,7 +268,17 @@ def flaky_judge(prompts):
     return [None if len(p) % 11 == 0 else ("not json" if len(p) % 7 == 0 else g) for p, g in zip(prompts, good)]
 
 
-@query("judge_sample")
+@query(
+    "judge_sample",
+    """WITH prompts AS (
+      SELECT session_id, arm, length(array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: '[' || i || '] ' || x), chr(10))) AS n,
+      coalesce(text, '') = '' AS blank FROM sample_t s LEFT JOIN documents d ON d.doc_id = s.pk),
+    asked AS (
+      SELECT session_id, CASE WHEN arm <> 'selected' THEN NULL WHEN blank THEN 'api' WHEN n % 11 = 0 THEN 'api'
+        WHEN n % 7 = 0 THEN 'parse' END AS failure, arm = 'selected' AND NOT blank AS called FROM prompts)
+    SELECT session_id, count(*) FILTER (failure = 'parse') AS parse_error_count, count(*) FILTER (failure = 'api') AS api_error_count,
+    sum(CASE WHEN NOT called THEN 0 WHEN failure IS NULL THEN 1 ELSE 3 END)::BIGINT AS attempts FROM asked GROUP BY session_id""",
+)
 def judge_sample(spark, d):
     judged = judging.judge(sample(spark, d), content(spark, d), list(CHECKS), flaky_judge, RP.max_retries)
     return judging.judge_errors(judged)
