@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pieces of at most so many characters are remembered, and so many of them at most; this bounds a worker's memory.
+#: Pieces of at most so many characters are remembered, and of them the last so many to twice so many; this bounds a worker's memory.
 REMEMBERED_CHARS = 48
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -123,14 +123,20 @@ class Encoder:
 
 
 class _Known(dict):
+    """Ids of pieces; when full it becomes the older half, from which pieces in use come back."""
+
     def __init__(self, encoder: Encoder):
         super().__init__()
         self.encoder = encoder
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = b"".join(i.to_bytes(4, "little") for i in self.encoder.merge(piece.encode("utf-8", "surrogatepass")))
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = b"".join(i.to_bytes(4, "little") for i in self.encoder.merge(piece.encode("utf-8", "surrogatepass")))
         if len(piece) <= REMEMBERED_CHARS:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
