@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import scratch_path
 
@@ -43,3 +44,24 @@ def packed(docs: DataFrame) -> DataFrame:
 
 def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.col("row_").getField(c).alias(c) for c in columns])
+
+
+#: Tables up to this size are broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
+
+
+def _width(column: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.aggregate(column, F.lit(16).cast("long"), lambda a, x: a + _width(x, kind.elementType)), F.lit(16).cast("long"))
+    if isinstance(kind, T.StructType):
+        return sum((_width(column.getField(f.name), f.dataType) for f in kind.fields), F.lit(16))
+    return F.lit(8)
+
+
+def broadcast_measured(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if its rows, measured, fit ``BROADCAST_BYTES``; pass a written or otherwise cheap table."""
+    row = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(8))
+    size = df.agg(F.sum(row.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import save
+from .common import broadcast_measured, save
 from .components import components
 from .sketch import fitting, levels, repeated, sketch
 
@@ -222,11 +222,13 @@ def _region_links(members: DataFrame, sets: DataFrame, options: Options) -> Data
         sized = members.groupBy("region").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("count"))
         sized = save(sized.filter("count > 1"), "region_sizes")
         small, large = sized.filter(F.col("total") <= options.region_shingles), sized.filter(F.col("total") > options.region_shingles)
-        near = members.join(small.select("region"), "region", "left_semi").join(sets.select("node", "set"), "node")
+        near = save(members.join(broadcast_measured(small.select("region")), "region", "left_semi"), "small_regions")
+        near = sets.select("node", "set").join(broadcast_measured(near), "node")
         links = links.unionByName(save(_joined(near, ["region"], options.percent), "region_links"))
         if large.isEmpty():
             break
-        far = save(members.join(large.select("region"), "region", "left_semi").join(sets.select("node", "set"), "node"), "large_regions")
+        far = members.join(broadcast_measured(large.select("region")), "region", "left_semi")
+        far = save(far.join(sets.select("node", "set"), "node"), "large_regions")
         if level == options.levels:
             links = links.unionByName(save(_blocked(far, options), "region_links"))
             break
@@ -270,7 +272,7 @@ def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: li
     may = rows.filter("h is not null")
     classes = save(may.groupBy("h", "g", "n_shingles").agg(F.min("rid").alias("node")), "set_classes")
     sets = save(
-        may.join(classes.select(F.col("node").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("node"), F.col("n_shingles").alias("n"), "set"),
+        may.join(broadcast_measured(classes.select(F.col("node").alias("rid"))), "rid", "left_semi").select(F.col("rid").alias("node"), F.col("n_shingles").alias("n"), "set"),
         "class_sets",
     )
     total = sets.agg(F.sum("n")).first()[0] or 0
@@ -304,11 +306,12 @@ def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: li
     roots = components(_region_links(members, sets, options))
     # Rows of a class, classes of a component; ids are summed up before they are shuffled.
     resolved = classes.join(roots, "node", "left").select("h", "g", "n_shingles", "node", F.coalesce("root", "node").alias("root_"))
-    placed = may.select("rid", "id_", "h", "g", "n_shingles").join(resolved, ["h", "g", "n_shingles"])
+    placed = may.select("rid", "id_", "h", "g", "n_shingles").join(broadcast_measured(save(resolved, "resolved")), ["h", "g", "n_shingles"])
     placed = save(placed.select("rid", "id_", "root_"), "placed")
     first = F.min(F.struct(F.col("id_").isNull().alias("without"), "id_", "rid"))
     least = placed.groupBy("root_").agg(F.min("id_").alias("least_"), first.getField("rid").alias("keeper_"))
-    placed = placed.join(least, "root_").select("rid", "least_", (F.col("rid") == F.col("keeper_")).alias("kept_"))
+    placed = placed.join(broadcast_measured(least), "root_").select("rid", "least_", (F.col("rid") == F.col("keeper_")).alias("kept_"))
+    placed = broadcast_measured(save(placed, "kept"))
     return rows.select("row_", "id_", "n_shingles", "rid").join(placed, "rid", "left").select(
         "row_", "n_shingles", F.coalesce("least_", "id_").alias("component_id"), F.coalesce("kept_", F.lit(True)).alias("kept")
     )

@@ -29,8 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import broadcast_if_small
-from .common import save
+from .common import broadcast_measured, save
 
 
 @dataclass(frozen=True)
@@ -230,7 +229,7 @@ def pack(
     before = counts.filter(F.col("length") < capacity).select(
         "length", "chunk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")
     )
-    ranked = cut.join(broadcast_if_small(before), ["length", "chunk"], "left").select("row_", *PIECE.names, "before")
+    ranked = cut.join(broadcast_measured(before), ["length", "chunk"], "left").select("row_", *PIECE.names, "before")
     fields = [ranked.schema["row_"], *[PIECE[n] for n in ("start", "length", "doc_tokens", "ids")]]
     fields += [T.StructField(n, T.LongType()) for n in ("ids_crc32", "sequence_id", "offset")]
 

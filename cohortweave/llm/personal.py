@@ -20,8 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small
-from .common import packed, save, unpacked
+from .common import broadcast_measured, packed, save, unpacked
 from .spans import Pattern, masked, merged, placed, scanned, summed_up
 
 CONTEXT = 48
@@ -208,7 +207,7 @@ def personal(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
 def report(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """One row per document: ``keep``, counts per base kind, digest of the base spans, all spans."""
     rows, spans, _ = personal(docs, text, keep)
-    found = broadcast_if_small(summed_up(spans, BASE_KINDS))
+    found = broadcast_measured(summed_up(spans, BASE_KINDS))
     return rows.join(found, "rid", "left").select(
         *[F.col("row_").getField(c).alias(c) for c in keep],
         *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in BASE_KINDS],
@@ -220,6 +219,6 @@ def report(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """All documents, with every span replaced by ``MASK``."""
     rows, spans, _ = personal(docs, text)
-    out = rows.join(broadcast_if_small(merged(spans)), "rid", "left")
+    out = rows.join(broadcast_measured(merged(spans)), "rid", "left")
     body = masked(F.col("row_").getField(text), F.col("covered_"), MASK)
     return unpacked(out.withColumn("row_", F.col("row_").withField(text, body)), docs.columns)

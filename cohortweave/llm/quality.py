@@ -16,8 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small
-from .common import packed, save, unpacked, words_of
+from .common import broadcast_measured, packed, save, unpacked, words_of
 
 WINDOW = 8
 
@@ -147,7 +146,7 @@ def _judged(scored: DataFrame, columns: list[str], host: str, rules: Rules) -> D
         "measured",
     )
     condemned = host_rates(scored, rules).filter(F.col("rate") > rules.host_rate).select("host_", "rate")
-    joined = scored.join(broadcast_if_small(condemned), "host_", "left")
+    joined = scored.join(broadcast_measured(condemned), "host_", "left")
     return joined.select(
         "row_",
         "n_words",

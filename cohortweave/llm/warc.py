@@ -31,8 +31,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import broadcast_if_small, scratch_path
-from .common import save
+from ..session import scratch_path
+from .common import broadcast_measured, save
 
 ID = "urn:x-page"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
@@ -90,7 +90,7 @@ def revisits(narrow: DataFrame, least: int) -> DataFrame:
     payload of a third of all pages is one row of each task."""
     firsts = narrow.filter(F.col("bytes_") >= least).groupBy("digest_").agg(F.min("id_").alias("refers_to_"), F.count(F.lit(1)).alias("n_"))
     firsts = firsts.filter((F.col("n_") > 1) & F.col("refers_to_").isNotNull()).drop("n_")
-    return narrow.join(broadcast_if_small(firsts), "digest_").filter(F.col("id_") > F.col("refers_to_")).select("id_", "digest_", "refers_to_").distinct()
+    return narrow.join(broadcast_measured(firsts), "digest_").filter(F.col("id_") > F.col("refers_to_")).select("id_", "digest_", "refers_to_").distinct()
 
 
 class _Writer:
