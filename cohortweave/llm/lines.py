@@ -8,8 +8,8 @@ A line is the set of its words; two lines match at a Jaccard similarity of ``per
 3. First lines post the words of their prefix (words that occur once anywhere cannot meet and are left out), each with its place,
    the size and a 128-bit parity signature of the set. Buckets of words are joined by size: the length filter ends
    a run, the positional filter and the signature (sets that differ in d words differ in at most d bits) drop pairs.
-4. Every line gets its closest earlier candidate verified first. Lines it does not settle, and that had more
-   candidates, get all of them verified. So a group of copies costs one pair per line, and no match is lost.
+4. Every line gets its closest earlier candidates verified first. Lines they do not settle, and that had more
+   candidates, get all of them verified. So a group of copies costs a few pairs per line, and no match is lost.
 
 Defined cases: no text has one empty line; lines with fewer than ``least_words`` different words are neither compared nor removed; rows with the same
 id are one document (a line is not earlier than itself); a null id comes before all others; an empty table gives an empty
@@ -27,19 +27,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import broadcast_if_small
 from . import hashing
-from .common import save
-from .sketch import levels, sketch
+from .common import broadcast_measured, save
+from .sketch import Counter, levels, merged
 
 FIRST_ID = -(2**63)
 #: Slots of a row of the word sketch, a byte each, whatever the corpus.
 WORD_SLOTS = 1 << 22
 BUCKET = 1_000_000
 FLUSH = 1_000_000
+#: Candidates of a line and bucket that are verified at once; lines they do not settle get all of theirs.
+AT_ONCE = 4
 #: Pairs held at a time inside a bucket.
 PAIRS = 4_000_000
 
+#: Marks, in the size of an entry, a line whose candidates are all wanted.
+OPEN = np.uint32(1 << 31)
 ENTRY = np.dtype([("key", "<u8"), ("doc", "<i8"), ("line", "<u4"), ("size", "<u4"), ("at", "<u4"), ("s0", "<u8"), ("s1", "<u8")])
 
 
@@ -51,16 +54,26 @@ class Options:
 
 def line_sets(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(line, word) hashes of the different words of each line, lines in order."""
-    words = [b.split() for b in bodies]
+    words = [set(b.split()) for b in bodies]
     counts = np.array([len(w) for w in words], dtype=np.int64)
-    hashes = hashing.word_hashes([w for ws in words for w in ws])
-    line = np.repeat(np.arange(len(bodies)), counts)
-    order = np.lexsort((hashes, line))
-    line, hashes = line[order], hashes[order]
-    if not len(line):
-        return line, hashes
-    new = np.append(True, (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1]))
-    return line[new], hashes[new]
+    return np.repeat(np.arange(len(bodies)), counts), hashing.word_hashes([w for ws in words for w in ws])
+
+
+def summed(values: np.ndarray, line: np.ndarray, n: int, how=np.add) -> np.ndarray:
+    """Values of each line put together; lines come in order and may be without values."""
+    out = np.zeros(n, dtype=np.uint64)
+    if len(line):
+        starts = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+        out[line[starts]] = how.reduceat(values, starts)
+    return out
+
+
+def ranked(line: np.ndarray, word: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The order by line, level and word; one sort of numbers unless two words of a line agree in 36 bits."""
+    key = (line.astype(np.uint64) << np.uint64(44)) | (level.astype(np.uint64) << np.uint64(36)) | (word >> np.uint64(28))
+    order = np.argsort(key)
+    key = key[order]
+    return np.lexsort((word, level, line)) if len(key) and (key[1:] == key[:-1]).any() else order
 
 
 def overlap(sizes, percent: int):
@@ -68,44 +81,56 @@ def overlap(sizes, percent: int):
     return -(-percent * sizes // (100 + percent))
 
 
-def _lines(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes]]]:
-    for i, (id_, text) in enumerate(zip(batch.column("id_").to_pylist(), batch.column("text_"))):
-        yield i, id_, text.as_buffer().to_pybytes().split(b"\n") if len(text.as_py()) else [b""]
+LINES = "id_ long, line long, size long, h long, g long, body binary"
+
 
+def written_lines(source: DataFrame, least: int) -> tuple[DataFrame, np.ndarray]:
+    """(id_, line, size, h, g, body) of every line with enough different words, and the sketch of their words.
 
-def written_lines(source: DataFrame, least: int) -> DataFrame:
-    """(id_, line, size, h, g, body) of every line with enough different words."""
+    Both come from one pass: tasks write their lines and their counters into one table.
+    """
+    names = [f.split()[0] for f in f"{LINES}, {Counter.SCHEMA}".split(", ")]
+    kinds = [pa.int64()] * 5 + [pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+
+    def row_batch(columns: list[pa.Array], first: int) -> pa.RecordBatch:
+        n = len(columns[0])
+        return pa.RecordBatch.from_arrays([columns[i - first] if 0 <= i - first < len(columns) else pa.nulls(n, k) for i, k in enumerate(kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Counter(WORD_SLOTS)
         for batch in batches:
             ids, places, bodies = [], [], []
 
-            def flush():
+            def flush() -> Iterator[pa.RecordBatch]:
                 line, word = line_sets(bodies)
                 sizes = np.bincount(line, minlength=len(bodies))
-                h, g = np.zeros(len(bodies), dtype=np.uint64), np.zeros(len(bodies), dtype=np.uint64)
-                np.add.at(h, line, hashing.mixed(word))
-                np.add.at(g, line, hashing.mixed(word ^ np.uint64(hashing.BASES[1])))
+                h = summed(hashing.mixed(word), line, len(bodies))
+                g = summed(hashing.mixed(word ^ np.uint64(hashing.BASES[1])), line, len(bodies))
                 use = np.flatnonzero(sizes >= least)
                 columns = [pa.array(np.array(x, dtype=np.int64)[use]) for x in (ids, places)]
                 columns += [pa.array(x[use].view(np.int64)) for x in (sizes.astype(np.int64), h, g)]
-                return pa.RecordBatch.from_arrays([*columns, pa.array([bodies[i] for i in use], pa.binary())], ["id_", "line", "size", "h", "g", "body"])
+                yield row_batch([*columns, pa.array([bodies[i] for i in use], pa.binary())], 0)
+                for columns in counter.add(word):
+                    yield row_batch(columns, 6)
 
             held = 0
-            for _, id_, parts in _lines(batch):
-                for place, body in enumerate(parts):
+            for id_, text in zip(batch.column("id_").to_pylist(), batch.column("text_").cast(pa.binary()).to_pylist()):
+                for place, body in enumerate(text.split(b"\n")):
                     if body:
                         ids.append(id_)
                         places.append(place)
                         bodies.append(body)
                         held += len(body)
                 if held > 4 << 20:
-                    yield flush()
+                    yield from flush()
                     ids, places, bodies, held = [], [], [], 0
             if bodies:
-                yield flush()
+                yield from flush()
+        for columns in counter.flush():
+            yield row_batch(columns, 6)
 
-    return save(source.mapInArrow(run, "id_ long, line long, size long, h long, g long, body binary"), "lines")
+    both = save(source.mapInArrow(run, f"{LINES}, {Counter.SCHEMA}"), "lines")
+    return both.filter("block is null").select(*names[:6]), merged(both.filter("block is not null"), WORD_SLOTS, "levels")
 
 
 def _postings(lines: DataFrame, rarity, buckets: int, options: Options) -> DataFrame:
@@ -127,16 +152,14 @@ def _postings(lines: DataFrame, rarity, buckets: int, options: Options) -> DataF
             bodies = batch.column("body").to_pylist()
             for first in range(0, len(bodies), 4000):
                 part = bodies[first : first + 4000]
-                ids, places = (np.asarray(batch.column(c))[first : first + 4000] for c in ("id_", "line"))
+                ids, places, open_ = (batch.column(c).to_numpy(zero_copy_only=False)[first : first + 4000] for c in ("id_", "line", "open"))
                 line, word = line_sets(part)
                 level = levels(rarity.value, word)
                 sizes = np.bincount(line, minlength=len(part))
-                s0, s1 = np.zeros(len(part), dtype=np.uint64), np.zeros(len(part), dtype=np.uint64)
                 bit = np.uint64(1) << (word & np.uint64(63))
                 high = (word >> np.uint64(6)) & np.uint64(1) == 1
-                np.bitwise_xor.at(s0, line[~high], bit[~high])
-                np.bitwise_xor.at(s1, line[high], bit[high])
-                order = np.lexsort((word, level, line))
+                s0, s1 = (summed(np.where(x, bit, np.uint64(0)), line, len(part), np.bitwise_xor) for x in (~high, high))
+                order = ranked(line, word, level)
                 line, word, level = line[order], word[order], level[order]
                 at = np.arange(len(line)) - np.repeat(np.append(0, np.cumsum(sizes)[:-1]), sizes)
                 use = (at < (sizes + 1 + (-sizes * percent // 100))[line]) & (level > 1)
@@ -144,6 +167,7 @@ def _postings(lines: DataFrame, rarity, buckets: int, options: Options) -> DataF
                 line = line[use]
                 entry["key"], entry["at"] = hashing.mixed(word[use]), at[use]
                 entry["doc"], entry["line"], entry["size"] = ids[line], places[line], sizes[line]
+                entry["size"] |= np.where(open_.astype(bool)[line], OPEN, np.uint32(0))
                 entry["s0"], entry["s1"] = s0[line], s1[line]
                 held.append(entry)
                 count += len(entry)
@@ -185,17 +209,24 @@ def _pairs_of(e: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndar
 
 
 def _candidates(postings: DataFrame, options: Options, closest: bool) -> DataFrame:
-    """Later and earlier lines that may match: the closest for each later line and bucket, with ``more``; or all."""
+    """Later and earlier lines that may match: the closest few for each later line and bucket, with ``more``; or all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, []
 
         def closed() -> Iterator[pa.RecordBatch]:
             e = np.concatenate(held)
-            e = e[np.lexsort((e["line"], e["doc"], e["size"], e["key"]))]
+            wanted = e["size"] >= OPEN
+            e["size"] &= OPEN - np.uint32(1)
+            order = np.lexsort((e["line"], e["doc"], e["size"], e["key"]))
+            e, wanted = e[order], wanted[order]
             for i, j, differ in _pairs_of(e, options.percent):
                 first = (e["doc"][i] < e["doc"][j]) | ((e["doc"][i] == e["doc"][j]) & (e["line"][i] < e["line"][j]))
                 early, late = np.where(first, i, j), np.where(first, j, i)
+                if not closest:
+                    early, late, differ = (x[wanted[late]] for x in (early, late, differ))
+                    if not len(late):
+                        continue
                 order = np.lexsort((e["line"][early], e["doc"][early], differ, e["line"][late], e["doc"][late]))
                 early, late, differ = early[order], late[order], differ[order]
                 keys = [e["doc"][late], e["line"][late], e["doc"][early], e["line"][early]]
@@ -203,9 +234,12 @@ def _candidates(postings: DataFrame, options: Options, closest: bool) -> DataFra
                 early, late, differ = early[~same], late[~same], differ[~same]
                 more = np.zeros(len(late), dtype=bool)
                 if closest:
-                    starts = np.flatnonzero(np.append(True, (e["doc"][late][1:] != e["doc"][late][:-1]) | (e["line"][late][1:] != e["line"][late][:-1])))
-                    more = np.diff(np.append(starts, len(late))) > 1
-                    early, late, differ = early[starts], late[starts], differ[starts]
+                    new = np.append(True, (e["doc"][late][1:] != e["doc"][late][:-1]) | (e["line"][late][1:] != e["line"][late][:-1]))
+                    starts = np.flatnonzero(new)
+                    counts = np.diff(np.append(starts, len(late)))
+                    near = np.arange(len(late)) - np.repeat(starts, counts) < AT_ONCE
+                    more = (np.repeat(counts, counts) > AT_ONCE)[near]
+                    early, late, differ = early[near], late[near], differ[near]
                 columns = [e["doc"][late], e["line"][late].astype(np.int64), e["doc"][early], e["line"][early].astype(np.int64), differ, more]
                 for k in range(0, len(late), 100_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in columns], ["id_", "line", "id2", "line2", "differ", "more"])
@@ -232,7 +266,7 @@ def _candidates(postings: DataFrame, options: Options, closest: bool) -> DataFra
 def _verified(pairs: DataFrame, lines: DataFrame, options: Options) -> DataFrame:
     """Pairs with ``match``: whether the lines' words are similar enough."""
     needed = pairs.select("id_", "line").unionByName(pairs.select(F.col("id2").alias("id_"), F.col("line2").alias("line"))).distinct()
-    bodies = lines.select("id_", "line", "body").join(broadcast_if_small(save(needed, "needed_lines")), ["id_", "line"], "left_semi")
+    bodies = lines.select("id_", "line", "body").join(broadcast_measured(save(needed, "needed_lines")), ["id_", "line"], "left_semi")
     bodies = save(bodies, "needed_bodies")
     both = pairs.join(bodies.withColumnRenamed("body", "x"), ["id_", "line"]).join(
         bodies.select(F.col("id_").alias("id2"), F.col("line").alias("line2"), F.col("body").alias("y")), ["id2", "line2"]
@@ -253,32 +287,29 @@ def _verified(pairs: DataFrame, lines: DataFrame, options: Options) -> DataFrame
 
 def repeats(source: DataFrame, options: Options = Options()) -> DataFrame:
     """(id_, line) of every line to remove; ``source`` has id_ and text_."""
-    lines = written_lines(source, options.least_words)
+    lines, rows = written_lines(source, options.least_words)
+    rarity = source.sparkSession.sparkContext.broadcast(rows)
     place = F.struct("id_", "line")
     firsts = lines.groupBy("h", "g", "size").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
-    equal = lines.select("id_", "line", "h", "g", "size").join(broadcast_if_small(save(firsts.drop("last"), "equal_lines")), ["h", "g", "size"])
+    equal = lines.select("id_", "line", "h", "g", "size").join(broadcast_measured(save(firsts.drop("last"), "equal_lines")), ["h", "g", "size"])
     equal = save(equal.filter(place > F.col("first")).select("id_", "line"), "repeated_lines")
-    chosen = lines.select("id_", "line", "body").join(broadcast_if_small(equal.distinct()), ["id_", "line"], "left_anti")
-
-    def words(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for first in range(0, batch.num_rows, 4000):
-            yield line_sets(batch.column("body").slice(first, 4000).to_pylist())[1]
-
-    rarity = source.sparkSession.sparkContext.broadcast(sketch(chosen.select("body"), words, WORD_SLOTS, "levels"))
+    chosen = lines.select("id_", "line", "size", "body").join(broadcast_measured(equal.distinct()), ["id_", "line"], "left_anti")
     total = lines.agg(F.sum("size")).first()[0] or 0
-    postings = _postings(chosen, rarity, max(64, total // 5 // BUCKET), options)
-    close = _candidates(postings, options, closest=True)
-    best = close.groupBy("id_", "line").agg(
-        F.min(F.struct("differ", "id2", "line2")).alias("b"),
-        (F.max("more") | (F.min(F.struct("id2", "line2")) < F.max(F.struct("id2", "line2")))).alias("more"),
-    )
-    best = save(best.select("id_", "line", "b.id2", "b.line2", "more"), "closest_lines")
+    buckets = max(64, total // 5 // BUCKET)
+    close = _candidates(_postings(chosen.withColumn("open", F.lit(False)), rarity, buckets, options), options, closest=True)
+    best = close.groupBy("id_", "line", "id2", "line2").agg(F.max("more").alias("more"))
+    best = save(best, "closest_lines")
     tested = save(_verified(best, lines, options), "tested_lines")
     removed = equal.unionByName(tested.filter("match").select("id_", "line"))
-    open_ = tested.filter("not match and more").select("id_", "line")
+    open_ = tested.groupBy("id_", "line").agg(F.max("match").alias("settled"), F.max("more").alias("more"))
+    open_ = save(open_.filter("not settled and more").select("id_", "line"), "open_lines")
     if not open_.isEmpty():
-        rest = _candidates(postings, options, closest=False).select("id_", "line", "id2", "line2")
-        rest = rest.join(broadcast_if_small(open_), ["id_", "line"], "left_semi")
+        # Only lines of sizes that an open line can match take part, and only its pairs are emitted.
+        reach = F.sequence(F.ceil(F.col("size") * options.percent / 100), F.floor(F.col("size") * 100 / options.percent))
+        sizes = chosen.join(broadcast_measured(open_), ["id_", "line"], "left_semi").select(F.explode(reach).alias("size")).distinct()
+        again = chosen.join(broadcast_measured(save(sizes, "open_sizes")), "size", "left_semi")
+        again = again.join(broadcast_measured(open_.withColumn("open", F.lit(True))), ["id_", "line"], "left").fillna(False, ["open"])
+        rest = _candidates(_postings(again, rarity, buckets, options), options, closest=False).select("id_", "line", "id2", "line2")
         rest = save(rest.distinct().join(tested.select("id_", "line", "id2", "line2"), ["id_", "line", "id2", "line2"], "left_anti"), "further_lines")
         removed = removed.unionByName(_verified(rest, lines, options).filter("match").select("id_", "line"))
     return save(removed.distinct(), "removed_lines")
@@ -291,18 +322,17 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ke
     gone = repeats(docs.select(key, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text_")), options)
     gone = gone.groupBy("id_").agg(F.sort_array(F.collect_list("line")).alias("gone_"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row_"), key, F.col(f"`{text}`").alias("text_"))
-    joined = rows.join(broadcast_if_small(save(gone, "removed_by_document")), "id_", "left").select("row_", "text_", "gone_")
+    joined = rows.join(broadcast_measured(save(gone, "removed_by_document")), "id_", "left").select("row_", "text_", "gone_")
     schema = T.StructType([joined.schema["row_"], *[T.StructField(n, T.LongType()) for n in ("n_lines", "n_removed")], T.StructField("kept_", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_lines, n_removed, kept = [], [], []
             for text_, places in zip(batch.column("text_").to_pylist(), batch.column("gone_").to_pylist()):
-                parts = (text_ or "").split("\n")
                 drop = set(places or ())
-                n_lines.append(len(parts))
+                n_lines.append((text_ or "").count("\n") + 1)
                 n_removed.append(len(drop))
-                kept.append(text_ if not drop else "\n".join(p for i, p in enumerate(parts) if i not in drop))
+                kept.append(text_ if not drop else "\n".join(p for i, p in enumerate(text_.split("\n")) if i not in drop))
             yield pa.RecordBatch.from_arrays([batch.column("row_"), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], schema.names)
 
     return joined.mapInArrow(run, schema)

@@ -48,37 +48,60 @@ def _decoded(data: bytes) -> np.ndarray:
     return np.cumsum(planes[0] + (planes[1] << 8))
 
 
+class Counter:
+    """Counters of one task: takes hashes, gives rows (block, used, often)."""
+
+    NAMES = ("block", "used", "often")
+    SCHEMA = "block long, used binary, often binary"
+
+    def __init__(self, width: int):
+        self.width, self.blocks = width, width // BLOCK
+        self.held: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, hashes: np.ndarray) -> Iterator[list[pa.Array]]:
+        self.held.append(hashes)
+        self.size += len(hashes)
+        if self.size >= FLUSH:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[list[pa.Array]]:
+        if not self.size:
+            return
+        every = np.concatenate(self.held)
+        self.held, self.size = [], 0
+        for row in range(DEPTH):
+            used, times = np.unique(slots(every, self.width, row), return_counts=True)
+            edges = np.searchsorted(used, np.arange(self.blocks + 1, dtype=np.int64) * BLOCK)
+            out: tuple[list, list, list] = ([], [], [])
+            for b in np.flatnonzero(np.diff(edges)):
+                part = slice(edges[b], edges[b + 1])
+                inside, n = used[part].astype(np.int64) - b * BLOCK, times[part]
+                often = n > 1
+                out[0].append(row * self.blocks + int(b))
+                out[1].append(_encoded(inside))
+                out[2].append(np.flatnonzero(often).astype("<u4").tobytes() + np.minimum(n[often], 2**32 - 1).astype("<u4").tobytes())
+            yield [pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())]
+
+
 def sketch(source: DataFrame, hashes: Hashes, width: int, kind: str) -> np.ndarray:
-    """Rows of the merged sketch: ``repeated`` (bits, count of at least two) or ``levels`` (bytes, log2 of the count in quarters)."""
-    blocks = width // BLOCK
+    """The merged sketch of ``hashes`` of every batch of ``source``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            every = np.concatenate(held)
-            for row in range(DEPTH):
-                used, times = np.unique(slots(every, width, row), return_counts=True)
-                edges = np.searchsorted(used, np.arange(blocks + 1, dtype=np.int64) * BLOCK)
-                out: tuple[list, list, list] = ([], [], [])
-                for b in np.flatnonzero(np.diff(edges)):
-                    part = slice(edges[b], edges[b + 1])
-                    inside, n = used[part].astype(np.int64) - b * BLOCK, times[part]
-                    often = n > 1
-                    out[0].append(row * blocks + int(b))
-                    out[1].append(_encoded(inside))
-                    out[2].append(np.flatnonzero(often).astype("<u4").tobytes() + np.minimum(n[often], 2**32 - 1).astype("<u4").tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], ["block", "used", "often"])
-
+        counter = Counter(width)
         for batch in batches:
             for part in hashes(batch):
-                held.append(part)
-                size += len(part)
-                if size >= FLUSH:
-                    yield from flush()
-                    held, size = [], 0
-        if size:
-            yield from flush()
+                for columns in counter.add(part):
+                    yield pa.RecordBatch.from_arrays(columns, list(Counter.NAMES))
+        for columns in counter.flush():
+            yield pa.RecordBatch.from_arrays(columns, list(Counter.NAMES))
+
+    return merged(source.mapInArrow(count, Counter.SCHEMA), width, kind)
+
+
+def merged(partial: DataFrame, width: int, kind: str) -> np.ndarray:
+    """Rows of the merged sketch: ``repeated`` (bits, count of at least two) or ``levels`` (bytes, log2 of the count in quarters)."""
+    blocks = width // BLOCK
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, counts = None, np.zeros(BLOCK, dtype=np.uint64)
@@ -92,7 +115,7 @@ def sketch(source: DataFrame, hashes: Hashes, width: int, kind: str) -> np.ndarr
             return pa.RecordBatch.from_arrays([pa.array([current], pa.int64()), pa.array([data], pa.binary())], ["block", "data"])
 
         for batch in batches:
-            for block, used, often in zip(*(batch.column(n).to_pylist() for n in ("block", "used", "often"))):
+            for block, used, often in zip(*(batch.column(n).to_pylist() for n in Counter.NAMES)):
                 if block != current:
                     if current is not None:
                         yield closed()
@@ -105,11 +128,10 @@ def sketch(source: DataFrame, hashes: Hashes, width: int, kind: str) -> np.ndarr
         if current is not None:
             yield closed()
 
-    partial = source.mapInArrow(count, "block long, used binary, often binary")
-    merged = partial.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block long, data binary")
+    summed = partial.select(*Counter.NAMES).repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block long, data binary")
     per_block = BLOCK // 8 if kind == "repeated" else BLOCK
     rows = np.zeros((DEPTH * blocks, per_block), dtype=np.uint8)
-    for block, data in merged.toLocalIterator():
+    for block, data in summed.toLocalIterator():
         rows[block] = np.frombuffer(data, dtype=np.uint8)
     return rows.reshape(DEPTH, -1)
 

@@ -146,6 +146,7 @@ def brute_lines(rows, percent=80, least=5):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_lines(spark, seed, monkeypatch):
     monkeypatch.setattr(lines, "PAIRS", 50)
+    monkeypatch.setattr(lines, "AT_ONCE", 1)
     rng = random.Random(seed)
     seeds = [[f"w{rng.randrange(400)}" for _ in range(rng.randrange(3, 40))] for _ in range(12)]
 
