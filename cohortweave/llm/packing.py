@@ -153,9 +153,9 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def _encoding(content: bytes, pattern: str) -> tiktoken.Encoding:
+def _encoding(content: bytes, pattern: str, added: dict[str, int]) -> tiktoken.Encoding:
     ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, content.splitlines()) if t}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
 
 
 PIECE = T.StructType(
@@ -170,7 +170,7 @@ PIECE = T.StructType(
 )
 
 
-def pieces(docs: DataFrame, vocabulary: str, pattern: str, capacity: int, end_id: int, text: str, keep: list[str]) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, pattern: str, capacity: int, end_id: int, text: str, keep: list[str], added: dict[str, int]) -> DataFrame:
     """Documents as full pieces and one remainder; ids as little-endian unsigned 32-bit integers."""
     with open(vocabulary, "rb") as file:
         content = docs.sparkSession.sparkContext.broadcast(file.read())
@@ -180,7 +180,7 @@ def pieces(docs: DataFrame, vocabulary: str, pattern: str, capacity: int, end_id
     schema = T.StructType([source.schema["row_"], *PIECE.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, chunk = _encoding(content.value, pattern), TaskContext.get().partitionId()
+        encoding, chunk = _encoding(content.value, pattern, added), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
             of, out, held = [], [[] for _ in PIECE.fields], 0
@@ -191,7 +191,7 @@ def pieces(docs: DataFrame, vocabulary: str, pattern: str, capacity: int, end_id
                 return pa.RecordBatch.from_arrays(columns, ["row_", *PIECE.names])
 
             for i, text_ in enumerate(batch.column("text_")):
-                ids = np.append(encoding.encode_to_numpy(text_.as_py(), disallowed_special=()), np.uint32(end_id)).astype("<u4")
+                ids = np.append(encoding.encode_to_numpy(text_.as_py(), allowed_special="all"), np.uint32(end_id)).astype("<u4")
                 for start in range(0, len(ids), capacity):
                     part = ids[start : start + capacity]
                     of.append(i)
@@ -217,10 +217,14 @@ def pack(
     slack: int = 4,
     text: str = "text",
     keep: list[str] | None = None,
+    added: dict[str, int] | None = None,
 ) -> DataFrame:
-    """Per piece: ``keep`` (all columns by default, in ``row_``), start, length, doc_tokens, ids, ids_crc32, sequence_id, offset."""
+    """Per piece: ``keep`` (all columns by default, in ``row_``), start, length, doc_tokens, ids, ids_crc32, sequence_id, offset.
+
+    ``added`` has the tokens that are found in texts before the pattern splits them, with their ids.
+    """
     keep = docs.columns if keep is None else keep
-    cut = save(pieces(docs, vocabulary, pattern, capacity, end_id, text, keep), "pieces")
+    cut = save(pieces(docs, vocabulary, pattern, capacity, end_id, text, keep, added or {}), "pieces")
     counts = save(cut.groupBy("length", "chunk").agg(F.count(F.lit(1)).alias("n")), "piece_counts")
     rows = counts.filter(F.col("length") < capacity).groupBy("length").agg(F.sum("n").alias("n")).collect()
     layout = plan({r["length"]: r["n"] for r in rows}, capacity, slack)

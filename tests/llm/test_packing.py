@@ -79,3 +79,17 @@ def test_column_generation_reaches_the_bound():
     patterns, use = packing.column_generation(sizes, demand, 100, gap=1e-9)
     assert np.allclose(use @ patterns, demand)
     assert abs(use.sum() - (60 + (80 * 45 - 0) / 90 + 40 / 3)) < 1e-6
+
+
+def test_added_tokens_are_found_in_texts(spark):
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"a document {end} the next", end, f"{end}{end} x", f"it's{end}'s  {end}  \n{end}", "<|endoftext| > <|endoftext|", f"<|endo{end}ftext|>", f"漢{end}字 " * 900]
+    got = packed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for doc, text in enumerate(texts):
+        ids = np.array([*lib.encode(text, add_special_tokens=False).ids, 0], dtype="<u4")
+        of_doc = [r for r in got if r["doc_id"] == doc]
+        assert sum(r["length"] for r in of_doc) == len(ids)
+        for r in of_doc:
+            assert r["doc_tokens"] == len(ids)
+            assert r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes())
