@@ -10,8 +10,9 @@
    documents whose distance lies within the threshold of the split go to both sides (triangle inequality). What a
    split cannot divide is compared pivot by pivot until all are linked or none is left.
 4. Larger regions are split by Spark: several pivots make Voronoi cells; a document also goes to cells whose pivot is nearer
-   than its own plus twice the threshold; documents linked to the pivot of a cell need no more comparing with each other and
-   stay only as partners, in the window of distances that open documents can reach. Cells go through this again.
+   than its own plus twice the threshold; documents linked to the same pivot need no more comparing with each other and
+   stay only as partners, in the window of distances that open documents, or those linked to another pivot, can reach. Cells
+   go through this again.
    Regions that do not divide are cut into blocks that are compared pairwise, each pair of blocks in its own group.
 5. Links (spanning each component) are resolved to components.
 
@@ -28,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing
@@ -163,18 +164,24 @@ def _joined(regions: DataFrame, keys: list[str], percent: int) -> DataFrame:
 
 
 def _split(region: DataFrame, level: int, options: Options) -> tuple[DataFrame, DataFrame]:
-    """(links, cells): one Voronoi level of the large regions ``region`` (region, node, n, open, set)."""
+    """(links, cells): one Voronoi level of the large regions ``region`` (region, node, n, by, set); ``by`` is the pivot that a
+    document was linked to last on the way to its region, or null: only documents linked to one pivot are settled with each other.
+
+    Pivots are open documents, or any where all are linked.
+    """
     salted = F.xxhash64("node", F.lit(level))
-    chosen = region.filter("open").groupBy("region", F.pmod(salted, F.lit(options.pivots)).alias("slot")).agg(F.min(F.struct(salted.alias("h"), "node")).alias("p"))
+    first = F.min(F.struct(F.col("by").isNotNull().alias("closed"), salted.alias("h"), "node"))
+    chosen = region.groupBy("region", F.pmod(salted, F.lit(options.pivots)).alias("slot")).agg(first.alias("p"))
+    chosen = chosen.withColumn("none_open", F.min("p.closed").over(Window.partitionBy("region"))).filter("p.closed = none_open")
     chosen = chosen.select("region", F.col("p.node").alias("node")).join(region.select("region", "node", "set"), ["region", "node"])
     chosen = chosen.groupBy("region").agg(F.sort_array(F.collect_list(F.struct("node", "set"))).alias("pivots"))
-    rows = region.join(chosen, "region").select("region", "node", "n", "open", "set", "pivots")
+    rows = region.join(chosen, "region").select("region", "node", "n", "by", "set", "pivots")
     percent, reach = options.percent, 1 - options.percent / 100
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for region_, node, n, open_, set_, pivots in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
+            for region_, node, n, by, set_, pivots in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
                 own, distance, linked = _array(set_), [], []
                 for p in pivots:
                     other = _array(p["set"])
@@ -188,18 +195,21 @@ def _split(region: DataFrame, level: int, options: Options) -> tuple[DataFrame,
                 home = min(distance)
                 for p, d, hit in zip(pivots, distance, linked):
                     if d <= home + 2 * reach + 1e-9:
-                        out.append((region_, node, p["node"], n, d, open_ and not hit, hit))
+                        out.append((region_, node, p["node"], n, d, p["node"] if hit else by, hit))
                     elif hit:
                         out.append((region_, node, p["node"], None, None, None, True))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["region", "node", "pivot", "n", "d", "open", "hit"])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["region", "node", "pivot", "n", "d", "by", "hit"])
 
-    placed = save(rows.mapInArrow(run, "region long, node long, pivot long, n long, d double, open boolean, hit boolean"), "cells")
+    placed = save(rows.mapInArrow(run, "region long, node long, pivot long, n long, d double, by long, hit boolean"), "cells")
     links = placed.filter("hit").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     cells = placed.filter("n is not null").withColumn("cell", F.xxhash64("region", "pivot", F.lit(level)))
-    spread = cells.filter("open").groupBy("cell").agg(F.min("d").alias("low"), F.max("d").alias("high"))
-    inside = F.col("d").between(F.col("low") - reach - 1e-9, F.col("high") + reach + 1e-9)
-    cells = cells.join(spread, "cell").filter(inside).select(F.col("cell").alias("region"), "node", "n", "open")
+    # A cell has no more different pivots in ``by`` than there were levels.
+    spread = cells.groupBy("cell", "by").agg(F.min("d").alias("low"), F.max("d").alias("high"))
+    spread = spread.groupBy("cell").agg(F.collect_list(F.struct("by", "low", "high")).alias("spread"))
+    unsettled = lambda s: s["by"].isNull() | F.col("by").isNull() | (s["by"] != F.col("by"))
+    inside = F.exists("spread", lambda s: unsettled(s) & F.col("d").between(s["low"] - reach - 1e-9, s["high"] + reach + 1e-9))
+    cells = cells.join(spread, "cell").filter(inside).select(F.col("cell").alias("region"), "node", "n", "by")
     return links, cells
 
 
@@ -217,7 +227,7 @@ def _region_links(members: DataFrame, sets: DataFrame, options: Options) -> Data
     """Links within regions (region, node, n): small ones in a task, large ones split first."""
     spark = members.sparkSession
     links = spark.createDataFrame([], "a long, b long")
-    members = members.withColumn("open", F.lit(True))
+    members = members.withColumn("by", F.lit(None).cast("long"))
     for level in range(options.levels + 1):
         sized = members.groupBy("region").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("count"))
         sized = save(sized.filter("count > 1"), "region_sizes")

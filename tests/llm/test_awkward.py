@@ -214,6 +214,27 @@ def test_jaccard(spark, options):
     assert sorted(map(tuple, got), key=repr) == sorted(brute_components(rows), key=repr)
 
 
+@pytest.mark.parametrize("pivots", [1, 2])
+def test_jaccard_of_touching_groups_split_twice(spark, pivots):
+    # Two groups that one pair links; all of a group are near its pivots, none of which is near the other group.
+    shared, only = list(range(82)), [list(range(100, 112)), list(range(200, 212))]
+    sets = [shared + only[g] + [1000 * (g + 1) + 3 * k + x for x in range(3)] for g in (0, 1) for k in range(20)]
+    sets += [shared + only[0][:6], shared + only[1][:6]]
+    near = lambda i, j: 100 * len({*sets[i]} & {*sets[j]}) >= 80 * len({*sets[i]} | {*sets[j]})
+    groups = [*range(20), 40], [*range(20, 40), 41]
+    assert all(near(i, j) for g in groups for i in g for j in g)
+    assert [(i, j) for i in groups[0] for j in groups[1] if near(i, j)] == [(40, 41)]
+    rows = [(i, len(x), bytearray(b"".join(w.to_bytes(8, "little") for w in x))) for i, x in enumerate(sets)]
+    table = spark.createDataFrame(rows, "node long, n long, set binary").repartition(3).cache()
+    options = jaccard.Options(region_shingles=300, block_shingles=300, pivots=pivots)
+    links = jaccard._region_links(table.select(F.lit(7).cast("long").alias("region"), "node", "n"), table, options).collect()
+    assert all(near(a, b) for a, b in links)
+    root = list(range(len(sets)))
+    for a, b in links:
+        root = [root[a] if r == root[b] else r for r in root]
+    assert len(set(root)) == 1
+
+
 def test_jaccard_keeps_one_of_each_group(spark):
     text = " ".join(f"w{i}" for i in range(50))
     out = jaccard.linked(docs(spark, [(3, text), (2, text), (2, text), (None, text), (5, None), (5, None)])).select("row_.doc_id", "kept").collect()
