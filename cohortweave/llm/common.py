@@ -37,6 +37,23 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+FIRST_ID = -(2**63)
+
+
+def document_keys(docs: DataFrame, text: str, doc_id: str) -> list[Column]:
+    """(id_, sub_), which tell documents apart and order them; a null id comes first.
+
+    Rows of one id and one text are one document. Different texts of one id differ in ``sub_``, a hash of the text. A null id
+    names no document: there ``sub_`` is a hash of the whole row, so that only identical rows are one. Without ids of several texts
+    ``sub_`` is 0 for all rows with an id.
+    """
+    key, content = F.col(f"`{doc_id}`").cast("long"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    several = docs.select(key.alias("id_"), content.alias("c")).filter("id_ is not null").groupBy("id_").agg((F.min("c") != F.max("c")).alias("several"))
+    own = F.lit(0).cast("long") if several.filter("several").isEmpty() else content
+    whole = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
+    return [F.coalesce(key, F.lit(FIRST_ID)).alias("id_"), F.when(key.isNull(), whole).otherwise(own).alias("sub_")]
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` as one struct ``row_``, so that no column of the caller can clash with one of ours."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"))

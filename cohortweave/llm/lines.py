@@ -12,7 +12,8 @@ A line is the set of its words; two lines match at a Jaccard similarity of ``per
    candidates, get all of them verified. So a group of copies costs a few pairs per line, and no match is lost.
 
 Defined cases: no text has one empty line; lines with fewer than ``least_words`` different words are neither compared nor removed; rows with the same
-id are one document (a line is not earlier than itself); a null id comes before all others; an empty table gives an empty
+id and text are one document (a line is not earlier than itself), different texts of one id and rows without an id are documents of their own
+(``document_keys``); a null id comes before all others; an empty table gives an empty
 result; columns of the caller are carried in a struct.
 """
 
@@ -28,10 +29,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import hashing
-from .common import broadcast_measured, save
+from .common import broadcast_measured, document_keys, save
 from .sketch import Counter, levels, merged
 
-FIRST_ID = -(2**63)
 #: Slots of a row of the word sketch, a byte each, whatever the corpus.
 WORD_SLOTS = 1 << 22
 BUCKET = 1_000_000
@@ -41,9 +41,12 @@ AT_ONCE = 4
 #: Pairs held at a time inside a bucket.
 PAIRS = 4_000_000
 
+#: Columns that name a line, and the earlier line of a pair.
+LINE, EARLIER = ["id_", "sub_", "line"], ["id2", "sub2", "line2"]
+
 #: Marks, in the size of an entry, a line whose candidates are all wanted.
 OPEN = np.uint32(1 << 31)
-ENTRY = np.dtype([("key", "<u8"), ("doc", "<i8"), ("line", "<u4"), ("size", "<u4"), ("at", "<u4"), ("s0", "<u8"), ("s1", "<u8")])
+ENTRY = np.dtype([("key", "<u8"), ("doc", "<i8"), ("sub", "<i8"), ("line", "<u4"), ("size", "<u4"), ("at", "<u4"), ("s0", "<u8"), ("s1", "<u8")])
 
 
 @dataclass(frozen=True)
@@ -81,16 +84,16 @@ def overlap(sizes, percent: int):
     return -(-percent * sizes // (100 + percent))
 
 
-LINES = "id_ long, line long, size long, h long, g long, body binary"
+LINES = "id_ long, sub_ long, line long, size long, h long, g long, body binary"
 
 
 def written_lines(source: DataFrame, least: int) -> tuple[DataFrame, np.ndarray]:
-    """(id_, line, size, h, g, body) of every line with enough different words, and the sketch of their words.
+    """(id_, sub_, line, size, h, g, body) of every line with enough different words, and the sketch of their words.
 
     Both come from one pass: tasks write their lines and their counters into one table.
     """
     names = [f.split()[0] for f in f"{LINES}, {Counter.SCHEMA}".split(", ")]
-    kinds = [pa.int64()] * 5 + [pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+    kinds = [pa.int64()] * 6 + [pa.binary(), pa.int64(), pa.binary(), pa.binary()]
 
     def row_batch(columns: list[pa.Array], first: int) -> pa.RecordBatch:
         n = len(columns[0])
@@ -99,7 +102,7 @@ def written_lines(source: DataFrame, least: int) -> tuple[DataFrame, np.ndarray]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(WORD_SLOTS)
         for batch in batches:
-            ids, places, bodies = [], [], []
+            ids, subs, places, bodies = [], [], [], []
 
             def flush() -> Iterator[pa.RecordBatch]:
                 line, word = line_sets(bodies)
@@ -107,30 +110,31 @@ def written_lines(source: DataFrame, least: int) -> tuple[DataFrame, np.ndarray]
                 h = summed(hashing.mixed(word), line, len(bodies))
                 g = summed(hashing.mixed(word ^ np.uint64(hashing.BASES[1])), line, len(bodies))
                 use = np.flatnonzero(sizes >= least)
-                columns = [pa.array(np.array(x, dtype=np.int64)[use]) for x in (ids, places)]
+                columns = [pa.array(np.array(x, dtype=np.int64)[use]) for x in (ids, subs, places)]
                 columns += [pa.array(x[use].view(np.int64)) for x in (sizes.astype(np.int64), h, g)]
                 yield row_batch([*columns, pa.array([bodies[i] for i in use], pa.binary())], 0)
                 for columns in counter.add(word):
-                    yield row_batch(columns, 6)
+                    yield row_batch(columns, 7)
 
             held = 0
-            for id_, text in zip(batch.column("id_").to_pylist(), batch.column("text_").cast(pa.binary()).to_pylist()):
+            for id_, sub, text in zip(batch.column("id_").to_pylist(), batch.column("sub_").to_pylist(), batch.column("text_").cast(pa.binary()).to_pylist()):
                 for place, body in enumerate(text.split(b"\n")):
                     if body:
                         ids.append(id_)
+                        subs.append(sub)
                         places.append(place)
                         bodies.append(body)
                         held += len(body)
                 if held > 4 << 20:
                     yield from flush()
-                    ids, places, bodies, held = [], [], [], 0
+                    ids, subs, places, bodies, held = [], [], [], [], 0
             if bodies:
                 yield from flush()
         for columns in counter.flush():
-            yield row_batch(columns, 6)
+            yield row_batch(columns, 7)
 
     both = save(source.mapInArrow(run, f"{LINES}, {Counter.SCHEMA}"), "lines")
-    return both.filter("block is null").select(*names[:6]), merged(both.filter("block is not null"), WORD_SLOTS, "levels")
+    return both.filter("block is null").select(*names[:7]), merged(both.filter("block is not null"), WORD_SLOTS, "levels")
 
 
 def _postings(lines: DataFrame, rarity, buckets: int, options: Options) -> DataFrame:
@@ -152,7 +156,7 @@ def _postings(lines: DataFrame, rarity, buckets: int, options: Options) -> DataF
             bodies = batch.column("body").to_pylist()
             for first in range(0, len(bodies), 4000):
                 part = bodies[first : first + 4000]
-                ids, places, open_ = (batch.column(c).to_numpy(zero_copy_only=False)[first : first + 4000] for c in ("id_", "line", "open"))
+                ids, subs, places, open_ = (batch.column(c).to_numpy(zero_copy_only=False)[first : first + 4000] for c in ("id_", "sub_", "line", "open"))
                 line, word = line_sets(part)
                 level = levels(rarity.value, word)
                 sizes = np.bincount(line, minlength=len(part))
@@ -166,7 +170,7 @@ def _postings(lines: DataFrame, rarity, buckets: int, options: Options) -> DataF
                 entry = np.empty(int(use.sum()), dtype=ENTRY)
                 line = line[use]
                 entry["key"], entry["at"] = hashing.mixed(word[use]), at[use]
-                entry["doc"], entry["line"], entry["size"] = ids[line], places[line], sizes[line]
+                entry["doc"], entry["sub"], entry["line"], entry["size"] = ids[line], subs[line], places[line], sizes[line]
                 entry["size"] |= np.where(open_.astype(bool)[line], OPEN, np.uint32(0))
                 entry["s0"], entry["s1"] = s0[line], s1[line]
                 held.append(entry)
@@ -196,7 +200,7 @@ def _pairs_of(e: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndar
         must = overlap(a + b, percent)
         reach = 1 + np.minimum(a - e["at"][i], b - e["at"][j]) - 1
         differ = np.bitwise_count(e["s0"][i] ^ e["s0"][j]).astype(np.int64) + np.bitwise_count(e["s1"][i] ^ e["s1"][j])
-        ok = (reach >= must) & (differ <= a + b - 2 * must) & ((e["doc"][i] != e["doc"][j]) | (e["line"][i] != e["line"][j]))
+        ok = (reach >= must) & (differ <= a + b - 2 * must) & ((e["doc"][i] != e["doc"][j]) | (e["sub"][i] != e["sub"][j]) | (e["line"][i] != e["line"][j]))
         if ok.any():
             out.append((i[ok], j[ok], differ[ok]))
             held += int(ok.sum())
@@ -218,31 +222,32 @@ def _candidates(postings: DataFrame, options: Options, closest: bool) -> DataFra
             e = np.concatenate(held)
             wanted = e["size"] >= OPEN
             e["size"] &= OPEN - np.uint32(1)
-            order = np.lexsort((e["line"], e["doc"], e["size"], e["key"]))
+            order = np.lexsort((e["line"], e["sub"], e["doc"], e["size"], e["key"]))
             e, wanted = e[order], wanted[order]
             for i, j, differ in _pairs_of(e, options.percent):
-                first = (e["doc"][i] < e["doc"][j]) | ((e["doc"][i] == e["doc"][j]) & (e["line"][i] < e["line"][j]))
+                first = (e["sub"][i] < e["sub"][j]) | ((e["sub"][i] == e["sub"][j]) & (e["line"][i] < e["line"][j]))
+                first = (e["doc"][i] < e["doc"][j]) | ((e["doc"][i] == e["doc"][j]) & first)
                 early, late = np.where(first, i, j), np.where(first, j, i)
                 if not closest:
                     early, late, differ = (x[wanted[late]] for x in (early, late, differ))
                     if not len(late):
                         continue
-                order = np.lexsort((e["line"][early], e["doc"][early], differ, e["line"][late], e["doc"][late]))
+                order = np.lexsort((e["line"][early], e["sub"][early], e["doc"][early], differ, e["line"][late], e["sub"][late], e["doc"][late]))
                 early, late, differ = early[order], late[order], differ[order]
-                keys = [e["doc"][late], e["line"][late], e["doc"][early], e["line"][early]]
+                keys = [e[f][x] for x in (late, early) for f in ("doc", "sub", "line")]
                 same = np.append(False, np.logical_and.reduce([k[1:] == k[:-1] for k in keys]))
                 early, late, differ = early[~same], late[~same], differ[~same]
                 more = np.zeros(len(late), dtype=bool)
                 if closest:
-                    new = np.append(True, (e["doc"][late][1:] != e["doc"][late][:-1]) | (e["line"][late][1:] != e["line"][late][:-1]))
+                    new = np.append(True, np.logical_or.reduce([e[f][late][1:] != e[f][late][:-1] for f in ("doc", "sub", "line")]))
                     starts = np.flatnonzero(new)
                     counts = np.diff(np.append(starts, len(late)))
                     near = np.arange(len(late)) - np.repeat(starts, counts) < AT_ONCE
                     more = (np.repeat(counts, counts) > AT_ONCE)[near]
                     early, late, differ = early[near], late[near], differ[near]
-                columns = [e["doc"][late], e["line"][late].astype(np.int64), e["doc"][early], e["line"][early].astype(np.int64), differ, more]
+                columns = [*[e[f][x].astype(np.int64) for x in (late, early) for f in ("doc", "sub", "line")], differ, more]
                 for k in range(0, len(late), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in columns], ["id_", "line", "id2", "line2", "differ", "more"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in columns], [*LINE, *EARLIER, "differ", "more"])
 
         for batch in batches:
             for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist()):
@@ -260,16 +265,16 @@ def _candidates(postings: DataFrame, options: Options, closest: bool) -> DataFra
             yield from closed()
 
     grouped = postings.repartition("bucket").sortWithinPartitions("bucket")
-    return grouped.mapInArrow(run, "id_ long, line long, id2 long, line2 long, differ long, more boolean")
+    return grouped.mapInArrow(run, "id_ long, sub_ long, line long, id2 long, sub2 long, line2 long, differ long, more boolean")
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, options: Options) -> DataFrame:
     """Pairs with ``match``: whether the lines' words are similar enough."""
-    needed = pairs.select("id_", "line").unionByName(pairs.select(F.col("id2").alias("id_"), F.col("line2").alias("line"))).distinct()
-    bodies = lines.select("id_", "line", "body").join(broadcast_measured(save(needed, "needed_lines")), ["id_", "line"], "left_semi")
+    needed = pairs.select(*LINE).unionByName(pairs.select(*[F.col(b).alias(a) for a, b in zip(LINE, EARLIER)])).distinct()
+    bodies = lines.select(*LINE, "body").join(broadcast_measured(save(needed, "needed_lines")), LINE, "left_semi")
     bodies = save(bodies, "needed_bodies")
-    both = pairs.join(bodies.withColumnRenamed("body", "x"), ["id_", "line"]).join(
-        bodies.select(F.col("id_").alias("id2"), F.col("line").alias("line2"), F.col("body").alias("y")), ["id2", "line2"]
+    both = pairs.join(bodies.withColumnRenamed("body", "x"), LINE).join(
+        bodies.select(*[F.col(a).alias(b) for a, b in zip(LINE, EARLIER)], F.col("body").alias("y")), EARLIER
     )
     kept = [c for c in both.columns if c not in ("x", "y")]
 
@@ -286,43 +291,43 @@ def _verified(pairs: DataFrame, lines: DataFrame, options: Options) -> DataFrame
 
 
 def repeats(source: DataFrame, options: Options = Options()) -> DataFrame:
-    """(id_, line) of every line to remove; ``source`` has id_ and text_."""
+    """(id_, sub_, line) of every line to remove; ``source`` has id_, sub_ and text_."""
     lines, rows = written_lines(source, options.least_words)
     rarity = source.sparkSession.sparkContext.broadcast(rows)
-    place = F.struct("id_", "line")
+    place = F.struct(*LINE)
     firsts = lines.groupBy("h", "g", "size").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
-    equal = lines.select("id_", "line", "h", "g", "size").join(broadcast_measured(save(firsts.drop("last"), "equal_lines")), ["h", "g", "size"])
-    equal = save(equal.filter(place > F.col("first")).select("id_", "line"), "repeated_lines")
-    chosen = lines.select("id_", "line", "size", "body").join(broadcast_measured(equal.distinct()), ["id_", "line"], "left_anti")
+    equal = lines.select(*LINE, "h", "g", "size").join(broadcast_measured(save(firsts.drop("last"), "equal_lines")), ["h", "g", "size"])
+    equal = save(equal.filter(place > F.col("first")).select(*LINE), "repeated_lines")
+    chosen = lines.select(*LINE, "size", "body").join(broadcast_measured(equal.distinct()), LINE, "left_anti")
     total = lines.agg(F.sum("size")).first()[0] or 0
     buckets = max(64, total // 5 // BUCKET)
     close = _candidates(_postings(chosen.withColumn("open", F.lit(False)), rarity, buckets, options), options, closest=True)
-    best = close.groupBy("id_", "line", "id2", "line2").agg(F.max("more").alias("more"))
+    best = close.groupBy(*LINE, *EARLIER).agg(F.max("more").alias("more"))
     best = save(best, "closest_lines")
     tested = save(_verified(best, lines, options), "tested_lines")
-    removed = equal.unionByName(tested.filter("match").select("id_", "line"))
-    open_ = tested.groupBy("id_", "line").agg(F.max("match").alias("settled"), F.max("more").alias("more"))
-    open_ = save(open_.filter("not settled and more").select("id_", "line"), "open_lines")
+    removed = equal.unionByName(tested.filter("match").select(*LINE))
+    open_ = tested.groupBy(*LINE).agg(F.max("match").alias("settled"), F.max("more").alias("more"))
+    open_ = save(open_.filter("not settled and more").select(*LINE), "open_lines")
     if not open_.isEmpty():
         # Only lines of sizes that an open line can match take part, and only its pairs are emitted.
         reach = F.sequence(F.ceil(F.col("size") * options.percent / 100), F.floor(F.col("size") * 100 / options.percent))
-        sizes = chosen.join(broadcast_measured(open_), ["id_", "line"], "left_semi").select(F.explode(reach).alias("size")).distinct()
+        sizes = chosen.join(broadcast_measured(open_), LINE, "left_semi").select(F.explode(reach).alias("size")).distinct()
         again = chosen.join(broadcast_measured(save(sizes, "open_sizes")), "size", "left_semi")
-        again = again.join(broadcast_measured(open_.withColumn("open", F.lit(True))), ["id_", "line"], "left").fillna(False, ["open"])
-        rest = _candidates(_postings(again, rarity, buckets, options), options, closest=False).select("id_", "line", "id2", "line2")
-        rest = save(rest.distinct().join(tested.select("id_", "line", "id2", "line2"), ["id_", "line", "id2", "line2"], "left_anti"), "further_lines")
-        removed = removed.unionByName(_verified(rest, lines, options).filter("match").select("id_", "line"))
+        again = again.join(broadcast_measured(open_.withColumn("open", F.lit(True))), LINE, "left").fillna(False, ["open"])
+        rest = _candidates(_postings(again, rarity, buckets, options), options, closest=False).select(*LINE, *EARLIER)
+        rest = save(rest.distinct().join(tested.select(*LINE, *EARLIER), [*LINE, *EARLIER], "left_anti"), "further_lines")
+        removed = removed.unionByName(_verified(rest, lines, options).filter("match").select(*LINE))
     return save(removed.distinct(), "removed_lines")
 
 
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None, options: Options = Options()) -> DataFrame:
     """``row_`` (columns ``keep``, all by default), n_lines, n_removed, and ``kept_``: the lines left (null text stays null)."""
     keep = docs.columns if keep is None else keep
-    key = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(FIRST_ID)).alias("id_")
-    gone = repeats(docs.select(key, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text_")), options)
-    gone = gone.groupBy("id_").agg(F.sort_array(F.collect_list("line")).alias("gone_"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row_"), key, F.col(f"`{text}`").alias("text_"))
-    joined = rows.join(broadcast_measured(save(gone, "removed_by_document")), "id_", "left").select("row_", "text_", "gone_")
+    key = document_keys(docs, text, doc_id)
+    gone = repeats(docs.select(*key, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text_")), options)
+    gone = gone.groupBy("id_", "sub_").agg(F.sort_array(F.collect_list("line")).alias("gone_"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row_"), *key, F.col(f"`{text}`").alias("text_"))
+    joined = rows.join(broadcast_measured(save(gone, "removed_by_document")), ["id_", "sub_"], "left").select("row_", "text_", "gone_")
     schema = T.StructType([joined.schema["row_"], *[T.StructField(n, T.LongType()) for n in ("n_lines", "n_removed")], T.StructField("kept_", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

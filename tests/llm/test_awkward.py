@@ -168,6 +168,27 @@ def test_lines_of_repeated_rows_and_empty_tables(spark):
     assert lines.deduplicated(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("same_id", [None, 5])
+def test_rows_without_an_id_or_of_one_id_are_told_apart(spark, same_id):
+    rng = random.Random(7)
+    copied = text_of(rng, 25, 10**6)
+    heads = [text_of(rng, 12, 10**6) for _ in range(4)]
+    # The second line repeats in all, at one place; the first of one text repeats in no other text of the id.
+    rows = [(same_id, f"{h}\n{copied}") for h in heads] + [(9, heads[0])]
+    got = lines.deduplicated(docs(spark, rows).repartition(3)).select("row_.text", "row_.doc_id", "kept_").collect()
+    assert sorted(len(r["kept_"].split("\n")) for r in got if r["doc_id"] == same_id) == [1, 1, 1, 2]
+    assert all(r["kept_"].split("\n")[0] == r["text"].split("\n")[0] for r in got if r["doc_id"] == same_id)
+    assert [r["kept_"] for r in got if r["doc_id"] == 9] == [""]
+    got = substring.deduplicated(docs(spark, rows).repartition(3)).select("row_.doc_id", "n_removed").collect()
+    assert sorted(r["n_removed"] for r in got if r["doc_id"] == same_id) == [0, 25, 25, 25]
+    # Without an id, copies in rows that differ elsewhere are copies; identical rows are one.
+    whole = [(None, copied, s) for s in ("s", "s", "t")]
+    got = lines.deduplicated(docs(spark, whole)).select("n_removed").collect()
+    assert sorted(r[0] for r in got) in ([0, 0, 1], [0, 1, 1])
+    got = substring.deduplicated(docs(spark, whole)).select("n_removed").collect()
+    assert sorted(r[0] for r in got) in ([0, 0, 25], [0, 25, 25])
+
+
 # n-gram Jaccard join
 
 
