@@ -74,12 +74,21 @@ def _newton(x: np.ndarray, y: np.ndarray, tol: float = 1e-10, steps: int = 100)
 
 
 def bounded(frame: DataFrame, max_rows: int) -> DataFrame:
-    """At most ``max_rows`` labelled rows per session: a fixed sample, the first by a hash of their key.
+    """At most ``max_rows`` labelled rows per session: a fixed sample, the first of each class by a hash of their key.
 
-    Only what a classifier is fitted to and evaluated on is bounded, and reported as ``n_train``; cohorts are scored whole.
+    A class keeps half of the rows, and what the other leaves of its half. Only what a classifier is fitted to is bounded, and
+    reported as ``n_train``; cohorts are scored whole.
     """
-    w = Window.partitionBy(SID).orderBy(seeded_order(0, F.col("pk")), "pk")
-    return frame.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= max_rows).drop("_nth")
+    return _sampled(frame, max_rows).where("_fit").drop("_fit")
+
+
+def _sampled(frame: DataFrame, max_rows: int) -> DataFrame:
+    """``frame`` with ``_fit``: whether a row is in the sample that classifiers are fitted to."""
+    sizes = frame.groupBy(SID).agg(F.count("*").alias("_all"), F.count_if(F.col("label") == 1).alias("_keep"))
+    placed = prefix(frame, [SID, "label"], [seeded_order(0, F.col("pk")).asc(), F.col("pk").asc()], rank="_nth")
+    other = F.when(F.col("label") == 1, F.col("_all") - F.col("_keep")).otherwise(F.col("_keep"))
+    fit = F.col("_nth") <= F.greatest(F.lit(max_rows // 2), F.lit(max_rows) - other)
+    return placed.join(broadcast_if_small(sizes), SID).withColumn("_fit", fit).drop("_all", "_keep", "_nth")
 
 
 def train(frame: DataFrame, max_rows: int = ApplyParams().max_fit_rows) -> DataFrame:
@@ -119,7 +128,7 @@ def kfold_assign(frame: DataFrame, n_splits: int, n_repeats: int, seed: int) ->
 
 
 def kfold_pool(frame: DataFrame, p: ApplyParams = ApplyParams()) -> DataFrame:
-    """Held-out predictions: (session_id, rep, fold, pk, label, p_keep), every row once per repeat.
+    """Held-out predictions: (session_id, rep, fold, pk, label, p_keep), every row of the bounded sample once per repeat.
 
     Repeats run side by side, with the folds of one inside its task; a fold whose
     training part has one class only is skipped.
@@ -145,6 +154,30 @@ def kfold_pool(frame: DataFrame, p: ApplyParams = ApplyParams()) -> DataFrame:
     return assigned.groupBy(SID, "rep").applyInPandas(folds, schema)
 
 
+def held_out_pool(frame: DataFrame, p: ApplyParams = ApplyParams()) -> DataFrame:
+    """As ``kfold_pool``, but every labelled row is scored once per repeat: only the rows that a fold is fitted to are bounded."""
+    sid = dict(frame.dtypes)[SID]
+    rows = _sampled(frame.select(SID, "pk", "label", "features"), p.max_fit_rows)
+    assigned = kfold_assign(rows, p.n_splits, p.n_repeats, p.seed)
+    schema = f"{SID} {sid}, rep int, fold int, coef array<double>, intercept double"
+
+    def fits(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pk")
+        y, fold = pdf["label"].to_numpy(), pdf["fold"].to_numpy()
+        x = np.vstack(pdf["features"].to_list())
+        out = []
+        for k in range(p.n_splits):
+            if len(set(y[fold != k])) == 2:
+                w = _newton(x[fold != k], y[fold != k])
+                out.append((pdf[SID].iloc[0], pdf["rep"].iloc[0], k, w[:-1].tolist(), w[-1]))
+        return pd.DataFrame(out, columns=[SID, "rep", "fold", "coef", "intercept"])
+
+    models = assigned.where("_fit").select(SID, "rep", "fold", "pk", "label", "features").groupBy(SID, "rep").applyInPandas(fits, schema)
+    scored = assigned.join(broadcast_if_small(models), [SID, "rep", "fold"])
+    p_keep = vectors.logistic(F.col("features"), F.col("coef"), F.col("intercept"))
+    return scored.select(SID, "rep", "fold", "pk", "label", p_keep.alias("p_keep"))
+
+
 def require_balance(frame: DataFrame, n_splits: int) -> DataFrame:
     """Class counts per session; ``enough`` means each class reaches the number of folds."""
     per = frame.groupBy(SID).agg(

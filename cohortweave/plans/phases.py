@@ -164,7 +164,7 @@ def apply_train(verdicts: DataFrame, corpus: DataFrame, p: ApplyParams = ApplyPa
     if thin:
         raise ValueError(f"too few rows of one class for {p.n_splits} folds: sessions {[r[SID] for r in thin]}")
     models = cut(modelling.train(frame, p.max_fit_rows).join(broadcast_if_small(scaler), SID))
-    pool = cut(modelling.kfold_pool(frame, p))
+    pool = cut(modelling.held_out_pool(frame, p))
     metrics = evaluation.evaluate(pool, p.confidence_threshold, p.min_precision)
     return Applied(frame, scaler, models, pool, metrics)
 

@@ -145,6 +145,19 @@ def test_training_rows_are_bounded_by_a_fixed_sample(spark):
     assert md.kfold_pool(frame, ApplyParams(n_splits=2, n_repeats=1, max_fit_rows=80)).count() == 80
 
 
+def test_every_labelled_row_is_held_out_once_per_repeat(spark):
+    rare = gaussians(spark).where("label = 1 OR pk < 12")
+    p = ApplyParams(n_splits=2, n_repeats=2, max_fit_rows=20)
+    pool = md.held_out_pool(rare, p).cache()
+    assert pool.count() == 2 * 106 and pool.select("rep", "pk").distinct().count() == 2 * 106
+    assert pool.where("(label = 1) <> (p_keep > 0.5)").count() == 0
+    fitted = md.train(rare, max_rows=20).first()
+    assert (fitted["n_keep"], fitted["n_drop"]) == (14, 6)
+    p = ApplyParams(n_splits=3, n_repeats=1)
+    got, want = ({r["pk"]: r["p_keep"] for r in f(rare, p).collect()} for f in (md.held_out_pool, md.kfold_pool))
+    assert got.keys() == want.keys() and all(abs(want[i] - got[i]) < 1e-9 for i in want)
+
+
 def test_kfold_pool(spark):
     frame = gaussians(spark)
     p = ApplyParams(n_splits=5, n_repeats=2)
