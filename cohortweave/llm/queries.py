@@ -16,6 +16,8 @@ MODULES = (
     "warc_query",
     "jaccard_query",
     "quality_query",
+    "exact_query",
+    "middle_query",
 )
 
 
