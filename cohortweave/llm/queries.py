@@ -18,6 +18,7 @@ MODULES = (
     "quality_query",
     "exact_query",
     "middle_query",
+    "collocation_query",
 )
 
 
