@@ -1,20 +1,14 @@
-"""Features, the logistic classifier, its repeated k-fold pool and scoring."""
+"""Features of labelled and cohort rows, scoring with a classifier, and the checks around it."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..functions.text import seeded_order
-from ..params import ApplyParams
 from ..session import broadcast_if_small, narrowed
-from .ordering import prefix
 
 SID = "session_id"
-# A training set up to this many rows is fitted inside one task.
 
 
 def fit_scaler(frame: DataFrame) -> DataFrame:
@@ -56,128 +50,6 @@ def feature_frame(rows: DataFrame, scaler: DataFrame) -> DataFrame:
     )
 
 
-def _newton(x: np.ndarray, y: np.ndarray, tol: float = 1e-10, steps: int = 100) -> np.ndarray:
-    """Balanced, L2-penalised logistic regression; the intercept (last weight) is penalised too."""
-    n = len(y)
-    x = np.hstack([x, np.ones((n, 1))])
-    share = np.where(y == 1, n / (2.0 * max(1, y.sum())), n / (2.0 * max(1, n - y.sum())))
-    w = np.zeros(x.shape[1])
-    for _ in range(steps):
-        p = 1.0 / (1.0 + np.exp(-(x @ w)))
-        grad = x.T @ (share * (p - y)) + w
-        hess = (x * (share * p * (1.0 - p))[:, None]).T @ x + np.eye(len(w))
-        step = np.linalg.solve(hess, grad)
-        w = w - step
-        if np.abs(step).max() < tol:
-            break
-    return w
-
-
-def bounded(frame: DataFrame, max_rows: int) -> DataFrame:
-    """At most ``max_rows`` labelled rows per session: a fixed sample, the first of each class by a hash of their key.
-
-    A class keeps half of the rows, and what the other leaves of its half. Only what a classifier is fitted to is bounded, and
-    reported as ``n_train``; cohorts are scored whole.
-    """
-    return _sampled(frame, max_rows).where("_fit").drop("_fit")
-
-
-def _sampled(frame: DataFrame, max_rows: int) -> DataFrame:
-    """``frame`` with ``_fit``: whether a row is in the sample that classifiers are fitted to."""
-    sizes = frame.groupBy(SID).agg(F.count("*").alias("_all"), F.count_if(F.col("label") == 1).alias("_keep"))
-    placed = prefix(frame, [SID, "label"], [seeded_order(0, F.col("pk")).asc(), F.col("pk").asc()], rank="_nth")
-    other = F.when(F.col("label") == 1, F.col("_all") - F.col("_keep")).otherwise(F.col("_keep"))
-    fit = F.col("_nth") <= F.greatest(F.lit(max_rows // 2), F.lit(max_rows) - other)
-    return placed.join(broadcast_if_small(sizes), SID).withColumn("_fit", fit).drop("_all", "_keep", "_nth")
-
-
-def train(frame: DataFrame, max_rows: int = ApplyParams().max_fit_rows) -> DataFrame:
-    """One classifier per session, side by side: (session_id, coef, intercept, n_train, n_keep, n_drop)."""
-    frame = bounded(frame, max_rows)
-    sid = dict(frame.dtypes)[SID]
-    schema = f"{SID} {sid}, coef array<double>, intercept double, n_train long, n_keep long, n_drop long"
-    sizes = frame.groupBy(SID).agg(F.count("*").alias("_n"), F.countDistinct("label").alias("_classes"))
-    frame = frame.join(broadcast_if_small(sizes), SID).withColumn(
-        "label",
-        F.when(F.col("_classes") == 2, F.col("label")).otherwise(
-            F.raise_error(F.lit("training needs both KEEP and DROP rows")).cast("int")
-        ),
-    )
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pk")
-        y = pdf["label"].to_numpy()
-        w = _newton(np.vstack(pdf["features"].to_list()), y)
-        return pd.DataFrame(
-            {
-                SID: [pdf[SID].iloc[0]], "coef": [w[:-1].tolist()], "intercept": [w[-1]], "n_train": [len(y)],
-                "n_keep": [int(y.sum())], "n_drop": [int(len(y) - y.sum())],
-            }
-        )
-
-    columns = (SID, "pk", "label", "features")
-    return frame.select(*columns).groupBy(SID).applyInPandas(fit, schema)
-
-
-def kfold_assign(frame: DataFrame, n_splits: int, n_repeats: int, seed: int) -> DataFrame:
-    """Each row once per repeat, with the fold that holds it out (stratified by label)."""
-    runs = frame.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_repeats))))
-    order = [seeded_order(seed, F.col("rep"), F.col("pk")).asc(), F.col("pk").asc()]
-    placed = prefix(runs, [SID, "rep", "label"], order, rank="_place")
-    return placed.withColumn("fold", ((F.col("_place") - 1) % n_splits).cast("int")).drop("_place")
-
-
-def kfold_pool(frame: DataFrame, p: ApplyParams = ApplyParams()) -> DataFrame:
-    """Held-out predictions: (session_id, rep, fold, pk, label, p_keep), every row of the bounded sample once per repeat.
-
-    Repeats run side by side, with the folds of one inside its task; a fold whose
-    training part has one class only is skipped.
-    """
-    sid, pk = dict(frame.dtypes)[SID], dict(frame.dtypes)["pk"]
-    rows = bounded(frame.select(SID, "pk", "label", "features"), p.max_fit_rows)
-    assigned = kfold_assign(rows, p.n_splits, p.n_repeats, p.seed)
-    schema = f"{SID} {sid}, rep int, fold int, pk {pk}, label int, p_keep double"
-
-    def folds(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pk")
-        y, fold = pdf["label"].to_numpy(), pdf["fold"].to_numpy()
-        x = np.vstack(pdf["features"].to_list())
-        p_keep = np.full(len(pdf), np.nan)
-        for k in range(p.n_splits):
-            held = fold == k
-            if held.any() and len(set(y[~held])) == 2:
-                w = _newton(x[~held], y[~held])
-                p_keep[held] = 1.0 / (1.0 + np.exp(-(x[held] @ w[:-1] + w[-1])))
-        out = pdf[[SID, "rep", "fold", "pk", "label"]].assign(p_keep=p_keep)
-        return out[~np.isnan(p_keep)]
-
-    return assigned.groupBy(SID, "rep").applyInPandas(folds, schema)
-
-
-def held_out_pool(frame: DataFrame, p: ApplyParams = ApplyParams()) -> DataFrame:
-    """As ``kfold_pool``, but every labelled row is scored once per repeat: only the rows that a fold is fitted to are bounded."""
-    sid = dict(frame.dtypes)[SID]
-    rows = _sampled(frame.select(SID, "pk", "label", "features"), p.max_fit_rows)
-    assigned = kfold_assign(rows, p.n_splits, p.n_repeats, p.seed)
-    schema = f"{SID} {sid}, rep int, fold int, coef array<double>, intercept double"
-
-    def fits(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pk")
-        y, fold = pdf["label"].to_numpy(), pdf["fold"].to_numpy()
-        x = np.vstack(pdf["features"].to_list())
-        out = []
-        for k in range(p.n_splits):
-            if len(set(y[fold != k])) == 2:
-                w = _newton(x[fold != k], y[fold != k])
-                out.append((pdf[SID].iloc[0], pdf["rep"].iloc[0], k, w[:-1].tolist(), w[-1]))
-        return pd.DataFrame(out, columns=[SID, "rep", "fold", "coef", "intercept"])
-
-    models = assigned.where("_fit").select(SID, "rep", "fold", "pk", "label", "features").groupBy(SID, "rep").applyInPandas(fits, schema)
-    scored = assigned.join(broadcast_if_small(models), [SID, "rep", "fold"])
-    p_keep = vectors.logistic(F.col("features"), F.col("coef"), F.col("intercept"))
-    return scored.select(SID, "rep", "fold", "pk", "label", p_keep.alias("p_keep"))
-
-
 def require_balance(frame: DataFrame, n_splits: int) -> DataFrame:
     """Class counts per session; ``enough`` means each class reaches the number of folds."""
     per = frame.groupBy(SID).agg(
@@ -240,7 +112,3 @@ def same_dimension(rows: DataFrame, dim: int, vector: str = "dense") -> DataFram
     """Rows whose vector has another dimension than configured (all rows are looked at)."""
     return rows.where(F.coalesce(F.size(vector), F.lit(0)) != dim).select("pk", F.size(vector).alias("dim"))
 
-
-def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.col(order).desc())
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

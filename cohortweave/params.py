@@ -104,7 +104,7 @@ class ApplyParams:
     n_bins: int = 10
     band: float = 0.05
     borderline_k: int = 10
-    max_fit_rows: int = 20_000  # labelled rows of a session that a classifier is fitted to
+    local_rows: int = 5_000  # sessions with more labelled rows are fitted by many tasks together
 
     def __post_init__(self) -> None:
         _need(0.0 <= self.confidence_threshold <= 1.0, "confidence_threshold must be in [0, 1]")
@@ -112,4 +112,4 @@ class ApplyParams:
         _need(self.n_splits >= 2, "n_splits must be at least 2")
         _need(self.n_repeats >= 1, "n_repeats must be at least 1")
         _need(self.embedding_dim >= 1, "embedding_dim must be positive")
-        _need(self.max_fit_rows >= 2, "max_fit_rows must be at least 2")
+        _need(self.local_rows >= 0, "local_rows must not be negative")

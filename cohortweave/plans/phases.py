@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, harvest as hv, judging, modelling, ratings, reports, sampling
+from ..operators import evaluation, harvest as hv, judging, modelling, ratings, reports, sampling, training
 from ..params import ApplyParams, HarvestParams, RefineParams
 from ..session import broadcast_if_small, cut
 
@@ -163,8 +163,8 @@ def apply_train(verdicts: DataFrame, corpus: DataFrame, p: ApplyParams = ApplyPa
     thin = modelling.require_balance(frame, p.n_splits).where("NOT enough").select(SID).limit(5).collect()
     if thin:
         raise ValueError(f"too few rows of one class for {p.n_splits} folds: sessions {[r[SID] for r in thin]}")
-    models = cut(modelling.train(frame, p.max_fit_rows).join(broadcast_if_small(scaler), SID))
-    pool = cut(modelling.held_out_pool(frame, p))
+    models = cut(training.train(frame, p).join(broadcast_if_small(scaler), SID))
+    pool = cut(training.kfold_pool(frame, p))
     metrics = evaluation.evaluate(pool, p.confidence_threshold, p.min_precision)
     return Applied(frame, scaler, models, pool, metrics)
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import evaluation as ev, harvest as hv, modelling as md, ratings, reports, sampling
+from ..operators import evaluation as ev, harvest as hv, modelling as md, ratings, reports, sampling, training as tr
 from ..params import ApplyParams
 from ..plans import phases
 from ..session import cut, scratch_path, staged
@@ -376,20 +378,70 @@ cte(
 @query("kfold_assign", "SELECT session_id, rep, pk, label::BIGINT AS label, fold FROM folds_t")
 def kfold_assign(spark, d):
     rows = frame(spark, d).select("session_id", "pk", "label")
-    return md.kfold_assign(rows, AP.n_splits, AP.n_repeats, AP.seed).select("session_id", "rep", "pk", "label", "fold")
+    return tr.kfold_assign(rows, AP.n_splits, AP.n_repeats, AP.seed).select("session_id", "rep", "pk", "label", "fold")
 
 
 @query(
     "kfold_pool",
-    "SELECT session_id, rep, fold, count(*) AS n, sum(label)::BIGINT AS keep, true AS proper FROM folds_t GROUP BY 1, 2, 3",
+    "SELECT session_id, rep, fold, pk, label::BIGINT AS label, true AS held_out FROM folds_t",
 )
 def kfold_pool(spark, d):
-    held = md.kfold_pool(frame(spark, d), AP)
-    return held.groupBy("session_id", "rep", "fold").agg(
-        F.count("*").alias("n"), F.sum("label").alias("keep"), F.bool_and(F.col("p_keep").between(1e-9, 1 - 1e-9)).alias("proper")
+    """Every labelled row once per repeat, with the score of a classifier that has not seen it."""
+    folded = cut(tr.with_folds(frame(spark, d).select("session_id", "pk", "label", "features"), AP))
+    models = cut(tr.kfold_models(folded, AP))
+    pool = tr.kfold_pool(frame(spark, d), AP)
+    seen = folded.join(models, "session_id").where(F.element_at("folds", F.col("rep")) == F.col("fold"))
+    own = vectors.logistic(F.col("features"), F.col("coef"), F.col("intercept"))
+    seen = seen.select("session_id", "rep", "fold", "pk", own.alias("own"))
+    return pool.join(seen, ["session_id", "rep", "fold", "pk"], "left").select(
+        "session_id", "rep", "fold", "pk", "label", F.coalesce(F.abs(F.col("p_keep") - F.col("own")) < 1e-9, F.lit(False)).alias("held_out")
     )
 
 
+def gradients(rows, models, keys):
+    """Whether the gradient of the penalised, balanced loss vanishes at each model's weights over its training rows."""
+    p = vectors.logistic(F.col("features"), F.col("coef"), F.col("intercept"))
+    n, keep = F.col("n_train"), F.col("n_keep")
+    share = F.when(F.col("label") == 1, n / (2 * keep)).otherwise(n / (2 * (n - keep)))
+    pulled = rows.join(models, "session_id").where(F.expr("fold = -1 OR element_at(folds, rep) <> fold")).select(
+        *keys, "n_train", "n_keep", (share * (p - F.col("label"))).alias("g"),
+        F.posexplode(F.array_append("features", F.lit(1.0))).alias("i", "x"), F.array_append("coef", F.col("intercept")).alias("w"),
+    )
+    grads = pulled.groupBy(*keys, "n_train", "n_keep", "i").agg(
+        F.count("*").alias("rows"), (F.sum(F.col("g") * F.col("x")) + F.first(F.element_at("w", F.col("i") + 1))).alias("grad")
+    )
+    right = (F.max(F.abs("grad")) < 1e-6) & (F.min("rows") == F.col("n_train"))
+    return grads.groupBy(*keys, "n_train", "n_keep").agg(right.alias("optimal"))
+
+
+@query(
+    "kfold_models",
+    """SELECT g.session_id, g.rep, g.fold, count(*) AS n_train, sum(label)::BIGINT AS n_keep, true AS optimal
+    FROM (SELECT DISTINCT session_id, rep, unnest(range(0, 5)) AS fold FROM folds_t) g
+    JOIN folds_t f ON f.session_id = g.session_id AND f.rep = g.rep AND f.fold <> g.fold GROUP BY 1, 2, 3
+    HAVING sum(label) > 0 AND sum(label) < count(*)""",
+)
+def kfold_models(spark, d):
+    folded = cut(tr.with_folds(frame(spark, d).select("session_id", "pk", "label", "features"), AP))
+    return gradients(folded, cut(tr.kfold_models(folded, AP)), ["session_id", "rep", "fold"])
+
+
+@query(
+    "kfold_models_distributed",
+    """SELECT g.session_id, g.rep, g.fold, count(*) AS n_train, sum(label)::BIGINT AS n_keep, true AS alike
+    FROM (SELECT DISTINCT session_id, rep, unnest(range(0, 5)) AS fold FROM folds_t) g
+    JOIN folds_t f ON f.session_id = g.session_id AND f.rep = g.rep AND f.fold <> g.fold GROUP BY 1, 2, 3
+    HAVING sum(label) > 0 AND sum(label) < count(*)""",
+)
+def kfold_models_distributed(spark, d):
+    """Summed Newton steps over all tasks give the weights that fitting each session in one task gives."""
+    folded = cut(tr.with_folds(frame(spark, d).select("session_id", "pk", "label", "features"), AP))
+    many = tr.kfold_models(folded, replace(AP, local_rows=0))
+    one = tr.kfold_models(folded, AP).select("session_id", "rep", "fold", F.array_append("coef", F.col("intercept")).alias("w"))
+    gap = F.aggregate(F.zip_with(F.array_append("coef", F.col("intercept")), "w", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, b: F.greatest(a, b))
+    return many.join(one, ["session_id", "rep", "fold"]).select("session_id", "rep", "fold", "n_train", "n_keep", (gap < 1e-6).alias("alike"))
+
+
 @query(
     "train_lr",
     """SELECT session_id, count(*) AS n_train, sum(label)::BIGINT AS n_keep, count(*) - sum(label)::BIGINT AS n_drop, true AS optimal FROM train_t GROUP BY session_id""",
@@ -397,19 +449,9 @@ def kfold_pool(spark, d):
 def train_lr(spark, d):
     """The fitted weights make the gradient of the penalised, balanced loss vanish."""
     rows = frame(spark, d)
-    models = cut(md.train(rows))
-    joined = rows.join(models, "session_id")
-    p = vectors.logistic(F.col("features"), F.col("coef"), F.col("intercept"))
-    share = F.when(F.col("label") == 1, F.col("n_train") / (2 * F.col("n_keep"))).otherwise(F.col("n_train") / (2 * F.col("n_drop")))
-    pulled = joined.select(
-        "session_id", "n_train", "n_keep", "n_drop", (share * (p - F.col("label"))).alias("g"),
-        F.posexplode(F.array_append("features", F.lit(1.0))).alias("i", "x"),
-        F.array_append("coef", F.col("intercept")).alias("w"),
-    )
-    grads = pulled.groupBy("session_id", "n_train", "n_keep", "n_drop", "i").agg(
-        (F.sum(F.col("g") * F.col("x")) + F.first(F.element_at("w", F.col("i") + 1))).alias("grad")
-    )
-    return grads.groupBy("session_id", "n_train", "n_keep", "n_drop").agg((F.max(F.abs("grad")) < 1e-6).alias("optimal"))
+    models = cut(tr.train(rows)).select("*", F.lit(0).alias("rep"), F.lit(-1).alias("fold"))
+    good = gradients(rows.withColumn("folds", F.array(F.lit(0))), models, ["session_id"])
+    return good.select("session_id", "n_train", "n_keep", (F.col("n_train") - F.col("n_keep")).alias("n_drop"), "optimal")
 
 
 @query("classifier_roundtrip", "SELECT session_id, len(coef) AS dim, true AS same FROM models_t")

@@ -1,10 +1,12 @@
 """The forms used beyond a size bound give the same rows as the ones below it."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortweave.operators import blocks, harvest as hv, modelling as md, ordering, retrieval as rt
+from cohortweave.operators import blocks, harvest as hv, ordering, retrieval as rt, training as tr
 from cohortweave.params import ApplyParams
 from cohortweave.plans import phases
 from cohortweave.workload import tables as t
@@ -137,31 +139,61 @@ def gaussians(spark, n=200, sid="s"):
     return spark.createDataFrame(rows, "session_id string, pk long, label int, features array<double>")
 
 
-def test_training_rows_are_bounded_by_a_fixed_sample(spark):
-    frame = gaussians(spark)
-    whole, part = md.train(frame).first(), md.train(frame, max_rows=80).first()
-    assert (whole["n_keep"], whole["n_drop"], part["n_train"]) == (100, 100, 80)
-    assert md.train(frame.repartition(7), max_rows=80).first()["coef"] == part["coef"]
-    assert md.kfold_pool(frame, ApplyParams(n_splits=2, n_repeats=1, max_fit_rows=80)).count() == 80
+def mixed_sessions(spark):
+    """Sessions of several sizes, one with a rare class, one whose single KEEP row leaves a fold without its class."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for sid, n, keep in (("a", 300, 150), ("b", 90, 9), ("c", 40, 1), ("d", 700, 350)):
+        for i in range(n):
+            label = int(i < keep)
+            rows.append((sid, f"{sid}{i}", label, [float(x) for x in rng.normal(0.4 * label, 1.0, 70)]))
+    return spark.createDataFrame(rows, "session_id string, pk string, label int, features array<double>")
+
+
+def weights(models):
+    return {(r["session_id"], r["rep"], r["fold"]): (np.append(r["coef"], r["intercept"]), r["n_train"], r["n_keep"]) for r in models.collect()}
+
+
+def alike(a, b):
+    assert a.keys() == b.keys() and a
+    for k in a:
+        assert a[k][1:] == b[k][1:] and np.abs(a[k][0] - b[k][0]).max() < 1e-6
+
+
+@pytest.mark.parametrize("local_rows", [0, 100])
+def test_distributed_steps_fit_the_same_models(spark, local_rows, monkeypatch):
+    """Sessions over several tasks, Hessians in several bands, several waves: the weights of fitting in one task."""
+    monkeypatch.setattr(tr, "WAVE_BYTES", 2 * 6 * 71 * 8)
+    p = ApplyParams(n_splits=3, n_repeats=2)
+    folded = tr.with_folds(mixed_sessions(spark), p).repartition(6).cache()
+    one = weights(tr.kfold_models(folded, p))
+    alike(weights(tr.kfold_models(folded, replace(p, local_rows=local_rows))), one)
+    assert ("c", 1, 0) not in one and len(one) == 3 * 6 + 4  # the fold that holds the single row has no model
+    full = tr.train(mixed_sessions(spark), p).withColumn("rep", F.lit(1)).withColumn("fold", F.lit(-1))
+    many = tr.train(mixed_sessions(spark), replace(p, local_rows=local_rows)).withColumn("rep", F.lit(1)).withColumn("fold", F.lit(-1))
+    alike(weights(many), weights(full))
 
 
 def test_every_labelled_row_is_held_out_once_per_repeat(spark):
     rare = gaussians(spark).where("label = 1 OR pk < 12")
-    p = ApplyParams(n_splits=2, n_repeats=2, max_fit_rows=20)
-    pool = md.held_out_pool(rare, p).cache()
-    assert pool.count() == 2 * 106 and pool.select("rep", "pk").distinct().count() == 2 * 106
-    assert pool.where("(label = 1) <> (p_keep > 0.5)").count() == 0
-    fitted = md.train(rare, max_rows=20).first()
-    assert (fitted["n_keep"], fitted["n_drop"]) == (14, 6)
-    p = ApplyParams(n_splits=3, n_repeats=1)
-    got, want = ({r["pk"]: r["p_keep"] for r in f(rare, p).collect()} for f in (md.held_out_pool, md.kfold_pool))
-    assert got.keys() == want.keys() and all(abs(want[i] - got[i]) < 1e-9 for i in want)
+    pools = [tr.kfold_pool(rare, ApplyParams(n_splits=2, n_repeats=2, local_rows=n)).collect() for n in (0, 5000)]
+    for pool in pools:
+        assert len(pool) == 2 * 106 == len({(r["rep"], r["pk"]) for r in pool})
+        assert all((r["label"] == 1) == (r["p_keep"] > 0.5) for r in pool)
+    got, want = ({(r["rep"], r["pk"]): r["p_keep"] for r in pool} for pool in pools)
+    assert got.keys() == want.keys() and all(abs(want[i] - got[i]) < 1e-6 for i in want)
+
+
+def test_vectors_are_not_copied_per_repeat(spark):
+    """No plan that shuffles vectors has repeats in it: folds are drawn on keys."""
+    folded = tr.with_folds(mixed_sessions(spark), ApplyParams())
+    assert folded.count() == mixed_sessions(spark).count() and folded.select(F.size("folds").alias("n")).distinct().collect() == [(5,)]
 
 
 def test_kfold_pool(spark):
     frame = gaussians(spark)
     p = ApplyParams(n_splits=5, n_repeats=2)
-    pool = md.kfold_pool(frame, p).cache()
+    pool = tr.kfold_pool(frame, p).cache()
     assert pool.count() == 400
     assert pool.where("label = 1").agg(F.avg("p_keep")).first()[0] > 0.8
     assert pool.where("label = 0").agg(F.avg("p_keep")).first()[0] < 0.2
@@ -170,12 +202,12 @@ def test_kfold_pool(spark):
 def test_folds_equal_fits_on_the_other_folds(spark):
     frame = gaussians(spark, 60)
     p = ApplyParams(n_splits=3, n_repeats=1)
-    folds = md.kfold_assign(frame, 3, 1, p.seed).cache()
+    folds = tr.kfold_assign(frame, 3, 1, p.seed).cache()
     for k in range(3):
-        model = md.train(folds.where(F.col("fold") != k)).first()
+        model = tr.train(folds.where(F.col("fold") != k)).first()
         held = folds.where(F.col("fold") == k)
         want = {r["pk"]: 1 / (1 + np.exp(-(np.dot(r["features"], model["coef"]) + model["intercept"]))) for r in held.collect()}
-        got = {r["pk"]: r["p_keep"] for r in md.kfold_pool(frame, p).where(F.col("fold") == k).collect()}
+        got = {r["pk"]: r["p_keep"] for r in tr.kfold_pool(frame, p).where(F.col("fold") == k).collect()}
         assert want.keys() == got.keys() and all(abs(want[i] - got[i]) < 1e-9 for i in want)
 
 
@@ -209,4 +241,4 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
 
 def test_one_class_is_an_error(spark):
     with pytest.raises(Exception, match="both KEEP and DROP"):
-        md.train(gaussians(spark).where("label = 1")).collect()
+        tr.train(gaussians(spark).where("label = 1")).collect()
