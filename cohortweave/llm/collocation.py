@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_measured, save
-from .hashing import BASES, mixed, parts
+from .common import broadcast_measured, save, stretches
+from .hashing import BASES, mixed
 
 #: Ends of pieces become one byte that UTF-8 never has, tabs become blanks.
 _END = b"\xff"
@@ -45,7 +45,7 @@ BLOCK_TERMS = 100_000
 #: Bytes of a text that are cut into words at once.
 PART_BYTES = 4 << 20
 #: Entries that a task gathers before it adds them up and sends them.
-FLUSH = 2_500_000
+FLUSH = 1_500_000
 #: Words of the corpus for each bucket of stripes.
 BUCKET_WORDS = 400_000
 SLICES = 64
@@ -115,10 +115,9 @@ def coded(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, words, codes, of, held = [], [], [], {}, 0
         for batch in batches:
-            texts, tongues = batch.column("text_").cast(pa.binary()).to_pylist(), batch.column("lang_").to_pylist()
-            for part in parts(texts):
+            for part in stretches(batch, "text_"):
                 together: dict[str, list[bytes]] = {}
-                for tongue, body in zip(tongues[part], texts[part]):
+                for tongue, body in zip(part.column("lang_").to_pylist(), part.column("text_").cast(pa.binary()).to_pylist()):
                     together.setdefault(tongue, []).append(body)
                 for tongue, bodies in together.items():
                     own = of.get(tongue) or of.setdefault(tongue, _Codes(tongue, langs, words))
@@ -222,8 +221,8 @@ class _Stripes:
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.size:
             return
-        prefix, last, times = _summed(*(np.concatenate(c) for c in zip(*self.held)))
-        self.held, self.size = [], 0
+        prefix, last, times = _summed(*_together(self.held))
+        self.size = 0
         part = mixed(prefix + np.uint64(BASES[1]) * (last % np.uint64(SLICES)))
         bucket = ((part >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
@@ -234,14 +233,22 @@ class _Stripes:
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(data, pa.binary())], ["bucket", "data"])
 
 
+def _together(held: list) -> Iterator[np.ndarray]:
+    """The columns of ``held``, which is emptied, one after the other."""
+    columns = [list(c) for c in zip(*held)]
+    held.clear()
+    while columns:
+        yield np.concatenate(columns.pop(0))
+
+
 def _summed(prefix: np.ndarray, last: np.ndarray, times: np.ndarray) -> list[np.ndarray]:
     """Equal entries added up, in order of prefix and next word."""
     if not len(prefix):
         return [prefix, last, times]
     order = np.lexsort((last, prefix))
-    prefix, last = prefix[order], last[order]
+    prefix, last, times = prefix[order], last[order], times[order]
     first = np.flatnonzero(np.append(True, (prefix[1:] != prefix[:-1]) | (last[1:] != last[:-1])))
-    return [prefix[first], last[first], np.add.reduceat(times[order], first)]
+    return [prefix[first], last[first], np.add.reduceat(times, first)]
 
 
 def _written(prefix: np.ndarray, last: np.ndarray, times: np.ndarray) -> bytes:
@@ -299,7 +306,7 @@ def entries(hashed: DataFrame, size: int, words, bloom, least: int, buckets: int
         current, held, size_ = None, [], 0
 
         def closed() -> pa.RecordBatch:
-            prefix, last, times = _summed(*(np.concatenate(c) for c in zip(*held)))
+            prefix, last, times = _summed(*_together(held))
             stay = times >= least
             prefix, last, times = prefix[stay], last[stay], times[stay]
             columns = [prefix.view(np.int64), last.view(np.int64), _extended(prefix, last).view(np.int64), times.astype(np.int64)]
@@ -314,7 +321,7 @@ def entries(hashed: DataFrame, size: int, words, bloom, least: int, buckets: int
                 held.append(_read(data.as_buffer().to_pybytes()))
                 size_ += len(held[-1][0])
                 if size_ >= FLUSH:  # rows of one bucket from very many tasks are added up in between
-                    held = [_summed(*(np.concatenate(c) for c in zip(*held)))]
+                    held = [_summed(*_together(held))]
                     size_ = len(held[0][0]) // 2
         if held:
             yield closed()

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,6 +67,18 @@ def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.col("row_").getField(c).alias(c) for c in columns])
 
 
+def stretches(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` with about ``most`` bytes in a text column (one row at least)."""
+    first = held = 0
+    for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+        if held and held + n > most:
+            yield batch.slice(first, i - first)
+            first, held = i, 0
+        held += n
+    if first < len(batch):
+        yield batch.slice(first)
+
+
 #: Tables up to this size are broadcast; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 

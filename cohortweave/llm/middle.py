@@ -19,11 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import stretches
+
 #: Bytes of the texts whose wavelet matrix is in memory at once.
 BLOCK_BYTES = 2_000_000
 
@@ -133,17 +134,6 @@ def draws(doc_id: Column, seed: int) -> list[Column]:
     return [F.conv(F.substring(digest, 1 + 8 * k, 8), 16, 10).cast("long") for k in range(4)]
 
 
-def _blocks(sizes: list[int]) -> Iterator[slice]:
-    first = held = 0
-    for i, n in enumerate(sizes):
-        if held and held + n > BLOCK_BYTES:
-            yield slice(first, i)
-            first, held = i, 0
-        held += n
-    if first < len(sizes):
-        yield slice(first, len(sizes))
-
-
 def transformed(docs: DataFrame, options: Options = Options(), text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
     """``row_`` (columns ``keep``, all by default), n, form, prefix_chars, middle_chars and ``output``, the text put together anew.
 
@@ -166,8 +156,7 @@ def transformed(docs: DataFrame, options: Options = Options(), text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _blocks(pc.binary_length(batch.column("text_")).to_pylist()):
-                rows = batch.slice(part.start, part.stop - part.start)
+            for rows in stretches(batch, "text_", BLOCK_BYTES):
                 texts = rows.column("text_").to_pylist()
                 h = [np.asarray(rows.column(f"h{k}"), dtype=np.int64) for k in (1, 2, 3, 4)]
                 own = Boundaries(texts, options.unit)
