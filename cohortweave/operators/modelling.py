@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..session import broadcast_if_small, narrowed
+from ..session import BROADCAST_BYTES, broadcast_if_small, laid_out, lies_by, measured, narrowed
 
 SID = "session_id"
 
@@ -26,14 +26,20 @@ def labelled(verdicts: DataFrame) -> DataFrame:
     )
 
 
-def with_embeddings(rows: DataFrame, corpus: DataFrame) -> DataFrame:
+def with_embeddings(rows: DataFrame, corpus: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Rows that have a vector; the others are dropped (see ``missing_embeddings``).
 
-    Few rows fetch their vectors in one scan; many rows shuffle them, where
-    ``harvest.score_pass`` scores a whole cohort without doing so.
+    The vectors stay where they are. Up to ``limit`` bytes, measured, the rows are broadcast to them. Beyond it the corpus is
+    used by key (``session.laid_out``): the rows go to its buckets, are hashed there, and the vectors stream past. A corpus that is not
+    stored by key yet is laid out first; callers who score more than once pass one that is.
     """
-    vecs = narrowed(corpus, rows).select("pk", F.col("dense").cast("array<double>").alias("dense"))
-    return rows.join(vecs, "pk")
+    columns = [F.col(c) for c in rows.columns]
+    if measured(rows)[1] <= limit:
+        met = F.broadcast(rows).join(corpus.select("pk", "dense"), "pk")
+    else:
+        by_key = corpus if lies_by(corpus, "pk") else laid_out(corpus.select("pk", "dense"), "pk")
+        met = rows.hint("shuffle_hash").join(by_key.select("pk", "dense"), "pk")
+    return met.select(*columns, F.col("dense").cast("array<double>").alias("dense"))
 
 
 def missing_embeddings(rows: DataFrame, corpus: DataFrame) -> DataFrame:

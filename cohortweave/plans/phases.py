@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation, harvest as hv, judging, modelling, ratings, reports, sampling, training
 from ..params import ApplyParams, HarvestParams, RefineParams
-from ..session import broadcast_if_small, cut
+from ..session import BROADCAST_BYTES, broadcast_if_small, cut
 
 SID = "session_id"
 
@@ -169,8 +169,11 @@ def apply_train(verdicts: DataFrame, corpus: DataFrame, p: ApplyParams = ApplyPa
     return Applied(frame, scaler, models, pool, metrics)
 
 
-def score_cohort(cohort: DataFrame, corpus: DataFrame, models: DataFrame, tau: float | None) -> DataFrame:
-    rows = modelling.with_embeddings(cohort, corpus)
+def score_cohort(
+    cohort: DataFrame, corpus: DataFrame, models: DataFrame, tau: float | None, limit: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Scores and verdicts of a stored cohort; its vectors are not moved (``modelling.with_embeddings``)."""
+    rows = modelling.with_embeddings(cohort, corpus, limit)
     frame = modelling.feature_frame(rows, models.select(SID, "scaler_mean", "scaler_scale"))
     return modelling.score(frame, models, tau)
 
@@ -205,6 +208,7 @@ def apply_reuse(
     models: DataFrame,
     pins: DataFrame,
     p: ApplyParams = ApplyParams(),
+    limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Labels from stored classifiers; a classifier of another rubric is an error."""
     guard = modelling.pin_guard(models, pins)
@@ -212,6 +216,6 @@ def apply_reuse(
     threshold = F.when(F.col("accepted"), F.col("threshold")).otherwise(
         F.raise_error(F.concat(F.lit("stored classifier does not match the rubric: "), F.col("mismatch"))).cast("double")
     )
-    return score_cohort(cohort, corpus, checked.withColumn("threshold", threshold), None)
+    return score_cohort(cohort, corpus, checked.withColumn("threshold", threshold), None, limit)
 
 

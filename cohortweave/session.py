@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -117,6 +118,30 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if measured(df)[1] <= BROADCAST_BYTES else df
 
 
+def lies_by(df: DataFrame, key: str) -> bool:
+    """Whether ``df`` is stored in buckets of ``key``, so that a join on it does not move it."""
+    layout = df.select(key)._jdf.queryExecution().sparkPlan().outputPartitioning().toString()
+    return re.match(rf"hashpartitioning\({re.escape(key)}#\d+\w*, \d+", layout) is not None
+
+
+#: Files that laying out a table by key may write without moving rows to one task for each bucket.
+MAX_BUCKET_FILES = 10_000
+
+
+def laid_out(df: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
+    """``df`` written to the shared folder in buckets of ``key``: joins on it shuffle the other side only, any number of times.
+
+    Each task writes its rows into the buckets; only where that would make too many files are the rows shuffled, once.
+    """
+    spark = df.sparkSession
+    buckets = buckets or max(8, min(20_000, planned_bytes(df) // (256 * 1024 * 1024)))
+    path, name = scratch_path(spark, "by_key"), f"by_key_{uuid.uuid4().hex}"
+    if df.rdd.getNumPartitions() * buckets > MAX_BUCKET_FILES:
+        df = df.repartition(buckets, key)
+    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def narrowed(table: DataFrame, keys: DataFrame, on: str = "pk") -> DataFrame:
     """``table`` cut down to the wanted keys while it is scanned, when those are few.
 
@@ -132,9 +157,11 @@ def narrowed(table: DataFrame, keys: DataFrame, on: str = "pk") -> DataFrame:
 _STAGED: dict[tuple[str, str], DataFrame] = {}
 
 
-def staged(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+def staged(
+    spark: SparkSession, name: str, build: Callable[[], DataFrame], write: Callable[[DataFrame], DataFrame] = cut
+) -> DataFrame:
     """A derived input table, written once per application."""
     key = (spark.sparkContext.applicationId, name)
     if key not in _STAGED:
-        _STAGED[key] = cut(build())
+        _STAGED[key] = write(build())
     return _STAGED[key]

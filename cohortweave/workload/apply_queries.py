@@ -10,7 +10,7 @@ from ..functions import vectors
 from ..operators import evaluation as ev, harvest as hv, modelling as md, ratings, reports, sampling, training as tr
 from ..params import ApplyParams
 from ..plans import phases
-from ..session import cut, scratch_path, staged
+from ..session import cut, laid_out, scratch_path, staged
 from ..sources import stores
 from . import tables as t
 from .harvest_queries import HP, cohort, placed
@@ -245,18 +245,18 @@ def training_frame(spark, d):
 
 @query(
     "cohort_frame",
-    """SELECT session_id, count(*) AS cohort_rows, count(*) FILTER (pk IN (SELECT vec_id FROM embeddings WHERE label <> 9)) AS with_vector,
-    count(*) FILTER (pk NOT IN (SELECT vec_id FROM embeddings WHERE label <> 9)) AS dropped FROM cohort_t GROUP BY session_id""",
+    """SELECT c.session_id, c.pk, v.pk IS NOT NULL AS has_vector, round(list_sum(v.dense), 6) AS total FROM cohort_t c
+    LEFT JOIN (SELECT vec_id AS pk, embedding::DOUBLE[] AS dense FROM embeddings WHERE label <> 9) v ON v.pk = c.pk""",
 )
 def cohort_frame(spark, d):
     store = t.load(spark, d, "embeddings").where("label <> 9").select(
         F.col("vec_id").alias("pk"), F.col("embedding").alias("dense")
     )
-    rows = cohort(spark, d)
-    have = md.with_embeddings(rows, store).groupBy("session_id").agg(F.count("*").alias("with_vector"))
-    gone = md.missing_embeddings(rows, store).groupBy("session_id").agg(F.count("*").alias("dropped"))
-    total = rows.groupBy("session_id").agg(F.count("*").alias("cohort_rows"))
-    return total.join(have, "session_id", "left").join(gone, "session_id", "left").fillna(0)
+    rows = cohort(spark, d).select("session_id", "pk")
+    total = F.aggregate("dense", F.lit(0.0), lambda s, x: s + x)
+    have = md.with_embeddings(rows, store).select("session_id", "pk", F.lit(True).alias("has_vector"), total.alias("total"))
+    gone = md.missing_embeddings(rows, store).select("session_id", "pk", F.lit(False).alias("has_vector"), F.lit(None).cast("double").alias("total"))
+    return have.unionByName(gone)
 
 
 @query(
@@ -292,6 +292,18 @@ def score_params(spark, d):
     )
 
 
+def by_key(spark, d):
+    """The vectors as a store keeps them that is scored more than once."""
+    return staged(spark, f"by_key:{d}", lambda: t.vectors(spark, d), lambda df: laid_out(df, "pk"))
+
+
+@query("score_by_key", "SELECT session_id, pk, round(p_keep, 6) AS p_keep FROM labelled_t")
+def score_by_key(spark, d):
+    """As ``score_params`` for a cohort too large to broadcast: the cohort goes to the buckets of the vectors."""
+    rows = phases.score_cohort(cohort(spark, d), by_key(spark, d), fixed_models(spark, d), 0.7, limit=0)
+    return rows.select("session_id", "pk", "p_keep")
+
+
 @query("score_pass", "SELECT session_id, pk, round(nearest_fit_distance, 6) AS nearest_fit_distance, round(p_keep, 6) AS p_keep FROM labelled_t")
 def score_pass(spark, d):
     rows = hv.score_pass(placed(spark, d), fixed_models(spark, d), t.vectors(spark, d), HP.anchor_frequency_gate)
@@ -323,6 +335,16 @@ def reuse_classifier(spark, d):
     ).select("session_id", "pk", "verdict", "p_keep")
 
 
+@query(
+    "reuse_by_key",
+    """SELECT session_id, pk, CASE WHEN p_keep >= 0.5 + session_id * 0.01::DOUBLE THEN 'KEEP' ELSE 'DROP' END AS verdict, round(p_keep, 6) AS p_keep FROM labelled_t""",
+)
+def reuse_by_key(spark, d):
+    return phases.apply_reuse(
+        cohort(spark, d), by_key(spark, d), pinned_models(spark, d), rubrics(spark, d), AP, limit=0
+    ).select("session_id", "pk", "verdict", "p_keep")
+
+
 @query(
     "rubric_pin_guard",
     """SELECT session_id, session_id % 4 NOT IN (1, 2) AS accepted, CASE session_id % 4 WHEN 1 THEN 'prompt_sha256' WHEN 2 THEN 'rubric_version' END AS mismatch FROM models_t""",

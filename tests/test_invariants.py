@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortweave.operators import blocks, harvest as hv, ordering, retrieval as rt, training as tr
+from cohortweave.operators import blocks, harvest as hv, modelling as md, ordering, retrieval as rt, training as tr
 from cohortweave.params import ApplyParams
 from cohortweave.plans import phases
+from cohortweave.session import laid_out, lies_by
 from cohortweave.workload import tables as t
 from cohortweave.workload.apply_queries import fixed_models
 from cohortweave.workload.harvest_queries import HP, placed
@@ -226,6 +227,32 @@ def test_no_exchange_of_the_corpus(spark, sf_dir, vecs):
     assert joined.count() == hv.radius_join(placed(spark, sf_dir), vecs).count()
 
 
+def exchanged(df, column):
+    """Whether a shuffle or broadcast of the physical plan carries ``column``."""
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.initialPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan
+    found, todo = False, [plan]
+    while todo:
+        node = todo.pop()
+        if "Exchange" in node.getClass().getSimpleName():
+            found |= f"{column}#" in node.output().mkString(" ")
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def test_scoring_moves_no_vectors(spark, sf_dir, vecs):
+    """Few rows are broadcast to the vectors, many go to their buckets; a plain join of two large tables would move them."""
+    rows = spark.range(40).select(F.lit("s").alias("session_id"), F.col("id").alias("pk"), F.lit(0.5).alias("nearest_fit_distance"))
+    by_key = laid_out(vecs.select("pk", "dense"), "pk", 8)
+    assert lies_by(by_key, "pk") and not lies_by(vecs, "pk") and exchanged(rows.hint("merge").join(vecs, "pk"), "dense")
+    few, many, unsorted = md.with_embeddings(rows, vecs), md.with_embeddings(rows, by_key, limit=0), md.with_embeddings(rows, vecs, limit=0)
+    for df in (few, many, unsorted):
+        assert not exchanged(df, "dense") and df.columns == [*rows.columns, "dense"]
+    same(few, many)
+    same(few, unsorted)
+
+
 def test_scratch_needs_a_shared_folder_on_a_cluster():
     from types import SimpleNamespace
 
