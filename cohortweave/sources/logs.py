@@ -15,10 +15,18 @@ def fail(message: str, kind: str) -> Column:
     return F.raise_error(F.lit(message)).cast(kind)
 
 
-def _with_session(df: DataFrame) -> DataFrame:
-    """Lines without a session id take it from their file's name."""
+def _lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Lines of all files below ``path`` with ``place``, their position as written: file, block of the file, line in the block.
+
+    Lines without a session id take it from their file's name. Files of one session are in order of their names, as numbered batches are.
+    """
+    raw = spark.read.schema(schema).option("mode", "FAILFAST").option("recursiveFileLookup", "true").json(path)
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.details)?\.jsonl$", 1)
-    return df.select(*[c for c in df.columns if c != "session_id"], F.coalesce("session_id", name).alias("session_id"))
+    # Within a block lines are numbered in the order in which the reader meets them.
+    at = F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")
+    )
+    return raw.select(*[c for c in raw.columns if c != "session_id"], F.coalesce("session_id", name).alias("session_id"), at.alias("place"))
 
 
 def read_turn_log(spark: SparkSession, path: str, key: str = KEY) -> DataFrame:
@@ -27,8 +35,7 @@ def read_turn_log(spark: SparkSession, path: str, key: str = KEY) -> DataFrame:
     The log is append-only with growing turns and markers after their turn, so
     ``line_no`` restores the written order.
     """
-    raw = spark.read.schema(turn_log(key)).option("mode", "FAILFAST").json(path)
-    return with_line_no(_with_session(raw))
+    return with_line_no(_lines(spark, path, turn_log(key)))
 
 
 def with_line_no(log: DataFrame) -> DataFrame:
@@ -36,7 +43,7 @@ def with_line_no(log: DataFrame) -> DataFrame:
 
 
 def read_details(spark: SparkSession, path: str) -> DataFrame:
-    return _with_session(spark.read.schema(DETAILS_LOG).option("mode", "FAILFAST").json(path))
+    return _lines(spark, path, DETAILS_LOG)
 
 
 def session_turns(log: DataFrame) -> DataFrame:
@@ -122,9 +129,9 @@ def flatten_candidates(turns: DataFrame) -> DataFrame:
 
 
 def search_pin(details: DataFrame) -> DataFrame:
-    """Each session's first search block: collection, service and model it used; no collection is an error."""
+    """Each session's first search block as written: collection, service and model it used; no collection is an error."""
     per = details.where("search IS NOT NULL").groupBy("session_id").agg(
-        F.min_by("search", F.struct("timestamp", F.expr("try_cast(turn AS INT)"))).alias("s")
+        F.min_by("search", "place").alias("s")
     )
     return per.select(
         "session_id",
@@ -137,10 +144,10 @@ def search_pin(details: DataFrame) -> DataFrame:
 
 
 def turn_details(turns: DataFrame, details: DataFrame) -> DataFrame:
-    """Turns with the last details line of the same turn number; phase lines never match."""
+    """Turns with the last details line, as written, of the same turn number; phase lines never match."""
     numbered = details.withColumn("turn", F.expr("try_cast(turn AS INT)")).where("turn IS NOT NULL")
     last = numbered.groupBy("session_id", "turn").agg(
-        F.max_by(F.struct("search", "reflection"), "timestamp").alias("_d")
+        F.max_by(F.struct("search", "reflection"), "place").alias("_d")
     )
     return turns.join(last, ["session_id", "turn"], "left").select(
         "session_id",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import round6
 from ..session import broadcast_if_small, narrowed
-from . import schemas
+from . import batches, schemas
 from .schemas import CLASSIFIER_FIELDS, KEY
 
 CORPUS_FIELDS = ("pk", "sample_id", "counselor_id", "term", "chunk_content", "chunk_seq")
@@ -69,8 +69,16 @@ def write_cohort(cohort: DataFrame, path: str) -> None:
     ).orderBy("session_id", "nearest_fit_distance", "pk").write.mode("overwrite").json(path)
 
 
-def append_log(records: DataFrame, path: str) -> None:
-    records.write.mode("append").option("ignoreNullFields", "true").json(path)
+def append_log(records: DataFrame, path: str, number: int | None = None, order: tuple[str, ...] = ("turn",)) -> bool:
+    """Append log lines as one batch, the next one unless its number is given; a batch that is there already stays as it is.
+
+    The lines of a session lie in one file of the batch, in ``order``.
+    """
+    spark = records.sparkSession
+    if number is None:
+        number = max(batches.numbers(spark, path), default=-1) + 1
+    lines = records.repartition("session_id").sortWithinPartitions("session_id", *order)
+    return batches.put(lines, path, number, "json", ignoreNullFields="true")
 
 
 def write_rows(rows: DataFrame, path: str) -> None:

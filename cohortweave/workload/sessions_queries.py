@@ -59,8 +59,7 @@ def details(spark, d):
         F.col("turn").cast("string").alias("turn"), "timestamp", "session_id", "query", search.alias("search"),
         answer.alias("reflection"),
     )
-    later = F.concat(F.substring("timestamp", 1, 17), F.lit("30Z"))
-    again = base.where("turn % 2 = 0").withColumn("timestamp", later).withColumn(
+    again = base.where("turn % 2 = 0").withColumn(
         "reflection", F.struct(F.concat(F.lit("corrected "), F.col("turn")).alias("raw_response"))
     )
     phase = heads.where("turn = 1").select(
@@ -68,7 +67,8 @@ def details(spark, d):
         F.lit(None).cast("string").alias("query"), F.lit(None).cast(base.schema["search"].dataType).alias("search"),
         F.lit(None).cast(base.schema["reflection"].dataType).alias("reflection"),
     )
-    return base.unionByName(again).unionByName(phase)
+    nth = [df.withColumn("nth", F.lit(i)) for i, df in enumerate((phase, base, again))]
+    return nth[0].unionByName(nth[1]).unionByName(nth[2])
 
 
 def log_paths(spark, d):
@@ -78,7 +78,8 @@ def log_paths(spark, d):
         turn_log, sidecar = scratch_path(spark, "turn-log"), scratch_path(spark, "details-log")
         stores.append_log(records(spark, d), turn_log)
         stores.append_log(markers(spark, d), turn_log)
-        stores.append_log(details(spark, d), sidecar)
+        # Corrected lines come after the first ones and carry the same timestamp: only their place tells them apart.
+        stores.append_log(details(spark, d), sidecar, order=("nth", "turn"))
         _LOGS[key] = (turn_log, sidecar)
     return _LOGS[key]
 

@@ -9,7 +9,7 @@ from cohortweave.functions import text
 from cohortweave.operators import modelling as md
 from cohortweave.params import ApplyParams
 from cohortweave.plans import phases
-from cohortweave.sources import logs, stores
+from cohortweave.sources import batches, logs, stores
 from cohortweave.workload import tables as t
 from cohortweave.workload.apply_queries import AP, pinned_models
 from cohortweave.workload.harvest_queries import cohort
@@ -86,6 +86,41 @@ def test_phase_lines_do_not_join_turns(spark, tmp_path):
     assert logs.search_pin(details).first()["collection"] == "c"
 
 
+def test_lines_count_in_the_order_in_which_they_were_written(spark, tmp_path):
+    """Equal timestamps throughout, a file of several blocks: first and last are first and last in the file."""
+    lines = [
+        {"turn": t, "timestamp": "same", "search": {"collection": f"c{t}.{i}", "seen_set_size": i}, "reflection": {"raw_response": "x" * 400 + str(i)}}
+        for i in range(30)
+        for t in (3, 1)
+    ]
+    path, turns = write(tmp_path / "j", *lines, name="abc123.details.jsonl"), write(tmp_path / "k", TURN)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in kept:
+            spark.conf.set(k, "4096")
+        details = logs.read_details(spark, path)
+        assert details.rdd.getNumPartitions() > 3
+        assert logs.search_pin(details).first()["collection"] == "c3.0"
+        assert logs.turn_details(logs.session_turns(logs.read_turn_log(spark, turns)), details).first()["seen_set_size"] == 29
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_appending_a_batch_again_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = spark.createDataFrame([(s, t, f"q{t}") for t in (2, 1) for s in "ab"], "session_id string, turn int, query string")
+    assert stores.append_log(rows, path) and stores.append_log(rows.withColumn("turn", F.col("turn") + 2), path)
+    read = lambda: [(r["session_id"], r["turn"]) for r in logs.read_turn_log(spark, path).orderBy("session_id", "place").collect()]
+    want = [(s, t) for s in "ab" for t in (1, 2, 3, 4)]
+    assert read() == want and batches.numbers(spark, path) == [0, 1]
+    assert not stores.append_log(rows.withColumn("turn", F.lit(9)), path, 1)
+    (tmp_path / "log" / "_writing" / "2-dead").mkdir(parents=True)
+    (tmp_path / "log" / "_writing" / "2-dead" / "part.json").write_text('{"turn": 7}')
+    assert read() == want
+    assert stores.append_log(rows.limit(0), path, 2) and read() == want
+
+
 def test_cohort_needs_distances(spark, tmp_path):
     path = write(tmp_path / "i", {"session_id": 1, "pk": 1}, name="x.json")
     with pytest.raises(Exception, match="nearest_fit_distance"):
