@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import lru_cache
 from heapq import heappop, heappush
 
 import pyarrow as pa
@@ -21,9 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import stretches
+
 #: Pieces of at most so many characters are remembered, and of them the last so many to twice so many; this bounds a worker's memory.
 REMEMBERED_CHARS = 48
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -31,69 +34,73 @@ def read_ranks(content: bytes) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Positions in buckets by rank; a bitmap of three levels finds the lowest rank in use."""
+    """The two lower levels of the bitmap, a bit for each rank and a bit for each word of 64 ranks; empty between pieces.
+
+    The top level (a bit for each word of the second) and the buckets belong to the piece at hand.
+    """
 
     def __init__(self, ranks: int):
         words = (ranks >> 6) + 1
         self.low = [0] * words
         self.mid = [0] * ((words >> 6) + 1)
-        self.top = 0  # one bit for each word of the middle level
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        word = rank >> 6
-        self.low[word] |= 1 << (rank & 63)
-        self.mid[word >> 6] |= 1 << (word & 63)
-        self.top |= 1 << (word >> 6)
-
-    def pop(self) -> tuple[int, int] | None:
-        """The lowest rank and its leftmost position."""
-        if not self.top:
-            return None
-        high = (self.top & -self.top).bit_length() - 1
-        bits = self.mid[high]
-        word = (high << 6) + (bits & -bits).bit_length() - 1
-        bits = self.low[word]
-        rank = (word << 6) + (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[word] &= bits - 1
-            if not self.low[word]:
-                self.mid[high] &= self.mid[high] - 1
-                if not self.mid[high]:
-                    self.top &= self.top - 1
-        return rank, position
 
 
 class Encoder:
     def __init__(self, content: bytes, pattern: str):
         self.ranks = read_ranks(content)
+        self.parts = parts_of(content)
+        self.packed = {rank: rank.to_bytes(4, "little") for rank in self.parts}
+        self.pairs = [self.ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
         self.queue = RankQueue(max(self.ranks.values()) + 1)
         self.pieces = regex.compile(pattern).findall
         self.known = _Known(self)
 
     def merge(self, piece: bytes) -> list[int]:
+        """Ids of a piece. The queue's steps are written out here: a call for each would cost more than the step."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        ranks, queue, n = self.ranks, self.queue, len(piece)
+        rank_of, n = self.ranks.get, len(piece)
         follow = list(range(1, n + 2))  # start of the part after the one at i
         before = list(range(-1, n))
         pending = [-1] * (n + 1)  # rank of merging the part at i with the next one
+        low, mid, top, buckets = self.queue.low, self.queue.mid, 0, {}
+        pairs, first = self.pairs, piece[0] << 8
         for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2])
-            if rank is not None:
-                pending[i] = rank
-                queue.push(rank, i)
-        while (entry := queue.pop()) is not None:
-            rank, at = entry
+            second = piece[i + 1]
+            rank = pairs[first | second]
+            first = second << 8
+            if rank < 0:
+                continue
+            pending[i] = rank
+            if rank in buckets:
+                buckets[rank].append(i)  # ascending, so a heap
+            else:
+                buckets[rank] = [i]
+                word = rank >> 6
+                low[word] |= 1 << (rank & 63)
+                mid[word >> 6] |= 1 << (word & 63)
+                top |= 1 << (word >> 6)
+        while top:
+            high = (top & -top).bit_length() - 1
+            bits = mid[high]
+            word = (high << 6) + (bits & -bits).bit_length() - 1
+            bits = low[word]
+            rank = (word << 6) + (bits & -bits).bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                at = heappop(bucket)
+            else:
+                at = bucket[0]
+                del buckets[rank]
+                bits &= bits - 1
+                low[word] = bits
+                if not bits:
+                    bits = mid[high]
+                    bits &= bits - 1
+                    mid[high] = bits
+                    if not bits:
+                        top &= top - 1
             if pending[at] != rank:
                 continue
             gone = follow[at]
@@ -105,15 +112,22 @@ class Encoder:
                 if left < 0:
                     continue
                 middle = follow[left]
-                rank = ranks.get(piece[left : follow[middle]]) if middle < n else None
+                rank = rank_of(piece[left : follow[middle]]) if middle < n else None
                 if rank is None:
                     pending[left] = -1
                 elif rank != pending[left]:
                     pending[left] = rank
-                    queue.push(rank, left)
+                    if rank in buckets:
+                        heappush(buckets[rank], left)
+                    else:
+                        buckets[rank] = [left]
+                        word = rank >> 6
+                        low[word] |= 1 << (rank & 63)
+                        mid[word >> 6] |= 1 << (word & 63)
+                        top |= 1 << (word >> 6)
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : follow[i]]])
+            out.append(rank_of(piece[i : follow[i]]))
             i = follow[i]
         return out
 
@@ -133,7 +147,7 @@ class _Known(dict):
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
-            ids = b"".join(i.to_bytes(4, "little") for i in self.encoder.merge(piece.encode("utf-8", "surrogatepass")))
+            ids = b"".join(map(self.encoder.packed.__getitem__, self.encoder.merge(piece.encode("utf-8", "surrogatepass"))))
         if len(piece) <= REMEMBERED_CHARS:
             if len(self) >= REMEMBERED:
                 self.older = dict(self)
@@ -145,6 +159,17 @@ class _Known(dict):
 _ENCODERS: dict[tuple[int, str], Encoder] = {}
 
 
+@lru_cache(maxsize=1)
+def parts_of(content: bytes) -> dict[int, bytes]:
+    """The bytes of each id, made once per worker process."""
+    return {rank: token for token, rank in read_ranks(content).items()}
+
+
+def joined(ids: bytes, parts: dict[int, bytes]) -> bytes:
+    """The bytes that ids (little-endian unsigned 32-bit integers) stand for."""
+    return b"".join(map(parts.__getitem__, memoryview(ids).cast("I").tolist()))
+
+
 def _encoder(content: bytes, pattern: str) -> Encoder:
     """One per worker process and vocabulary; what it remembers serves later tasks too."""
     key = (hash(content), pattern)
@@ -154,9 +179,12 @@ def _encoder(content: bytes, pattern: str) -> Encoder:
     return _ENCODERS[key]
 
 
-def encoded(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def encoded(
+    docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", keep: list[str] | None = None, decode: bool = False
+) -> DataFrame:
     """(row_, ids): the columns ``keep`` as a struct, and the ids as binary (little-endian unsigned 32-bit).
 
+    With ``decode`` also ``decoded_``, the bytes that the ids decode to, made in the same pass.
     ``vocabulary`` is a rank file on the driver; its content (below a megabyte, whatever the corpus) is broadcast.
     """
     with open(vocabulary, "rb") as file:
@@ -165,14 +193,19 @@ def encoded(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text",
     source = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row_"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text_")
     )
+    added = ["ids", "decoded_"] if decode else ["ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(content.value, pattern)
         for batch in batches:
-            ids = pa.array([encoder.encode(x.as_py()) for x in batch.column("text_")], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("row_"), ids], ["row_", "ids"])
+            for rows in stretches(batch, "text_"):
+                ids = [encoder.encode(x.as_py()) for x in rows.column("text_")]
+                columns = [rows.column("row_"), pa.array(ids, pa.binary())]
+                if decode:
+                    columns.append(pa.array([joined(x, encoder.parts) for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, ["row_", *added])
 
-    return source.mapInArrow(run, T.StructType([source.schema["row_"], T.StructField("ids", T.BinaryType())]))
+    return source.mapInArrow(run, T.StructType([source.schema["row_"], *(T.StructField(n, T.BinaryType()) for n in added)]))
 
 
 def decoded(df: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
@@ -181,12 +214,9 @@ def decoded(df: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
         content = df.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = {rank: token for token, rank in read_ranks(content.value).items()}
+        parts = parts_of(content.value)
         for batch in batches:
-            out = [
-                None if x is None else b"".join(map(parts.__getitem__, memoryview(x).cast("I").tolist()))
-                for x in batch.column(ids).to_pylist()
-            ]
+            out = [None if x is None else joined(x, parts) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded_"])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("decoded_", T.BinaryType())]))

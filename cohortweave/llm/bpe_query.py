@@ -12,8 +12,8 @@ from .common import table
 
 def op3_rank_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = bpe.encoded(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN, keep=["doc_id"])
-    return bpe.decoded(ids, vocabulary).select(
+    ids = bpe.encoded(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN, keep=["doc_id"], decode=True)
+    return ids.select(
         F.col("row_.doc_id").alias("doc_id"),
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
