@@ -184,35 +184,53 @@ def judge_errors(verdicts: DataFrame, keys: Sequence[str] = ("session_id",)) ->
     )
 
 
+#: Gets prompts as {"query", "prior_spans", "text"}, answers each with a JSON list of 0-based line numbers.
+Extractor = Callable[[list[dict]], list[str | None]]
+
+
 def extract_spans(
     rows: DataFrame,
     cache: DataFrame,
-    extractor: Answerer,
+    extractor: Extractor,
     model: str,
     prompt_version: str,
+    prior: DataFrame | None = None,
     attempts: int = 2,
+    callers: int = 16,
 ) -> tuple[DataFrame, DataFrame]:
     """Span line indices per row, from the cache or from the extractor.
 
-    Answers are JSON lists of 0-based line numbers. Rows that fail ``attempts``
-    times are left out. Returns the rows and the entries to append to the cache.
-    Rows with the same key are asked once.
+    ``rows`` are (session_id, pk, query, chunk_content). The extractor sees the query and the session's last FIT spans, ``prior`` as
+    ``ratings.prior_spans`` gives them, oldest first; what it has seen is not part of the cache key. Rows with the same key are asked once,
+    for the first of their sessions. Rows that fail ``attempts`` times are left out. Returns the rows and the entries to append to the cache.
     """
     keyed = rows.withColumn(
         "cache_key", text.cache_key(F.lit(model), F.lit(prompt_version), F.col("query"), F.col("chunk_content"))
     )
     known = cache.select("cache_key", "span_line_indices")
-    missing = keyed.join(known.select("cache_key"), "cache_key", "left_anti").dropDuplicates(["cache_key"]).select(
-        "cache_key", "chunk_content"
+    missing = keyed.join(known.select("cache_key"), "cache_key", "left_anti").groupBy("cache_key").agg(
+        F.min_by(F.struct("session_id", "query", "chunk_content"), F.struct("session_id", "pk")).alias("r")
     )
-    pending, found = missing, []
+    missing = missing.select("cache_key", "r.session_id", "r.query", "r.chunk_content")
+    none = F.array().cast("array<string>")
+    if prior is None:
+        missing = missing.withColumn("prior_spans", none)
+    else:
+        spans = prior.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "span_text"))), lambda x: x.span_text).alias("prior_spans"))
+        missing = missing.join(broadcast_if_small(spans), "session_id", "left").withColumn("prior_spans", F.coalesce("prior_spans", none))
+    prompt = F.to_json(F.struct("query", "prior_spans", F.col("chunk_content").alias("text")))
+    pending, found = missing.select("cache_key", "chunk_content", prompt.alias("prompt")), []
+
+    def answer(prompts: list[str]) -> list[str | None]:
+        return extractor([json.loads(p) for p in prompts])
+
     for attempt in range(attempts):
-        asked = cut(ask(pending, "chunk_content", extractor))
+        asked = cut(ask(pending.repartition(callers), "prompt", answer))
         idx = F.from_json("raw", "array<int>")
         ok = F.coalesce(text.span_is_valid(idx, F.col("chunk_content")), F.lit(False))
         asked = asked.withColumn("span_line_indices", idx).withColumn("_ok", ok)
         found.append(asked.where("_ok").select("cache_key", "span_line_indices", "chunk_content"))
-        pending = asked.where("NOT _ok").select("cache_key", "chunk_content")
+        pending = asked.where("NOT _ok").select("cache_key", "chunk_content", "prompt")
         if attempt + 1 < attempts and pending.isEmpty():
             break
     fresh = reduce(lambda a, b: a.unionByName(b), found)
@@ -226,6 +244,14 @@ def extract_spans(
     return out, new_cache
 
 
+def merged_cache(cache: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The cache with new entries; of two entries with one key that which is there already stays, of new ones the smallest."""
+    columns = ["cache_key", "span_line_indices", "span_text"]
+    one = fresh.groupBy("cache_key").agg(F.min(F.struct(*columns[1:])).alias("e")).select("cache_key", "e.*")
+    new = one.join(cache.select("cache_key"), "cache_key", "left_anti")
+    return cache.select(*columns).unionByName(new.select(*columns))
+
+
 def span_drift(fits: DataFrame, cache: DataFrame) -> DataFrame:
     """Logged spans that differ from the cache (the log wins)."""
     cached = cache.select("chunk_id", F.col("span_text").alias("cached_text"), F.col("span_line_indices").alias("cached_idx"))

@@ -292,36 +292,59 @@ def refine_run(spark, d):
     return run.verdicts.select(*JUDGED_COLUMNS)
 
 
-def long_line_extractor(texts):
-    """The first two lines of at least 40 characters, or an unusable answer when there is none."""
+def long_line_extractor(prompts):
+    """The first lines of at least 40 characters that no earlier span of the session has, one or two as the query asks, or an unusable answer."""
     out = []
-    for body in texts:
-        hit = [i for i, line in enumerate(body.split("\n")) if len(line) >= 40][:2]
-        out.append(json.dumps(hit) if hit else "none found")
+    for p in prompts:
+        new = [i for i, line in enumerate(p["text"].split("\n")) if len(line) >= 40 and not any(line in s for s in p["prior_spans"])]
+        out.append(json.dumps(new[: 1 + len(p["query"]) % 2]) if new else "none found")
     return out
 
 
 def extraction(spark, d):
-    rows = t.corpus(spark, d).select("pk", "label", "chunk_content", F.lit("what helps").alias("query"))
+    """Spans and what the cache has afterwards; chunks of kind 0 are in it before."""
+    rows = t.corpus(spark, d).select(
+        F.floor(F.col("pk") / t.SESSION_SIZE).alias("session_id"), "pk", "label", "chunk_content",
+        F.concat(F.lit("what helps in "), F.floor(F.col("pk") / t.SESSION_SIZE)).alias("query"),
+    )
     keyed = rows.withColumn("cache_key", text.cache_key(F.lit("m"), F.lit("v1"), F.col("query"), F.col("chunk_content")))
-    cache = keyed.where("label = 0").select("cache_key", F.array(F.lit(0)).alias("span_line_indices")).dropDuplicates(["cache_key"])
-    return judging.extract_spans(rows, cache, long_line_extractor, "m", "v1")
+    cache = keyed.where("label = 0").groupBy("cache_key").agg(
+        F.array(F.lit(0)).alias("span_line_indices"), text.span_text(F.any_value("chunk_content"), F.array(F.lit(0))).alias("span_text")
+    )
+    prior = ratings.prior_spans(t.events(spark, d))
+    spans, fresh = judging.extract_spans(rows, cache, long_line_extractor, "m", "v1", prior)
+    return spans, judging.merged_cache(cache, fresh)
+
+
+cte(
+    "extraction_t",
+    f"""WITH prior AS (SELECT session_id, list(span_text) AS spans FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS back
+      FROM events_t WHERE rating = 'FIT' AND length(span_text) > 0) WHERE back <= 5 GROUP BY 1),
+    r AS (SELECT pk // {t.SESSION_SIZE} AS session_id, 'what helps in ' || (pk // {t.SESSION_SIZE}) AS query, pk, label, chunk_content, string_split(chunk_content, chr(10)) AS ls FROM corpus),
+    k AS (SELECT session_id, chunk_content, bool_or(label = 0) AS cached FROM r GROUP BY 1, 2)
+    SELECT r.session_id, r.pk, r.query, r.chunk_content, r.ls, CASE WHEN k.cached THEN [0] ELSE
+      ([i - 1 FOR i IN range(1, len(r.ls) + 1) IF length(r.ls[i]) >= 40
+        AND len(list_filter(coalesce(p.spans, []), lambda s: contains(s, r.ls[i]))) = 0])[1:1 + length(r.query) % 2] END AS idx
+    FROM r JOIN k ON k.session_id = r.session_id AND k.chunk_content = r.chunk_content LEFT JOIN prior p ON p.session_id = r.session_id""",
+)
 
 
 @query(
     "extract_rules",
-    """WITH r AS (SELECT pk, label, chunk_content, string_split(chunk_content, chr(10)) AS ls FROM corpus),
-    k AS (SELECT chunk_content, bool_or(label = 0) AS cached FROM r GROUP BY 1),
-    s AS (SELECT r.pk, r.ls, CASE WHEN k.cached THEN [0] ELSE ([i - 1 FOR i IN range(1, len(r.ls) + 1) IF length(r.ls[i]) >= 40])[1:2] END AS idx
-      FROM r JOIN k ON k.chunk_content = r.chunk_content)
-    SELECT pk, array_to_string(idx, ',') AS span_line_indices, md5(array_to_string([ls[i + 1] FOR i IN idx], chr(10))) AS span FROM s WHERE len(idx) > 0""",
+    """SELECT pk, array_to_string(idx, ',') AS span_line_indices, md5(array_to_string([ls[i + 1] FOR i IN idx], chr(10))) AS span
+    FROM extraction_t WHERE len(idx) > 0""",
 )
 def extract_rules(spark, d):
     return extraction(spark, d)[0].select("pk", "span_line_indices", F.md5("span_text").alias("span"))
 
 
-@query("extract_spans")
+@query(
+    "extract_spans",
+    """SELECT DISTINCT sha256(to_json(['m', 'v1', query, chunk_content])::VARCHAR) AS cache_key, array_to_string(idx, ',') AS span_line_indices,
+    length(array_to_string([ls[i + 1] FOR i IN idx], chr(10)))::BIGINT AS n_chars FROM extraction_t WHERE len(idx) > 0""",
+)
 def extract_spans(spark, d):
+    """The cache after a run: what was in it, and an entry for each new key."""
     return extraction(spark, d)[1].select("cache_key", "span_line_indices", F.length("span_text").alias("n_chars"))
 
 
