@@ -22,6 +22,8 @@ from ..session import broadcast_if_small, cut, narrowed
 
 Answerer = Callable[[list[str]], list[str | None]]
 AUTO_DROP = "auto_drop_known_intruder"
+#: Between what a judge is told and the text that it judges.
+TEXT_FOLLOWS = "\n--- text ---\n"
 
 
 def parse_verdicts(raw: DataFrame, checks: Column, answer: str = "raw", content: str = "chunk_content") -> DataFrame:
@@ -84,9 +86,12 @@ def judge(
     answerer: Answerer,
     max_retries: int = 2,
     callers: int = 16,
+    context: DataFrame | None = None,
 ) -> DataFrame:
     """A verdict per sampled row; unusable answers become ERROR rows, never failures.
 
+    The prompt is the text with numbered lines, behind the session's ``context`` (session_id, context) and ``TEXT_FOLLOWS`` if one is given.
+
     Rows whose answer is rejected are asked again, up to ``max_retries`` times.
     Each round is written out before it is used, so no answer is asked for twice.
     ``callers`` is how many tasks call the judge side by side.
@@ -118,9 +123,12 @@ def judge(
         F.lit(None).cast("double").alias("latency_ms"),
         F.lit("api").alias("error_kind"),
     )
-    pending = rows.where("arm = 'selected' AND chunk_content <> ''").withColumn(
-        "prompt", text.number_lines(F.col("chunk_content"), 1)
-    ).withColumn("spent_ms", F.lit(0.0))
+    pending = rows.where("arm = 'selected' AND chunk_content <> ''")
+    prompt = text.number_lines(F.col("chunk_content"), 1)
+    if context is not None:
+        pending = pending.join(broadcast_if_small(context.select("session_id", "context")), "session_id", "left")
+        prompt = F.concat(F.coalesce("context", F.lit("")), F.lit(TEXT_FOLLOWS), prompt)
+    pending = pending.withColumn("prompt", prompt).withColumn("spent_ms", F.lit(0.0))
     done = [auto, empty]
     for attempt in range(1, max_retries + 2):
         answered = cut(parse_verdicts(ask(pending.repartition(callers), "prompt", answerer), known))
@@ -159,7 +167,7 @@ def keyword_judge(checks: dict[str, str]) -> Answerer:
     def answer(prompts: list[str]) -> list[str | None]:
         out = []
         for prompt in prompts:
-            low = prompt.lower()
+            low = prompt.rpartition(TEXT_FOLLOWS)[2].lower()
             failed = next((c for c, word in checks.items() if word not in low), None)
             out.append(
                 json.dumps(
@@ -176,6 +184,23 @@ def keyword_judge(checks: dict[str, str]) -> Answerer:
     return answer
 
 
+def judge_context(rubrics: DataFrame, exemplars: DataFrame) -> DataFrame:
+    """(session_id, context): the rubric's text, then the session's exemplars (kind, ord, span_text), fitting ones first."""
+    shown = exemplars.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("kind", "ord", "span_text"))).alias("e"))
+    listed = F.transform("e", lambda x: F.concat(x.kind, F.lit(": "), F.coalesce(x.span_text, F.lit(""))))
+    return rubrics.join(broadcast_if_small(shown), "session_id", "left").select(
+        "session_id", F.array_join(F.concat(F.array("rubric_text"), F.coalesce(listed, F.array().cast("array<string>"))), "\n").alias("context")
+    )
+
+
+def pinned(verdicts: DataFrame, rubrics: DataFrame) -> DataFrame:
+    """Verdicts with the version and text hash of their session's rubric; a session without one is an error."""
+    pins = rubrics.select("session_id", "rubric_version", "prompt_sha256")
+    missing = F.raise_error(F.concat(F.lit("no rubric for session "), F.col("session_id").cast("string"))).cast("string")
+    joined = verdicts.join(broadcast_if_small(pins), "session_id", "left")
+    return joined.withColumn("prompt_sha256", F.coalesce("prompt_sha256", missing))
+
+
 def judge_errors(verdicts: DataFrame, keys: Sequence[str] = ("session_id",)) -> DataFrame:
     return verdicts.groupBy(*keys).agg(
         F.count_if(F.col("error_kind") == "parse").alias("parse_error_count"),

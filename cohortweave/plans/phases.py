@@ -126,7 +126,9 @@ class Refine:
     sample: DataFrame
     binned: DataFrame
     edges: DataFrame
+    exemplars: DataFrame
     verdicts: DataFrame
+    meta: DataFrame
 
 
 def run_refine(
@@ -136,13 +138,34 @@ def run_refine(
     content: DataFrame,
     checks: Sequence[str],
     answerer: judging.Answerer,
+    rubrics: DataFrame,
+    fits: DataFrame,
+    not_fits: DataFrame,
     p: RefineParams = RefineParams(),
 ) -> Refine:
-    """Draw a distance-stratified sample and have it judged."""
+    """Draw a distance-stratified sample, have it judged by each session's rubric, and report on it.
+
+    ``rubrics`` are (session_id, rubric_version, rubric_text, prompt_sha256); ``fits`` and ``not_fits`` are rated examples (session_id, ord,
+    vec, span_text), of which the judge sees a diverse few. Verdicts are written before they are reported on, so
+    report and rows are of the same answers.
+    """
     sample, binned = sampling.stratified_sample(cohort, exclude, intruders, p)
     sample = cut(sample)
-    verdicts = judging.judge(sample, content, checks, answerer, p.max_retries)
-    return Refine(sample, binned, sampling.decile_edges(binned, p.n_bins), verdicts)
+    kinds = (("FIT", fits, p.max_fit_examples), ("NOT_FIT", not_fits, p.max_not_fit_examples))
+    chosen = [
+        sampling.exemplar_cap(rows, most).select(SID, F.lit(kind).alias("kind"), "ord", "span_text") for kind, rows, most in kinds
+    ]
+    exemplars = cut(chosen[0].unionByName(chosen[1]))
+    context = judging.judge_context(rubrics, exemplars)
+    judged = judging.judge(sample, content, checks, answerer, p.max_retries, context=context)
+    verdicts = cut(judging.pinned(judged, rubrics))
+    edges = cut(sampling.decile_edges(binned, p.n_bins))
+    shown = exemplars.groupBy(SID).agg(
+        F.count_if(F.col("kind") == "FIT").alias("fit_examples"), F.count_if(F.col("kind") == "NOT_FIT").alias("not_fit_examples")
+    )
+    meta = reports.refine_meta(verdicts, binned, edges, p.n_bins).join(broadcast_if_small(shown), SID, "left")
+    meta = meta.fillna(0, ["fit_examples", "not_fit_examples"]).join(rubrics.select(SID, "rubric_version", "prompt_sha256"), SID)
+    return Refine(sample, binned, edges, exemplars, verdicts, meta)
 
 
 @dataclass(frozen=True)

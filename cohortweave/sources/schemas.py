@@ -39,6 +39,18 @@ def cohort(key: str = KEY, session: str = KEY) -> str:
     )
 
 
+def rubrics(session: str = KEY) -> str:
+    return f"session_id {session}, rubric_version INT, rubric_text STRING"
+
+
+def verdicts(key: str = KEY, session: str = KEY) -> str:
+    return (
+        f"session_id {session}, pk {key}, arm STRING, decile INT, nearest_fit_distance DOUBLE, verdict STRING, "
+        "evidence_line_indices ARRAY<INT>, failed_check STRING, reason STRING, attempts INT, latency_ms DOUBLE, "
+        "error_kind STRING, rubric_version INT, prompt_sha256 STRING"
+    )
+
+
 def labels(key: str = KEY, session: str = KEY) -> str:
     return f"session_id {session}, pk {key}, verdict STRING, p_keep DOUBLE"
 
@@ -52,3 +64,4 @@ def classifier(session: str = KEY) -> str:
 
 
 CLASSIFIER_FIELDS = tuple(field.split()[0] for field in classifier().split(", "))
+VERDICT_FIELDS = tuple(field.split()[0] for field in verdicts().split(", "))

@@ -81,8 +81,21 @@ def append_log(records: DataFrame, path: str, number: int | None = None, order:
     return batches.put(lines, path, number, "json", ignoreNullFields="true")
 
 
-def write_rows(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").json(path)
+def read_rubrics(spark: SparkSession, path: str, session: str = KEY) -> DataFrame:
+    """Locked rubrics (session_id, rubric_version, rubric_text) with the hash that pins their text; one without a text is an error."""
+    raw = spark.read.schema(schemas.rubrics(session)).option("mode", "FAILFAST").json(path)
+    missing = F.raise_error(F.concat(F.lit("rubric without a text: session "), F.col("session_id").cast("string"))).cast("string")
+    checked = F.when(F.length("rubric_text") > 0, F.col("rubric_text")).otherwise(missing)
+    return raw.withColumn("rubric_text", checked).withColumn("prompt_sha256", F.sha2("rubric_text", 256))
+
+
+def write_verdicts(verdicts: DataFrame, path: str) -> None:
+    """Overwrite with JSON lines, each pinned to the rubric it was judged by; nulls are written."""
+    verdicts.select(*schemas.VERDICT_FIELDS).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def read_verdicts(spark: SparkSession, path: str, key: str = KEY, session: str = KEY) -> DataFrame:
+    return spark.read.schema(schemas.verdicts(key, session)).option("mode", "FAILFAST").json(path)
 
 
 def write_labels(labels: DataFrame, path: str) -> None:

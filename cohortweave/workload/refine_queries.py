@@ -10,7 +10,7 @@ from ..functions import text
 from ..operators import harvest as hv, judging, ratings, reports, sampling
 from ..params import RefineParams
 from ..plans import phases
-from ..session import staged
+from ..session import scratch_path, staged
 from ..sources import logs, stores
 from . import tables as t
 from .harvest_queries import cohort, dist, not_fit
@@ -284,12 +284,54 @@ def judge_sample(spark, d):
     return judging.judge_errors(judged)
 
 
-@query("refine_run", JUDGED)
+def not_fit_items(spark, d):
+    """Rated examples of what does not fit, with their vectors."""
+    rows = ratings.not_fit_exemplars(t.events(spark, d)).select("session_id", "pk", F.col("chunk_content").alias("span_text"))
+    met = rows.join(t.vectors(spark, d), "pk")
+    return met.select("session_id", F.col("pk").alias("ord"), F.col("dense").cast("array<double>").alias("vec"), "span_text")
+
+
+def refined(spark, d):
+    fits = t.anchors(spark, d).select("session_id", F.col("fit_ord").alias("ord"), F.col("span").alias("vec"), F.col("chunk_id").alias("span_text"))
+    return phases.run_refine(
+        cohort(spark, d), excluded(spark, d), known(spark, d), content(spark, d), list(CHECKS), judging.keyword_judge(CHECKS),
+        rubrics(spark, d), fits, not_fit_items(spark, d), RP,
+    )
+
+
+@query(
+    "refine_run",
+    f"""SELECT j.*, 1 + session_id % 3 AS rubric_version, sha256('rubric of session ' || session_id) AS prompt_sha256 FROM ({JUDGED}) j""",
+)
 def refine_run(spark, d):
-    run = phases.run_refine(
-        cohort(spark, d), excluded(spark, d), known(spark, d), content(spark, d), list(CHECKS), judging.keyword_judge(CHECKS), RP
+    """Verdicts of a whole run, as written and read back."""
+    path = scratch_path(spark, "refine-verdicts")
+    stores.write_verdicts(refined(spark, d).verdicts, path)
+    return stores.read_verdicts(spark, path, "BIGINT", "BIGINT").select(*JUDGED_COLUMNS, "rubric_version", "prompt_sha256")
+
+
+@query(
+    "refine_run_meta",
+    f"""WITH j AS ({JUDGED}), c AS (SELECT session_id, count(*) FILTER (verdict = 'KEEP') AS keep,
+      count(*) FILTER (verdict = 'DROP' AND coalesce(failed_check, '') <> 'auto_drop_known_intruder') AS drop,
+      count(*) FILTER (verdict = 'ERROR') AS error, count(*) FILTER (failed_check = 'auto_drop_known_intruder') AS auto_drop FROM j GROUP BY 1),
+    f AS (SELECT session_id, string_agg(failed_check || '=' || n, ',' ORDER BY failed_check) AS failed_check_histogram FROM
+      (SELECT session_id, failed_check, count(*) AS n FROM j WHERE verdict = 'DROP' AND failed_check <> 'auto_drop_known_intruder' GROUP BY 1, 2) GROUP BY 1),
+    n AS (SELECT session_id, string_agg(n, ',' ORDER BY decile) AS per_decile_count FROM (SELECT session_id, decile, count(*) AS n FROM binned_t GROUP BY 1, 2) GROUP BY 1)
+    SELECT c.*, f.failed_check_histogram, n.per_decile_count,
+      least(6, (SELECT count(*) FROM anchors_t a WHERE a.session_id = c.session_id)) AS fit_examples,
+      least(6, (SELECT count(*) FROM not_fit_exemplars_t x WHERE x.session_id = c.session_id AND x.pk IN (SELECT pk FROM vectors_t))) AS not_fit_examples,
+      1 + c.session_id % 3 AS rubric_version, sha256('rubric of session ' || c.session_id) AS prompt_sha256
+    FROM c JOIN n ON n.session_id = c.session_id LEFT JOIN f ON f.session_id = c.session_id""",
+)
+def refine_run_meta(spark, d):
+    hist = F.array_join(
+        F.transform(F.map_entries("failed_check_histogram"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ","
+    )
+    return refined(spark, d).meta.select(
+        "session_id", "verdict_counts.keep", "verdict_counts.drop", "verdict_counts.error", "verdict_counts.auto_drop",
+        hist.alias("failed_check_histogram"), "per_decile_count", "fit_examples", "not_fit_examples", "rubric_version", "prompt_sha256",
     )
-    return run.verdicts.select(*JUDGED_COLUMNS)
 
 
 def long_line_extractor(prompts):
@@ -396,12 +438,18 @@ def rubric_examples(spark, d):
     return judging.annotate_not_fits(rows.drop("fails"), rows.where("label <> 5"), checks(spark, d))
 
 
+_RUBRICS: dict[tuple[str, str], str] = {}
+
+
 def rubrics(spark, d):
-    per = t.events(spark, d).select("session_id").distinct()
-    return per.select(
-        "session_id", (1 + F.col("session_id") % 3).cast("int").alias("rubric_version"),
-        F.sha2(F.concat(F.lit("rubric of session "), F.col("session_id").cast("string")), 256).alias("prompt_sha256"),
-    )
+    """The sessions' rubrics, out of a file of them."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _RUBRICS:
+        _RUBRICS[key] = scratch_path(spark, "rubrics")
+        t.events(spark, d).select("session_id").distinct().select(
+            "session_id", (1 + F.col("session_id") % 3).alias("rubric_version"), F.concat(F.lit("rubric of session "), "session_id").alias("rubric_text")
+        ).write.json(_RUBRICS[key])
+    return stores.read_rubrics(spark, _RUBRICS[key], "BIGINT")
 
 
 @query(
@@ -409,7 +457,7 @@ def rubrics(spark, d):
     "SELECT DISTINCT session_id, 1 + session_id % 3 AS rubric_version, sha256('rubric of session ' || session_id) AS prompt_sha256 FROM events_t",
 )
 def rubric_pin(spark, d):
-    return rubrics(spark, d)
+    return rubrics(spark, d).drop("rubric_text")
 
 
 def diverse_sql(items: str, k: int, prefix: str) -> str:
