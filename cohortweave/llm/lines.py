@@ -11,7 +11,7 @@ A line is the set of its words; two lines match at a Jaccard similarity of ``per
 4. Every line gets its closest earlier candidates verified first. Lines they do not settle, and that had more
    candidates, get all of them verified. So a group of copies costs a few pairs per line, and no match is lost.
 
-Defined cases: no text has one empty line; lines with fewer than ``least_words`` different words are neither compared nor removed; rows with the same
+Defined cases: no text has one empty line; lines without a word are neither compared nor removed, all others are, however short; rows with the same
 id and text are one document (a line is not earlier than itself), different texts of one id and rows without an id are documents of their own
 (``document_keys``); a null id comes before all others; an empty table gives an empty
 result; columns of the caller are carried in a struct.
@@ -52,7 +52,12 @@ ENTRY = np.dtype([("key", "<u8"), ("doc", "<i8"), ("sub", "<i8"), ("line", "<u4"
 @dataclass(frozen=True)
 class Options:
     percent: int = 80
-    least_words: int = 5
+    #: Lines with fewer different words are left as they are; lines without a word always are.
+    least_words: int = 1
+
+    def __post_init__(self):
+        if self.least_words < 1:
+            raise ValueError("least_words must be at least 1")
 
 
 def line_sets(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

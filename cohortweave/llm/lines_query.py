@@ -19,7 +19,7 @@ QUERIES = {"op7_line_join": op7_line_join}
 #: The lines that go, as common table expressions over ``documents``; also used for the pipeline.
 GONE = r"""
 l AS (SELECT doc_id, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS body FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)),
-s AS (SELECT * FROM (SELECT doc_id, i, list_distinct(regexp_extract_all(body, '[^\x20\x09-\x0D]+')) AS w FROM l) WHERE len(w) >= 5),
+s AS (SELECT * FROM (SELECT doc_id, i, list_distinct(regexp_extract_all(body, '[^\x20\x09-\x0D]+')) AS w FROM l) WHERE len(w) >= 1),
 tokens AS (SELECT doc_id, i, len(w) AS n, unnest(w) AS t FROM s),
 frequency AS (SELECT t, count(*) AS f FROM tokens GROUP BY t),
 ranked AS (SELECT doc_id, i, n, t, row_number() OVER (PARTITION BY doc_id, i ORDER BY f, t) AS r FROM tokens JOIN frequency USING (t)),

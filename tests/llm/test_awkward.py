@@ -133,7 +133,7 @@ def test_passages(spark):
 # lines
 
 
-def brute_lines(rows, percent=80, least=5):
+def brute_lines(rows, percent=80, least=1):
     every = [(d, i, set(WORDS.findall(x))) for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)) for i, x in enumerate((t or "").split("\n"))]
     every = [e for e in every if len(e[2]) >= least]
     gone = defaultdict(set)
@@ -143,6 +143,13 @@ def brute_lines(rows, percent=80, least=5):
     return {d: (len((t or "").split("\n")), len(gone[d])) for d, t in rows}
 
 
+def test_short_lines_and_lines_without_blanks(spark):
+    """Menus, headings and lines of a script without blanks go where they repeat; blank lines stay."""
+    rows = [(i, "Read more\nmenu home\n\n \t\n漢字の行はここで終わる。\nx\nx x\nown line of document " + str(i)) for i in range(3)]
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in lines.deduplicated(docs(spark, rows)).select("row_.doc_id", "n_lines", "n_removed").collect()}
+    assert got == brute_lines(rows) and [got[i][1] for i in range(3)] == [1, 5, 5]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_lines(spark, seed, monkeypatch):
     monkeypatch.setattr(lines, "PAIRS", 50)
