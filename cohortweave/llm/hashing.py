@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: A worker remembers the hashes of so many words at most.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 _MASK = (1 << 64) - 1
 #: Odd multipliers (any would do).

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import broadcast_measured, save
+from .common import broadcast_measured, save, stretches
 from .components import components
 from .sketch import fitting, levels, repeated, sketch
 
@@ -264,7 +264,7 @@ def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: li
     schema = source.select("row_", "id_").schema.add("n_shingles", "long").add("h", "long").add("g", "long").add("set", "binary")
 
     def surviving(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in stretches(whole, "text_")):
             sizes, h, g, sets = [], [], [], []
             for x in batch.column("text_"):
                 own = shingles(_raw(x), options.words)
@@ -279,6 +279,7 @@ def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: li
             yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
     rows = save(source.mapInArrow(surviving, schema).withColumn("rid", F.monotonically_increasing_id()), "shingle_sets")
+    bits.unpersist()
     may = rows.filter("h is not null")
     classes = save(may.groupBy("h", "g", "n_shingles").agg(F.min("rid").alias("node")), "set_classes")
     sets = save(
@@ -311,6 +312,7 @@ def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: li
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], ["key", "node", "n"])
 
     postings = save(sets.select("node", "n", "set").mapInArrow(prefixes, "key long, node long, n long"), "prefixes")
+    rarity.unpersist()
     pivots = postings.groupBy("key").agg(F.min("node").alias("region"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
     members = save(postings.join(pivots, "key").select("region", "node", "n").distinct(), "regions")
     roots = components(_region_links(members, sets, options))
