@@ -18,9 +18,25 @@ def read_corpus(spark: SparkSession, path: str, fields: tuple[str, ...] = CORPUS
     return spark.read.parquet(path).select(*fields)
 
 
-def read_content_jdbc(spark: SparkSession, url: str, table: str, predicates: list[str], **options: str) -> DataFrame:
-    """The original-content store in a database, one partition per predicate."""
-    return spark.read.jdbc(url, table, predicates=predicates, properties=options)
+def key_ranges(keys: DataFrame, key: str, parts: int, sample_rows: int = 10_000) -> list[str]:
+    """SQL conditions that split a table into ``parts`` ranges of ``key`` (number or text); every row, also one without a key, meets one.
+
+    The bounds are quantiles of at most ``sample_rows`` keys chosen by hash, which only decides how even the ranges are.
+    """
+    chosen = keys.select(key).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key)).limit(sample_rows)
+    values = sorted(r[0] for r in chosen.collect())
+    bounds = sorted({values[len(values) * i // parts] for i in range(1, parts)}) if values else []
+    quoted = ["'" + b.replace("'", "''") + "'" if isinstance(b, str) else str(b) for b in bounds]
+    if not quoted:
+        return ["1 = 1"]
+    between = [f"{key} >= {low} AND {key} < {high}" for low, high in zip(quoted[:-1], quoted[1:])]
+    return [f"{key} < {quoted[0]} OR {key} IS NULL", *between, f"{key} >= {quoted[-1]}"]
+
+
+def read_content_jdbc(spark: SparkSession, url: str, table: str, key: str = "pk", parts: int = 16, **options: str) -> DataFrame:
+    """The original-content store in a database, read by ``parts`` tasks, each a range of keys. The database must compare keys by their bytes."""
+    keys = spark.read.jdbc(url, f"(SELECT {key} FROM {table}) keys_", properties=options)
+    return spark.read.jdbc(url, table, predicates=key_ranges(keys, keys.columns[0], parts), properties=options)
 
 
 def lookup(table: DataFrame, keys: DataFrame) -> DataFrame:

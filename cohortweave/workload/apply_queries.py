@@ -495,26 +495,36 @@ def applied(spark, d):
     return phases.apply_train(verdicts(spark, d), t.vectors(spark, d), AP)
 
 
-@query(
-    "apply_run",
-    """SELECT c.session_id, c.n AS total, t.n AS training_n FROM (SELECT session_id, count(*) AS n FROM cohort_t GROUP BY 1) c
-    JOIN (SELECT session_id, count(*) AS n FROM train_t GROUP BY 1) t ON t.session_id = c.session_id""",
-)
+@query("apply_run", "SELECT session_id, pk, true AS scored, true AS decided FROM cohort_t WHERE pk IN (SELECT pk FROM vectors_t)")
 def apply_run(spark, d):
+    """Labels of a whole run: each cohort row under its session's classifier as trained, and the verdict at the threshold."""
     a = applied(spark, d)
     scores = cut(phases.score_cohort(cohort(spark, d), t.vectors(spark, d), a.models, 0.52))
     labels, _ = phases.apply_finalize(a, scores, 0.52, AP, allow_low_precision=True)
-    return labels.groupBy("session_id").agg(F.count("*").alias("total")).join(
-        a.models.select("session_id", F.col("n_train").alias("training_n")), "session_id"
+    rows = md.feature_frame(cohort(spark, d).join(t.vectors(spark, d), "pk"), a.scaler).join(a.models.select("session_id", "coef", "intercept"), "session_id")
+    own = rows.select("session_id", "pk", vectors.logistic(F.col("features"), F.col("coef"), F.col("intercept")).alias("own"))
+    return labels.join(own, ["session_id", "pk"], "left").select(
+        "session_id", "pk", (F.abs(F.col("p_keep") - F.col("own")) < 1e-9).alias("scored"),
+        ((F.col("p_keep") >= 0.52) == (F.col("verdict") == "KEEP")).alias("decided"),
     )
 
 
-@query("apply_meta")
+@query(
+    "apply_meta",
+    """SELECT c.session_id, c.n AS cohort_total_input, l.labelled, l.keep, l.labelled - l.keep AS drop, t.n AS training_n, round(f.threshold, 6) AS threshold,
+    round(f.precision, 6) AS precision, round(f.recall, 6) AS recall, CASE WHEN f.precision IS NULL THEN NULL WHEN f.precision >= 0.85 THEN 'agree' ELSE 'override_low_precision' END AS operator_decision,
+    t.keep AS n_keep, t.n - t.keep AS n_drop, c.n - coalesce(l.labelled, 0) AS cohort_dropped_for_missing_embedding
+    FROM (SELECT session_id, count(*) AS n FROM cohort_t GROUP BY 1) c
+    LEFT JOIN (SELECT session_id, count(*) AS labelled, count(*) FILTER (p_keep >= 0.52) AS keep FROM labelled_t WHERE pk % 7 > 0 GROUP BY 1) l ON l.session_id = c.session_id
+    LEFT JOIN (SELECT session_id, count(*) AS n, sum(label)::BIGINT AS keep FROM train_t GROUP BY 1) t ON t.session_id = c.session_id
+    LEFT JOIN final_t f ON f.session_id = c.session_id""",
+)
 def apply_meta(spark, d):
-    a = applied(spark, d)
-    scores = cut(phases.score_cohort(cohort(spark, d), t.vectors(spark, d), a.models, 0.52))
-    labels, decision = phases.apply_finalize(a, scores, 0.52, AP, allow_low_precision=True)
-    return reports.apply_meta(cohort(spark, d), labels, a.frame, decision, a.models)
+    """The record of a run with given weights; a seventh of the cohort has no vector."""
+    labels = phases.score_cohort(cohort(spark, d), t.vectors(spark, d).where("pk % 7 > 0"), fixed_models(spark, d), 0.52)
+    decision = md.precision_bar(finals(spark, d), 0.85, allow=True).select("session_id", "threshold", "precision", "recall", "operator_decision")
+    rows = frame(spark, d)
+    return reports.apply_meta(cohort(spark, d), labels, rows, decision, tr.train(rows))
 
 
 # Export: keys carry user and counselor ids, some are malformed; Spanish texts are missing from the store.
