@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..params import PATHS, SearchParams
-from ..session import broadcast_if_small, cut
+from ..session import BROADCAST_BYTES, broadcast_if_small, cut, measured
 from .blocks import MAX_BLOCK_ROWS, against, matching_rows, nearest_rows
 
 FIELDS = ("sample_id", "counselor_id", "term", "chunk_content", "chunk_seq")
@@ -102,17 +102,42 @@ def sparse_topk(
     return _top(unseen(near, seen), limit).select("query_id", F.lit("sparse").alias("path"), "pk", "score", "rank")
 
 
+#: Postings of one term that meet its queries in one task.
+SLICE_ROWS = 200_000
+
+
+def sliced_terms(postings: DataFrame, q: DataFrame, slice_rows: int = SLICE_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Postings and query postings with ``slice``: a term of many postings is cut into as many slices as it needs, by key, and its
+    query postings go to each of them. There are at most postings / ``slice_rows`` such terms."""
+    counts = postings.groupBy("term").agg(F.ceil(F.count("*") / slice_rows).cast("int").alias("_slices")).where("_slices > 1")
+    hot = broadcast_if_small(cut(counts.join(q.select("term").distinct(), "term", "left_semi")))
+    slices = F.coalesce("_slices", F.lit(1))
+    rows = postings.join(hot, "term", "left").withColumn("slice", F.pmod(F.xxhash64("pk"), slices).cast("int"))
+    asked = q.join(hot, "term", "left").withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1)))
+    return rows.drop("_slices"), asked.drop("_slices")
+
+
 def sparse_topk_postings(
-    postings: DataFrame, query_postings: DataFrame, limit: int, seen: DataFrame | None = None
+    postings: DataFrame,
+    query_postings: DataFrame,
+    limit: int,
+    seen: DataFrame | None = None,
+    slice_rows: int = SLICE_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """The same from inverted postings (pk, term, weight)."""
+    """The same from inverted postings (pk, term, weight).
+
+    Query postings of up to ``broadcast_bytes``, measured, go to the postings. More of them meet these by term, frequent terms in slices; the
+    products are summed per task before sums of a query and key come together.
+    """
     q = query_postings.select("query_id", "term", F.col("weight").alias("query_weight"))
-    scores = (
-        postings.select("pk", "term", "weight")
-        .join(broadcast_if_small(q), "term")
-        .groupBy("query_id", "pk")
-        .agg(F.sum(F.col("weight") * F.col("query_weight")).alias("score"))
-    )
+    rows = postings.select("pk", "term", "weight")
+    if measured(q)[1] <= broadcast_bytes:
+        met = rows.join(F.broadcast(q), "term")
+    else:
+        rows, q = sliced_terms(rows, q, slice_rows)
+        met = rows.join(q, ["term", "slice"])
+    scores = met.groupBy("query_id", "pk").agg(F.sum(F.col("weight") * F.col("query_weight")).alias("score"))
     return _top(unseen(scores, seen), limit).select("query_id", F.lit("sparse").alias("path"), "pk", "score", "rank")
 
 

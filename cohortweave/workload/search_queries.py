@@ -162,6 +162,12 @@ def sparse_topk_postings(spark, d):
     return rt.sparse_topk_postings(t.postings(spark, d), t.query_postings(spark, d), P.per_path_limit)
 
 
+@query("sparse_topk_sliced", SPARSE_TOPK)
+def sparse_topk_sliced(spark, d):
+    """As for more query postings than can be broadcast: they meet the postings by term and slice."""
+    return rt.sparse_topk_postings(t.postings(spark, d), t.query_postings(spark, d), P.per_path_limit, slice_rows=500, broadcast_bytes=0)
+
+
 @query("seen_exclusion", "SELECT query_id, path, pk, round(score, 6) AS score, rank FROM hits_t WHERE rank <= 20")
 def seen_exclusion(spark, d):
     return rt.probe(t.vectors(spark, d), t.sparse(spark, d), t.queries(spark, d), P.per_path_limit, t.seen(spark, d))

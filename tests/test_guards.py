@@ -121,6 +121,47 @@ def test_appending_a_batch_again_changes_nothing(spark, tmp_path):
     assert stores.append_log(rows.limit(0), path, 2) and read() == want
 
 
+@pytest.mark.parametrize("kind", ["BIGINT", "VARCHAR(64)"])
+def test_content_from_a_database_equals_content_from_files(spark, tmp_path, kind):
+    """Ranges of numbers and of text keys, keys with quotes, and a row without a key: each row once."""
+    url, driver = f"jdbc:derby:memory:content{kind[0]};create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    key = F.col("id") if kind == "BIGINT" else F.concat(F.lit("k'"), F.col("id") * 7919 % 1000)
+    rows = spark.range(1000).select(key.alias("PK"), F.when(F.col("id") % 9 > 0, F.concat(F.lit("text "), "id")).alias("ORIGINAL_CONTENT"))
+    if kind == "BIGINT":  # text nulls cannot be written to a VARCHAR of this database
+        rows = rows.unionByName(rows.limit(1).withColumn("PK", F.lit(None).cast("long")))
+    rows.write.option("createTableColumnTypes", f"PK {kind}").jdbc(url, "CONTENT", "overwrite", {"driver": driver})
+    rows.write.parquet(str(tmp_path / "content"))
+    got = stores.read_content_jdbc(spark, url, "CONTENT", "PK", 8, driver=driver)
+    assert got.rdd.getNumPartitions() == 8 and max(got.groupBy(F.spark_partition_id()).count().toPandas()["count"]) < 300
+    order = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert order(got) == order(spark.read.parquet(str(tmp_path / "content")))
+    wanted = spark.createDataFrame([(r[0],) for r in rows.limit(20).collect()], f"pk {rows.schema['PK'].dataType.simpleString()}")
+    named = lambda df: df.toDF("pk", "original_content")
+    assert order(stores.content_lookup(named(got), wanted)) == order(stores.content_lookup(named(rows), wanted))
+
+
+def test_no_keys_no_ranges(spark):
+    assert stores.key_ranges(spark.createDataFrame([], "pk string"), "pk", 4) == ["1 = 1"]
+
+
+def test_extractor_sees_query_and_earlier_spans(spark):
+    from cohortweave.operators import judging
+
+    rows = spark.createDataFrame([("s", 1, "q1", "a\nb"), ("s", 2, "q1", "a\nb"), ("t", 3, "q2", "c\nd"), ("t", 4, "q2", "cached\ne")], "session_id string, pk long, query string, chunk_content string")
+    prior = spark.createDataFrame([("s", 2, "late"), ("s", 1, "early")], "session_id string, seq long, span_text string")
+    known = rows.where("pk = 4").select(text.cache_key(F.lit("m"), F.lit("v"), F.col("query"), F.col("chunk_content")).alias("cache_key"), F.array(F.lit(1)).alias("span_line_indices"), F.lit("e").alias("span_text"))
+
+    def extractor(prompts):
+        seen = {"a\nb": ("q1", ["early", "late"]), "c\nd": ("q2", [])}
+        return [json.dumps([0]) if seen[p["text"]] == (p["query"], p["prior_spans"]) else None for p in prompts]
+
+    spans, fresh = judging.extract_spans(rows, known, extractor, "m", "v", prior)
+    assert sorted((r["pk"], r["span_text"]) for r in spans.collect()) == [(1, "a"), (2, "a"), (3, "c"), (4, "e")]
+    assert fresh.count() == 2 and judging.merged_cache(known, fresh).count() == 3
+    again = judging.merged_cache(judging.merged_cache(known, fresh), fresh.withColumn("span_text", F.lit("other")))
+    assert sorted(r["span_text"] for r in again.collect()) == ["a", "c", "e"]
+
+
 def test_cohort_needs_distances(spark, tmp_path):
     path = write(tmp_path / "i", {"session_id": 1, "pk": 1}, name="x.json")
     with pytest.raises(Exception, match="nearest_fit_distance"):

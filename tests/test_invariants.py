@@ -227,6 +227,17 @@ def test_no_exchange_of_the_corpus(spark, sf_dir, vecs):
     assert joined.count() == hv.radius_join(placed(spark, sf_dir), vecs).count()
 
 
+def test_no_term_meets_its_queries_in_one_task(spark):
+    rows = spark.range(3000).select(F.col("id").alias("pk"), F.explode(F.array(F.lit("the"), F.concat(F.lit("w"), F.col("id") % 50))).alias("term"), (1.0 + F.col("id") % 7).alias("weight"))
+    q = spark.createDataFrame([(1, "the", 2.0), (1, "w3", 1.0), (2, "the", 0.5), (3, "w9", 1.0), (3, "none", 1.0)], "query_id long, term string, query_weight double")
+    cut_rows, asked = rt.sliced_terms(rows, q, 100)
+    sizes = {(r["term"], r["slice"]): r["count"] for r in cut_rows.groupBy("term", "slice").count().collect()}
+    assert max(sizes.values()) < 200 and len([k for k in sizes if k[0] == "the"]) == 30
+    assert {(r["query_id"], r["slice"]) for r in asked.where("term = 'the'").collect()} == {(i, k) for i in (1, 2) for k in range(30)}
+    wanted = q.withColumnRenamed("query_weight", "weight")
+    same(rt.sparse_topk_postings(rows, wanted, 20), rt.sparse_topk_postings(rows, wanted, 20, slice_rows=100, broadcast_bytes=0))
+
+
 def exchanged(df, column):
     """Whether a shuffle or broadcast of the physical plan carries ``column``."""
     plan = df._jdf.queryExecution().executedPlan()
