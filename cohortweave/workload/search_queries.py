@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import ratings, retrieval as rt
 from ..params import SearchParams
-from ..session import cut
+from ..session import cut, scratch_path
 from ..sources import stores
 from . import tables as t
 from .registry import cte, query
@@ -98,7 +98,9 @@ def result(spark, d, p=P):
     "SELECT pk, sample_id, counselor_id, term, length(chunk_content) AS n_chars, chunk_seq::BIGINT AS chunk_seq FROM corpus",
 )
 def corpus_scan(spark, d):
-    return t.corpus(spark, d).select(
+    path = scratch_path(spark, "corpus")
+    t.corpus(spark, d).write.parquet(path)
+    return stores.read_corpus(spark, path).select(
         "pk", "sample_id", "counselor_id", "term", F.length("chunk_content").alias("n_chars"), "chunk_seq"
     )
 
