@@ -19,7 +19,7 @@ from .hashing import mixed
 DEPTH = 2
 BLOCK = 1 << 16
 #: Hashes that a task gathers before it counts them (bounds its memory).
-FLUSH = 2_000_000
+FLUSH = 3_000_000
 #: The most slots of a row; beyond it sketches tell less apart and later steps do more work, with the same results.
 MAX_WIDTH = 1 << 30
 
