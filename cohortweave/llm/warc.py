@@ -168,7 +168,7 @@ def write_archive(pages: DataFrame, directory: str, page_id: str = "page_id", ur
     rows = source.select("id_", F.sha1("body_").alias("digest_"), F.lit(1).alias("kind_"), "url_", "body_", F.lit(None).cast("long").alias("refers_to_"))
     rows = rows.unionByName(references.withColumn("kind_", F.lit(0)), allowMissingColumns=True)
     rows = rows.withColumn("shard_", _shard(F.col("id_"), bounds).cast("long"))
-    rows = rows.repartition(shards, "shard_").sortWithinPartitions("shard_", "id_", "digest_", "kind_", "url_")
+    rows = rows.repartitionById(shards, F.col("shard_").cast("int")).sortWithinPartitions("shard_", "id_", "digest_", "kind_", "url_")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, last, target, repeat = None, None, None, 0
