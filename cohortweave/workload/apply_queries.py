@@ -411,7 +411,7 @@ def kfold_pool(spark, d):
     """Every labelled row once per repeat, with the score of a classifier that has not seen it."""
     folded = cut(tr.with_folds(frame(spark, d).select("session_id", "pk", "label", "features"), AP))
     models = cut(tr.kfold_models(folded, AP))
-    pool = tr.kfold_pool(frame(spark, d), AP)
+    pool = tr.scored_folds(folded, models)
     seen = folded.join(models, "session_id").where(F.element_at("folds", F.col("rep")) == F.col("fold"))
     own = vectors.logistic(F.col("features"), F.col("coef"), F.col("intercept"))
     seen = seen.select("session_id", "rep", "fold", "pk", own.alias("own"))
