@@ -264,6 +264,18 @@ def test_scoring_moves_no_vectors(spark, sf_dir, vecs):
     same(few, unsorted)
 
 
+def test_the_smaller_side_is_hashed(spark):
+    """A cohort larger than the vectors streams past their buckets; hashing it would take memory that grows with the cohort."""
+    vecs = spark.range(500).select(F.col("id").alias("pk"), F.array_repeat(F.rand(1).cast("float"), 64).alias("dense"))
+    by_key = laid_out(vecs, "pk", 8)
+    row = lambda n: spark.range(n).select(F.lit("s").alias("session_id"), (F.col("id") % 600).alias("pk"), F.col("id").alias("n"))
+    for n, side in ((40, "BuildLeft"), (200_000, "BuildRight")):
+        df = md.with_embeddings(row(n), by_key, limit=0)
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert "ShuffledHashJoin" in plan and side in plan and not exchanged(df, "dense")
+        assert df.count() == sum(i % 600 < 500 for i in range(n))
+
+
 def test_scratch_needs_a_shared_folder_on_a_cluster():
     from types import SimpleNamespace
 
