@@ -10,9 +10,10 @@ from cohortweave.operators import blocks, harvest as hv, modelling as md, orderi
 from cohortweave.params import ApplyParams
 from cohortweave.plans import phases
 from cohortweave.session import laid_out, lies_by
+from cohortweave.sources import stores
 from cohortweave.workload import tables as t
 from cohortweave.workload.apply_queries import fixed_models
-from cohortweave.workload.harvest_queries import HP, placed
+from cohortweave.workload.harvest_queries import HP, cohort, placed
 
 
 def same(a, b, places=9):
@@ -276,6 +277,15 @@ def test_the_smaller_side_is_hashed(spark):
         assert df.count() == sum(i % 600 < 500 for i in range(n))
 
 
+def test_the_cohort_is_written_once(spark, sf_dir, tmp_path):
+    """The cohort is read off the attributed rows, not from a second copy; its lines are compressed."""
+    rows = cohort(spark, sf_dir)
+    assert any("is_anchor" in spark.read.parquet(f).columns for f in rows.inputFiles())
+    stores.write_cohort(rows, str(tmp_path / "cohort"))
+    assert list((tmp_path / "cohort").glob("*.json.gz")) and not list((tmp_path / "cohort").glob("*.json"))
+    assert stores.read_cohort(spark, str(tmp_path / "cohort"), "BIGINT", "BIGINT").count() == rows.count()
+
+
 def test_scratch_needs_a_shared_folder_on_a_cluster():
     from types import SimpleNamespace
 
