@@ -286,6 +286,15 @@ def test_the_cohort_is_written_once(spark, sf_dir, tmp_path):
     assert stores.read_cohort(spark, str(tmp_path / "cohort"), "BIGINT", "BIGINT").count() == rows.count()
 
 
+def test_exported_texts_are_compressed(spark, tmp_path):
+    text = "line one\n\"quoted\", comma\n" + " ".join(f"w{i * 7919 % 1009}" for i in range(500))
+    rows = spark.range(1000).select(F.lit("u").alias("user_id"), F.lit("c").alias("counselor_id"), F.lit(text).alias("original_content"), F.lit("KEEP").alias("label"))
+    stores.write_export(rows, str(tmp_path / "export"))
+    assert sum(f.stat().st_size for f in (tmp_path / "export").glob("part-*")) < 1000 * len(text) / 10
+    back = spark.read.csv(str(tmp_path / "export"), header=True, multiLine=True, escape='"')
+    assert back.count() == 1000 and [r[0] for r in back.select("original_content").distinct().collect()] == [text]
+
+
 def test_scratch_needs_a_shared_folder_on_a_cluster():
     from types import SimpleNamespace
 
