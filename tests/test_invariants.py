@@ -252,6 +252,20 @@ def test_no_product_of_query_and_posting_moves(spark):
     same(want, rt.sparse_topk_postings(rows.withColumn("weight", F.col("weight") / 4), q, 9).withColumn("score", F.col("score") * 4))
 
 
+def test_words_are_counted_where_they_stand(spark):
+    """Vectors of texts need no shuffle, except where a key is repeated."""
+    from cohortweave.functions import text
+
+    texts = spark.createDataFrame([(1, "b a, B c"), (2, None), (3, " 12 "), (4, "z")], "pk long, body string")
+    got = rt.term_vectors(texts, "pk", text.terms(F.col("body")))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.pk, list(r.terms), list(r.weights)) for r in got.collect()) == [(1, ["a", "b", "c"], [1.0, 2.0, 1.0]), (4, ["z"], [1.0])]
+    twice = texts.unionByName(spark.createDataFrame([(4, "a z"), (None, "n")], texts.schema))
+    got = {r.pk: (list(r.terms), list(r.weights)) for r in rt.term_vectors(twice, "pk", text.terms(F.col("body"))).collect()}
+    assert got == {1: (["a", "b", "c"], [1.0, 2.0, 1.0]), 4: (["a", "z"], [1.0, 2.0]), None: (["n"], [1.0])}
+    assert rt.posted(rt.term_vectors(texts, "pk", text.terms(F.col("body"))), "pk").count() == 4
+
+
 def exchanged(df, column):
     """Whether a shuffle or broadcast of the physical plan carries ``column``."""
     plan = df._jdf.queryExecution().executedPlan()
