@@ -46,6 +46,10 @@ BLOCK_TERMS = 100_000
 PART_BYTES = 4 << 20
 #: Entries that a task gathers before it adds them up and sends them.
 FLUSH = 1_500_000
+#: Places of a block that are looked at together.
+STRETCH = 250_000
+#: Bytes of stripes that are sent as one batch.
+SENT_BYTES = 8 << 20
 #: Words of the corpus for each bucket of stripes.
 BUCKET_WORDS = 400_000
 SLICES = 64
@@ -213,40 +217,50 @@ class _Stripes:
         self.buckets, self.held, self.size = buckets, [], 0
 
     def add(self, prefix: np.ndarray, last: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.held.append(_summed(prefix, last, np.ones(len(prefix), dtype=np.uint64)))
+        self.held.append(_summed([(prefix, last, np.ones(len(prefix), dtype=np.uint64))]))
         self.size += len(self.held[-1][0])
-        if self.size >= FLUSH:
-            yield from self.flush()
+        if self.size >= FLUSH:  # what equal entries leave room for is filled up before it is sent
+            self.held = [_summed(self.held)]
+            self.size = len(self.held[0][0])
+            if self.size >= FLUSH // 2:
+                yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.size:
             return
-        prefix, last, times = _summed(*_together(self.held))
+        prefix, last, times = _summed(self.held) if len(self.held) > 1 else self.held.pop()
         self.size = 0
-        part = mixed(prefix + np.uint64(BASES[1]) * (last % np.uint64(SLICES)))
-        bucket = ((part >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
+        bucket = mixed(prefix + np.uint64(BASES[1]) * (last % np.uint64(SLICES)))
+        bucket = ((bucket >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        prefix, last, times = prefix[order], last[order], times[order]
+        prefix = prefix[order]
+        last = last[order]
+        times = times[order]
         used, first = np.unique(bucket[order], return_index=True)
-        edges = np.append(first, len(prefix))
-        data = [_written(prefix[a:b], last[a:b], times[a:b]) for a, b in zip(edges[:-1], edges[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(data, pa.binary())], ["bucket", "data"])
-
-
-def _together(held: list) -> Iterator[np.ndarray]:
-    """The columns of ``held``, which is emptied, one after the other."""
+        del bucket, order
+        data, at, size = [], 0, 0
+        for i, (a, b) in enumerate(zip(first, np.append(first[1:], len(prefix)))):
+            data.append(_written(prefix[a:b], last[a:b], times[a:b]))
+            size += len(data[-1])
+            if size >= SENT_BYTES or i == len(used) - 1:
+                yield pa.RecordBatch.from_arrays([pa.array(used[at : i + 1], pa.int64()), pa.array(data, pa.binary())], ["bucket", "data"])
+                data, at, size = [], i + 1, 0
+
+
+def _summed(held: list) -> list[np.ndarray]:
+    """Equal entries of ``held``, which is emptied, added up in order of prefix and next word; columns are put in order one after the other."""
     columns = [list(c) for c in zip(*held)]
     held.clear()
-    while columns:
-        yield np.concatenate(columns.pop(0))
-
-
-def _summed(prefix: np.ndarray, last: np.ndarray, times: np.ndarray) -> list[np.ndarray]:
-    """Equal entries added up, in order of prefix and next word."""
-    if not len(prefix):
-        return [prefix, last, times]
-    order = np.lexsort((last, prefix))
-    prefix, last, times = prefix[order], last[order], times[order]
+    for i, parts in enumerate(columns):
+        columns[i] = np.concatenate(parts)
+        parts.clear()
+    if not len(columns[0]):
+        return columns
+    order = np.lexsort((columns[1], columns[0]))
+    for i in range(3):
+        columns[i] = columns[i][order]
+    del order
+    prefix, last, times = columns
     first = np.flatnonzero(np.append(True, (prefix[1:] != prefix[:-1]) | (last[1:] != last[:-1])))
     return [prefix[first], last[first], np.add.reduceat(times, first)]
 
@@ -274,39 +288,44 @@ def entries(hashed: DataFrame, size: int, words, bloom, least: int, buckets: int
     phrases of one word less.
     """
 
+    def stretch(code: np.ndarray, own: np.ndarray, usable: np.ndarray, stripes: _Stripes) -> Iterator[pa.RecordBatch]:
+        n = len(code) - size + 2  # places where a prefix fits
+        if n <= 1:
+            return
+        on, word = usable[code], own[code]
+        whole = on[:n].copy()
+        for j in range(1, size - 1):
+            whole &= on[j : j + n]
+        at = np.flatnonzero(whole)
+        key = word[at]
+        for j in range(1, size - 1):
+            key = _extended(key, word[at + j])
+        if size > 2:
+            stay = _passed(bloom.value, key)
+            at, key = at[stay], key[stay]
+        # The phrase behind the first word must be frequent too: it is the prefix of the next place.
+        follows = np.flatnonzero(at[1:] == at[:-1] + 1) if len(at) else at
+        if len(follows):
+            yield from stripes.add(key[follows], word[at[follows] + size - 1])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stripes, least_words, filter_ = _Stripes(buckets), words.value, bloom.value
+        stripes, least_words = _Stripes(buckets), words.value
         for batch in batches:
             for hashes, codes in zip(batch.column("hashes"), batch.column("codes")):
                 own = np.append(np.int64(0), hashes.values.to_numpy(zero_copy_only=False)).view(np.uint64)
                 usable = _passed(least_words, own)
                 usable[0] = False
-                code = np.frombuffer(codes.as_buffer(), dtype="<u4")
-                on, word = usable[code], own[code]
-                n = len(code) - size + 2  # places where a prefix fits
-                if n <= 1:
-                    continue
-                whole = on[:n].copy()
-                for j in range(1, size - 1):
-                    whole &= on[j : j + n]
-                at = np.flatnonzero(whole)
-                key = word[at]
-                for j in range(1, size - 1):
-                    key = _extended(key, word[at + j])
-                if size > 2:
-                    stay = _passed(filter_, key)
-                    at, key = at[stay], key[stay]
-                # The phrase behind the first word must be frequent too: it is the prefix of the next place.
-                follows = np.flatnonzero(at[1:] == at[:-1] + 1) if len(at) else at
-                if len(follows):
-                    yield from stripes.add(key[follows], word[at[follows] + size - 1])
+                every = np.frombuffer(codes.as_buffer(), dtype="<u4")
+                # A stretch has a place more than it counts, which tells whether its last one has a follower.
+                for start in range(0, len(every), STRETCH):
+                    yield from stretch(every[start : start + STRETCH + size - 1], own, usable, stripes)
         yield from stripes.flush()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held, size_ = None, [], 0
 
         def closed() -> pa.RecordBatch:
-            prefix, last, times = _summed(*_together(held))
+            prefix, last, times = _summed(held)
             stay = times >= least
             prefix, last, times = prefix[stay], last[stay], times[stay]
             columns = [prefix.view(np.int64), last.view(np.int64), _extended(prefix, last).view(np.int64), times.astype(np.int64)]
@@ -321,7 +340,7 @@ def entries(hashed: DataFrame, size: int, words, bloom, least: int, buckets: int
                 held.append(_read(data.as_buffer().to_pybytes()))
                 size_ += len(held[-1][0])
                 if size_ >= FLUSH:  # rows of one bucket from very many tasks are added up in between
-                    held = [_summed(*_together(held))]
+                    held = [_summed(held)]
                     size_ = len(held[0][0]) // 2
         if held:
             yield closed()

@@ -244,3 +244,22 @@ def test_phrases_of_nothing(spark):
     assert collocation.mined(docs(spark, AWKWARD)).count() == 0
     with pytest.raises(ValueError):
         collocation.Options(longest=1)
+
+
+def test_stripes_are_sent_in_little_memory():
+    """1.44 million different entries of 24 bytes: their columns are put in order one after the other and sent in parts."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    parts = [tuple(rng.integers(0, 2**63, 240_000).astype(np.uint64) for _ in range(2)) for _ in range(6)]
+    tracemalloc.start()
+    try:
+        stripes, rows = collocation._Stripes(64), []
+        for prefix, last in parts:
+            rows += [len(x) for x in stripes.add(prefix, last)]
+        for x in stripes.flush():
+            rows.append(sum(len(collocation._read(data.as_py())[0]) for data in x.column("data")))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(rows) == 6 * 240_000 and peak < 110_000_000
