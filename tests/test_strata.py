@@ -60,7 +60,7 @@ def test_too_small_a_cohort_is_an_error(spark):
         st.stratified_pass(anchors, vecs.where("pk < 39"), 2, None, P)
 
 
-@pytest.mark.parametrize("name", ["stratified_sample", "live_verdicts", "classifier_roundtrip", "refine_run_meta"])
+@pytest.mark.parametrize("name", ["stratified_sample", "distance_summary", "live_verdicts", "classifier_roundtrip", "refine_run_meta"])
 def test_no_cohort_is_written_for_what_is_drawn_from_it(spark, sf_dir, name, monkeypatch):
     from cohortweave import session
 
