@@ -70,3 +70,10 @@ def test_no_cohort_is_written_for_what_is_drawn_from_it(spark, sf_dir, name, mon
     monkeypatch.setattr(session, "_STAGED", {})
     monkeypatch.setattr(hv, "cohort_pass", written)
     assert load_all()[0][name](spark, sf_dir).count() > 0
+
+
+def test_gradients_move_each_row_once(spark, sf_dir):
+    from cohortweave.workload.apply_queries import kfold_models
+
+    plan = kfold_models(spark, sf_dir)._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "cogroup" in plan.lower()
