@@ -77,3 +77,18 @@ def test_gradients_move_each_row_once(spark, sf_dir):
 
     plan = kfold_models(spark, sf_dir)._jdf.queryExecution().toString()
     assert "Generate" not in plan and "cogroup" in plan.lower()
+
+
+def test_scores_are_of_the_nearest_admitting_anchor(spark):
+    """Two sessions of unlike size in one block, each row under its session's own classifier."""
+    anchors, vecs = tied(spark)
+    more = anchors.where("fit_pk = -1").withColumn("session_id", F.lit("t"))
+    model = spark.createDataFrame(
+        [("s", [1.0, 0.0, 0.0], 0.0, 0.0, 1.0), ("t", [0.0, 0.0, 1.0], 0.0, 0.0, 1.0)],
+        "session_id string, coef array<double>, intercept double, scaler_mean double, scaler_scale double",
+    )
+    got = {(r[0], r[1]): r[3] for r in hv.score_pass(anchors.unionByName(more), model, vecs, 1).collect()}
+    assert len(got) == 600
+    logistic = lambda z: 1 / (1 + 2.718281828459045 ** -z)
+    assert got["s", 100] == pytest.approx(logistic(1.0)) and got["s", 290] == pytest.approx(logistic(0.1))
+    assert got["t", 100] == pytest.approx(logistic(1 - 0.5**0.5))
