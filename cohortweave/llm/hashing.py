@@ -38,6 +38,38 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+#: Which bytes separate words (as ``bytes.split`` has it), and masks that keep the first bytes of eight.
+_BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+#: Words of more bytes are hashed one by one.
+_LONG = 64
+
+
+def split_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The number of words of each text, and the hashes of all words in order (not those of ``word_hashes``).
+
+    Words are cut and hashed eight bytes at a time in arrays, for corpora whose words are too many to remember.
+    """
+    data = b"\n".join(texts) + bytes(b"\n" * (_LONG + 8))
+    blank = _BLANK[np.frombuffer(data, dtype=np.uint8)]
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    edges = edges if blank[0] else np.append(0, edges)
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
+    counts = np.diff(np.searchsorted(starts, ends), prepend=0)
+    eight = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+    out = mixed((eight[starts] & _FIRST_BYTES[np.minimum(sizes, 8)]) ^ (sizes.astype(np.uint64) * np.uint64(BASES[0])))
+    left, done = np.flatnonzero((sizes > 8) & (sizes <= _LONG)), 8
+    while len(left):
+        part = eight[starts[left] + done] & _FIRST_BYTES[np.minimum(sizes[left] - done, 8)]
+        out[left] = mixed(out[left] * np.uint64(BASES[1]) + part)
+        done += 8
+        left = left[sizes[left] > done]
+    for i in np.flatnonzero(sizes > _LONG):
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : starts[i] + sizes[i]])
+    return counts, out
+
+
 def windows(hashes: np.ndarray, size: int, which: int = 0) -> np.ndarray:
     """One hash per run of ``size`` consecutive words; empty where there are fewer words.
 

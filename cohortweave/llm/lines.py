@@ -19,7 +19,7 @@ result; columns of the caller are carried in a struct.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from . import hashing
 from .common import broadcast_measured, document_keys, save
-from .sketch import Counter, levels, merged
+from .sketch import Counter, levels, merged, sketch
 
 #: Slots of a row of the word sketch, a byte each, whatever the corpus.
 WORD_SLOTS = 1 << 22
@@ -62,9 +62,30 @@ class Options:
 
 def line_sets(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(line, word) hashes of the different words of each line, lines in order."""
-    words = [set(b.split()) for b in bodies]
-    counts = np.array([len(w) for w in words], dtype=np.int64)
-    return np.repeat(np.arange(len(bodies)), counts), hashing.word_hashes([w for ws in words for w in ws])
+    line, word = line_words(bodies)
+    bits = np.uint64(max(1, len(bodies).bit_length()))
+    key = (line.astype(np.uint64) << (np.uint64(64) - bits)) | (word >> bits)
+    order = np.argsort(key)
+    return different(line, word, key, order, lambda: np.lexsort((word, line)))
+
+
+def line_words(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(line, word) hashes of all words, in order."""
+    counts, word = hashing.split_hashes(bodies)
+    return np.repeat(np.arange(len(bodies)), counts), word
+
+
+def different(line: np.ndarray, word: np.ndarray, key: np.ndarray, order: np.ndarray, exact: Callable[[], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Lines and words in ``order``, which sorts ``key``, each word of a line once; ``exact`` orders where two words of a line share a key."""
+    word = word[order]
+    twice = key[order]
+    twice = twice[1:] == twice[:-1]
+    if (twice & (word[1:] != word[:-1])).any():
+        order, inverse = exact(), np.argsort(order)
+        word = word[inverse][order]
+        twice = (line[order][1:] == line[order][:-1]) & (word[1:] == word[:-1])
+    once = np.append(np.ones(min(1, len(word)), dtype=bool), ~twice)
+    return line[order[once]], word[once]
 
 
 def summed(values: np.ndarray, line: np.ndarray, n: int, how=np.add) -> np.ndarray:
@@ -76,12 +97,12 @@ def summed(values: np.ndarray, line: np.ndarray, n: int, how=np.add) -> np.ndarr
     return out
 
 
-def ranked(line: np.ndarray, word: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """The order by line, level and word; one sort of numbers unless two words of a line agree in 36 bits."""
+def ranked_sets(bodies: list[bytes], rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``line_sets`` with the words of a line ordered by level and word; one sort of numbers unless two words of a line agree in 36 bits."""
+    line, word = line_words(bodies)
+    level = levels(rarity, word)
     key = (line.astype(np.uint64) << np.uint64(44)) | (level.astype(np.uint64) << np.uint64(36)) | (word >> np.uint64(28))
-    order = np.argsort(key)
-    key = key[order]
-    return np.lexsort((word, level, line)) if len(key) and (key[1:] == key[:-1]).any() else order
+    return different(line, word, key, np.argsort(key), lambda: np.lexsort((word, level, line)))
 
 
 def overlap(sizes, percent: int):
@@ -142,7 +163,27 @@ def written_lines(source: DataFrame, least: int) -> tuple[DataFrame, np.ndarray]
     return both.filter("block is null").select(*names[:7]), merged(both.filter("block is not null"), WORD_SLOTS, "levels")
 
 
-def _postings(lines: DataFrame, rarity, buckets: int, options: Options) -> DataFrame:
+def _in_prefix(line: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in their lines of words in order, and which of them belong to the prefix."""
+    at = np.arange(len(line)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return at, at < (sizes + 1 + (-sizes * percent // 100))[line]
+
+
+def _prefix_words(lines: DataFrame, rarity, options: Options) -> np.ndarray:
+    """The sketch of the words in the prefixes of ``lines``: of a fixed size, and with a level above 0 for each of them."""
+
+    def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        bodies = batch.column("body").to_pylist()
+        for first in range(0, len(bodies), 4000):
+            part = bodies[first : first + 4000]
+            line, word = ranked_sets(part, rarity.value)
+            yield word[_in_prefix(line, np.bincount(line, minlength=len(part)), options.percent)[1]]
+
+    return sketch(lines.select("body"), hashes, WORD_SLOTS, "levels")
+
+
+def _postings(lines: DataFrame, rarity, buckets: int, options: Options, wanted=None) -> DataFrame:
+    """Entries of the lines' prefixes by bucket; with ``wanted`` (a broadcast of ``_prefix_words``) only of words that it has."""
     percent = options.percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,16 +203,15 @@ def _postings(lines: DataFrame, rarity, buckets: int, options: Options) -> DataF
             for first in range(0, len(bodies), 4000):
                 part = bodies[first : first + 4000]
                 ids, subs, places, open_ = (batch.column(c).to_numpy(zero_copy_only=False)[first : first + 4000] for c in ("id_", "sub_", "line", "open"))
-                line, word = line_sets(part)
-                level = levels(rarity.value, word)
+                line, word = ranked_sets(part, rarity.value)
                 sizes = np.bincount(line, minlength=len(part))
+                at, use = _in_prefix(line, sizes, percent)
+                use[use] = levels(rarity.value, word[use]) > 1
+                if wanted is not None:
+                    use[use] = levels(wanted.value, word[use]) > 0
                 bit = np.uint64(1) << (word & np.uint64(63))
                 high = (word >> np.uint64(6)) & np.uint64(1) == 1
                 s0, s1 = (summed(np.where(x, bit, np.uint64(0)), line, len(part), np.bitwise_xor) for x in (~high, high))
-                order = ranked(line, word, level)
-                line, word, level = line[order], word[order], level[order]
-                at = np.arange(len(line)) - np.repeat(np.append(0, np.cumsum(sizes)[:-1]), sizes)
-                use = (at < (sizes + 1 + (-sizes * percent // 100))[line]) & (level > 1)
                 entry = np.empty(int(use.sum()), dtype=ENTRY)
                 line = line[use]
                 entry["key"], entry["at"] = hashing.mixed(word[use]), at[use]
@@ -314,12 +354,14 @@ def repeats(source: DataFrame, options: Options = Options()) -> DataFrame:
     open_ = tested.groupBy(*LINE).agg(F.max("match").alias("settled"), F.max("more").alias("more"))
     open_ = save(open_.filter("not settled and more").select(*LINE), "open_lines")
     if not open_.isEmpty():
-        # Only lines of sizes that an open line can match take part, and only its pairs are emitted.
+        # Only words in prefixes of open lines and lines of sizes that these can match take part, and only their pairs are emitted.
         reach = F.sequence(F.ceil(F.col("size") * options.percent / 100), F.floor(F.col("size") * 100 / options.percent))
         sizes = chosen.join(broadcast_measured(open_), LINE, "left_semi").select(F.explode(reach).alias("size")).distinct()
         again = chosen.join(broadcast_measured(save(sizes, "open_sizes")), "size", "left_semi")
         again = again.join(broadcast_measured(open_.withColumn("open", F.lit(True))), LINE, "left").fillna(False, ["open"])
-        rest = _candidates(_postings(again, rarity, buckets, options), options, closest=False).select(*LINE, *EARLIER)
+        wanted = _prefix_words(chosen.join(broadcast_measured(open_), LINE, "left_semi"), rarity, options)
+        wanted = source.sparkSession.sparkContext.broadcast(wanted)
+        rest = _candidates(_postings(again, rarity, buckets, options, wanted), options, closest=False).select(*LINE, *EARLIER)
         rest = save(rest.distinct().join(tested.select(*LINE, *EARLIER), [*LINE, *EARLIER], "left_anti"), "further_lines")
         removed = removed.unionByName(_verified(rest, lines, options).filter("match").select(*LINE))
     return save(removed.distinct(), "removed_lines")
