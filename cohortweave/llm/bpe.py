@@ -4,6 +4,8 @@ A piece is a linked list of byte positions. For every merge rank a bucket holds
 is possible; three levels of 64-bit words tell which buckets have entries, and find-first-set gives the lowest
 rank in constant time. Entries are never searched for: when one comes up whose position has another merge by
 then, it is skipped. A piece of n bytes costs O(n log n) at most, which matters for pieces of megabytes.
+Short pieces that a stretch of texts brings for the first time share one queue: a bucket then holds places in many pieces,
+of which the leftmost of each piece are merged at once.
 
 Defined cases: null text counts as empty and gives no ids; repeated rows are encoded each for itself; empty tables give
 empty results; columns of the caller are carried in a struct.
@@ -15,7 +17,9 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -27,6 +31,10 @@ from .common import stretches
 #: Pieces of at most so many characters are remembered, and of them the last so many to twice so many; this bounds a worker's memory.
 REMEMBERED_CHARS = 48
 REMEMBERED = 400_000
+#: Pieces that share a queue: fewer are merged one by one; more are dealt to several.
+TOGETHER = (32, 100_000)
+#: Places of a bucket from which on it is merged in arrays.
+IN_ARRAYS = 12
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -52,6 +60,11 @@ class Encoder:
         self.packed = {rank: rank.to_bytes(4, "little") for rank in self.parts}
         self.pairs = [self.ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
         self.queue = RankQueue(max(self.ranks.values()) + 1)
+        self.pairs_of_bytes = np.array(self.pairs, dtype=np.int64).reshape(256, 256)
+        self.bytes = np.array([self.ranks.get(bytes((a,)), -1) for a in range(256)], dtype=np.int64)
+        cuts = ((self.ranks.get(t[:i]), self.ranks.get(t[i:]), r) for t, r in self.ranks.items() for i in range(1, len(t)))
+        cuts = np.array([(a << 32 | b, r) for a, b, r in cuts if a is not None and b is not None] or [(-1, -1)], dtype=np.int64)
+        self.keys, self.merged = cuts[np.argsort(cuts[:, 0])].T.copy()
         self.pieces = regex.compile(pattern).findall
         self.known = _Known(self)
 
@@ -131,10 +144,118 @@ class Encoder:
             i = follow[i]
         return out
 
+    def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of merging parts with these ids (below 0: the end of a piece), or -1."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((left >= 0) & (right >= 0) & (self.keys[at] == key), self.merged[at], -1)
+
+    def merge_many(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces (little-endian unsigned 32-bit integers), all in one queue.
+
+        Pieces lie one after the other with a place before and after each that no merge crosses. In a piece the lowest rank comes first and of
+        equal ones the leftmost, as in ``merge``; how merges of different pieces follow each other makes no difference.
+        """
+        text = b"\0" + b"\0".join(pieces) + b"\0"
+        sizes = np.array([len(p) for p in pieces], dtype=np.int64)
+        ends = np.cumsum(sizes + 1)
+        codes, n = np.frombuffer(text, dtype=np.uint8), len(text)
+        parts = self.bytes[codes]
+        parts[0] = parts[ends] = -1
+        piece = np.repeat(np.arange(len(pieces) + 1), np.append(sizes + 1, 1))
+        follow, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        pending = np.full(n, -1, dtype=np.int64)
+        pending[:-1] = np.where((parts[:-1] >= 0) & (parts[1:] >= 0), self.pairs_of_bytes[codes[:-1], codes[1:]], -1)
+        places = np.flatnonzero(pending >= 0)
+        places = places[np.argsort(pending[places], kind="stable")]
+        used, starts = np.unique(pending[places], return_index=True)
+        buckets = {r: x.tolist() for r, x in zip(used.tolist(), np.split(places, starts[1:]))} if len(used) else {}
+        low, mid, top = self.queue.low, self.queue.mid, 0
+        for rank in buckets:
+            word = rank >> 6
+            low[word] |= 1 << (rank & 63)
+            mid[word >> 6] |= 1 << (word & 63)
+            top |= 1 << (word >> 6)
+        # The same memory, for single places.
+        rank_of, (parts_, piece_, follow_, before_, pending_) = self.ranks.get, map(memoryview, (parts, piece, follow, before, pending))
+        while top:
+            high = (top & -top).bit_length() - 1
+            bits = mid[high]
+            word = (high << 6) + (bits & -bits).bit_length() - 1
+            bits = low[word]
+            rank = (word << 6) + (bits & -bits).bit_length() - 1
+            bits &= bits - 1
+            low[word] = bits
+            if not bits:
+                bits = mid[high]
+                bits &= bits - 1
+                mid[high] = bits
+                if not bits:
+                    top &= top - 1
+            bucket, new = buckets.pop(rank), []
+            if len(bucket) < IN_ARRAYS:
+                bucket.sort()
+                last = -1
+                for at in bucket:
+                    if pending_[at] != rank:
+                        continue
+                    if piece_[at] == last:
+                        new.append((rank, at))
+                        continue
+                    last = piece_[at]
+                    gone = follow_[at]
+                    after = follow_[at] = follow_[gone]
+                    before_[after] = at
+                    parts_[at], parts_[gone], pending_[gone] = rank, -1, -1
+                    left = before_[at]
+                    for first, second in ((left, at), (at, after)):
+                        if parts_[first] < 0:
+                            continue
+                        more = rank_of(text[first : follow_[second]]) if parts_[second] >= 0 else None
+                        if more is None:
+                            pending_[first] = -1
+                        elif more != pending_[first]:
+                            pending_[first] = more
+                            new.append((more, first))
+            else:
+                at = np.sort(np.array(bucket))
+                at = at[pending[at] == rank]
+                own = piece[at]
+                once = np.append(True, own[1:] != own[:-1]) if len(at) else np.zeros(0, dtype=bool)
+                new.extend((rank, x) for x in at[~once].tolist())
+                at = at[once]
+                gone = follow[at]
+                after = follow[gone]
+                follow[at], before[after] = after, at
+                parts[at], parts[gone], pending[gone] = rank, -1, -1
+                first, second = np.concatenate((before[at], at)), np.concatenate((at, after))
+                more = self._ranks_of(parts[first], parts[second])
+                changed = (more >= 0) & (more != pending[first])
+                pending[first] = more
+                new.extend(zip(more[changed].tolist(), first[changed].tolist()))
+            for more, at in new:
+                if more in buckets:
+                    buckets[more].append(at)
+                else:
+                    buckets[more] = [at]
+                    word = more >> 6
+                    low[word] |= 1 << (more & 63)
+                    mid[word >> 6] |= 1 << (word & 63)
+                    top |= 1 << (word >> 6)
+        left = np.flatnonzero(parts >= 0)
+        ids, edges = parts[left].astype("<u4").tobytes(), (4 * np.searchsorted(left, ends)).tolist()
+        return [ids[a:b] for a, b in zip([0, *edges], edges)]
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         return b"".join(map(self.known.__getitem__, self.pieces(text)))
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """``encode`` of each text; pieces that are new are merged together first."""
+        cut = [self.pieces(t) for t in texts]
+        self.known.learn(set().union(*cut))
+        return [b"".join(map(self.known.__getitem__, x)) for x in cut]
+
 
 class _Known(dict):
     """Ids of pieces; when full it becomes the older half, from which pieces in use come back."""
@@ -156,6 +277,25 @@ class _Known(dict):
         return ids
 
 
+    def learn(self, pieces: set[str]) -> None:
+        """Merge the short ones of ``pieces`` that are not remembered, as far as they may be remembered at a time."""
+        encoder = self.encoder
+        new = (p for p in pieces.difference(self) if len(p) <= REMEMBERED_CHARS and p not in self.older)
+        new = list(islice(new, REMEMBERED))
+        if len(new) < TOGETHER[0]:
+            return
+        if len(self) + len(new) > REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        for first in range(0, len(new), TOGETHER[1]):
+            part = new[first : first + TOGETHER[1]]
+            content = [p.encode("utf-8", "surrogatepass") for p in part]
+            whole = [encoder.ranks.get(c) for c in content]
+            self.update((p, encoder.packed[r]) for p, r in zip(part, whole) if r is not None)
+            part, content = ([x for x, r in zip(y, whole) if r is None] for y in (part, content))
+            self.update(zip(part, encoder.merge_many(content)))
+
+
 _ENCODERS: dict[tuple[int, str], Encoder] = {}
 
 
@@ -199,7 +339,7 @@ def encoded(
         encoder = _encoder(content.value, pattern)
         for batch in batches:
             for rows in stretches(batch, "text_"):
-                ids = [encoder.encode(x.as_py()) for x in rows.column("text_")]
+                ids = encoder.encode_all(rows.column("text_").to_pylist())
                 columns = [rows.column("row_"), pa.array(ids, pa.binary())]
                 if decode:
                     columns.append(pa.array([joined(x, encoder.parts) for x in ids], pa.binary()))
