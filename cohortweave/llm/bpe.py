@@ -26,13 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import hashing
 from .common import stretches
 
 #: Pieces of at most so many characters are remembered, and of them the last so many to twice so many; this bounds a worker's memory.
 REMEMBERED_CHARS = 48
 REMEMBERED = 400_000
-#: Pieces that share a queue: fewer are merged one by one; more are dealt to several.
-TOGETHER = (32, 100_000)
+#: Fewer new pieces than the first are merged one by one; those of about so many bytes as the second share a queue.
+TOGETHER = (32, 1 << 20)
 #: Places of a bucket from which on it is merged in arrays.
 IN_ARRAYS = 12
 
@@ -287,13 +288,12 @@ class _Known(dict):
         if len(self) + len(new) > REMEMBERED:
             self.older = dict(self)
             self.clear()
-        for first in range(0, len(new), TOGETHER[1]):
-            part = new[first : first + TOGETHER[1]]
-            content = [p.encode("utf-8", "surrogatepass") for p in part]
-            whole = [encoder.ranks.get(c) for c in content]
-            self.update((p, encoder.packed[r]) for p, r in zip(part, whole) if r is not None)
-            part, content = ([x for x, r in zip(y, whole) if r is None] for y in (part, content))
-            self.update(zip(part, encoder.merge_many(content)))
+        content = [p.encode("utf-8", "surrogatepass") for p in new]
+        whole = [encoder.ranks.get(c) for c in content]
+        self.update((p, encoder.packed[r]) for p, r in zip(new, whole) if r is not None)
+        new, content = ([x for x, r in zip(y, whole) if r is None] for y in (new, content))
+        for part in hashing.parts(content, TOGETHER[1]):
+            self.update(zip(new[part], encoder.merge_many(content[part])))
 
 
 _ENCODERS: dict[tuple[int, str], Encoder] = {}
