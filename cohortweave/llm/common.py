@@ -98,3 +98,12 @@ def broadcast_measured(df: DataFrame) -> DataFrame:
     row = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(8))
     size = df.agg(F.sum(row.cast("long"))).first()[0] or 0
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` for a join that moves both sides by key and broadcasts neither.
+
+    The optimizer takes the bytes of a written table for its size; links between copies compress to a twentieth of their rows, so that
+    millions of them would be broadcast.
+    """
+    return df.hint("merge")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import e8, hashing
-from .common import save
+from .common import save, shuffled
 from .components import components
 
 
@@ -108,9 +108,9 @@ def linked(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
 
     looked_up = save(classes.select("node", "label_", "vector_").mapInArrow(hashed, "cell long, node long, home boolean"), "lattice_cells")
     homes = looked_up.filter("home").select("cell", F.col("node").alias("other"))
-    met = looked_up.select("cell", "node").join(homes, "cell").filter("node <> other")
+    met = looked_up.select("cell", "node").join(shuffled(homes), "cell").filter("node <> other")
     pairs = met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    side = lambda n, v: classes.select(F.col("node").alias(n), F.col("vector_").alias(v), F.col("label_").alias(f"l{v}"))
+    side = lambda n, v: shuffled(classes.select(F.col("node").alias(n), F.col("vector_").alias(v), F.col("label_").alias(f"l{v}")))
     pairs = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").filter("lx = ly and size(x) = size(y)").select("a", "b", "x", "y")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,13 +129,13 @@ def linked(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     links = save(pairs.mapInArrow(verified, "a long, b long"), "vector_links")
     copies = classes.select("node", "copies")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(copies.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.sum("copies").alias("others")).withColumnRenamed("a", "node")
-    resolved = classes.join(others, "node", "left").join(components(links), "node", "left")
+    others = both.join(shuffled(copies.withColumnRenamed("node", "b")), "b").groupBy("a").agg(F.sum("copies").alias("others")).withColumnRenamed("a", "node")
+    resolved = classes.join(shuffled(others), "node", "left").join(shuffled(components(links)), "node", "left")
     resolved = resolved.select("label_", "vector_", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root_"))
-    placed = save(usable_rows.join(resolved, ["label_", "vector_"]).select("rid", "id_", "n_links", "root_"), "placed")
+    placed = save(usable_rows.join(shuffled(resolved), ["label_", "vector_"]).select("rid", "id_", "n_links", "root_"), "placed")
     least = placed.groupBy("root_").agg(F.min("id_").alias("least_"))
-    placed = placed.join(least, "root_").select("rid", "n_links", "least_")
-    return rows.select("row_", "id_", "rid").join(placed, "rid", "left").select(
+    placed = placed.join(shuffled(least), "root_").select("rid", "n_links", "least_")
+    return rows.select("row_", "id_", "rid").join(shuffled(placed), "rid", "left").select(
         "row_", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("least_", "id_").alias("component_id")
     )
 
