@@ -42,6 +42,8 @@ _TABLE = bytes(0xFF if b in b".,;:!?\n\x0b\x0c\r" else 0x20 if b == 9 else b for
 #: A block ends with the text that brings it to so many words, or so many different ones.
 BLOCK_WORDS = 1_000_000
 BLOCK_TERMS = 100_000
+#: Blocks in a file, which a task reads at once, some 7 MB each.
+FILE_BLOCKS = 4
 #: Bytes of a text that are cut into words at once.
 PART_BYTES = 4 << 20
 #: Entries that a task gathers before it adds them up and sends them.
@@ -436,7 +438,7 @@ def mined(docs: DataFrame, options: Options = Options(), text: str = "text", lan
     a, l and r count the phrase and the two parts of its weakest cut, n all words of the language; score is 1000 a n / (l r), rounded down.
     """
     schema = "lang string, rank long, phrase string, a long, l long, r long, n long, score long"
-    blocks = save(coded(docs, text, lang), "blocks")
+    blocks = save(coded(docs, text, lang), "blocks", FILE_BLOCKS)
     counts = save(word_counts(blocks), "word_counts")
     tables, seed = phrases(blocks, counts, options)
     if len(tables) < 2:

@@ -29,15 +29,17 @@ def words_of(text: Column) -> Column:
     )
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
+def save(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
     """Write ``df`` to the shared folder in a dense format and go on from what is written.
 
+    Tables with rows of megabytes have few ``rows_per_file`` (0: any number): a reader holds thousands of rows of a file at once.
+
     Later steps then neither repeat the work nor depend on executors that may be gone,
     and values such as row ids that depend on the partitioning stay as they are.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

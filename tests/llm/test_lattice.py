@@ -12,7 +12,7 @@ def test_links_are_never_broadcast(spark, monkeypatch):
     far = [(100 + i, [float(x) for x in rng.standard_normal(16)], 1) for i in range(20)]
     df = spark.createDataFrame(near + far, "vec_id long, embedding array<double>, label int")
     for module in (lattice, components):
-        def recorded(rows, name, save=module.save):
+        def recorded(rows, name, save=module.save, **_):
             plans.append(rows._jdf.queryExecution().executedPlan().toString())
             return save(rows, name)
 
